@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cytofold.llm.common import documents
 from cytofold.llm.exact_dedup import exact_dedup
 from cytofold.llm.mixing import mix_sources
+from cytofold.llm.near_dedup import near_dedup
 from cytofold.llm.packing import pack
 from cytofold.llm.quality_rules import quality_rules
 from cytofold.llm.token_files import round_trip
@@ -31,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op9_token_files": op9_token_files,
 }
 
