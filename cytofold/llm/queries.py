@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cytofold.llm.common import documents
 from cytofold.llm.exact_dedup import exact_dedup
+from cytofold.llm.language_id import identify
 from cytofold.llm.mixing import mix_sources
 from cytofold.llm.near_dedup import near_dedup
 from cytofold.llm.packing import pack
+from cytofold.llm.quality_classifier import quality_scores
 from cytofold.llm.quality_rules import quality_rules
 from cytofold.llm.token_files import round_trip
 
@@ -36,17 +38,27 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir)).drop("spans")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
+    "op7_language_id": op7_language_id,
     "op9_token_files": op9_token_files,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
