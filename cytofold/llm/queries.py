@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cytofold.llm.common import documents
 from cytofold.llm.exact_dedup import exact_dedup
 from cytofold.llm.language_id import identify
+from cytofold.llm.line_dedup import line_dedup
 from cytofold.llm.mixing import mix_sources
 from cytofold.llm.near_dedup import near_dedup
 from cytofold.llm.packing import pack
@@ -42,6 +43,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).drop("spans")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
 }
