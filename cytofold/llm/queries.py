@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cytofold.llm.common import documents
 from cytofold.llm.exact_dedup import exact_dedup
 from cytofold.llm.language_id import identify
+from cytofold.llm.language_model import lm_scores
 from cytofold.llm.line_dedup import line_dedup
 from cytofold.llm.mixing import mix_sources
 from cytofold.llm.near_dedup import near_dedup
@@ -39,6 +40,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).drop("spans")
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
