@@ -1,0 +1,13 @@
+"""Queries over the derived domain tables and the SQL they are held against."""
+
+from __future__ import annotations
+
+from cytofold.plans import queries
+
+
+def all_queries() -> dict[str, queries.Query]:
+    return dict(queries.QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    return dict(queries.ORACLES)
