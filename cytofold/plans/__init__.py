@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cytofold.plans import queries
+from cytofold.plans import queries_model as _  # noqa: F401  (registers its queries)
 
 
 def all_queries() -> dict[str, queries.Query]:
