@@ -19,6 +19,7 @@ def log_gamma(x: Column) -> Column:
     x (x + 1) ... (x + 7) is y (y + 6) (y + 10) (y + 12) with y = x (x + 7), which
     keeps the expression small. Arguments should be columns or small sums of them.
     """
+    x = x.cast("double")
     y = x * (x + 7)
     z = x + SHIFT
     w = 1 / (z * z)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.operators.intervals import bins
+from cytofold.sources.storage import materialise
 
 
 def genome_chunks(bases: DataFrame, width: int = 1000) -> DataFrame:
@@ -93,11 +94,12 @@ def gc_lowess(binned: DataFrame, frac: float = 0.2, passes: int = 3, resolution:
     ``passes`` further rounds weigh residuals by the bisquare of six medians.
     """
     k = int(frac * (resolution + 1) + 1e-10)
-    points = binned.select("sample_id", F.col("gc_bin").cast("double").alias("x"), F.col("mean").alias("y"))
+    points = materialise(binned.select("sample_id", F.col("gc_bin").cast("double").alias("x"), F.col("mean").alias("y")), "gc-points")
     left = points.select("sample_id", F.col("x").alias("x0"))
     near = left.join(points, "sample_id").withColumn("_d", F.abs(F.col("x") - F.col("x0")))
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id", "x0").orderBy("_d", "x"))).where(F.col("_r") <= k)
     local = ranked.withColumn("_h", F.max("_d").over(Window.partitionBy("sample_id", "x0"))).withColumn("w", F.pow(1 - F.pow(F.try_divide("_d", "_h"), 3), 3)).select("sample_id", "x0", "x", "y", "w")
+    local = materialise(local, "gc-weights")
     robust = points.select("sample_id", "x", F.lit(1.0).alias("b"))
     fitted = points
     for turn in range(passes + 1):
@@ -113,7 +115,7 @@ def gc_lowess(binned: DataFrame, frac: float = 0.2, passes: int = 3, resolution:
             rest = points.join(fitted, ["sample_id", "x"]).withColumn("_e", F.abs(F.col("y") - F.col("smoothed")))
             scale = rest.groupBy("sample_id").agg((6 * F.percentile("_e", 0.5)).alias("_s"))
             u = F.coalesce(F.try_divide("_e", "_s"), F.lit(0.0))
-            robust = rest.join(scale, "sample_id").select("sample_id", "x", F.when(u < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0)).alias("b"))
+            robust = materialise(rest.join(scale, "sample_id").select("sample_id", "x", F.when(u < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0)).alias("b")), "gc-robust")
     top = fitted.groupBy("sample_id").agg(F.max("smoothed").alias("_top"))
     return fitted.join(top, "sample_id").select("sample_id", F.col("x").cast("int").alias("gc_bin"), F.try_divide("smoothed", "_top").alias("smoothed"))
 
