@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytofold.sources.storage import delete_now, materialise, new_path
+
+__all__ = ["delete_now", "documents", "fill", "fold", "global_rank", "materialise", "n_words", "new_path", "words"]
+
 #: ASCII white space; a word is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = "\t\n\x0b\x0c\r "
@@ -17,47 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset a local
-    master gets a temporary folder of its own; a cluster is refused, since its
-    executors would not see a folder of the driver's machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="cytofold-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs a reread, not a recomputation,
-    and fixes row numbers. Spark removes the table when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    delete_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_at_end(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-
-
-def delete_now(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fill(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

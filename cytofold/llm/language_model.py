@@ -22,7 +22,6 @@ counts come from all training documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import MIX, U64, blocks, mix, word_hashes
-from cytofold.llm.common import delete_at_end, delete_now, fill, fold, materialise, shared_dir
+from cytofold.llm.common import delete_now, fill, fold, materialise, new_path
 
 CONTEXTS = 1 << 16
 START = CONTEXTS - 1  # the context of a text's first token; words hash to the others
@@ -329,9 +328,8 @@ def lm_scores(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold(F.col(id_col), folds) == held_out).alias("held_out"))
     chars = texts.agg(F.sum(F.length(fill(F.col("text"))))).first()[0] or 0
     shards = max(12, -(-chars // SHARD_CHARS))
-    path = f"{shared_dir(spark)}/lm-chunks-{uuid.uuid4().hex}"
+    path = new_path(spark, "lm-chunks")
     chunk_up(texts, shards).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    delete_at_end(spark, path)
     chunks = spark.read.schema(CHUNKED).parquet(path)
     model = materialise(build_shards(chunks.where("kind = 'keys'")), "lm-shards")
     delete_now(spark, f"{path}/kind=keys")

@@ -8,7 +8,6 @@ Bloom filter; stripes are read in parallel.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytofold.llm.common import delete_at_end, shared_dir
+from cytofold.llm.common import new_path
 from cytofold.llm.tokens import default_path, encoder
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, start_in_part long"
@@ -102,7 +101,6 @@ def id_digests(rows: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write token files into the shared folder and return the digests of what is read back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-files")
     write_token_files(docs, path, tokenizer)
-    delete_at_end(spark, path)
     return id_digests(read_token_files(spark, path))
