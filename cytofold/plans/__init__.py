@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from cytofold.plans import queries
-from cytofold.plans import queries_model as _  # noqa: F401  (registers its queries)
+from cytofold.plans import queries_io as _io  # noqa: F401  (registers its queries)
+from cytofold.plans import queries_model as _model  # noqa: F401
 
 
 def all_queries() -> dict[str, queries.Query]:
