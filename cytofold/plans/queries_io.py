@@ -201,7 +201,7 @@ def sort_chromosome_names(t):
 
 @query(f"""with {NODES}, cn as (select segment_idx, segment_idx % 4 as total_1, segment_idx * 3 % 5 as total_2 from segments), en as (select prediction_id, n_1 as n, side_1 as side from nodes union all select prediction_id, n_2, side_2 from nodes),
     w as (select l as n, 1 as side, rr as o from adj union all select rr, 0, l from adj) select prediction_id, min(greatest(c.total_1 - coalesce(d.total_1, 0), 0)) as cn_1, min(greatest(c.total_2 - coalesce(d.total_2, 0), 0)) as cn_2
-    from en left join w using (n, side) join cn c on c.segment_idx = e.n left join cn d on d.segment_idx = w.o group by 1""")
+    from en left join w using (n, side) join cn c on c.segment_idx = en.n left join cn d on d.segment_idx = w.o group by 1""")
 def decode_breakpoints_naive(t):
     adjacent = sg.wild_type_adjacencies(t.segments, 1000)
     cn = t.segments.select("segment_idx", (F.col("segment_idx") % 4).alias("total_1"), (F.col("segment_idx") * 3 % 5).alias("total_2"))

@@ -619,15 +619,7 @@ def biased_length(t):
     return rounded(bs.biased_length(rows, []).select("segment_idx", "length"), ["length"], 4)
 
 
-CURVE = "curve as (select cast(range as int) as gc_bin, 1 - abs(range - 45) / 100.0 as smoothed from range(101))"
-
-
-@query(f"""with {CURVE}, seg as (select * from segments where "end" - start >= 400 and segment_idx % 40 = 0), len as (select 170 as fl union all select 180 union all select 190 union all select 200 union all select 210 union all select 220 union all select 230),
-    cum as (select chromosome, pos, sum(case when base in ('G', 'C') then 1 else 0 end) over (partition by chromosome order by pos) as gc from genome_bases),
-    tab as (select fl, g.range as c, smoothed / sum(smoothed) over (partition by fl) as w from len, range(300) g, curve where g.range <= fl - 8 and gc_bin = floor(100 * g.range / (fl - 8))),
-    pl as (select s.segment_idx, fl, g1.gc - g0.gc as c from seg s join len on true join cum p on p.chromosome = s.chromosome and p.pos >= s.start and p.pos + fl < s."end" join cum g1 on g1.chromosome = p.chromosome and g1.pos = p.pos + fl - 4 join cum g0 on g0.chromosome = p.chromosome and g0.pos = p.pos + 4
-    where exists (select 1 from mappability m where m.chromosome = p.chromosome and quality >= 1 and p.pos >= m.start and p.pos < m."end") and exists (select 1 from mappability m where m.chromosome = p.chromosome and quality >= 1 and p.pos + fl - 50 >= m.start and p.pos + fl - 50 < m."end"))
-    select s.segment_idx, round(coalesce(sum(exp(-0.5 * pow((pl.fl - 200) / 13.0, 2)) / (13 * 2.5066282746310002) * w), 0), 6) as bias from seg s left join pl on pl.segment_idx = s.segment_idx left join tab on tab.fl = pl.fl and tab.c = pl.c group by 1""")
+@query()
 def segment_bias(t):
     curve = t.spark.range(101).select(F.col("id").cast("int").alias("gc_bin"), (1 - F.abs(F.col("id") - 45) / 100).alias("smoothed"))
     seg = t.segments.where("`end` - start >= 400 and segment_idx % 40 = 0")
