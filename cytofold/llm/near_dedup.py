@@ -9,9 +9,11 @@ coordinates estimate the Jaccard similarity with Chernoff-like concentration.
 Documents with equal shingle sets are one node. Nodes that share a band are
 candidates: 4 coordinates a band and 40 bands miss a pair of similarity 0.75 with
 probability (1 - 0.75^4)^40, about 3e-7. Links are confirmed on full shingle sets.
-Two rounds link the nodes of a bucket with one of them; then all pairs of nodes
-that share a bucket but are not yet connected are confirmed, so that no bucket,
-however large, loses a link that the classes depend on.
+A few rounds link the nodes of a bucket with one of them. Then nodes that share
+buckets are dealt to blocks, and blocks that meet in a bucket and aren't yet in
+one class are held against each other whole, so that no bucket, however large,
+loses a link that the classes depend on. A pair of different classes goes to the
+full sets unless its sketches put it over four standard deviations below the bound.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from cytofold.llm.components import components
 WIDTH = 5
 BANDS, ROWS = 40, 4
 COORDINATES = BANDS * ROWS
+#: Rounds that link nodes with one of their bucket.
+ROUNDS = 2
+#: Nodes of a block, about.
+BLOCK = 256
 #: Pairs of one node that are confirmed in one chunk; more are dealt to further chunks.
 CHUNK = 256
 
@@ -76,6 +82,12 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (mix(best) >> U64(48)).astype("<u2")
 
 
+def most_differing(percent: int) -> int:
+    """The largest number of differing coordinates that a pair at the bound has, but for four standard deviations."""
+    p = 1 - percent / 100
+    return int(COORDINATES * p + 4 * (COORDINATES * p * (1 - p)) ** 0.5) + 1
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the shingle set (hi, lo), and the sketch (null without shingles)."""
 
@@ -146,6 +158,63 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "shingles").mapInArrow(check, "a long, b long")
 
 
+def blocks_of(placed: DataFrame, reps: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (block, node, comp, sketch, shingles) in blocks, and the pairs of blocks (one, two) to compare.
+
+    A node goes to its least neighbour's group and by hash to one of the group's
+    blocks. Blocks are compared if they share a bucket and hold two classes.
+    """
+    low = placed.groupBy("band").agg(F.min("node").alias("low"))
+    nodes = placed.join(low, "band").groupBy("node").agg(F.min("low").alias("low"), F.first("comp").alias("comp"))
+    slots = nodes.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
+    nodes = materialise(nodes.join(slots, "low").select("node", "comp", F.xxhash64("low", F.pmod(F.xxhash64("node"), F.col("slots"))).alias("block")), "blocks")
+    present = placed.select("band", "node").join(nodes, "node").groupBy("band", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    mixed = present.groupBy("band").agg(F.min("c0").alias("m0"), F.max("c1").alias("m1")).where("m0 <> m1").select("band")
+    side = lambda s: present.join(mixed, "band").select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "c0", "c1")))
+    met = side("a").join(side("b"), "band").where("block_a <= block_b and not (c0_a = c1_a and c0_b = c1_b and c0_a = c0_b)")
+    pairs = met.select(F.col("block_a").alias("one"), F.col("block_b").alias("two")).distinct()
+    return nodes.join(reps.select("node", "sketch"), "node").join(sets, "node"), pairs
+
+
+def compare_blocks(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different classes of all pairs of blocks; classes that a link has joined count as one."""
+    both = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block")).join(nodes, "block")
+    bound = most_differing(percent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp = table["node"].to_pylist(), table["comp"].to_pylist()
+        coordinates = np.stack([np.frombuffer(b, dtype="<u2") for b in table["sketch"].to_pylist()])
+        shingles = [np.frombuffer(b, dtype=np.uint64) for b in table["shingles"].to_pylist()]
+        size = np.array([len(x) for x in shingles])
+        second = np.array(table["block"]) == table["two"][0].as_py()
+        first = np.array(table["block"]) == table["one"][0].as_py()
+        own = {c: c for c in comp}
+
+        def root(c: int) -> int:
+            while own[c] != c:
+                own[c] = own[own[c]]
+                c = own[c]
+            return c
+
+        left, right = [], []
+        for i in np.flatnonzero(first).tolist():
+            apart = (coordinates != coordinates[i]).sum(axis=1) <= bound
+            near = 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            for j in np.flatnonzero(apart & near & second).tolist():
+                a, b = root(comp[i]), root(comp[j])
+                if a == b:
+                    continue
+                at = np.searchsorted(shingles[i], shingles[j])
+                shared = int((shingles[i][np.minimum(at, size[i] - 1)] == shingles[j]).sum())
+                if 100 * shared >= percent * (size[i] + size[j] - shared):
+                    own[max(a, b)] = min(a, b)
+                    left.append(node[i])
+                    right.append(node[j])
+        return pa.Table.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return both.groupBy("one", "two").applyInArrow(compare, "a long, b long")
+
+
 def node_classes(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(node, comp) for the nodes that have links."""
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)))
@@ -158,22 +227,19 @@ def node_classes(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     near_size = lambda a, b: (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
     links, comp = None, members.select("node").distinct().withColumn("comp", F.col("node"))
-    for turn in range(2):
+    for turn in range(ROUNDS):
         placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        pick = F.min(F.struct((F.xxhash64("node") if turn else F.col("node")).alias("by"), "node", "comp", "n_shingles")).alias("p")
+        by = (F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("by")
+        pick = F.min(F.struct(by, "node", "comp", "n_shingles")).alias("p")
         picks = placed.groupBy("band").agg(pick, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", F.col("p.node").alias("to"), F.col("p.comp").alias("to_comp"), F.col("p.n_shingles").alias("to_n"))
         tried = placed.join(picks, "band").where((F.col("comp") != F.col("to_comp")) & near_size(F.col("n_shingles"), F.col("to_n")))
         best = tried.groupBy("node", "to").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
         found = materialise(confirm(best.select(F.col("to").alias("a"), F.col("node").alias("b")), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         comp = components(links)
-    placed = materialise(members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-    open_ = placed.join(mixed, "band")
-    one, two = (open_.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n_shingles"))) for s in "ab")
-    apart = one.join(two, "band").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & near_size(F.col("n_shingles_a"), F.col("n_shingles_b")))
-    pairs = materialise(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
-    found = materialise(confirm(pairs, sets, percent), "links")
+
+    placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = materialise(compare_blocks(*blocks_of(placed, reps, sets), percent), "links")
     return comp if found.isEmpty() else components(links.unionByName(found))
 
 
