@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.operators.bias import reverse_complement
 from cytofold.operators.segments import reindex_segments
 
 
@@ -43,6 +44,13 @@ def segment_copy_number(path: DataFrame) -> DataFrame:
     return path.groupBy("clone", "segment", "allele").agg(F.count("*").alias("copies"))
 
 
+def path_sequences(path: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Sequence of each path: the pieces (segment, seq) of its elements in order, reversed and complemented where orient < 0."""
+    joined = path.join(pieces, "segment").withColumn("_s", F.when(F.col("orient") < 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "_s")))
+    return joined.groupBy("clone", "chain").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), "").alias("sequence"))
+
+
 def path_breakpoints(path: DataFrame, wild_type: DataFrame) -> DataFrame:
     """Copies of the oriented adjacencies of cyclic paths that aren't wild type, by canonical pair of ends."""
     w = Window.partitionBy("clone", "chain").orderBy("ord")

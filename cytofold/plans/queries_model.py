@@ -13,7 +13,7 @@ from cytofold.operators import model as md
 from cytofold.operators import segments as sg
 from cytofold.operators import solutions as sl
 from cytofold.plans.fixtures import Tables
-from cytofold.plans.queries import COUNTS, count_table, query, r
+from cytofold.plans.queries import COUNTS, REINDEX, count_table, query, r
 
 KEYS = ["sample_id", "chromosome", "start", "end"]
 CT = f'{COUNTS}, ct as (select *, "end" - start as length from ctab)'
@@ -106,6 +106,25 @@ def segment_masks(t):
     return dp.masks(rows, 300, 0.3, 4, 0.2).select(*KEYS, "segment_length_mask", "genotyped_mask", "amplification_mask", "depth_mask")
 
 
+def masked(t: Tables) -> DataFrame:
+    return dp.masks(dp.segment_depths(counted(t)).withColumn("total_raw", (F.col("total_depth") - 0.04) / 0.03), 300, 0.3, 4, 0.2)
+
+
+@query(f"with {CT} select sample_id, count(*) filter (where length >= 300) as n, count(*) as of_all from ct group by 1")
+def segment_length_mask(t):
+    return masked(t).groupBy("sample_id").agg(F.count_if("segment_length_mask").alias("n"), F.count("*").alias("of_all"))
+
+
+@query(f"with {CT} select sample_id, count(*) filter (where (major_readcount + minor_readcount) / (readcount + 1e-16) >= 0.3) as n, count(*) as of_all from ct group by 1")
+def genotyped_mask(t):
+    return masked(t).groupBy("sample_id").agg(F.count_if("genotyped_mask").alias("n"), F.count("*").alias("of_all"))
+
+
+@query(f"with {DEPTHS} select sample_id, count(*) filter (where round_even(least(greatest((total_depth - 0.04) / 0.03, 0), 1e6), 0) <= 4) as n, count(*) as of_all from depths group by 1")
+def amplification_mask(t):
+    return masked(t).groupBy("sample_id").agg(F.count_if("amplification_mask").alias("n"), F.count("*").alias("of_all"))
+
+
 @query(f'with {CT} select sample_id, chromosome, start, "end" from ct where length > 200')
 def min_length_filter(t):
     return counted(t).where("length > 200").select(*KEYS)
@@ -481,6 +500,13 @@ PATHB = f"""{PATH}, e as (select clone, segment as n1, case when orient > 0 then
     pb as (select clone, n_1, side_1, n_2, side_2, count(*) as copies from cn where not (side_1 = 1 and side_2 = 0 and n_2 = n_1 + 1) group by all)"""
 
 
+@query(f"""with {PATH}, pc as (select pos // 50 as segment, string_agg(base, '' order by pos) as seq from genome_bases where chromosome = '1' and pos < 600 group by 1)
+    select clone, chain, string_agg(case when orient < 0 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end, '' order by ord) as sequence from path join pc using (segment) group by all""")
+def path_sequences(t):
+    pieces = bs.genome_chunks(t.genome_bases.where("chromosome = '1' and pos < 600"), 50).select(F.expr("chunk_start div 50").alias("segment"), "seq")
+    return ev.path_sequences(path_of(t), pieces)
+
+
 def path_edges(t: Tables) -> DataFrame:
     n = path_of(t).select(F.col("segment").alias("left")).distinct()
     return ev.path_breakpoints(path_of(t), n.withColumn("right", F.col("left") + 1))
@@ -557,6 +583,30 @@ def merge_evaluations(t):
     return md.union_all(parts).join(settings, "sample_id").select("tool", "sample_id", "score", "sim_seed")
 
 
+@query(f"""with {REINDEX} select a.sample_id, a.chromosome, a.start, a."end", x.major_1 + x.minor_1 as total_1, x.major_1 as major_1, x.minor_1 as minor_1, y.major_2 + y.minor_2 as total_2, y.major_2 as major_2, y.minor_2 as minor_2 from atoms a
+    join cn_profiles x on x.sample_id = a.sample_id and x.chromosome = a.chromosome and x.start <= a.start and a."end" <= x."end" join cn_profiles_pred y on y.sample_id = a.sample_id and y.chromosome = a.chromosome and y.start <= a.start and a."end" <= y."end" """)
+def combine_clone_segmentations(t):
+    """Clone 1 from one segmentation, clone 2 from another, on their common refinement."""
+    atoms = sg.reindex_segments(t.cn_profiles.withColumnRenamed("k", "idx"), t.cn_profiles_pred.withColumnRenamed("k", "idx"), ["sample_id", "chromosome"])
+    for n, table in ((1, t.cn_profiles), (2, t.cn_profiles_pred)):
+        clone = table.select("sample_id", "chromosome", F.col("k").alias(f"idx_{n}"), (F.col(f"major_{n}") + F.col(f"minor_{n}")).alias(f"total_{n}"), f"major_{n}", f"minor_{n}")
+        atoms = atoms.join(clone, ["sample_id", "chromosome", f"idx_{n}"])
+    return atoms.drop("idx_1", "idx_2")
+
+
+@query("""select sample_id, chromosome, start, "end", round((major_1 * 0.01 + major_2 * 0.03) / 0.04, 6) as major_expected, round((minor_1 * 0.01 + minor_2 * 0.03) / 0.04, 6) as minor_expected, abs(major_1 - major_2) as major_diff, abs(minor_1 - minor_2) as minor_diff from cn_profiles""")
+def mixture_expected_cn(t):
+    """Expected copies over the tumour clones, their fractions renormalised."""
+    mean = lambda a: r((F.col(f"{a}_1") * 0.01 + F.col(f"{a}_2") * 0.03) / 0.04).alias(f"{a}_expected")
+    return t.cn_profiles.select(*KEYS, mean("major"), mean("minor"), *(F.abs(F.col(f"{a}_1") - F.col(f"{a}_2")).alias(f"{a}_diff") for a in ("major", "minor")))
+
+
+@query("select sample_id, init_id, h_0 as n, round(h_1 * 0.3, 6) as c_1, round(h_1 * 0.7, 6) as c_2 from solutions")
+def clone_depths(t):
+    rows = sl.clone_depths(t.solutions.select("sample_id", "init_id", F.col("h_0").alias("h_normal"), F.col("h_1").alias("h_tumour"), F.lit(0.3).alias("mix_frac")))
+    return rows.select("sample_id", "init_id", F.col("h_0").alias("n"), r("h_1").alias("c_1"), r("h_2").alias("c_2"))
+
+
 # Bias
 
 
