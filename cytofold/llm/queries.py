@@ -15,12 +15,12 @@ from cytofold.llm.mixing import mix_sources
 from cytofold.llm.near_dedup import near_dedup
 from cytofold.llm.packing import pack
 from cytofold.llm.quality_classifier import quality_scores
-from cytofold.llm.quality_rules import quality_rules
+from cytofold.llm.quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
 from cytofold.llm.token_files import round_trip
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir)).drop("broken")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+STOPS = ", ".join(f"'{w}'" for w in sorted({w for s in STOP_WORDS for w in (s, s.capitalize())}))
+BROKEN = " or ".join(
+    f"(n_words >= {least} and ({' or '.join([f'{metric} < {low}'] * (low is not None) + [f'{metric} > {high}'] * (high is not None))}))" for _, metric, low, high, least in THRESHOLDS
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""
+        with w as (select doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+        win as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as g from w, unnest(range(1, len(ws) - 3)) u(i)),
+        rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from win) where c > 1),
+        cov as (select doc_id, sum(least(5, nxt - i)) as n from (select doc_id, i, coalesce(lead(i) over (partition by doc_id order by i), i + 5) as nxt from rep) group by 1),
+        m as (select w.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, length(regexp_replace(t, '[^!]', '', 'g')) as n_exclamations,
+            len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, cast(coalesce(cov.n, 0) as bigint) as n_repeat_words, len(list_filter(ws, lambda x: x in ({STOPS}))) as n_stop_words from w left join cov on cov.doc_id = w.doc_id),
+        r as (select *, coalesce(word_chars / nullif(n_words, 0), 0) as mean_word_length, coalesce(n_symbols / nullif(n_words, 0), 0) as symbol_ratio, coalesce(n_exclamations / nullif(n_words, 0), 0) as exclamation_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) as dup_line_ratio,
+            coalesce(n_repeat_words / nullif(n_words, 0), 0) as repeat_ratio, coalesce(n_stop_words / nullif(n_words, 0), 0) as stop_word_ratio, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+        select *, not base_failed and not ({BROKEN}) as kept from r
+    """,
     "op3_exact_dedup": r"""
         with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
