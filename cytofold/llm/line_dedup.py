@@ -29,14 +29,16 @@ from cytofold.llm.common import SPACE_CHARS, fill, materialise
 
 #: An odd number and its inverse modulo 2^64, the base of the position weights of line hashes.
 BASE = 0x9E3779B97F4A7C15
+#: Rows that the table of low key bits has at most.
+FILTER = 1 << 20
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at, line, key): trimmed lines that have a word, with a 128-bit key."""
+    """(doc_id, at, line, key, check): trimmed lines that have a word, with a 128-bit hash in two halves."""
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(fill(F.col(text_col)), "\n")).alias("at", "line"))
     trimmed = parts.select("doc_id", "at", F.btrim("line", F.lit(SPACE_CHARS)).alias("line")).where("line <> ''")
-    return trimmed.withColumn("key", F.unhex(F.md5("line")))
+    return trimmed.withColumns({"key": F.xxhash64("line"), "check": F.xxhash64(F.lit(BASE & 0xFFFF), "line")})
 
 
 def place() -> Column:
@@ -69,19 +71,23 @@ def variants(lines: DataFrame) -> DataFrame:
                 sizes = np.concatenate([[n], np.full(int(fresh.sum()), n - 1)]).astype(np.uint64)
                 values = mix(np.concatenate([sums[n:], cut[fresh]]) ^ mix(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(values), pa.binary()), pa.array(values.astype(np.int64)), pa.array(np.concatenate([[-1], where[fresh]]).astype(np.int32))], names=["key", "variant", "position"]
+                    [pa.array(np.full(len(values), key)), pa.array(values.astype(np.int64)), pa.array(np.concatenate([[-1], where[fresh]]).astype(np.int32))], names=["key", "variant", "position"]
                 )
 
-    return lines.select("key", "line").mapInArrow(emit, "key binary, variant long, position int")
+    return lines.select("key", "line").mapInArrow(emit, "key long, variant long, position int")
 
 
 def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(key, near): the first place of the earliest other line within one edit, for lines that have one."""
     halves = lines.select("key", F.explode(half_keys(F.col("line"))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("key").distinct()
-    texts = materialise(lines.select("key", "line").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "lines")
-    placed = materialise(variants(texts).join(firsts, "key"), "variants")
+    wanted = materialise(halves.join(shared, "half", "left_semi").select("key").distinct(), "wanted")
+    # The texts of other lines are kept off the shuffle by the low bits of the keys, a table of FILTER rows at most.
+    low = F.col("key").bitwiseAND(F.lit(FILTER - 1))
+    passed = wanted.select(low.alias("low")).distinct()
+    near = lines.select("key", "line", low.alias("low")).join(F.broadcast(passed), "low", "left_semi")
+    texts = materialise(near.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "lines")
+    placed = materialise(variants(texts).join(firsts.select("key", "first"), "key"), "variants")
     entry = F.struct("first", "key")
 
     # Substitutions: lines that agree after deleting the same position.
@@ -105,13 +111,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     lines = lines_of(docs, id_col, text_col)
-    firsts = materialise(lines.groupBy("key").agg(F.min(place()).alias("first")), "firsts")
+    firsts = materialise(lines.groupBy("key", "check").agg(F.min(place()).alias("first")), "firsts")
     verdict = firsts
     if edits:
         near = materialise(earliest_neighbours(lines, firsts), "near")
-        verdict = firsts.join(near, "key", "left").select("key", F.least("first", F.coalesce("near", "first")).alias("first"))
-    here = lines.select("key", "doc_id", "at", place().alias("here"))
-    return here.join(verdict, "key").where("first < here").select("doc_id", "at")
+        verdict = firsts.join(near, "key", "left").select("key", "check", F.least("first", F.coalesce("near", "first")).alias("first"))
+    here = lines.select("key", "check", "doc_id", "at", place().alias("here"))
+    return here.join(verdict, ["key", "check"]).where("first < here").select("doc_id", "at")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
