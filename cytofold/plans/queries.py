@@ -202,7 +202,7 @@ def find_contained_segments(t):
 
 @query('select f.fragment_id, p.position, p.gt from fragments f join snps p on p.chromosome = f.chromosome and f.start <= p.position and p.position < f."end"')
 def interval_position_overlap(t):
-    return iv.interval_position_overlap(t.fragments, t.snps).select("fragment_id", "position", "gt")
+    return iv.interval_position_overlap(t.fragments, t.snps, width=500).select("fragment_id", "position", "gt")
 
 
 @query("select fragment_id, start + x.range as value from (select fragment_id, start, fragment_id % 4 as length from fragments) join range(4) x on x.range < length")

@@ -226,7 +226,7 @@ def annotate_solution_brk(t):
 
 @query("""select f.fragment_id, p.position, case when p.gt = 2 or (p.gt = 1 and f.hap = 1) then 1 else 0 end as is_alt from fragments f join snps p on p.chromosome = f.chromosome and p.position >= f.start and p.position < f."end" and (p.position < f.start + 75 or p.position >= f."end" - 75)""")
 def fragment_snp_calls(t):
-    pairs = iv.interval_position_overlap(t.fragments, t.snps).where("position < start + 75 or position >= `end` - 75")
+    pairs = iv.interval_position_overlap(t.fragments, t.snps, width=500).where("position < start + 75 or position >= `end` - 75")
     return pairs.select("fragment_id", "position", F.when((F.col("gt") == 2) | ((F.col("gt") == 1) & (F.col("hap") == 1)), 1).otherwise(0).alias("is_alt"))
 
 
@@ -236,7 +236,7 @@ def allele_calls(t):
     clip = F.coalesce(F.regexp_extract("cigar", r"^(\d+)S", 1).try_cast("int"), F.lit(0))
     reads = ct.concordant_alignments(t.alignments).select("sample_id", "chromosome", "fragment_id", "hap", "err", (F.col("pos") + clip + 1).alias("start"), (F.col("pos") + 101).alias("end"))
     true = F.when(F.col("gt") == 0, 0).when(F.col("gt") == 2, 1).otherwise(F.col("hap"))
-    calls = iv.interval_position_overlap(reads, t.snps)
+    calls = iv.interval_position_overlap(reads, t.snps, width=250)
     return calls.select("sample_id", "fragment_id", "position", F.when(F.col("err") == 0, 1 - true).otherwise(true).alias("is_alt")).distinct()
 
 
