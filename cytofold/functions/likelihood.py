@@ -43,11 +43,21 @@ def poisson(x: Column, mu: Column) -> Column:
     return x * F.log(mu) - mu - log_gamma(x + 1)
 
 
-def negbin(x: Column, mu: Column, r: Column) -> Column:
-    """Negative binomial with mean mu and size r; a success probability outside (0, 1) counts as 0.5."""
+def negbin_counts(x: Column, r: Column) -> Column:
+    """The part of ``negbin`` that the mean doesn't enter."""
+    return log_gamma(x + r) - log_gamma(x + 1) - log_gamma(r)
+
+
+def negbin_mean(x: Column, mu: Column, r: Column) -> Column:
+    """The part of ``negbin`` that the mean enters."""
     p = mu / (r + mu)
     p = F.when((p > 0) & (p < 1), p).otherwise(F.lit(0.5))
-    return log_gamma(x + r) - log_gamma(x + 1) - log_gamma(r) + x * F.log(p) + r * F.log(1 - p)
+    return x * F.log(p) + r * F.log(1 - p)
+
+
+def negbin(x: Column, mu: Column, r: Column) -> Column:
+    """Negative binomial with mean mu and size r; a success probability outside (0, 1) counts as 0.5."""
+    return negbin_counts(x, r) + negbin_mean(x, mu, r)
 
 
 def negbin_mixture(x: Column, mu: Column, r: Column, r_noise: Column, z: float = NOISE) -> Column:
@@ -58,10 +68,24 @@ def binomial(k: Column, n: Column, p: Column) -> Column:
     return log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p)
 
 
+def betabin_counts(k: Column, n: Column, m: Column) -> Column:
+    """The part of ``betabin`` that the ratio doesn't enter; the same for k and n - k."""
+    return log_choose(n, k) - log_gamma(n + m) + log_gamma(m)
+
+
+def betabin_ratio(p: Column, m: Column) -> Column:
+    """The part of ``betabin`` that the counts don't enter."""
+    return log_gamma(m * p) + log_gamma(m * (1 - p))
+
+
+def betabin_both(k: Column, rest: Column, p: Column, m: Column) -> Column:
+    """The part of ``betabin`` that counts (k and n - k) and ratio enter together."""
+    return log_gamma(k + m * p) + log_gamma(rest + m * (1 - p))
+
+
 def betabin(k: Column, n: Column, p: Column, m: Column) -> Column:
     """Beta-binomial with mean p and M = m."""
-    a, b = m * p, m * (1 - p)
-    return log_choose(n, k) + log_gamma(k + a) + log_gamma(n - k + b) - log_gamma(n + m) + log_gamma(m) - log_gamma(a) - log_gamma(b)
+    return betabin_counts(k, n, m) + betabin_both(k, n - k, p, m) - betabin_ratio(p, m)
 
 
 def betabin_uniform(k: Column, n: Column, p: Column, m: Column, z: float = NOISE) -> Column:

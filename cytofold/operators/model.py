@@ -87,19 +87,27 @@ def segment_loglik(rows: DataFrame, h: tuple[float, float, float], r: float = 50
 
 
 def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float, float, float], divergence_weight: float = 1e-7, outlier: float = 0.01, r: tuple[float, float] = (500.0, 10.0), m: tuple[float, float] = (500.0, 10.0)) -> DataFrame:
-    """Score of every segment and state: outlier-weighted log-likelihoods and a penalty for subclonal alleles."""
-    rows = segments.crossJoin(F.broadcast(states))
-    depth, ratio = expected(h)
+    """Score of every segment and state: outlier-weighted log-likelihoods and a penalty for subclonal alleles.
+
+    What counts or states enter alone is worked out once for each segment or
+    state, ahead of their product; pairs are left with the terms of both.
+    """
+    r0, r1, m0, m1 = (F.lit(v) for v in (*r, *m))
+    mean = lambda a, b: (1 - outlier) * a + outlier * b
     double = lambda c: F.col(c).cast("double")
-    rows = rows.withColumns({"_x": double("readcount"), "_n": double("major_readcount") + double("minor_readcount"), "_k": double("minor_readcount"), "_j": double("major_readcount"), "_mu": depth * F.col("length"), "_p": ratio})
-    x, n, k, j, mu, p = (F.col(c) for c in ("_x", "_n", "_k", "_j", "_mu", "_p"))
-    # One projection for each term, so that no generated method grows too large.
-    terms = {f"_t{i}": lk.negbin(x, mu, F.lit(size)) for i, size in enumerate(r)} | {f"_a{i}": lk.betabin(k, n, p, F.lit(size)) for i, size in enumerate(m)} | {f"_b{i}": lk.betabin(j, n, p, F.lit(size)) for i, size in enumerate(m)}
-    rows = rows.withColumns(terms)
-    mean = lambda c: (1 - outlier) * F.col(f"{c}0") + outlier * F.col(f"{c}1")
-    alleles = F.when(n > 0, 0.5 * mean("_a") + 0.5 * mean("_b")).otherwise(F.lit(0.0))
+    counts = segments.withColumns({"_x": double("readcount"), "_k": double("minor_readcount"), "_j": double("major_readcount"), "_n": double("major_readcount") + double("minor_readcount")})
+    x, n, k, j = (F.col(c) for c in ("_x", "_n", "_k", "_j"))
+    counts = counts.withColumns({"_total": mean(lk.negbin_counts(x, r0), lk.negbin_counts(x, r1)), "_allele": mean(lk.betabin_counts(k, n, m0), lk.betabin_counts(k, n, m1))})
+    depth, ratio = expected(h)
     subclonal = sum(((F.col(f"{a}_1") != F.col(f"{a}_2")).cast("int") for a in ("major", "minor")), F.lit(0))
-    scored = rows.withColumn("score", mean("_t") + alleles - subclonal * F.col("length") * divergence_weight)
+    p = F.col("_p")
+    table = states.withColumns({"_depth": depth, "_p": ratio, "_sub": subclonal}).withColumn("_ratio", mean(lk.betabin_ratio(p, m0), lk.betabin_ratio(p, m1)))
+    mu = F.col("_depth") * F.col("length")
+    either = lambda size: 0.5 * (lk.betabin_both(k, j, p, size) + lk.betabin_both(j, k, p, size))
+    total = F.col("_total") + mean(lk.negbin_mean(x, mu, r0), lk.negbin_mean(x, mu, r1))
+    alleles = F.when(n > 0, F.col("_allele") - F.col("_ratio") + mean(either(m0), either(m1))).otherwise(F.lit(0.0))
+    rows = counts.crossJoin(F.broadcast(table))  # the table's size depends on the largest copy number only
+    scored = rows.withColumn("score", total + alleles - F.col("_sub") * F.col("length") * divergence_weight)
     return scored.drop(*(c for c in scored.columns if c.startswith("_")))
 
 
