@@ -114,10 +114,11 @@ def density(rows: DataFrame, by: list[str], value: str, weight: str, points: int
     """
     top = weighted_percentile(rows, by, value, weight, 0.95).withColumnRenamed("value", "_top")
     w, x = F.col(weight), F.col(value)
-    stats = rows.groupBy(*by).agg(F.sum(w).alias("_W"), F.sum(w * w).alias("_W2"), (F.sum(w * x) / F.sum(w)).alias("_mean"), F.sum(w * x * x).alias("_S2"))
-    spread = (F.col("_S2") / F.col("_W") - F.col("_mean") * F.col("_mean")) / (1 - F.col("_W2") / (F.col("_W") * F.col("_W")))
-    grid = top.join(stats, by).withColumn("_bw", factor * F.sqrt(spread)).select(*by, "_top", "_W", "_bw", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("x", F.col("_top") * F.col("i") / (points - 1))
-    kernel = F.exp(-0.5 * F.pow((F.col("x") - x) / F.col("_bw"), 2)) / (F.col("_bw") * F.sqrt(F.lit(2 * 3.141592653589793)))
-    # The grid has a fixed number of points, so it is broadcast and the rows stay where they are.
-    summed = rows.join(F.broadcast(grid), by).groupBy(*by, "i", "x").agg((F.sum(w * kernel) / F.max("_W")).alias("density"))
+    stats = rows.groupBy(*by).agg(F.sum(w).alias("_all"), F.sum(w * w).alias("_W2"), (F.sum(w * x) / F.sum(w)).alias("_mean"), F.sum(w * x * x).alias("_S2"))
+    spread = (F.col("_S2") / F.col("_all") - F.col("_mean") * F.col("_mean")) / (1 - F.col("_W2") / (F.col("_all") * F.col("_all")))
+    # One row of statistics for each group meets the rows; grid points are made in place and summed before the shuffle.
+    joined = rows.select(*by, w.alias("_w"), x.alias("_x")).join(top.join(stats.select(*by, F.col("_all"), (factor * F.sqrt(spread)).alias("_bw")), by), by)
+    points_of = joined.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("_top") * F.col("i") / (points - 1))
+    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.col("_bw"), 2)) / (F.col("_bw") * F.sqrt(F.lit(2 * 3.141592653589793)))
+    summed = points_of.groupBy(*by, "i", "x").agg((F.sum(F.col("_w") * kernel) / F.max("_all")).alias("density"))
     return summed.withColumn("density", F.when(F.col("i").isin(0, points - 1), 0.0).otherwise(F.col("density")))

@@ -32,7 +32,8 @@ def contained_counts(segments: DataFrame, intervals: DataFrame, by: list[str], w
     Columns: by, chromosome, start, end, readcount, and what else ``segments`` has.
     """
     found = contained_pairs(segments, intervals, width).groupBy(*by, "chromosome", F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg(F.count("*").alias("readcount"))
-    frame = segments if not by else intervals.select(*by).distinct().crossJoin(F.broadcast(segments))
+    # Zeros make the result segments x groups; the segments, which may be many, stay where they are.
+    frame = segments if not by else segments.crossJoin(F.broadcast(intervals.select(*by).distinct())).select(*by, *segments.columns)
     keys = [*by, "chromosome", "start", "end"]
     return frame.join(found, keys, "left").withColumn("readcount", F.coalesce("readcount", F.lit(0)))
 

@@ -145,6 +145,13 @@ def chains(segments: DataFrame, max_gap: int = 3_000_000) -> DataFrame:
     return runs.groupBy("chromosome", "run").agg(F.min("segment_idx").alias("first"), (F.max("segment_idx") + 1).alias("last")).drop("run")
 
 
+def chain_of_segments(segments: DataFrame, max_gap: int = 3_000_000) -> DataFrame:
+    """(segment_idx, chain): the run of adjacent segments that each belongs to, named by its first segment."""
+    w = Window.partitionBy("chromosome").orderBy("segment_idx")
+    runs = run_ids(segments, ["chromosome"], ["segment_idx"], F.col("start") - F.lag("end").over(w) > max_gap)
+    return runs.select("segment_idx", F.min("segment_idx").over(Window.partitionBy("chromosome", "run")).alias("chain"))
+
+
 def concat_coordinates(chromosomes: DataFrame) -> DataFrame:
     """Start, end and middle of each chromosome on the concatenated genome."""
     total = F.sum("length").over(Window.orderBy("chromosome_idx"))

@@ -11,6 +11,7 @@ from cytofold.operators import depth as dp
 from cytofold.operators import haplotypes as hp
 from cytofold.operators import intervals as iv
 from cytofold.operators import model as md
+from cytofold.operators import resampling as rs
 from cytofold.operators import segments as sg
 from cytofold.plans.fixtures import Tables
 from cytofold.plans.queries import ADJ, GENO, NODES, SNPC, query, r
@@ -246,23 +247,19 @@ def resample_depth_targets(t):
     return rows.groupBy("chromosome", "bin").agg(F.sum("c").alias("copies"))
 
 
-@query()
-def poisson_resample(t):
-    """Copies of each fragment from an inverse Poisson (rate 1.5) of a hashed uniform, with new dense ids by chromosome."""
-    from pyspark.sql import Window
+DRAWS = " + ".join(f"cast(u > {total!r}e0 as int)" for total in rs.poisson_levels(1.5))
 
-    u = (((F.col("fragment_id") % 1_000_003) * 7919 + 17) % 1_000_003 + 1) / F.lit(1_000_004.0)
-    mass, total, copies = 2.718281828459045**-1.5, 0.0, F.lit(0)
-    for n in range(12):
-        total += mass
-        copies = copies + (u > total).cast("int")
-        mass *= 1.5 / (n + 1)
-    rows = t.fragments.withColumn("n", copies).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
-    order = Window.partitionBy("chromosome").orderBy("start", "fragment_id", "copy")
-    return rows.select("chromosome", "start", "end", (F.row_number().over(order) - 1).alias("fragment_id"))
+
+@query(f"""with cp as (select *, ((fragment_id % 1000003) * 7919 + 17) % 1000003 + 1 as h from fragments), un as (select *, h / 1000004e0 as u from cp), dr as (select *, {DRAWS} as n from un)
+    select chromosome, start, "end", row_number() over (partition by chromosome order by start, fragment_id, c.range) - 1 as fragment_id from dr join range(12) c on c.range < n""")
+def poisson_resample(t):
+    return rs.poisson_resample(t.fragments, 1.5)
 
 
-@query()
+@query("""with rw as (select sample_id, major_raw * 0.03e0 + 0.02e0 as v, cast(length as bigint) as w from cn_profiles where length > 0), st as (select sample_id, sum(w) as tw, sum(w * w) as w2, sum(w * v) / sum(w) as mv, sum(w * v * v) as s2 from rw group by 1),
+    cu as (select sample_id, v, sum(w) over (partition by sample_id order by v) as c from rw), tp as (select cu.sample_id, min(v) as top from cu join st using (sample_id) where c >= 0.95 * tw group by 1),
+    gd as (select sample_id, cast(g.range as int) as i, top * g.range / 100 as x, tw, 0.01e0 * sqrt((s2 / tw - mv * mv) / (1 - w2 / (cast(tw as double) * tw))) as bw from tp join st using (sample_id) cross join range(101) g)
+    select sample_id, i, round(x, 6) as x, round(case when i in (0, 100) then 0 else sum(w * exp(-0.5 * pow((x - v) / bw, 2)) / (bw * sqrt(2 * pi()))) / any_value(tw) end, 3) as density from gd join rw using (sample_id) group by sample_id, i, x""")
 def density_curves(t):
     rows = t.cn_profiles.where("length > 0").withColumn("depth", F.col("major_raw") * 0.03 + 0.02)
-    return dp.density(rows, ["sample_id"], "depth", "length", 101).select("sample_id", "i", r("x").alias("x"), r("density").alias("density"))
+    return dp.density(rows, ["sample_id"], "depth", "length", 101).select("sample_id", "i", r("x").alias("x"), r("density", 3).alias("density"))

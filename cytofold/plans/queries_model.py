@@ -169,6 +169,11 @@ def minor_modes(t):
 # Likelihoods. The SQL uses DuckDB's own lgamma.
 
 
+@query(f'with {MU} select sample_id, chromosome, start, "end", round(lgamma(x + 0.25), 6) as log_gamma from mu')
+def log_gamma(t):
+    return with_mu(t).select(*KEYS, r(lk.log_gamma(F.col("x") + 0.25)).alias("log_gamma"))
+
+
 def nb(x: str, mu: str, size: str) -> str:
     return f"(lgamma({x} + {size}) - lgamma({x} + 1) - lgamma({size}) + {x} * ln({mu} / ({size} + {mu})) + {size} * ln({size} / ({size} + {mu})))"
 
@@ -326,8 +331,7 @@ def state_class_weights(t):
 
 def chained(t: Tables) -> DataFrame:
     arrays = md.state_arrays(scores_of(t), ["sample_id"])
-    runs = sg.chains(t.segments, 1000).select("first", "last")
-    return arrays.join(F.broadcast(runs), (F.col("segment_idx") >= F.col("first")) & (F.col("segment_idx") < F.col("last"))).withColumnRenamed("first", "chain").drop("last")
+    return arrays.join(sg.chain_of_segments(t.segments, 1000), "segment_idx")
 
 
 @query()
@@ -654,7 +658,18 @@ def gc_binned_counts(t):
     return rounded(bs.gc_binned_counts(samples_of(t)), ["mean"])
 
 
-@query()
+def lowess_sql(passes: int = 3) -> str:
+    """Local lines by sums over the 20 nearest of 101 bins, then rounds of bisquare weights."""
+    parts = ["""pt as (select sample_id, cast(gc_bin as double) as x, mean as y from binned), nr as (select a.sample_id, a.x as x0, b.x, b.y, abs(b.x - a.x) as d, row_number() over (partition by a.sample_id, a.x order by abs(b.x - a.x), b.x) as k from pt a join pt b using (sample_id)),
+    lw as (select *, pow(1 - pow(d / max(d) over (partition by sample_id, x0), 3), 3) as w from nr where k <= 20), rb0 as (select sample_id, x, 1e0 as b from pt)"""]
+    for n in range(passes + 1):
+        parts.append(f"""sm{n} as (select sample_id, x0, sum(w * b) as s, sum(w * b * x) as sx, sum(w * b * y) as sy, sum(w * b * x * x) as sxx, sum(w * b * x * y) as sxy from lw join rb{n} using (sample_id, x) group by all),
+    ft{n} as (select pt.sample_id, x, y, case when s <> 0 then sy / s + (case when abs(s * sxx - sx * sx) > 1e-12 then (s * sxy - sx * sy) / (s * sxx - sx * sx) else 0 end) * (x - sx / s) else y end as f from sm{n} join pt on pt.sample_id = sm{n}.sample_id and pt.x = x0),
+    sc{n} as (select sample_id, 6 * quantile_cont(abs(y - f), 0.5) as h from ft{n} group by 1), rb{n + 1} as (select sample_id, x, case when h = 0 then 1 when abs(y - f) < h then pow(1 - pow((y - f) / h, 2), 2) else 0 end as b from ft{n} join sc{n} using (sample_id))""")
+    return ", ".join(parts) + f" select sample_id, cast(x as int) as gc_bin, round(f / nullif(max(f) over (partition by sample_id), 0), 6) as smoothed from ft{passes}"
+
+
+@query(f"with {BINNED}, {lowess_sql()}")
 def gc_lowess(t):
     return rounded(bs.gc_lowess(bs.gc_binned_counts(samples_of(t))), ["smoothed"])
 
@@ -669,11 +684,16 @@ def biased_length(t):
     return rounded(bs.biased_length(rows, []).select("segment_idx", "length"), ["length"], 4)
 
 
-@query()
+BIAS = """cum as (select chromosome, pos, sum(case when base in ('G', 'C') then 1 else 0 end) over (partition by chromosome order by pos) as gc from genome_bases), pm as (select cum.*, m.quality >= 1 as ok from cum join mappability m on m.chromosome = cum.chromosome and pos >= m.start and pos < m."end"),
+    ls as (select 168 + 10 * range as ln from range(7)), ws as (select ln, c, s / sum(s) over (partition by ln) as w from (select ln, c.range as c, greatest(1 - abs(floor(100 * c.range / (ln - 8)) - 45) / 100, 0) as s from ls, range(221) c where c.range <= ln - 8) q),
+    pl as (select s.segment_idx, ln, g1.gc - g0.gc as c from segments s join pm p on p.chromosome = s.chromosome and p.pos >= s.start and p.pos < s."end" join ls on p.pos + ln < s."end" join pm m on m.chromosome = p.chromosome and m.pos = p.pos + ln - 50 join cum g1 on g1.chromosome = p.chromosome and g1.pos = p.pos + ln - 4
+    join cum g0 on g0.chromosome = p.chromosome and g0.pos = p.pos + 4 where p.ok and m.ok), bb as (select segment_idx, sum(w * exp(-0.5 * pow((ln - 200) / 13, 2)) / (13 * sqrt(2 * pi()))) as b from pl join ws using (ln, c) group by 1)"""
+
+
+@query(f"with {BIAS} select s.segment_idx, round(coalesce(b, 0), 6) as bias from segments s left join bb on bb.segment_idx = s.segment_idx")
 def segment_bias(t):
     curve = t.spark.range(101).select(F.col("id").cast("int").alias("gc_bin"), (1 - F.abs(F.col("id") - 45) / 100).alias("smoothed"))
-    seg = t.segments.where("`end` - start >= 400 and segment_idx % 40 = 0")
-    rows = bs.segment_bias(seg, bs.gc_cumsum(bs.genome_chunks(t.genome_bases)), t.mappability, t.chromosomes, curve, 200.0, 13.0, 4, 50)
+    rows = bs.segment_bias(t.segments, bs.gc_cumsum(bs.genome_chunks(t.genome_bases)), t.mappability, t.chromosomes, curve, 200.0, 13.0, 4, 50)
     return rounded(rows.select("segment_idx", "bias"), ["bias"])
 
 

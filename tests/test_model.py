@@ -5,9 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cytofold.functions import likelihood as lk
 from cytofold.functions.likelihood import log_gamma
+from cytofold.operators import depth as dp
 from cytofold.operators import haplotypes as hp
 from cytofold.operators import model as md
+from cytofold.operators import segments as sg
 
 
 def test_log_gamma(spark):
@@ -39,6 +42,36 @@ def test_decode_along_chains(spark):
     assert [r["p"] for r in total] == pytest.approx([1.0] * 6)
 
 
+def test_split_terms_equal_whole_likelihoods(spark):
+    x, mu, k, n, p, m = 31.0, 27.5, 4.0, 19.0, 0.3, 200.0
+    row = spark.createDataFrame([(x, mu, k, n, p)], "x double, mu double, k double, n double, p double")
+    got = row.select(lk.negbin(F.col("x"), F.col("mu"), F.lit(m)), lk.betabin(F.col("k"), F.col("n"), F.col("p"), F.lit(m))).first()
+    g, q, a, b = math.lgamma, mu / (m + mu), m * p, m * (1 - p)
+    assert got[0] == pytest.approx(g(x + m) - g(x + 1) - g(m) + x * math.log(q) + m * math.log(1 - q))
+    assert got[1] == pytest.approx(g(n + 1) - g(k + 1) - g(n - k + 1) + g(k + a) + g(n - k + b) - g(n + m) + g(m) - g(a) - g(b))
+
+
+def test_minor_modes_are_weighted_means_of_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres, rows = [0.1, 0.3, 0.5, 0.7, 0.9], []
+    for c in centres:
+        rows += [(float(c + rng.normal(0, 0.005)), int(rng.integers(100, 900))) for _ in range(40)]
+    rows += [(5.0 + k, 50) for k in range(11)]  # above the 95th percentile
+    rows += [(0.2, 0)]  # without length
+    got = sorted(r["centre"] for r in dp.minor_modes(spark.createDataFrame(rows, "minor double, length long")).collect())
+    cut = np.percentile([v for v, _ in rows], 95)
+    expected = [np.average([v for v, _ in g], weights=[w for _, w in g]) for c in centres if (g := [x for x in rows if abs(x[0] - c) < 0.05 and x[0] < cut and x[1]])]
+    assert got == pytest.approx(expected)
+
+
+def test_chain_of_segments_equals_ranges(spark):
+    rows = [(0, "1", 0, 10), (1, "1", 10, 20), (2, "1", 500, 600), (3, "2", 0, 5), (4, "2", 6, 9)]
+    table = spark.createDataFrame(rows, "segment_idx long, chromosome string, start long, `end` long")
+    got = {r["segment_idx"]: r["chain"] for r in sg.chain_of_segments(table, 100).collect()}
+    ranges = [(r["first"], r["last"]) for r in sg.chains(table, 100).collect()]
+    assert got == {k: a for a, b in ranges for k in range(a, b)} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+
+
 @pytest.mark.parametrize(("threshold", "labels"), [(0.95, [0, 1, 2, 2, 2, 0]), (0.55, [0] * 6)])
 def test_haplotype_blocks_golden(spark, threshold, labels):
     draws = ["001110", "000110", "111001", "000110", "001110"]
