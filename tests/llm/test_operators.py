@@ -58,6 +58,31 @@ def test_clashing_columns(docs):
         assert kept.columns == odd.columns
 
 
+NULLS = [(None, None), (None, None), (7, None), (8, ""), (8, ""), (9, "same words here " * 4), (9, "same words here " * 4), (10, "y" * 200_000), (11, "long text of words " * 20_000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, repeated rows, an unbroken and a very long text, and columns named like those of the operators."""
+    table = spark.createDataFrame(NULLS, "doc_id long, text string")
+    names = ("lang", "source", "key", "row", "part", "pos", "label", "score", "ids", "n_tokens", "start", "part_start", "piece", "length", "context", "word", "held_out", "lang_pred", "x", "n", "value")
+    return table.withColumns({c: F.lit(None).cast("string") if c in ("lang", "source") else F.lit("z") for c in names})
+
+
+@pytest.mark.parametrize("operator", [quality_rules, exact_dedup, mix_sources, near_dedup, line_dedup, round_trip, identify, lm_scores])
+def test_odd_tables_give_a_row_for_each_row(odd, operator):
+    got = operator(odd).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(k) for k, _ in NULLS)
+
+
+def test_odd_tables_scored_and_packed(odd, spark):
+    labels = spark.createDataFrame([(None, None, None), (9, 1, 0), (9, 1, 0), (10, 0, 0), (10, None, 1)], "doc_id long, quality int, toxic int").withColumn("score", F.lit("z"))
+    assert quality_scores(odd, labels).count() == len(NULLS)
+    pieces = pack(odd).collect()
+    assert {str(r["doc_id"]) for r in pieces} == {str(k) for k, _ in NULLS} and max(r["length"] for r in pieces) <= 2048
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 8) == 2  # an end for each of two empty texts
+
+
 def test_quality_rules(docs, spark):
     texts = ["the of and to in a is that for it " * 3, "a b c d e f a b c d e x y z q", "# * $ |" * 4, None, "same\nsame\nother\n \nsame"]
     got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
