@@ -72,11 +72,12 @@ def stated(t: Tables) -> DataFrame:
 
 
 @query(f"""with {STATED}, e as (select *, 0.02 + 0.01 * major_1 + 0.02 * major_2 as de, 0.02 + 0.01 * minor_1 + 0.02 * minor_2 as me from st)
-    select sample_id, chromosome, start, "end", round((major_depth - 0.02) / 0.03, 6) as major_raw, round((minor_depth - 0.02) / 0.03, 6) as minor_raw, round(de, 6) as major_depth_e, round(me, 6) as minor_depth_e, round(de + me, 6) as total_depth_e,
-    round((de + me) * length, 4) as total_e, round((de - 0.02) / 0.03, 6) as major_raw_e, round((me - 0.02) / 0.03, 6) as minor_raw_e, abs(major_1 - major_2) as major_diff, abs(minor_1 - minor_2) as minor_diff from e""")
+    select sample_id, chromosome, start, "end", round((major_depth - 0.02) / 0.03, 6) + 0e0 as major_raw, round((minor_depth - 0.02) / 0.03, 6) + 0e0 as minor_raw, round(de, 6) + 0e0 as major_depth_e, round(me, 6) + 0e0 as minor_depth_e, round(de + me, 6) + 0e0 as total_depth_e,
+    round((de + me) * length, 4) + 0e0 as total_e, round((de - 0.02) / 0.03, 6) + 0e0 as major_raw_e, round((me - 0.02) / 0.03, 6) + 0e0 as minor_raw_e, abs(major_1 - major_2) as major_diff, abs(minor_1 - minor_2) as minor_diff from e""")
 def cn_table(t):
     names = ["major_raw", "minor_raw", "major_depth_e", "minor_depth_e", "total_depth_e", "major_raw_e", "minor_raw_e"]
-    return rounded(rounded(dp.cn_table(stated(t)).select(*KEYS, *names, "total_e", "major_diff", "minor_diff"), names), ["total_e"], 4)
+    rows = rounded(rounded(dp.cn_table(stated(t)).select(*KEYS, *names, "total_e", "major_diff", "minor_diff"), names), ["total_e"], 4)
+    return rows.withColumns({c: F.col(c) + F.lit(0.0) for c in (*names, "total_e")})  # zero without a sign, as in the SQL
 
 
 MU = f"""{STATED}, mu as (select *, (0.02 + 0.01 * major_1 + 0.02 * major_2) * 0.4 * length + 1e-16 as major_mu, (0.02 + 0.01 * minor_1 + 0.02 * minor_2) * 0.4 * length + 1e-16 as minor_mu,
