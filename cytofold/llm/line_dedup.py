@@ -54,7 +54,11 @@ def half_keys(line: Column) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, variant, position) of the lines (key, line): position -1 is the line itself."""
+    """(key, variant, position, fresh) of the lines (key, line): position -1 is the line itself.
+
+    Deleting any letter of a run of equal ones gives the same variant; all but
+    the first of them are not ``fresh``. Substitutions need each position.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,16 +69,15 @@ def variants(lines: DataFrame) -> DataFrame:
                 steps[0] = 1
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + U64(1)) * np.multiply.accumulate(steps)[:n], dtype=np.uint64)])
                 cut = sums[:n] + (sums[n] - sums[1:]) * U64(INVERSE)
-                where = np.arange(n)
-                fresh = np.ones(n, dtype=bool)  # deleting any letter of a run of equal ones is the same
-                fresh[1:] = points[1:] != points[:-1]
-                sizes = np.concatenate([[n], np.full(int(fresh.sum()), n - 1)]).astype(np.uint64)
-                values = mix(np.concatenate([sums[n:], cut[fresh]]) ^ mix(sizes))
+                fresh = np.ones(n + 1, dtype=bool)
+                fresh[2:] = points[1:] != points[:-1]
+                sizes = np.concatenate([[n], np.full(n, n - 1)]).astype(np.uint64)
+                values = mix(np.concatenate([sums[n:], cut]) ^ mix(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(values), key)), pa.array(values.astype(np.int64)), pa.array(np.concatenate([[-1], where[fresh]]).astype(np.int32))], names=["key", "variant", "position"]
+                    [pa.array(np.full(n + 1, key)), pa.array(values.astype(np.int64)), pa.array(np.arange(-1, n, dtype=np.int32)), pa.array(fresh)], names=["key", "variant", "position", "fresh"]
                 )
 
-    return lines.select("key", "line").mapInArrow(emit, "key long, variant long, position int")
+    return lines.select("key", "line").mapInArrow(emit, "key long, variant long, position int, fresh boolean")
 
 
 def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -94,11 +97,12 @@ def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     deleted = placed.where("position >= 0")
     groups = deleted.groupBy("variant", "position").agg(F.min(entry).alias("low"), F.count("*").alias("n")).where("n > 1").select("variant", "position", "low")
     swapped = deleted.join(groups, ["variant", "position"]).where(F.col("low.key") != F.col("key")).select("key", "low")
-    # Insertions: a line and those of which it is a deletion.
+    # Insertions: a line and those of which it is a deletion, once for each run of equal letters.
+    once = deleted.where("fresh")
     whole = placed.where("position = -1").select("variant", F.col("key").alias("short"), F.col("first").alias("short_first"))
-    longer = deleted.groupBy("variant").agg(F.min(entry).alias("low"))
+    longer = once.groupBy("variant").agg(F.min(entry).alias("low"))
     grown = whole.join(longer, "variant").select(F.col("short").alias("key"), "low")
-    shrunk = deleted.join(whole, "variant").select("key", F.struct(F.col("short_first").alias("first"), F.col("short").alias("key")).alias("low"))
+    shrunk = once.join(whole, "variant").select("key", F.struct(F.col("short_first").alias("first"), F.col("short").alias("key")).alias("low"))
 
     found = swapped.unionByName(grown).unionByName(shrunk).groupBy("key").agg(F.min("low").alias("low"))
     pairs = found.select("key", F.col("low.key").alias("other"), F.col("low.first").alias("near"))

@@ -165,6 +165,23 @@ def test_line_dedup(spark):
     assert {r["doc_id"]: r["dropped"] for r in line_dedup(docs, edits=0).collect()}[4] == [0]
 
 
+def within_one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    short, long = sorted((a, b), key=len)
+    return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+@pytest.mark.parametrize("letters, longest", [("ab", 9), ("abc", 7)])
+def test_line_dedup_against_brute_force_on_repeated_letters(spark, letters, longest):
+    rng = np.random.default_rng(len(letters))
+    lines = ["".join(rng.choice(list(letters), rng.integers(1, longest + 1))) for _ in range(60)] + ["page 100", "page 101", "letter", "letfer"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"] for r in line_dedup(docs).collect() if r["n_dropped"]}
+    assert got == {k for k, line in enumerate(lines) if any(within_one_edit(line, x) for x in lines[:k])}
+    assert {61, 63} <= got
+
+
 def test_plan_is_gapless_and_near_the_bound():
     rng = np.random.default_rng(4)
     counts = np.bincount(rng.integers(1, 2049, 5000), minlength=2049)
