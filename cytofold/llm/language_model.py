@@ -1,8 +1,7 @@
 """LM scoring with a hierarchical Pitman-Yor model of word pairs.
 
-A token sits in the restaurant of its context (the word before it, one of
-``CONTEXTS`` hashed contexts, so that totals by context have a fixed size); all
-context restaurants share one parent, whose customers are their tables, and the
+A token sits in the restaurant of its context, the word before it, named by its
+64-bit hash, so that there are as many restaurants as words; all context restaurants share one parent, whose customers are their tables, and the
 parent's base is uniform over the words known and one unknown. Tables are sampled
 by Gibbs: given everything else, the number of tables of a dish with c customers
 has probability proportional to
@@ -15,9 +14,11 @@ Predictive probabilities are averaged over the rounds after the burn-in.
 
 The corpus is worked in blocks: a chunk of documents sends its distinct
 (word, context) pairs and their training counts to shards by word; a shard holds
-all pairs of its words and so the parent's seating too; shards exchange totals by
-context after each round, and answer each chunk's pairs with probabilities. All
-counts come from all training documents.
+all pairs of its words and so the parent's seating too. After each round shards
+send their totals by context to groups of contexts, which add them up and send
+each shard those of its own contexts: a distributed table, as large as the
+vocabulary, of which no worker holds more than its share. Then shards answer each
+chunk's pairs with probabilities. All counts come from all training documents.
 """
 
 from __future__ import annotations
@@ -34,8 +35,7 @@ from pyspark.sql import functions as F
 from cytofold.llm.arrays import MIX, U64, blocks, mix, word_hashes
 from cytofold.llm.common import delete_now, fill, fold, materialise, new_path
 
-CONTEXTS = 1 << 16
-START = CONTEXTS - 1  # the context of a text's first token; words hash to the others
+START = U64(0xA0761D6478BD642F)  # the context of a text's first token
 END = U64(0x5BD1E9955BD1E995)
 CHUNK_BYTES = 8 << 20
 SHARD_CHARS = 16 << 20
@@ -54,41 +54,57 @@ def unpack(raw) -> np.ndarray:
     return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-CHUNKED = "kind string, chunk long, shard int, words binary, spread binary, contexts binary, counts binary, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary"
-
-
-def chunk_up(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows of kind ``keys`` (distinct pairs of a chunk for one shard) and ``text`` (the tokens of a chunk as pair numbers)."""
-    names = [f.split()[0] for f in CHUNKED.split(", ")]
-
-    def row(**given) -> dict:
-        return {n: given.get(n) for n in names}
-
-    def chunk_rows(number: int, ids: list, held: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> list[dict]:
-        words, size = np.concatenate(hashes), np.concatenate(sizes)
-        n = len(words)
-        ends = np.cumsum(size)
-        context = np.empty(n, dtype=np.uint64)
-        context[1:] = mix(words[:-1] + MIX[200]) % U64(START)
-        context[(ends - size)] = START
-        trained = np.repeat(~np.array(held, dtype=bool), size)
-        codes, _ = pd.factorize(mix(words ^ mix(context + MIX[201])))
-        first = np.empty(codes.max() + 1, dtype=np.int64)
-        first[codes[::-1]] = np.arange(n)[::-1]
-        word, ctx = words[first], context[first].astype(np.int64)
-        count = np.bincount(codes, trained, minlength=len(first)).astype(np.int64)
-        shard = (mix(word + MIX[202]) % U64(shards)).astype(np.int64)
-        order = np.lexsort((ctx, word, shard))
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        out = [row(kind="text", chunk=number, doc_ids=ids, held=held, sizes=pack_up(size), tokens=pack_up(place[codes]))]
-        word, ctx, count, shard = word[order], ctx[order], count[order], shard[order]
-        for s in np.unique(shard).tolist():
-            a, b = np.searchsorted(shard, [s, s + 1])
-            new = np.flatnonzero(np.append(True, word[a + 1 : b] != word[a : b - 1]))
-            spread = np.diff(np.append(new, b - a))
-            out.append(row(kind="keys", chunk=number, shard=s, words=word[a:b][new].tobytes(), spread=pack_up(spread), contexts=ctx[a:b].astype("<u2").tobytes(), counts=pack_up(count[a:b])))
-        return out
+CHUNKED = "chunk long, words binary, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary"
+KEYS = "chunk long, shard int, words binary, spread binary, names binary, contexts binary, counts binary"
+
+
+def pairs_of(row: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, word, context, training count) of a chunk's distinct pairs in this order, and the pair number of each token."""
+    words, size = np.frombuffer(row["words"], dtype=np.uint64)[unpack(row["tokens"])], unpack(row["sizes"])
+    n = len(words)
+    context = np.empty(n, dtype=np.uint64)
+    context[1:] = mix(words[:-1] + MIX[200])
+    context[np.cumsum(size) - size] = START
+    trained = np.repeat(~np.array(row["held"], dtype=bool), size)
+    codes, _ = pd.factorize(mix(words ^ mix(context + MIX[201])))
+    first = np.empty(codes.max() + 1, dtype=np.int64)
+    first[codes[::-1]] = np.arange(n)[::-1]
+    word, ctx = words[first], context[first]
+    count = np.bincount(codes, trained, minlength=len(first)).astype(np.int64)
+    shard = (mix(word + MIX[202]) % U64(shards)).astype(np.int64)
+    order = np.lexsort((ctx, word, shard))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return shard[order], word[order], ctx[order], count[order], place[codes]
+
+
+def pair_keys(chunks: DataFrame, shards: int) -> DataFrame:
+    """Distinct pairs of each chunk for each shard, made anew from the tokens so that they are held on disk once."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk = batch.slice(k, 1).to_pylist()[0]
+                shard, word, ctx, count, _ = pairs_of(chunk, shards)
+                out = []
+                for s in np.unique(shard).tolist():
+                    a, b = np.searchsorted(shard, [s, s + 1])
+                    new = np.flatnonzero(np.append(True, word[a + 1 : b] != word[a : b - 1]))
+                    names, codes = np.unique(ctx[a:b], return_inverse=True)
+                    spread = np.diff(np.append(new, b - a))
+                    out.append((chunk["chunk"], s, word[a:b][new].tobytes(), pack_up(spread), names.tobytes(), pack_up(codes), pack_up(count[a:b])))
+                types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in KEYS.split(", ")])
+
+    return chunks.select("chunk", "words", "held", "sizes", "tokens").mapInArrow(keys, KEYS)
+
+
+def chunk_up(docs: DataFrame) -> DataFrame:
+    """A row for each chunk of documents: its distinct words, and the tokens as numbers of these."""
+
+    def chunk_row(number: int, ids: list, held: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> dict:
+        codes, words = pd.factorize(np.concatenate(hashes))
+        return {"chunk": number, "words": words.tobytes(), "doc_ids": ids, "held": held, "sizes": pack_up(np.concatenate(sizes)), "tokens": pack_up(codes)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -97,13 +113,10 @@ def chunk_up(docs: DataFrame, shards: int) -> DataFrame:
         ids, held, hashes, sizes, held_bytes = [], [], [], [], 0
 
         def flush():
-            table = pa.Table.from_pylist(chunk_rows(number, ids, held, hashes, sizes), schema=schema)
+            table = pa.Table.from_pylist([chunk_row(number, ids, held, hashes, sizes)], schema=schema)
             return table.combine_chunks().to_batches()
 
-        schema = pa.schema([
-            ("kind", pa.string()), ("chunk", pa.int64()), ("shard", pa.int32()), ("words", pa.binary()), ("spread", pa.binary()), ("contexts", pa.binary()),
-            ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("tokens", pa.binary()),
-        ])
+        schema = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("tokens", pa.binary())])
         for batch in batches:
             for at, data, offsets in blocks(batch.column(1)):
                 words, bounds = word_hashes(data, offsets)
@@ -127,7 +140,7 @@ def build_shards(keys: DataFrame) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [(np.frombuffer(r["words"], dtype=np.uint64), unpack(r["spread"]), np.frombuffer(r["contexts"], dtype="<u2"), unpack(r["counts"])) for r in rows]
+        parts = [(np.frombuffer(r["words"], dtype=np.uint64), unpack(r["spread"]), np.frombuffer(r["names"], dtype=np.uint64)[unpack(r["contexts"])], unpack(r["counts"])) for r in rows]
         word = np.concatenate([np.repeat(w, s) for w, s, _, _ in parts])
         ctx = np.concatenate([c for _, _, c, _ in parts])
         count = np.concatenate([n for _, _, _, n in parts])
@@ -141,25 +154,27 @@ def build_shards(keys: DataFrame) -> DataFrame:
         where[order] = number
         word, ctx = word[new], ctx[new]
         fresh = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        names, codes = np.unique(ctx, return_inverse=True)
         asked = [pack_up(np.diff(w, prepend=0)) for w in np.split(where, np.cumsum(sizes)[:-1])]
         return pa.Table.from_pydict(
             {
                 "shard": pa.array([rows[0]["shard"]], pa.int32()),
                 "spread": [pack_up(np.diff(np.append(fresh, len(word))))],
-                "contexts": [ctx.tobytes()],
+                "names": [names.tobytes()],
+                "contexts": [pack_up(codes)],
                 "counts": [pack_up(total)],
                 "chunks": pa.array([[r["chunk"] for r in rows]], pa.list_(pa.int64())),
                 "asked": pa.array([asked], pa.list_(pa.binary())),
             }
         )
 
-    schema = "shard int, spread binary, contexts binary, counts binary, chunks array<long>, asked array<binary>"
-    return keys.select("chunk", "shard", "words", "spread", "contexts", "counts").groupBy("shard").applyInArrow(build, schema)
+    schema = "shard int, spread binary, names binary, contexts binary, counts binary, chunks array<long>, asked array<binary>"
+    return keys.groupBy("shard").applyInArrow(build, schema)
 
 
 @dataclass
 class Totals:
-    """What shards exchange: customers and tables by context, customers and tables of the parent, and sizes."""
+    """Customers and tables of a shard's contexts, and of the parent with sizes: of the shard alone, or of all shards."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -212,18 +227,18 @@ def sample_tables(count: np.ndarray, base: np.ndarray, others: np.ndarray, disco
 
 
 class Shard:
-    """The pairs of a shard's words: word number, context and training count of each."""
+    """The pairs of a shard's words: word number, number of the context among ``names`` and training count of each."""
 
     def __init__(self, row: dict):
         spread = unpack(row["spread"])
         self.number, self.n_words = row["shard"], len(spread)
         self.word = np.repeat(np.arange(len(spread)), spread)
-        self.context = np.frombuffer(row["contexts"], dtype="<u2").astype(np.int64)
+        self.names, self.context = np.frombuffer(row["names"], dtype=np.uint64), unpack(row["contexts"])
         self.count = unpack(row["counts"])
         self.word_count = np.bincount(self.word, self.count, minlength=self.n_words).astype(np.int64)
 
     def totals(self, tables: np.ndarray, parent_tables: np.ndarray, customers: np.ndarray) -> Totals:
-        by = lambda v: np.bincount(self.context, v, minlength=CONTEXTS)
+        by = lambda v: np.bincount(self.context, v, minlength=len(self.names)).astype(np.int64)
         met = lambda v, k: float((v == k).sum())
         return Totals(
             by(self.count), by(tables),
@@ -252,37 +267,80 @@ def parent_probability(customers: np.ndarray, tables: np.ndarray, totals: Totals
     return (np.maximum(customers - s.parent_discount * tables, 0) + new) / (s.parent_strength + all_customers)
 
 
-def sum_totals(shards: DataFrame, history: list[Totals], settings: Settings | None) -> Totals:
-    """Totals after the last round of ``history``, added up in partitions, then in 16 groups."""
+def with_history(shards: DataFrame, history: list[DataFrame]) -> DataFrame:
+    """``shards`` with a column of totals for each round so far."""
+    for turn, totals in enumerate(history):
+        shards = shards.join(totals.withColumnRenamed("parts", f"round_{turn}"), "shard")
+    return shards
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        total = np.zeros(2 * CONTEXTS + 8)
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                *_, (tables, customers, parent_tables) = shard.seatings(history, settings)
-                t = shard.totals(tables, parent_tables, customers)
-                total += np.concatenate([t.customers, t.tables, t.parent])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+def history_of(row: dict, parents: list[np.ndarray]) -> list[Totals]:
+    """Totals of all shards after each round, for the contexts of this one: the groups' replies in the order of its names."""
+    whole = lambda turn, c: np.concatenate([unpack(x[c]) for x in row[f"round_{turn}"]])
+    customers = whole(0, "customers") if parents else None
+    return [Totals(customers, whole(turn, "tables"), parent) for turn, parent in enumerate(parents)]
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": group["part"].iloc[:1], "sums": [sum(np.frombuffer(s) for s in group["sums"]).tobytes()]})
 
-    schema = "part int, sums binary"
-    parts = shards.select("shard", "spread", "contexts", "counts").mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema)
-    total = sum((np.frombuffer(r["sums"]) for r in parts.collect()), np.zeros(2 * CONTEXTS + 8))
-    return Totals(total[:CONTEXTS], total[CONTEXTS : 2 * CONTEXTS], total[2 * CONTEXTS :])
+def sum_totals(shards: DataFrame, bits: int, history: list[DataFrame], parents: list[np.ndarray], settings: Settings | None) -> tuple[DataFrame, np.ndarray]:
+    """Totals after the last round of the history: (shard, parts) with those of each shard's contexts, and the parent's.
 
+    Contexts are dealt to 2^bits groups by their first bits. Customers don't
+    change and are sent in the first round only.
+    """
 
-def answer(shards: DataFrame, history: list[Totals], settings: Settings) -> DataFrame:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Shard(row)
+                *_, (tables, customers, parent_tables) = shard.seatings(history_of(row, parents), settings)
+                t = shard.totals(tables, parent_tables, customers)
+                groups = (shard.names >> U64(64 - bits)).astype(np.int64)
+                found = np.unique(groups)
+                cuts = list(zip(np.searchsorted(groups, found), np.searchsorted(groups, found, side="right"), strict=True))
+                numbers = [-1, *found.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([shard.number] * len(numbers), pa.int32()), pa.array(numbers, pa.int32()), pa.array([None, *(shard.names[a:b].tobytes() for a, b in cuts)], pa.binary()),
+                        pa.array([None, *(None if parents else pack_up(t.customers[a:b]) for a, b in cuts)], pa.binary()), pa.array([None, *(pack_up(t.tables[a:b]) for a, b in cuts)], pa.binary()),
+                        pa.array([t.parent.tolist(), *(None for _ in cuts)], pa.list_(pa.float64())),
+                    ],
+                    names=["shard", "group", "names", "customers", "tables", "parent"],
+                )
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        names = [np.frombuffer(r["names"], dtype=np.uint64) for r in rows]
+        codes = np.unique(np.concatenate(names), return_inverse=True)[1]
+        cuts = np.cumsum([len(n) for n in names])[:-1]
+
+        def total(column: str) -> list[bytes | None]:
+            if rows[0][column] is None:
+                return [None] * len(rows)
+            summed = np.bincount(codes, np.concatenate([unpack(r[column]) for r in rows])).astype(np.int64)
+            return [pack_up(x) for x in np.split(summed[codes], cuts)]
+
+        columns = [table["shard"], table["group"], pa.array(total("customers"), pa.binary()), pa.array(total("tables"), pa.binary())]
+        return pa.Table.from_arrays(columns, names=["shard", "group", "customers", "tables"])
+
+    rows = with_history(shards.select("shard", "spread", "names", "contexts", "counts"), history)
+    schema, path = "shard int, group int, names binary, customers binary, tables binary, parent array<double>", new_path(shards.sparkSession, "lm-sent")
+    rows.mapInArrow(send, schema).write.parquet(path)
+    sent = shards.sparkSession.read.schema(schema).parquet(path)
+    added = sent.where("group >= 0").drop("parent").groupBy("group").applyInArrow(add, "shard int, group int, customers binary, tables binary")
+    parts = added.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("group", "customers", "tables"))).alias("parts"))
+    parent = sent.where("group = -1").agg(*(F.sum(F.get("parent", F.lit(k))) for k in range(8))).first()
+    totals = materialise(parts, "lm-totals")
+    delete_now(shards.sparkSession, path)
+    return totals, np.array([x or 0.0 for x in parent])
+
+
+def answer(shards: DataFrame, rounds: list[DataFrame], parents: list[np.ndarray], settings: Settings) -> DataFrame:
     """(chunk, shard, p, counts): probabilities of the pairs that a chunk asked for, and training counts of their words."""
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row)
+                shard, history = Shard(row), history_of(row, parents)
                 p, samples = np.zeros(len(shard.count)), 0
                 for turn, (tables, customers, parent_tables) in enumerate(shard.seatings(history[:-1], settings)):
                     if turn <= settings.burn_in and turn < len(history) - 1:
@@ -306,7 +364,7 @@ def answer(shards: DataFrame, history: list[Totals], settings: Settings) -> Data
                         names=["chunk", "shard", "p", "counts", "spread"],
                     )
 
-    return shards.mapInArrow(reply, "chunk long, shard int, p binary, counts binary, spread binary")
+    return with_history(shards, rounds).mapInArrow(reply, "chunk long, shard int, p binary, counts binary, spread binary")
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -329,19 +387,21 @@ def lm_scores(
     chars = texts.agg(F.sum(F.length(fill(F.col("text"))))).first()[0] or 0
     shards = max(12, -(-chars // SHARD_CHARS))
     path = new_path(spark, "lm-chunks")
-    chunk_up(texts, shards).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    chunk_up(texts).write.option("compression", "zstd").parquet(path)
     chunks = spark.read.schema(CHUNKED).parquet(path)
-    model = materialise(build_shards(chunks.where("kind = 'keys'")), "lm-shards")
-    delete_now(spark, f"{path}/kind=keys")
+    model = materialise(build_shards(pair_keys(chunks, shards)), "lm-shards")
 
-    history = [sum_totals(model, [], None)]
-    known, tokens, once, twice, parent_once, parent_twice = history[0].parent[2:]
+    bits = max(4, (shards - 1).bit_length())
+    totals, parent = sum_totals(model, bits, [], [], None)
+    history, parents = [totals], [parent]
+    known, tokens, once, twice, parent_once, parent_twice = parent[2:]
     rate = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
     settings = Settings(rate(once, twice), rate(parent_once, parent_twice), strength, parent_strength, rounds, burn_in, seed)
     for _ in range(rounds):
-        history.append(sum_totals(model, history, settings))
+        totals, parent = sum_totals(model, bits, history, parents, settings)
+        history, parents = [*history, totals], [*parents, parent]
     n, v = int(tokens), int(known)
-    replies = answer(model, history, settings)
+    replies = answer(model, history, parents, settings)
 
     def score(text: pa.Table, reply: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in SCORED.split(", ")]
@@ -350,12 +410,11 @@ def lm_scores(
         count = np.concatenate([np.repeat(unpack(r["counts"]), unpack(r["spread"])) for r in rows])
         base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
         one = text.to_pylist()[0]
-        sizes, at = unpack(one["sizes"]), unpack(one["tokens"])
+        sizes, at = unpack(one["sizes"]), pairs_of(one, shards)[-1]
         first = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x[at], first)
         values = [pa.array(one["doc_ids"], pa.int64()), pa.array(one["held"]), pa.array(sizes), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(sizes), n)), pa.array(add(base)), pa.array(add(logs))]
         return pa.Table.from_arrays(values, names=names)
 
-    text = chunks.where("kind = 'text'").select("chunk", "doc_ids", "held", "sizes", "tokens")
-    scored = text.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, SCORED)
+    scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, SCORED)
     return scored.withColumn("log10_perplexity", -F.col("score") / F.col("n_tokens"))

@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cytofold.llm.arrays import MIX, blocks, mix, word_hashes
 from cytofold.llm.exact_dedup import drop_copies, exact_dedup
 from cytofold.llm.language_id import identify, viterbi
 from cytofold.llm.language_model import lm_scores
@@ -257,6 +259,21 @@ def test_lm_scores(spark):
         assert got[k]["score"] < 0
 
 
+def test_lm_contexts_keep_apart(spark):
+    """Words that share a context when contexts are hashed to 16 bits: what follows one says nothing about the other."""
+    names = [f"w{k}" for k in range(3000)]
+    (_, data, offsets), = blocks(pa.array(names))
+    at = (mix(word_hashes(data, offsets)[0] + MIX[200]) % np.uint64(65535)).tolist()
+    seen = {}
+    a, b = next((names[seen[x]], names[k]) for k, x in enumerate(at) if seen.setdefault(x, k) != k)
+    c = next(n for n in names if n not in (a, b))
+    held = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 10 == 0][:3]
+    rows = [(10_000 + k, f"{x} {y}") for k, (x, y) in enumerate([(a, "left"), (b, "right"), (c, "left")] * 40)] + list(zip(held, [f"{a} right", f"{b} right", f"{c} right"], strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()}
+    first, second, third = (got[k] for k in held)
+    assert first == pytest.approx(third, abs=0.3) and second > first + 1
+
+
 def test_quality_classifier(spark):
     rng = np.random.default_rng(2)
     good = [words_like(k, int(rng.integers(30, 90))) + "." for k in range(120)]
