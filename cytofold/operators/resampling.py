@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 BIN = 10_000
 
 
-def poisson_levels(rate: float, most: int = 12) -> list[float]:
-    """P(n <= k) for k below ``most``, the largest count that is drawn."""
+def poisson_levels(rate: float, least: int = 12) -> list[float]:
+    """P(n <= k) for k from 0, ``least`` of them and up to the first that no uniform drawn here exceeds: the largest is 1000003 / 1000004."""
     mass, total, out = math.exp(-rate), 0.0, []
-    for n in range(most):
+    while len(out) < least or total < 1_000_003 / 1_000_004:
+        n = len(out)
+        if rate > 700:  # where the first masses are too small for a double
+            mass = math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
         total += mass
         out.append(total)
         mass *= rate / (n + 1)
