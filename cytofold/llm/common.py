@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytofold.sources.storage import delete_now, materialise, new_path
 
-__all__ = ["delete_now", "documents", "fill", "fold", "global_rank", "materialise", "n_words", "new_path", "words"]
+__all__ = ["delete_now", "documents", "fill", "fold", "global_rank", "materialise", "n_words", "new_path", "release_shuffles", "words"]
 
 #: ASCII white space; a word is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -18,6 +20,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that have been written.
+
+    They go once the driver collects its garbage, which a job of few objects and
+    many bytes seldom does by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fill(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

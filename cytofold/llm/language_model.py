@@ -1,69 +1,147 @@
 """LM scoring with a hierarchical Pitman-Yor model of word pairs.
 
 A token sits in the restaurant of its context, the word before it, named by its
-64-bit hash, so that there are as many restaurants as words; all context restaurants share one parent, whose customers are their tables, and the
-parent's base is uniform over the words known and one unknown. Tables are sampled
-by Gibbs: given everything else, the number of tables of a dish with c customers
-has probability proportional to
+64-bit hash, so that there are as many restaurants as words. All context
+restaurants share one parent, whose customers are their tables, and the parent's
+base is uniform over the words known and one unknown. Tables are sampled by
+Gibbs: given everything else, the number of tables of a dish with c customers has
+probability proportional to
 
     S(c, t) * prod_{i < t} (strength + discount * (other tables + i)) * p(dish)^t
 
-with generalised Stirling numbers S. Dishes with more than ``EXACT`` customers
-seat them one after the other instead, in blocks of a sixteenth once many sit.
-Predictive probabilities are averaged over the rounds after the burn-in.
-
-The corpus is worked in blocks: a chunk of documents sends its distinct
-(word, context) pairs and their training counts to shards by word; a shard holds
-all pairs of its words and so the parent's seating too. After each round shards
-send their totals by context to groups of contexts, which add them up and send
-each shard those of its own contexts: a distributed table, as large as the
+with generalised Stirling numbers S, by their recurrence for small c and by an
+integral of their generating function beyond (``log_stirling``). Dishes of a
+round see the totals of the round before. Predictive probabilities are averaged over
+the rounds after the burn-in.
+
+The corpus is worked in blocks. A chunk of documents sends its distinct (word,
+context) pairs and their training counts to shards. Shards form a grid, a row by
+the word's hash and a column by the context's, so that the pairs of a frequent
+word or context are spread over many. Each round a shard sends its tables, added
+up by context and by word, to groups of contexts and of words; a group adds them
+up, seats the parent's customers of its words, and sends each shard the totals of
+its own contexts and words. So totals are distributed tables as large as the
 vocabulary, of which no worker holds more than its share. Then shards answer each
 chunk's pairs with probabilities. All counts come from all training documents.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import MIX, U64, blocks, mix, word_hashes
-from cytofold.llm.common import delete_now, fill, fold, materialise, new_path
+from cytofold.llm.common import delete_now, fill, fold, materialise, new_path, release_shuffles
 
 START = U64(0xA0761D6478BD642F)  # the context of a text's first token
 END = U64(0x5BD1E9955BD1E995)
-CHUNK_BYTES = 8 << 20
-SHARD_CHARS = 16 << 20
-EXACT = 32
+#: Stirling numbers come from their recurrence up to this many customers, and from an integral beyond; draws follow the same conditional.
+RECURRENCE = 512
+CONTEXTS, WORDS = 0, 1
 
 
 def pack_up(values: np.ndarray) -> bytes:
-    """Bytes of unsigned integers in the least width that holds them, the width first."""
-    top = int(values.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    """Bytes of unsigned integers: width and number, then their byte planes, compressed."""
+    values = np.ascontiguousarray(values).astype("<u8", copy=False)
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(raw) -> np.ndarray:
     raw = raw if isinstance(raw, bytes) else raw.as_py()
-    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(raw[9:], width * n, codec="zstd"), dtype=np.uint8).reshape(width, n).T
+    return out.ravel().view("<i8")
+
+
+def pack_hashes(ascending: np.ndarray) -> bytes:
+    return pack_up(np.diff(ascending, prepend=U64(0)))
+
+
+def unpack_hashes(raw) -> np.ndarray:
+    return np.cumsum(unpack(raw).view(np.uint64), dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Shards in rows by word and columns by context; a row's words and a column's contexts are cut into groups again."""
+
+    rows: int
+    columns: int
 
+    def shard(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        row, column = mix(word + MIX[202]) % U64(self.rows), mix(context + MIX[203]) % U64(self.columns)
+        return (row * U64(self.columns) + column).astype(np.int64)
+
+    def groups(self, shard: int, kind: int, ascending: np.ndarray) -> np.ndarray:
+        """The group of each of a shard's contexts or words, ascending."""
+        row, column = divmod(shard, self.columns)
+        outer, n = (column, self.rows) if kind == CONTEXTS else (row, self.columns)
+        return outer * n + (((ascending >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
+
+
+def batch_of(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    types = {name: pa.list_(kinds[kind[6:-1]]) if kind.startswith("array<") else kinds[kind] for name, kind in (f.split() for f in schema.split(", "))}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+
+
+# Chunks and the pairs that they ask for
 
 CHUNKED = "chunk long, words binary, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary"
 KEYS = "chunk long, shard int, words binary, spread binary, names binary, contexts binary, counts binary"
 
 
-def pairs_of(row: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunk_up(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """A row for each chunk of documents: its distinct words, frequent ones first, and the tokens as numbers of these."""
+
+    def chunk_row(number: int, ids: list, held: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        codes, words = pd.factorize(np.concatenate(hashes))
+        order = np.argsort(-np.bincount(codes), kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return batch_of(CHUNKED, [[number], [words[order].tobytes()], [ids], [held], [pack_up(np.concatenate(sizes))], [pack_up(place[codes])]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        ids, held, hashes, sizes, held_bytes = [], [], [], [], 0
+        for batch in batches:
+            for at, data, offsets in blocks(batch.column(1)):
+                words, bounds = word_hashes(data, offsets)
+                n = len(offsets) - 1
+                hashes.append(np.insert(words, bounds[1:], END))
+                sizes.append(np.diff(bounds) + 1)
+                ids += batch.column(0).slice(at, n).to_pylist()
+                held += batch.column(2).slice(at, n).to_pylist()
+                held_bytes += len(data)
+                if held_bytes >= chunk_bytes:
+                    yield chunk_row(number, ids, held, hashes, sizes)
+                    number, ids, held, hashes, sizes, held_bytes = number + 1, [], [], [], [], 0
+        if ids:
+            yield chunk_row(number, ids, held, hashes, sizes)
+
+    return docs.mapInArrow(cut, CHUNKED)
+
+
+def pairs_of(row: dict, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shard, word, context, training count) of a chunk's distinct pairs in this order, and the pair number of each token."""
     words, size = np.frombuffer(row["words"], dtype=np.uint64)[unpack(row["tokens"])], unpack(row["sizes"])
     n = len(words)
     context = np.empty(n, dtype=np.uint64)
-    context[1:] = mix(words[:-1] + MIX[200])
+    context[1:] = words[:-1]
     context[np.cumsum(size) - size] = START
     trained = np.repeat(~np.array(row["held"], dtype=bool), size)
     codes, _ = pd.factorize(mix(words ^ mix(context + MIX[201])))
@@ -71,68 +149,38 @@ def pairs_of(row: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     first[codes[::-1]] = np.arange(n)[::-1]
     word, ctx = words[first], context[first]
     count = np.bincount(codes, trained, minlength=len(first)).astype(np.int64)
-    shard = (mix(word + MIX[202]) % U64(shards)).astype(np.int64)
+    shard = grid.shard(word, ctx)
     order = np.lexsort((ctx, word, shard))
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     return shard[order], word[order], ctx[order], count[order], place[codes]
 
 
-def pair_keys(chunks: DataFrame, shards: int) -> DataFrame:
+def starts_of(ascending: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1])) if len(ascending) else np.zeros(0, np.int64)
+
+
+def pair_keys(chunks: DataFrame, grid: Grid) -> DataFrame:
     """Distinct pairs of each chunk for each shard, made anew from the tokens so that they are held on disk once."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk = batch.slice(k, 1).to_pylist()[0]
-                shard, word, ctx, count, _ = pairs_of(chunk, shards)
+                shard, word, ctx, count, _ = pairs_of(chunk, grid)
+                bounds = np.append(starts_of(shard), len(shard)).tolist()
                 out = []
-                for s in np.unique(shard).tolist():
-                    a, b = np.searchsorted(shard, [s, s + 1])
-                    new = np.flatnonzero(np.append(True, word[a + 1 : b] != word[a : b - 1]))
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    new = starts_of(word[a:b])
                     names, codes = np.unique(ctx[a:b], return_inverse=True)
-                    spread = np.diff(np.append(new, b - a))
-                    out.append((chunk["chunk"], s, word[a:b][new].tobytes(), pack_up(spread), names.tobytes(), pack_up(codes), pack_up(count[a:b])))
-                types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in KEYS.split(", ")])
+                    out.append((chunk["chunk"], int(shard[a]), pack_hashes(word[a:b][new]), pack_up(np.diff(np.append(new, b - a))), pack_hashes(names), pack_up(codes), pack_up(count[a:b])))
+                yield batch_of(KEYS, [list(c) for c in zip(*out, strict=True)])
 
     return chunks.select("chunk", "words", "held", "sizes", "tokens").mapInArrow(keys, KEYS)
 
 
-def chunk_up(docs: DataFrame) -> DataFrame:
-    """A row for each chunk of documents: its distinct words, and the tokens as numbers of these."""
-
-    def chunk_row(number: int, ids: list, held: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> dict:
-        codes, words = pd.factorize(np.concatenate(hashes))
-        return {"chunk": number, "words": words.tobytes(), "doc_ids": ids, "held": held, "sizes": pack_up(np.concatenate(sizes)), "tokens": pack_up(codes)}
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        ids, held, hashes, sizes, held_bytes = [], [], [], [], 0
-
-        def flush():
-            table = pa.Table.from_pylist([chunk_row(number, ids, held, hashes, sizes)], schema=schema)
-            return table.combine_chunks().to_batches()
-
-        schema = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("tokens", pa.binary())])
-        for batch in batches:
-            for at, data, offsets in blocks(batch.column(1)):
-                words, bounds = word_hashes(data, offsets)
-                n = len(offsets) - 1
-                hashes.append(np.insert(words, bounds[1:], END))
-                sizes.append(np.diff(bounds) + 1)
-                ids += batch.column(0).slice(at, n).to_pylist()
-                held += batch.column(2).slice(at, n).to_pylist()
-                held_bytes += len(data)
-                if held_bytes >= CHUNK_BYTES:
-                    yield from flush()
-                    number, ids, held, hashes, sizes, held_bytes = number + 1, [], [], [], [], 0
-        if ids:
-            yield from flush()
-
-    return docs.mapInArrow(cut, CHUNKED)
+SHARDS = "shard int, words binary, spread binary, names binary, contexts binary, counts binary, chunks array<long>, asked array<binary>"
 
 
 def build_shards(keys: DataFrame) -> DataFrame:
@@ -140,239 +188,349 @@ def build_shards(keys: DataFrame) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [(np.frombuffer(r["words"], dtype=np.uint64), unpack(r["spread"]), np.frombuffer(r["names"], dtype=np.uint64)[unpack(r["contexts"])], unpack(r["counts"])) for r in rows]
-        word = np.concatenate([np.repeat(w, s) for w, s, _, _ in parts])
-        ctx = np.concatenate([c for _, _, c, _ in parts])
-        count = np.concatenate([n for _, _, _, n in parts])
-        sizes = [len(c) for _, _, c, _ in parts]
+        parts = [(np.repeat(unpack_hashes(r["words"]), unpack(r["spread"])), unpack_hashes(r["names"])[unpack(r["contexts"])], unpack(r["counts"])) for r in rows]
+        word, ctx, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sizes = [len(c) for _, c, _ in parts]
         order = np.lexsort((ctx, word))
         word, ctx = word[order], ctx[order]
         new = np.append(True, (word[1:] != word[:-1]) | (ctx[1:] != ctx[:-1]))
         number = np.cumsum(new) - 1
-        total = np.bincount(number, count[order]).astype(np.int64)
         where = np.empty(len(order), dtype=np.int64)
         where[order] = number
+        total = np.bincount(number, count[order]).astype(np.int64)
         word, ctx = word[new], ctx[new]
-        fresh = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        fresh = starts_of(word)
         names, codes = np.unique(ctx, return_inverse=True)
         asked = [pack_up(np.diff(w, prepend=0)) for w in np.split(where, np.cumsum(sizes)[:-1])]
-        return pa.Table.from_pydict(
-            {
-                "shard": pa.array([rows[0]["shard"]], pa.int32()),
-                "spread": [pack_up(np.diff(np.append(fresh, len(word))))],
-                "names": [names.tobytes()],
-                "contexts": [pack_up(codes)],
-                "counts": [pack_up(total)],
-                "chunks": pa.array([[r["chunk"] for r in rows]], pa.list_(pa.int64())),
-                "asked": pa.array([asked], pa.list_(pa.binary())),
-            }
-        )
+        columns = [[rows[0]["shard"]], [pack_hashes(word[fresh])], [pack_up(np.diff(np.append(fresh, len(word))))], [pack_hashes(names)], [pack_up(codes)], [pack_up(total)], [[r["chunk"] for r in rows]], [asked]]
+        return pa.Table.from_batches([batch_of(SHARDS, columns)])
 
-    schema = "shard int, spread binary, names binary, contexts binary, counts binary, chunks array<long>, asked array<binary>"
-    return keys.groupBy("shard").applyInArrow(build, schema)
+    return keys.groupBy("shard").applyInArrow(build, SHARDS)
 
 
-@dataclass
-class Totals:
-    """Customers and tables of a shard's contexts, and of the parent with sizes: of the shard alone, or of all shards."""
+# Sampling
 
-    customers: np.ndarray
-    tables: np.ndarray
-    parent: np.ndarray  # customers, tables, words known, tokens; pairs met once, twice; words with one table, two
 
-
-@dataclass
-class Settings:
-    discount: float
-    parent_discount: float
-    strength: float
-    parent_strength: float
-    rounds: int
-    burn_in: int
-    seed: int
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, for x of ten and more."""
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
-def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
-    """Logarithms of generalised Stirling numbers S(c, t) for c, t up to ``most``."""
+@functools.lru_cache(maxsize=4)
+def stirling_table(discount: float, most: int = RECURRENCE) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers S(c, t) for c, t up to ``most``, by their recurrence."""
     out = np.full((most + 1, most + 1), -np.inf)
     out[1, 1] = 0.0
+    t = np.arange(1, most + 1)
     for c in range(1, most):
-        t = np.arange(1, most + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             stay = np.where(t <= c, np.log(np.maximum(c - discount * t, 1e-300)) + out[c, 1:], -np.inf)
         out[c + 1, 1:] = np.logaddexp(stay, out[c, :-1])
     return out
 
 
+def log_ratio(x: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log g and its slope at x = log(1 - z), for g(z) = z F'(z) / F(z) and F(z) = 1 - (1 - z)^d."""
+    e, f = np.expm1(x), np.expm1(d * x)
+    return math.log(d) + np.log(-e) + (d - 1) * x - np.log(-f), np.exp(x) / e + (d - 1) - d * np.exp(d * x) / f
+
+
+@functools.lru_cache(maxsize=4)
+def ratio_grid(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    x = -np.exp(np.linspace(math.log(1e-9), math.log(600.0), 6000))
+    return log_ratio(x, discount)[0], x
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of S(c, t) for 1 <= t <= c and large c, to about a hundredth or better.
+
+    S(c, t) = c! / t! / d^t * [z^c] F(z)^t with F(z) = 1 - (1 - z)^d. The coefficient
+    is an integral along 1 - z = w (1 + i k y)^2, a parabola around the cut of F
+    from 1 on that goes through the saddle point z F'(z) / F(z) = c / t.
+    """
+    c, t = np.asarray(c, dtype=float), np.asarray(t, dtype=float)
+    ratio = np.log(c / t)
+    x = np.interp(ratio, *ratio_grid(d))
+    for _ in range(3):
+        now, slope = log_ratio(x, d)
+        x = np.minimum(x - np.clip((now - ratio) / slope, -0.5 * np.abs(x), 0.5 * np.abs(x)), -1e-12)
+    slope, w = log_ratio(x, d)[1], np.exp(x)
+    log_z, log_f = np.log(-np.expm1(x)), np.log(-np.expm1(d * x))
+    k = np.minimum(0.5 * np.sqrt(-np.expm1(x) / (c * np.maximum(-slope, 1e-300) * w)), 1 / np.sqrt(c * w))
+    y = np.arange(17) * (6 / 16)
+    bend = np.log(1 + 1j * k[:, None] * y)
+    here_z, here_f = np.log(1 - np.exp(x[:, None] + 2 * bend)), np.log(1 - np.exp(d * (x[:, None] + 2 * bend)))
+    values = np.exp(t[:, None] * (here_f - log_f[:, None]) - c[:, None] * (here_z - log_z[:, None]) - here_z + bend).real
+    integral = (values.sum(axis=1) - values[:, 0] / 2) * (6 / 16) * 2 * k * w / math.pi
+    few = np.array([math.lgamma(n + 1) for n in range(11)])[np.minimum(t, 10).astype(int)]
+    factorial = np.where(t > 10, log_gamma(np.maximum(t, 10) + 1), few)
+    return np.where(t == c, 0.0, log_gamma(c + 1) - factorial - t * math.log(d) + t * log_f - c * log_z + np.log(np.maximum(integral, 1e-300)))
+
+
+def many_customers(count: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, strength: float, u: np.ndarray, nodes: int = 65) -> np.ndarray:
+    """Tables of dishes with more than ``RECURRENCE`` customers, drawn by the uniforms ``u``.
+
+    The logarithm of the conditional is worked out at ``nodes`` places around its
+    mode, eight deviations to both sides, and is linear between them.
+    """
+    ten = np.arange(10)
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        seats = strength / d + others
+        # prod_{i < t} (strength + d (others + i)) = d^t gamma(seats + t) / gamma(seats), moved by ten so that the series is good
+        rising = log_gamma(seats + t + 10) - log_gamma(seats + 10) + np.log((seats[:, None] + ten) / (seats[:, None] + t[:, None] + ten)).sum(axis=1)
+        return log_stirling(count, t, d) + rising + t * (math.log(d) + np.log(base))
+
+    low, high = np.ones(len(count)), count.astype(float)
+    while (low < high).any():  # the least t whose follower weighs no more
+        mid = np.floor((low + high) / 2)
+        up = weight(np.minimum(mid + 1, count)) > weight(mid)
+        low, high = np.where(up, np.minimum(mid + 1, high), low), np.where(up, high, mid)
+    side = np.maximum(np.minimum(np.ceil(np.sqrt(low)), np.minimum(low - 1, count - low)), 1)
+    curve = 2 * weight(low) - weight(np.clip(low - side, 1, count)) - weight(np.clip(low + side, 1, count))
+    reach = np.ceil(8 * side / np.sqrt(np.maximum(curve, 1e-2)) + 20)
+    first, last = np.maximum(1, low - reach), np.minimum(count, low + reach)
+    places = np.stack([np.rint(first + (last - first) * k / (nodes - 1)) for k in range(nodes)], axis=1)
+    heights = np.stack([weight(places[:, k]) for k in range(nodes)], axis=1)
+    out = np.empty(len(count), dtype=np.int64)
+    for k in range(len(count)):
+        t = np.arange(first[k], last[k] + 1)
+        upto = np.cumsum(np.exp(np.interp(t, places[k], heights[k]) - heights[k].max()))
+        out[k] = t[min(np.searchsorted(upto, u[k] * upto[-1]), len(t) - 1)]
+    return out
+
+
 def sample_tables(count: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with ``count`` customers, dish probability ``base`` and ``others`` tables beside theirs."""
     tables = np.minimum(count, 1)
-    few = np.flatnonzero((count > 1) & (count <= EXACT))
-    stirling = log_stirling(discount)
-    for c in np.unique(count[few]).tolist():
-        rows = few[count[few] == c]
-        steps = np.log(strength + discount * (others[rows][:, None] + np.arange(c))) + np.log(base[rows])[:, None]
-        weight = np.cumsum(steps, axis=1) + stirling[c, 1 : c + 1]
-        weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-        tables[rows] = 1 + (rng.random(len(rows))[:, None] * weight[:, -1:] > weight).sum(axis=1)
-    many = np.flatnonzero(count > EXACT)
-    seated = 1
-    while len(many):
-        step = np.minimum(max(1, seated // 16), count[many] - seated)
-        fresh = (strength + discount * (others[many] + tables[many])) * base[many]
-        tables[many] += rng.binomial(step, fresh / (fresh + seated - discount * tables[many]))
-        seated += max(1, seated // 16)
-        many = many[count[many] > seated]
+    u = rng.random(len(count))
+    order = np.argsort(count, kind="stable")
+    ordered = count[order]
+    values, begins = np.unique(ordered, return_index=True)
+    stirling = stirling_table(discount)
+    for c, a, b in zip(values.tolist(), begins.tolist(), np.append(begins[1:], len(ordered)).tolist(), strict=True):
+        if c < 2 or c > RECURRENCE:
+            continue
+        step = max(1, (1 << 20) // c)
+        for at in range(a, b, step):
+            rows = order[at : min(b, at + step)]
+            weight = np.log(strength + discount * (others[rows][:, None] + np.arange(c)))
+            weight += np.log(base[rows])[:, None]
+            np.cumsum(weight, axis=1, out=weight)
+            weight += stirling[c, 1 : c + 1]
+            weight -= weight.max(axis=1, keepdims=True)
+            np.cumsum(np.exp(weight, out=weight), axis=1, out=weight)
+            tables[rows] = 1 + (u[rows][:, None] * weight[:, -1:] > weight[:, :-1]).sum(axis=1)
+    big = order[np.searchsorted(ordered, RECURRENCE + 1) :]
+    for rows in np.array_split(big, -(-len(big) // 4096)) if len(big) else ():
+        tables[rows] = many_customers(count[rows], base[rows], others[rows].astype(float), discount, strength, u[rows])
     return tables
 
 
+# Rounds
+
+
+class Shelf:
+    """Tables in the shared folder that go once their readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, rows: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        rows.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete_now(self.spark, path)
+        self.paths = []
+        release_shuffles(self.spark)
+
+
+@dataclass(frozen=True)
+class Settings:
+    discount: float
+    parent_discount: float
+    strength: float
+    parent_strength: float
+    seed: int
+
+
+@dataclass(frozen=True)
+class Parent:
+    """Customers and tables of the parent restaurant; words known in training, tokens, pairs met once and twice, words with one customer and two at the start."""
+
+    customers: float
+    tables: float
+    known: float
+    tokens: float
+    once: float
+    twice: float
+    single: float
+    double: float
+
+
 class Shard:
-    """The pairs of a shard's words: word number, number of the context among ``names`` and training count of each."""
+    """The pairs of a shard: numbers of word and context among its ``words`` and ``names``, and training count."""
 
     def __init__(self, row: dict):
-        spread = unpack(row["spread"])
-        self.number, self.n_words = row["shard"], len(spread)
-        self.word = np.repeat(np.arange(len(spread)), spread)
-        self.names, self.context = np.frombuffer(row["names"], dtype=np.uint64), unpack(row["contexts"])
-        self.count = unpack(row["counts"])
-        self.word_count = np.bincount(self.word, self.count, minlength=self.n_words).astype(np.int64)
-
-    def totals(self, tables: np.ndarray, parent_tables: np.ndarray, customers: np.ndarray) -> Totals:
-        by = lambda v: np.bincount(self.context, v, minlength=len(self.names)).astype(np.int64)
-        met = lambda v, k: float((v == k).sum())
-        return Totals(
-            by(self.count), by(tables),
-            np.array([customers.sum(), parent_tables.sum(), (self.word_count > 0).sum(), self.count.sum(), met(self.count, 1), met(self.count, 2), met(customers, 1), met(customers, 2)], dtype=float),
-        )
-
-    def seatings(self, history: list[Totals], settings: Settings | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(tables, parent customers, parent tables) to begin with (one table for each dish) and after each round of the history."""
-        tables = np.minimum(self.count, 1)
-        customers = np.bincount(self.word, tables, minlength=self.n_words).astype(np.int64)
-        parent_tables = np.minimum(customers, 1)
-        yield tables, customers, parent_tables
-        for turn, before in enumerate(history):
-            rng = np.random.Generator(np.random.PCG64([settings.seed, self.number, turn]))
-            base = parent_probability(customers, parent_tables, before, settings)[self.word]
-            tables = sample_tables(self.count, base, np.maximum(before.tables[self.context] - tables, 0), settings.discount, settings.strength, rng)
-            customers = np.bincount(self.word, tables, minlength=self.n_words).astype(np.int64)
-            uniform = np.full(self.n_words, 1 / (before.parent[2] + 1))
-            parent_tables = sample_tables(customers, uniform, np.maximum(before.parent[1] - parent_tables, 0), settings.parent_discount, settings.parent_strength, rng)
-            yield tables, customers, parent_tables
-
-
-def parent_probability(customers: np.ndarray, tables: np.ndarray, totals: Totals, s: Settings) -> np.ndarray:
-    all_customers, all_tables, known = totals.parent[:3]
-    new = (s.parent_strength + s.parent_discount * all_tables) / (known + 1)
-    return (np.maximum(customers - s.parent_discount * tables, 0) + new) / (s.parent_strength + all_customers)
-
-
-def with_history(shards: DataFrame, history: list[DataFrame]) -> DataFrame:
-    """``shards`` with a column of totals for each round so far."""
-    for turn, totals in enumerate(history):
-        shards = shards.join(totals.withColumnRenamed("parts", f"round_{turn}"), "shard")
-    return shards
-
-
-def history_of(row: dict, parents: list[np.ndarray]) -> list[Totals]:
-    """Totals of all shards after each round, for the contexts of this one: the groups' replies in the order of its names."""
-    whole = lambda turn, c: np.concatenate([unpack(x[c]) for x in row[f"round_{turn}"]])
-    customers = whole(0, "customers") if parents else None
-    return [Totals(customers, whole(turn, "tables"), parent) for turn, parent in enumerate(parents)]
-
-
-def sum_totals(shards: DataFrame, bits: int, history: list[DataFrame], parents: list[np.ndarray], settings: Settings | None) -> tuple[DataFrame, np.ndarray]:
-    """Totals after the last round of the history: (shard, parts) with those of each shard's contexts, and the parent's.
-
-    Contexts are dealt to 2^bits groups by their first bits. Customers don't
-    change and are sent in the first round only.
+        self.number, self.words, self.names = row["shard"], unpack_hashes(row["words"]), unpack_hashes(row["names"])
+        self.word = np.repeat(np.arange(len(self.words)), unpack(row["spread"]))
+        self.context, self.count = unpack(row["contexts"]), unpack(row["counts"])
+
+    def by(self, kind: int, values: np.ndarray) -> np.ndarray:
+        """``values`` of the pairs, added up by context or by word."""
+        at, n = (self.context, len(self.names)) if kind == CONTEXTS else (self.word, len(self.words))
+        return np.bincount(at, values, minlength=n).astype(np.int64)
+
+
+def whole(parts: list[dict], kind: int, column: str) -> np.ndarray:
+    """What the groups of a kind sent, in the order of the shard's contexts or words."""
+    return np.concatenate([unpack(p[column]) for p in sorted(parts, key=lambda p: p["grp"]) if p["kind"] == kind])
+
+
+class Seats:
+    """What a shard knows after a round: its tables, and the totals of its contexts and words."""
+
+    def __init__(self, parts: list[dict]):
+        self.tables = unpack(next(p["y"] for p in parts if p["kind"] < 0))
+        self.context_tables, self.word_customers, self.word_tables = whole(parts, CONTEXTS, "y"), whole(parts, WORDS, "y"), whole(parts, WORDS, "z")
+
+    def parent_probability(self, parent: Parent, s: Settings) -> np.ndarray:
+        """Of each of the shard's words."""
+        new = (s.parent_strength + s.parent_discount * parent.tables) / (parent.known + 1)
+        return (np.maximum(self.word_customers - s.parent_discount * self.word_tables, 0) + new) / (s.parent_strength + parent.customers)
+
+
+SENT = "shard int, kind int, grp int, names binary, x binary, y binary, sums array<double>"
+ADDED = "shard int, kind int, grp int, codes binary, x binary, y binary, z binary, sums array<double>"
+
+
+class Rounds:
+    """Rounds of Gibbs sampling over the shards; their states are tables in the shared folder.
+
+    x are training counts (in the first round only), y tables, and z the parent's
+    tables of a word.
     """
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                *_, (tables, customers, parent_tables) = shard.seatings(history_of(row, parents), settings)
-                t = shard.totals(tables, parent_tables, customers)
-                groups = (shard.names >> U64(64 - bits)).astype(np.int64)
-                found = np.unique(groups)
-                cuts = list(zip(np.searchsorted(groups, found), np.searchsorted(groups, found, side="right"), strict=True))
-                numbers = [-1, *found.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([shard.number] * len(numbers), pa.int32()), pa.array(numbers, pa.int32()), pa.array([None, *(shard.names[a:b].tobytes() for a, b in cuts)], pa.binary()),
-                        pa.array([None, *(None if parents else pack_up(t.customers[a:b]) for a, b in cuts)], pa.binary()), pa.array([None, *(pack_up(t.tables[a:b]) for a, b in cuts)], pa.binary()),
-                        pa.array([t.parent.tolist(), *(None for _ in cuts)], pa.list_(pa.float64())),
-                    ],
-                    names=["shard", "group", "names", "customers", "tables", "parent"],
-                )
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        names = [np.frombuffer(r["names"], dtype=np.uint64) for r in rows]
-        codes = np.unique(np.concatenate(names), return_inverse=True)[1]
-        cuts = np.cumsum([len(n) for n in names])[:-1]
-
-        def total(column: str) -> list[bytes | None]:
-            if rows[0][column] is None:
-                return [None] * len(rows)
-            summed = np.bincount(codes, np.concatenate([unpack(r[column]) for r in rows])).astype(np.int64)
-            return [pack_up(x) for x in np.split(summed[codes], cuts)]
-
-        columns = [table["shard"], table["group"], pa.array(total("customers"), pa.binary()), pa.array(total("tables"), pa.binary())]
-        return pa.Table.from_arrays(columns, names=["shard", "group", "customers", "tables"])
-
-    rows = with_history(shards.select("shard", "spread", "names", "contexts", "counts"), history)
-    schema, path = "shard int, group int, names binary, customers binary, tables binary, parent array<double>", new_path(shards.sparkSession, "lm-sent")
-    rows.mapInArrow(send, schema).write.parquet(path)
-    sent = shards.sparkSession.read.schema(schema).parquet(path)
-    added = sent.where("group >= 0").drop("parent").groupBy("group").applyInArrow(add, "shard int, group int, customers binary, tables binary")
-    parts = added.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("group", "customers", "tables"))).alias("parts"))
-    parent = sent.where("group = -1").agg(*(F.sum(F.get("parent", F.lit(k))) for k in range(8))).first()
-    totals = materialise(parts, "lm-totals")
-    delete_now(shards.sparkSession, path)
-    return totals, np.array([x or 0.0 for x in parent])
-
-
-def answer(shards: DataFrame, rounds: list[DataFrame], parents: list[np.ndarray], settings: Settings) -> DataFrame:
-    """(chunk, shard, p, counts): probabilities of the pairs that a chunk asked for, and training counts of their words."""
+    def __init__(self, keys: DataFrame, grid: Grid):
+        self.spark, self.shelf, self.grid = keys.sparkSession, Shelf(keys.sparkSession), grid
+        self.shards = self.shelf.put(build_shards(keys), "lm-shards")
+        release_shuffles(self.spark)
+        self.states: list[DataFrame] = []  # (shard, parts) after each round
+        self.parents: list[Parent] = []
+        self.links = self.owned = None  # places of a shard's names in their group; the parent's tables of a group's words
+
+    def run(self, settings: Settings | None) -> None:
+        """One round more; the first gives each dish one table."""
+        grid, turn = self.grid, len(self.states)
+        parent = self.parents[-1] if turn else None
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    shard = Shard(row)
+                    if turn:
+                        seats = Seats(row["parts"])
+                        rng = np.random.Generator(np.random.PCG64([settings.seed, shard.number, turn]))
+                        base = seats.parent_probability(parent, settings)[shard.word]
+                        tables = sample_tables(shard.count, base, np.maximum(seats.context_tables[shard.context] - seats.tables, 0), settings.discount, settings.strength, rng)
+                    else:
+                        tables = np.minimum(shard.count, 1)
+                    met = [float((shard.count == k).sum()) for k in (1, 2)]
+                    out = [(shard.number, -1, 0, None, None, pack_up(tables), [0.0, 0.0, 0.0, float(shard.count.sum()), *met, 0.0, 0.0])]
+                    for kind, names in ((CONTEXTS, shard.names), (WORDS, shard.words)):
+                        x, y = None if turn else shard.by(kind, shard.count), shard.by(kind, tables)
+                        groups = grid.groups(shard.number, kind, names)
+                        bounds = np.append(starts_of(groups), len(groups)).tolist()
+                        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                            first = (None, None) if turn else (pack_hashes(names[a:b]), pack_up(x[a:b]))
+                            out.append((shard.number, kind, int(groups[a]), *first, pack_up(y[a:b]), None))
+                    yield batch_of(SENT, [list(c) for c in zip(*out, strict=True)])
+
+        def add(table: pa.Table) -> pa.Table:
+            rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+            own = rows.pop(0) if rows[0]["shard"] < 0 else None
+            kind, grp = table["kind"][0].as_py(), table["grp"][0].as_py()
+            if turn:
+                codes = [unpack(r["codes"]) for r in rows]
+            else:
+                names = [unpack_hashes(r["names"]) for r in rows]
+                codes = np.split(np.unique(np.concatenate(names), return_inverse=True)[1], np.cumsum([len(x) for x in names])[:-1])
+            size = 1 + max(int(c.max()) for c in codes)
+            total = lambda column: sum(np.bincount(at, unpack(r[column]), minlength=size) for at, r in zip(codes, rows, strict=True)).astype(np.int64)
+            x, y, z = None if turn else total("x"), total("y"), None
+            if kind == WORDS and turn:
+                rng = np.random.Generator(np.random.PCG64([settings.seed, 1 << 40, grp, turn]))
+                others = np.maximum(parent.tables - unpack(own["y"]), 0)
+                z = sample_tables(y, np.full(size, 1 / (parent.known + 1)), others, settings.parent_discount, settings.parent_strength, rng)
+            elif kind == WORDS:
+                z = np.minimum(y, 1)
+            some = lambda values, c: None if values is None else pack_up(values[c])
+            out = [(r["shard"], kind, grp, None if turn else pack_up(c), some(x, c), pack_up(y[c]), some(z, c), None) for r, c in zip(rows, codes, strict=True)]
+            if kind == WORDS:
+                sums = [float(y.sum()), float(z.sum()), 0.0 if turn else float((x > 0).sum()), 0.0, 0.0, 0.0, float((y == 1).sum()), float((y == 2).sum())]
+                out.append((-1, kind, grp, None, None, pack_up(z), None, sums))
+            return pa.Table.from_batches([batch_of(ADDED, [list(c) for c in zip(*out, strict=True)])])
+
+        brief = Shelf(self.spark)
+        rows = self.shards.select("shard", "words", "spread", "names", "contexts", "counts")
+        sent = brief.put((rows.join(self.states[-1], "shard") if turn else rows).mapInArrow(send, SENT), "lm-sent")
+        messages = sent.where("kind >= 0")
+        if turn:
+            messages = messages.select("shard", "kind", "grp", "y").join(self.links, ["shard", "kind", "grp"]).unionByName(self.owned.withColumn("codes", F.lit(None).cast("binary")))
+        added = brief.put(messages.groupBy("kind", "grp").applyInArrow(add, ADDED), "lm-added")
+        replies = added.where("shard >= 0").select("shard", "kind", "grp", "x", "y", "z")
+        replies = replies.unionByName(sent.where("kind < 0").select("shard", "kind", "grp", "x", "y", F.lit(None).cast("binary").alias("z")))
+        self.states.append(self.shelf.put(replies.groupBy("shard").agg(F.collect_list(F.struct("kind", "grp", "x", "y", "z")).alias("parts")), "lm-state"))
+        self.owned = self.shelf.put(added.where("shard < 0").select("shard", "kind", "grp", "y"), "lm-owned")
+        numbers = added.select("sums").unionByName(sent.select("sums")).agg(*(F.coalesce(F.sum(F.get("sums", F.lit(k))), F.lit(0.0)) for k in range(8))).first()
+        if turn:
+            self.parents.append(Parent(*numbers[:2], parent.known, *numbers[3:]))
+        else:
+            self.links = self.shelf.put(added.where("shard >= 0").select("shard", "kind", "grp", "codes"), "lm-links")
+            self.parents.append(Parent(*numbers))
+        brief.clear()
+
+
+def answer(rounds: Rounds, settings: Settings, samples: list[int]) -> DataFrame:
+    """(chunk, shard, p, counts, spread): probabilities of the pairs that a chunk asked for, averaged over the rounds ``samples``, and training counts of their words."""
+    parents = rounds.parents
+    schema = "chunk long, shard int, p binary, counts binary, spread binary"
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard, history = Shard(row), history_of(row, parents)
-                p, samples = np.zeros(len(shard.count)), 0
-                for turn, (tables, customers, parent_tables) in enumerate(shard.seatings(history[:-1], settings)):
-                    if turn <= settings.burn_in and turn < len(history) - 1:
-                        continue
-                    totals = history[turn]
-                    parent = parent_probability(customers, parent_tables, totals, settings)[shard.word]
-                    there = settings.strength + totals.customers[shard.context]
-                    new = settings.strength + settings.discount * totals.tables[shard.context]
-                    p += (np.maximum(shard.count - settings.discount * tables, 0) + new * parent) / there
-                    samples += 1
-                p = (p / max(samples, 1)).astype("<f4")
+                shard = Shard(row)
+                context_counts, word_counts = (whole(row["round_0"], kind, "x") for kind in (CONTEXTS, WORDS))
+                p = np.zeros(len(shard.count))
+                for turn in samples:
+                    seats = Seats(row[f"round_{turn}"])
+                    parent = seats.parent_probability(parents[turn], settings)[shard.word]
+                    new = settings.strength + settings.discount * seats.context_tables[shard.context]
+                    p += (np.maximum(shard.count - settings.discount * seats.tables, 0) + new * parent) / (settings.strength + context_counts[shard.context])
+                bits = (p / len(samples)).astype("<f4").view("<u4")
                 for chunk, asked in zip(row["chunks"], row["asked"], strict=True):
                     at = np.cumsum(unpack(asked))
                     word = shard.word[at]
-                    fresh = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([chunk], pa.int64()), pa.array([shard.number], pa.int32()), pa.array([p[at].tobytes()], pa.binary()),
-                            pa.array([pack_up(shard.word_count[word[fresh]])], pa.binary()), pa.array([pack_up(np.diff(np.append(fresh, len(at))))], pa.binary()),
-                        ],
-                        names=["chunk", "shard", "p", "counts", "spread"],
-                    )
+                    fresh = starts_of(word)
+                    yield batch_of(schema, [[chunk], [shard.number], [pack_up(bits[at])], [pack_up(word_counts[word[fresh]])], [pack_up(np.diff(np.append(fresh, len(at))))]])
 
-    return with_history(shards, rounds).mapInArrow(reply, "chunk long, shard int, p binary, counts binary, spread binary")
+    rows = rounds.shards
+    for turn in sorted({0, *samples}):
+        rows = rows.join(rounds.states[turn].withColumnRenamed("parts", f"round_{turn}"), "shard")
+    return rows.mapInArrow(reply, schema)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 0, folds: int = 10, strength: float = 1.0, parent_strength: float = 10.0, rounds: int = 3, burn_in: int = 1, seed: int = 5
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 0, folds: int = 10, strength: float = 1.0, parent_strength: float = 10.0, rounds: int = 3, burn_in: int = 1, seed: int = 5,
+    chunk_bytes: int = 8 << 20, shard_chars: int = 16 << 20,
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_perplexity.
 
     Learns from documents outside fold ``held_out`` and scores all. Null text
@@ -381,40 +539,37 @@ def lm_scores(
     is -score / n_tokens. Without training tokens both rest on the unknown word.
     Null and repeated ids are scored row by row; an empty table gives an empty
     result. Discounts come from how many dishes have one and two customers.
+    ``rounds`` - ``burn_in`` samples are averaged. A task holds a chunk of
+    ``chunk_bytes`` of text or the pairs of about ``shard_chars`` of it; larger
+    ones make fewer messages between chunks and shards.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold(F.col(id_col), folds) == held_out).alias("held_out"))
     chars = texts.agg(F.sum(F.length(fill(F.col("text"))))).first()[0] or 0
-    shards = max(12, -(-chars // SHARD_CHARS))
-    path = new_path(spark, "lm-chunks")
-    chunk_up(texts).write.option("compression", "zstd").parquet(path)
-    chunks = spark.read.schema(CHUNKED).parquet(path)
-    model = materialise(build_shards(pair_keys(chunks, shards)), "lm-shards")
-
-    bits = max(4, (shards - 1).bit_length())
-    totals, parent = sum_totals(model, bits, [], [], None)
-    history, parents = [totals], [parent]
-    known, tokens, once, twice, parent_once, parent_twice = parent[2:]
+    shards = max(12, -(-chars // shard_chars))
+    side = math.isqrt(shards - 1) + 1
+    grid = Grid(side, -(-shards // side))
+    chunks = materialise(chunk_up(texts, chunk_bytes), "lm-chunks")
+    gibbs = Rounds(pair_keys(chunks, grid), grid)
+    gibbs.run(None)
+    start = gibbs.parents[0]
     rate = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    settings = Settings(rate(once, twice), rate(parent_once, parent_twice), strength, parent_strength, rounds, burn_in, seed)
+    settings = Settings(rate(start.once, start.twice), rate(start.single, start.double), strength, parent_strength, seed)
     for _ in range(rounds):
-        totals, parent = sum_totals(model, bits, history, parents, settings)
-        history, parents = [*history, totals], [*parents, parent]
-    n, v = int(tokens), int(known)
-    replies = answer(model, history, parents, settings)
+        gibbs.run(settings)
+    n, v = int(start.tokens), int(start.known)
+    replies = materialise(answer(gibbs, settings, list(range(burn_in + 1, rounds + 1))), "lm-replies")
+    gibbs.shelf.clear()
 
     def score(text: pa.Table, reply: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in SCORED.split(", ")]
         rows = sorted(reply.select(["shard", "p", "counts", "spread"]).to_pylist(), key=lambda r: r["shard"])
-        logs = np.log10(np.concatenate([np.frombuffer(r["p"], dtype="<f4") for r in rows]).astype(float))
+        logs = np.log10(np.concatenate([unpack(r["p"]).astype("<u4").view("<f4") for r in rows]).astype(float))
         count = np.concatenate([np.repeat(unpack(r["counts"]), unpack(r["spread"])) for r in rows])
         base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
         one = text.to_pylist()[0]
-        sizes, at = unpack(one["sizes"]), pairs_of(one, shards)[-1]
+        sizes, at = unpack(one["sizes"]), pairs_of(one, grid)[-1]
         first = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x[at], first)
-        values = [pa.array(one["doc_ids"], pa.int64()), pa.array(one["held"]), pa.array(sizes), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(sizes), n)), pa.array(add(base)), pa.array(add(logs))]
-        return pa.Table.from_arrays(values, names=names)
+        return pa.Table.from_batches([batch_of(SCORED, [one["doc_ids"], one["held"], sizes, add((count > 0).astype(np.int64)), np.full(len(sizes), n), add(base), add(logs)])])
 
     scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, SCORED)
     return scored.withColumn("log10_perplexity", -F.col("score") / F.col("n_tokens"))
