@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,13 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of tables that have been written.
 
     They go once the driver collects its garbage, which a job of few objects and
-    many bytes seldom does by itself.
+    many bytes seldom does by itself. What Python let go of is let go of by the JVM
+    a moment later, hence the second turn.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def fill(text: Column) -> Column:
