@@ -5,12 +5,12 @@ from __future__ import annotations
 import gc
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytofold.sources.storage import delete_now, materialise, new_path
 
-__all__ = ["delete_now", "documents", "fill", "fold", "global_rank", "materialise", "n_words", "new_path", "release_shuffles", "words"]
+__all__ = ["KEY", "delete_now", "documents", "fill", "fold", "global_rank", "join_split", "key_columns", "keyed_rows", "materialise", "n_words", "new_path", "nth_row", "release_shuffles", "words"]
 
 #: ASCII white space; a word is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -52,6 +52,40 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: The columns that tell rows apart, nulls and repeated ids as well.
+KEY = ["_last", "_id", "_text_key"]
+
+
+def key_columns(ident: Column, text_key: Column) -> list[Column]:
+    return [ident.isNull().alias("_last"), F.coalesce(ident.cast("string"), F.lit("")).alias("_id"), text_key.alias("_text_key")]
+
+
+def keyed_rows(docs: DataFrame, ident: Column, text_key: Column) -> DataFrame:
+    """``_row``, which holds all columns so that none can clash, and the columns of ``KEY``."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *key_columns(ident, text_key))
+
+
+def nth_row(keyed: DataFrame, *more: str) -> Column:
+    """The number, from 1, of a row among those that agree in ``KEY`` and ``more``, in the order of a hash of all columns."""
+    fields = keyed.schema["_row"].dataType.names
+    return F.row_number().over(Window.partitionBy(*KEY, *more).orderBy(F.xxhash64(*(F.col("_row").getField(c).cast("string") for c in fields))))
+
+
+#: A key is heavy if it has more than this part of the rows, so that at most as many are.
+HEAVY = 1024
+
+
+def join_split(rows: DataFrame, table: DataFrame, on: list[str], count: str = "n") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key and in ``count`` how many of ``rows`` have it.
+
+    Heavy keys, ``HEAVY`` at most, are broadcast; the others meet in a shuffle.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    heavy = table.where(F.col(count) * HEAVY > total)
+    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(table.where(F.col(count) * HEAVY <= total), on)
+    return rows.join(F.broadcast(heavy), on).unionByName(light)
+
+
 def global_rank(df: DataFrame, *order: str) -> DataFrame:
     """Add ``rank`` (from 0) in the order given, without gathering rows in one task.
 

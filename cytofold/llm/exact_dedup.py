@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytofold.llm.common import SPACE_RUN, fill, materialise
+from cytofold.llm.common import KEY, SPACE_RUN, fill, key_columns, keyed_rows, materialise, nth_row
 
 FAN_IN = 32
 
@@ -99,10 +99,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    names = docs.columns
-    key = lambda i, d: F.concat_ws("|", d, F.coalesce(i.cast("string"), F.lit("null")))
-    kept = exact_dedup(docs, id_col, text_col, k).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
-    keyed = docs.select("*", key(F.col(id_col), digest(F.col(text_col))).alias("_key"))
-    twice = Window.partitionBy("_key").orderBy(*(F.col(f"`{c}`").cast("string") for c in names))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(twice)).where("_nth = 1").select(*(f"`{c}`" for c in names))
+    """The rows of ``docs`` that stay, all columns as they were; of rows that agree in id and text the one whose columns hash least."""
+    kept = exact_dedup(docs, id_col, text_col, k).where("kept").select(*key_columns(F.col("doc_id"), F.col("text_sha256")))
+    keyed = keyed_rows(docs, F.col(f"`{id_col}`"), digest(F.col(f"`{text_col}`")))
+    return keyed.join(kept, KEY, "left_semi").withColumn("_nth", nth_row(keyed)).where("_nth = 1").select("_row.*")

@@ -9,7 +9,8 @@ variants of a line are itself and all its one-letter deletions, as hashed keys.
 Lines that meet in a key (variant, position) are all within the bound of each
 other, as are a line and those that have it as a deletion: least positions by
 key, pre-aggregated before the shuffle, replace the pairs, and each line's
-earliest neighbour is confirmed by edit distance on the texts.
+earliest neighbour is confirmed by edit distance on the texts. A line whose
+earliest neighbour proves to be none is held against all lines that it meets.
 
 Only lines that could have a neighbour emit variants: a single edit leaves the
 first or the last half alone, so halves found in one line only rule it out.
@@ -21,29 +22,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import U64, mix
-from cytofold.llm.common import SPACE_CHARS, fill, materialise
+from cytofold.llm.common import KEY, SPACE_CHARS, fill, join_split, key_columns, keyed_rows, materialise, nth_row, release_shuffles
+from cytofold.llm.quality_rules import let
 
 #: An odd number and its inverse modulo 2^64, the base of the position weights of line hashes.
 BASE = 0x9E3779B97F4A7C15
 #: Rows that the table of low key bits has at most.
 FILTER = 1 << 20
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Variants of an Arrow batch, about.
+BATCH = 1 << 16
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at, line, key, check): trimmed lines that have a word, with a 128-bit hash in two halves."""
-    parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(fill(F.col(text_col)), "\n")).alias("at", "line"))
-    trimmed = parts.select("doc_id", "at", F.btrim("line", F.lit(SPACE_CHARS)).alias("line")).where("line <> ''")
+    """(doc_id, text_key, at, line, key, check): trimmed lines that have a word, with a 128-bit hash in two halves."""
+    text = F.col(f"`{text_col}`")
+    parts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(fill(text)).alias("text_key"), F.posexplode(F.split(fill(text), "\n")).alias("at", "line"))
+    trimmed = parts.select("doc_id", "text_key", "at", F.btrim("line", F.lit(SPACE_CHARS)).alias("line")).where("line <> ''")
     return trimmed.withColumns({"key": F.xxhash64("line"), "check": F.xxhash64(F.lit(BASE & 0xFFFF), "line")})
 
 
 def place() -> Column:
-    """Where a line stands in the corpus; null ids come last."""
-    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("at").cast("int").alias("at"))
+    """Where a line stands in the corpus: null ids come last, rows that share an id in the order of a hash of their texts."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", F.col("at").cast("int").alias("at"))
 
 
 def half_keys(line: Column) -> Column:
@@ -59,38 +65,62 @@ def variants(lines: DataFrame) -> DataFrame:
     Deleting any letter of a run of equal ones gives the same variant; all but
     the first of them are not ``fresh``. Substitutions need each position.
     """
+    names = ["key", "variant", "position", "fresh"]
+
+    def of(key: int, line: str) -> tuple[np.ndarray, ...]:
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        n = len(points)
+        steps = np.full(n + 1, BASE, dtype=np.uint64)
+        steps[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + U64(1)) * np.multiply.accumulate(steps)[:n], dtype=np.uint64)])
+        cut = sums[:n] + (sums[n] - sums[1:]) * U64(INVERSE)
+        fresh = np.ones(n + 1, dtype=bool)
+        fresh[2:] = points[1:] != points[:-1]
+        sizes = np.concatenate([[n], np.full(n, n - 1)]).astype(np.uint64)
+        return np.full(n + 1, key), mix(np.concatenate([sums[n:], cut]) ^ mix(sizes)).astype(np.int64), np.arange(-1, n, dtype=np.int32), fresh
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-                n = len(points)
-                steps = np.full(n + 1, BASE, dtype=np.uint64)
-                steps[0] = 1
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + U64(1)) * np.multiply.accumulate(steps)[:n], dtype=np.uint64)])
-                cut = sums[:n] + (sums[n] - sums[1:]) * U64(INVERSE)
-                fresh = np.ones(n + 1, dtype=bool)
-                fresh[2:] = points[1:] != points[:-1]
-                sizes = np.concatenate([[n], np.full(n, n - 1)]).astype(np.uint64)
-                values = mix(np.concatenate([sums[n:], cut]) ^ mix(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n + 1, key)), pa.array(values.astype(np.int64)), pa.array(np.arange(-1, n, dtype=np.int32)), pa.array(fresh)], names=["key", "variant", "position", "fresh"]
-                )
+                held.append(of(key, line))
+                size += len(held[-1][0])
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
 
     return lines.select("key", "line").mapInArrow(emit, "key long, variant long, position int, fresh boolean")
 
 
-def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(key, near): the first place of the earliest other line within one edit, for lines that have one."""
-    halves = lines.select("key", F.explode(half_keys(F.col("line"))).alias("half"))
+def likely_texts(lines: DataFrame) -> DataFrame:
+    """(key, line) of the distinct lines that share a half with another line."""
+    spark = lines.sparkSession
+    # Repeated lines become one before they meet others, so that a frequent line is no hot key of its halves.
+    halves = materialise(lines.select("key", F.explode(half_keys(F.col("line"))).alias("half")).distinct(), "halves")
     shared = halves.groupBy("half").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("half")
     wanted = materialise(halves.join(shared, "half", "left_semi").select("key").distinct(), "wanted")
+    release_shuffles(spark)
     # The texts of other lines are kept off the shuffle by the low bits of the keys, a table of FILTER rows at most.
     low = F.col("key").bitwiseAND(F.lit(FILTER - 1))
     passed = wanted.select(low.alias("low")).distinct()
-    near = lines.select("key", "line", low.alias("low")).join(F.broadcast(passed), "low", "left_semi")
-    texts = materialise(near.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "lines")
+    near = lines.select("key", "line", low.alias("low")).join(F.broadcast(passed), "low", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+    return materialise(near.join(wanted, "key", "left_semi"), "lines")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, near): the least first place of the lines ``other`` of the pairs (key, other, near) that are within one edit indeed."""
+    checked = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("line").alias("other_line")), "other")
+    close = (F.abs(F.length("line") - F.length("other_line")) <= 1) & (F.levenshtein("line", "other_line", 1) >= 0)
+    return checked.where(close).groupBy("key").agg(F.min("near").alias("near"))
+
+
+def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, near): the first place of the earliest other line within one edit, for lines that have one."""
+    texts = likely_texts(lines)
     placed = materialise(variants(texts).join(firsts.select("key", "first"), "key"), "variants")
+    release_shuffles(lines.sparkSession)
     entry = F.struct("first", "key")
 
     # Substitutions: lines that agree after deleting the same position.
@@ -104,24 +134,34 @@ def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     grown = whole.join(longer, "variant").select(F.col("short").alias("key"), "low")
     shrunk = once.join(whole, "variant").select("key", F.struct(F.col("short_first").alias("first"), F.col("short").alias("key")).alias("low"))
 
-    found = swapped.unionByName(grown).unionByName(shrunk).groupBy("key").agg(F.min("low").alias("low"))
+    found = materialise(swapped.unionByName(grown).unionByName(shrunk).groupBy("key").agg(F.min("low").alias("low")), "candidates")
     pairs = found.select("key", F.col("low.key").alias("other"), F.col("low.first").alias("near"))
-    checked = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("line").alias("other_line")), "other")
-    return checked.where((F.abs(F.length("line") - F.length("other_line")) <= 1) & (F.levenshtein("line", "other_line", 1) >= 0)).select("key", "near")
+    near = materialise(confirmed(pairs, texts), "near")
+    failed = pairs.join(near, "key", "left_anti").select("key")
+    if failed.isEmpty():
+        return near
+    # A candidate was none, since two variants' hashes agree by chance: all lines that such lines meet are looked at.
+    mine = placed.join(failed, "key", "left_semi").select("variant", "position", "fresh", F.col("key").alias("mine"))
+    both = mine.join(deleted, ["variant", "position"]).select("mine", "key", "first")
+    up = mine.where("position = -1").select("variant", "mine").join(once, "variant").select("mine", "key", "first")
+    down = mine.where("position >= 0 and fresh").select("variant", "mine").join(whole, "variant").select("mine", F.col("short").alias("key"), F.col("short_first").alias("first"))
+    met = both.unionByName(up).unionByName(down).where("mine <> key").select(F.col("mine").alias("key"), F.col("key").alias("other"), F.col("first").alias("near")).distinct()
+    return materialise(near.unionByName(confirmed(met, texts)), "near")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
-    """(doc_id, at) of the lines that go; ``edits`` is 0 (equal lines only) or 1."""
+    """(doc_id, text_key, at) of the lines that go; rows that agree in id and text count as one. ``edits`` is 0 (equal lines only) or 1."""
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     lines = lines_of(docs, id_col, text_col)
-    firsts = materialise(lines.groupBy("key", "check").agg(F.min(place()).alias("first")), "firsts")
+    firsts = materialise(lines.groupBy("key", "check").agg(F.min(place()).alias("first"), F.count("*").alias("n")), "firsts")
     verdict = firsts
     if edits:
-        near = materialise(earliest_neighbours(lines, firsts), "near")
-        verdict = firsts.join(near, "key", "left").select("key", "check", F.least("first", F.coalesce("near", "first")).alias("first"))
-    here = lines.select("key", "check", "doc_id", "at", place().alias("here"))
-    return here.join(verdict, ["key", "check"]).where("first < here").select("doc_id", "at")
+        near = earliest_neighbours(lines, firsts)
+        verdict = firsts.join(near, "key", "left").select("key", "check", F.least("first", F.coalesce("near", "first")).alias("first"), "n")
+    here = lines.select("key", "check", "doc_id", "text_key", "at", place().alias("here"))
+    gone = join_split(here, materialise(verdict, "verdict"), ["key", "check"]).where("first < here")
+    return gone.select("doc_id", "text_key", "at")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
@@ -129,22 +169,42 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what newlines separate, white space at both ends ignored; lines
     without a word are neither counted nor dropped. Null and empty texts have no
-    lines. Null ids come last in the order; rows that share an id (null too)
-    share one list of dropped lines. Extra columns are ignored; an empty table
-    gives an empty result.
+    lines. Null ids come last in the order; rows that share an id are ordered by
+    a hash of their texts, and of rows that agree in id and text all but one lose
+    all their lines. Extra columns are ignored; an empty table gives an empty
+    result.
     """
-    gone = dropped_lines(docs, id_col, text_col, edits).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("dropped"))
-    count = F.size(F.filter(F.split(fill(F.col(text_col)), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), count.cast("long").alias("n_lines"))
-    joined = rows.join(gone, rows["_id"].eqNullSafe(gone["doc_id"]), "left")
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return joined.select(F.col("_id").alias("doc_id"), "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    numbered = F.transform(F.split(fill(text), "\n"), lambda x, i: F.struct(x.rlike(WORDED).alias("w"), i.alias("i")))
+    lines = F.transform(F.filter(numbered, lambda s: s["w"]), lambda s: s["i"])
+    rows = docs.select(ident.alias("doc_id"), *key_columns(ident, F.xxhash64(fill(text))), lines.alias("lines"))
+    joined = rows.join(gone_by_row(docs, id_col, text_col, edits), KEY, "left").withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("doc_id")))
+    dropped = F.when(F.col("nth") > 1, F.col("lines")).otherwise(F.coalesce("_gone", F.array().cast("array<int>")))
+    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
+
+
+def gone_by_row(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
+    gone = dropped_lines(docs, id_col, text_col, edits)
+    return gone.select(*key_columns(F.col("doc_id"), F.col("text_key")), "at").groupBy(*KEY).agg(F.array_sort(F.collect_set("at")).alias("_gone"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
-    """``docs`` with repeated lines taken out of the texts, all other columns as they were; null texts stay null."""
-    gone = dropped_lines(docs, id_col, text_col, edits).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_gone"))
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]), "left")
-    kept = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with repeated lines taken out of the texts, all other columns and all rows as they were; null texts stay null.
+
+    Of rows that agree in id and text, which are copies line by line, one keeps
+    its lines: the one whose columns hash least.
+    """
+    text = F.col(f"`{text_col}`")
+    keyed = keyed_rows(docs, F.col(f"`{id_col}`").cast("long"), F.xxhash64(fill(text)))
+    joined = keyed.join(gone_by_row(docs, id_col, text_col, edits), KEY, "left").withColumn("_nth", nth_row(keyed))
+    old = F.col("_row").getField(text_col)
+    none = F.array().cast("array<int>")
+
+    def kept(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        worded = F.filter(numbers, lambda i: F.get(lines, i).rlike(WORDED))
+        left = F.array_except(numbers, F.when(F.col("_nth") > 1, worded).otherwise(F.coalesce("_gone", none)))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.col("_gone").isNull() & (F.col("_nth") == 1), old).otherwise(let(F.split(old, "\n"), kept))
+    return joined.select(*(text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))

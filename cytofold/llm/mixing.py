@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytofold.llm.common import fill, global_rank, materialise, n_words
+from cytofold.llm.common import KEY, fill, global_rank, key_columns, keyed_rows, materialise, n_words, nth_row
 
 #: A source's words are summed up in buckets of about this many rows, or a quarter of the root of all rows if that is more.
 BUCKET_ROWS = 64
@@ -119,14 +119,17 @@ def mix_sources(
     )
 
 
-def draw_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed rows of ``docs``, all columns as they were; a document taken twice comes twice."""
-    names = docs.columns
-    ident = lambda i, k: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), k.cast("string"))
-    mixed = mix_sources(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    nth = lambda *order: F.row_number().over(Window.partitionBy("_key").orderBy(*order))
-    mixed = mixed.select(ident(F.col("doc_id"), F.col("text_key")).alias("_key"), F.col("copies").alias("_copies"), F.coalesce(F.col("source"), F.lit("")).alias("_source"))
-    mixed = mixed.withColumn("_nth", nth("_source", F.desc("_copies")))
-    keyed = docs.select("*", ident(F.col(id_col), F.xxhash64(fill(F.col(text_col)))).alias("_key"))
-    keyed = keyed.withColumn("_nth", nth(F.coalesce(F.col(source_col).cast("string"), F.lit(""))))
-    return keyed.join(mixed, ["_key", "_nth"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(f"`{c}`" for c in names))
+def draw_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = 2, **options) -> DataFrame:
+    """The mixed rows of ``docs``, all columns as they were; a document taken twice comes twice.
+
+    Of rows that agree in id, text and source, those whose columns hash least are
+    taken most, so that reruns agree.
+    """
+    named = lambda source: F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1")).alias("_source")
+    mixed = mix_sources(docs, id_col, text_col, source_col, epochs=epochs, **options).where("copies > 0")
+    mixed = mixed.select(*key_columns(F.col("doc_id"), F.col("text_key")), named(F.col("source")), "copies")
+    most = mixed.groupBy(*KEY, "_source").agg(*(F.count_if(F.col("copies") >= e).alias(f"_at_least_{e}") for e in range(1, epochs + 1)))
+    keyed = keyed_rows(docs, F.col(f"`{id_col}`"), F.xxhash64(fill(F.col(f"`{text_col}`")))).withColumn("_source", named(F.col("_row").getField(source_col)))
+    taken = keyed.join(most, [*KEY, "_source"]).withColumn("_nth", nth_row(keyed, "_source"))
+    copies = sum(((F.col("_nth") <= F.col(f"_at_least_{e}")).cast("int") for e in range(1, epochs + 1)), F.lit(0))
+    return taken.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import MIX, U64, blocks, mix, word_hashes
-from cytofold.llm.common import fill, materialise
+from cytofold.llm.common import KEY, fill, join_split, key_columns, keyed_rows, materialise, nth_row
 from cytofold.llm.components import components
 
 WIDTH = 5
@@ -89,7 +89,7 @@ def most_differing(percent: int) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set (hi, lo), and the sketch (null without shingles)."""
+    """doc_id, text_key, n_shingles, a 128-bit digest of the shingle set (hi, lo), and the sketch (null without shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,28 +101,29 @@ def signatures(docs: DataFrame) -> DataFrame:
                     low.append(int(mix(shingles ^ MIX[51]).sum(dtype=np.uint64).astype(np.int64)))
                     sketches.append(sketch(shingles).tobytes() if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "n_shingles", "hi", "lo", "sketch"],
+                    [batch.column(0).slice(at, len(sizes)), batch.column(2).slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "hi", "lo", "sketch"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, hi long, lo long, sketch binary")
+    return docs.mapInArrow(sign, "doc_id long, text_key long, n_shingles long, hi long, lo long, sketch binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) for the nodes (node, rep, hi, lo), from the text of the document ``rep``."""
+    """(node, shingles) for the nodes (node, rep, hi, lo), from a text of the document ``rep`` (last, doc_id, text_key)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            # Repeated rows lie together; one of them gives the set.
+            node = batch.column(0).to_pylist()
+            fresh = [i for i, k in enumerate(node) if not (k in seen or seen.add(k))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for at, data, offsets in blocks(batch.column(1)):
                 found = list(shingle_sets(data, offsets))
-                high = pa.array([int(mix(s + MIX[50]).sum(dtype=np.uint64).astype(np.int64)) for s in found], pa.int64())
-                same = np.flatnonzero(np.asarray(high) == batch.column(2).slice(at, len(found)).to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(found)).take(pa.array(same)), pa.array([found[i].tobytes() for i in same.tolist()], pa.binary())], names=["node", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
 
-    wanted = nodes.select("node", F.col("rep").alias("doc_id"), "hi")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "hi")
+    wanted = nodes.select("node", *key_columns(F.col("rep.doc_id"), F.col("rep.text_key")))
+    texts = docs.select(*key_columns(F.col("doc_id"), F.col("text_key")), "text").join(wanted, KEY).select("node", "text")
     return texts.mapInArrow(sets, "node long, shingles binary")
 
 
@@ -243,6 +244,30 @@ def node_classes(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return comp if found.isEmpty() else components(links.unionByName(found))
 
 
+def classified(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, comp, least) for each document that has shingles, and (doc_id, text_key) for the others.
+
+    ``least`` is the first document of the class: null ids come last, rows that
+    share an id in the order of a hash of their texts.
+    """
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(fill(text)).alias("text_key"))
+    signed = materialise(signatures(texts), "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    some = signed.where("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "hi", "lo", "sketch")
+    reps = some.groupBy("hi", "lo", "n_shingles").agg(F.min(place).alias("rep"), F.max("sketch").alias("sketch"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
+    reps = materialise(reps, "nodes")
+    named = materialise(reps.select("hi", "lo", "node", "rep", "n").join(node_classes(texts, reps, percent), "node", "left"), "named")
+    # A node alone is its class; the others meet the first document of theirs.
+    linked = named.where("comp is not null").withColumnRenamed("n", "docs")
+    least = materialise(linked.groupBy("comp").agg(F.min("rep").alias("least"), F.count("*").alias("n")), "classes")
+    found = join_split(linked, least, ["comp"]).select("hi", "lo", "comp", "least", F.col("docs").alias("n"))
+    alone = named.where("comp is null").select("hi", "lo", F.col("node").alias("comp"), F.col("rep").alias("least"), "n")
+    classes = materialise(found.unionByName(alone), "members")
+    rows = join_split(some.drop("sketch"), classes, ["hi", "lo"]).select("doc_id", "text_key", "n_shingles", "comp", "least")
+    return rows, signed.where("n_shingles = 0").select("doc_id", "text_key")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -252,29 +277,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows with null ids are kept only if their class has no id. Rows that share an
     id but not a text are nodes of their own. Extra columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(signatures(texts), "signatures")
-    reps = (
-        signed.where("n_shingles > 0")
-        .groupBy("hi", "lo", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    reps = materialise(reps, "nodes")
-    comp = node_classes(texts, reps, percent)
-    named = reps.select("hi", "lo", "node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = named.join(least, "comp").select("hi", "lo", "component_id")
-    linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows, alone = classified(docs, id_col, text_col, percent)
+    linked = rows.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"))
+    alone = alone.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return linked.unionByName(alone).select("*", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were; of rows with the same id and text one stays."""
-    names = docs.columns
-    kept = near_dedup(docs, id_col, text_col, percent).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")).distinct()
-    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")).alias("_key"))
-    twice = Window.partitionBy("_key", F.xxhash64(fill(F.col(text_col)))).orderBy(*(F.col(f"`{c}`").cast("string") for c in names))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(twice)).where("_nth = 1").select(*(f"`{c}`" for c in names))
+    """The rows of ``docs`` that stay, all columns as they were: one row of each class, the first (see ``classified``).
+
+    Texts without words stay, but of rows that agree in id and text one only,
+    that whose columns hash least.
+    """
+    rows, alone = classified(docs, id_col, text_col, percent)
+    first = rows.where(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key") == F.col("least")).select("doc_id", "text_key")
+    kept = first.unionByName(alone).select(*key_columns(F.col("doc_id"), F.col("text_key")))
+    keyed = keyed_rows(docs, F.col(f"`{id_col}`").cast("long"), F.xxhash64(fill(F.col(f"`{text_col}`"))))
+    return keyed.join(kept, KEY, "left_semi").withColumn("_nth", nth_row(keyed)).where("_nth = 1").select("_row.*")
