@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled by a hash of id and text. A copy of a
+Each source's documents are shuffled by a digest of id and text. A copy of a
 document finishes at virtual time (words of its source up to its end) / (target
 of its source); all copies are range-sorted by finish and the sequence is cut at
 the total budget. Time 1 is where every source has met its target.
@@ -73,7 +73,7 @@ def mix_sources(
             F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"),
             n_words(F.col(text_col)).alias("size"),
             key.alias("text_key"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), key), 1).alias("shuffled"),
+            F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))), 1, 15), 16, 10).cast("long").alias("shuffled"),
         ).withColumn("row", F.monotonically_increasing_id()),
         "sizes",
     )
@@ -85,7 +85,7 @@ def mix_sources(
     bucket_rows = max(BUCKET_ROWS, int(total**0.5 / 4))
 
     placed = rows.join(sources.select("skey", "source_size", "target", "n"), "skey")
-    placed = placed.withColumn("bucket", F.floor(F.col("shuffled") / F.lit(2.0**63) * F.ceil(F.col("n") / bucket_rows)))
+    placed = placed.withColumn("bucket", F.floor(F.col("shuffled") / F.lit(2.0**60) * F.ceil(F.col("n") / bucket_rows)))
     within = Window.partitionBy("skey", "bucket").orderBy("shuffled", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("skey", "bucket").agg(F.sum("size").alias("_words")).select("skey", "bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
@@ -108,7 +108,7 @@ def mix_sources(
     taken = (
         queued.withColumn("_run", running)
         .join(F.broadcast(start), "part")
-        .where(F.col("_before") + F.col("_run") <= F.lit(budget))
+        .where(F.col("_before") + F.col("_run") <= F.lit(budget + 1e-6))  # a sum of targets, whose last digits hang on its order
         .groupBy("row")
         .agg(F.count("*").alias("copies"))
     )

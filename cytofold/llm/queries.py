@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cytofold.llm.common import documents
 from cytofold.llm.exact_dedup import exact_dedup
@@ -49,7 +50,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(documents(spark, sf_dir))
+    return line_dedup(documents(spark, sf_dir)).withColumn("dropped", F.array_join("dropped", ","))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +97,41 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
         from d window w as (partition by text_sha256)
     """,
+    "op4_mixing": r"""
+        with d as (select doc_id, source, coalesce(concat('0', source), '1') as skey, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size,
+            cast(concat('0x', substr(md5(concat_ws('|', '17', cast(doc_id as varchar), text)), 1, 15)) as bigint) as shuffled from documents),
+        s as (select skey, cast(sum(size) as bigint) as source_size, cast([3, 1, 2][(row_number() over (order by skey) - 1) % 3 + 1] as double) as weight from d group by 1),
+        filled as (select *, 2 * source_size as cap, sum(2 * source_size) over below as capped, sum(weight) over () - coalesce(sum(weight) over below, 0) as open, 1.5e0 * sum(source_size) over () as budget
+            from s window below as (order by 2 * source_size / weight, skey rows between unbounded preceding and 1 preceding)),
+        levels as (select (budget - coalesce(capped, 0)) / open as level, cap / weight as reached from filled),
+        level as (select arg_min(level, reached) as level from levels where level <= reached),
+        t as (select skey, source_size, case when level is null or cap <= weight * level then cast(cap as double) else weight * level end as target from filled, level),
+        q as (select d.*, t.source_size, t.target, (e.range * t.source_size + sum(size) over (partition by d.skey, e.range order by shuffled, doc_id rows unbounded preceding)) / target as finish from d join t using (skey), range(2) e),
+        r as (select doc_id, size, sum(size) over (order by finish, shuffled, doc_id rows unbounded preceding) as run from q where size > 0 and target > 0),
+        n as (select doc_id, count(*) as copies from r where run <= (select sum(target) from t) + 1e-6 group by 1)
+        select d.doc_id, size, source_size, target, coalesce(copies, 0) * size as taken, source, cast(coalesce(copies, 0) as int) as copies from d join t using (skey) left join n on n.doc_id = d.doc_id
+    """,
+    "op5_near_dedup": r"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from w, unnest(range(1, greatest(len(ws) - 3, 2))) u(i) where len(ws) > 0),
+        n as (select doc_id, count(*) as n from s group by 1),
+        m as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as (select a, b from m join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+        e as (select a, b from l union all select b, a from l),
+        r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on e.a = r.b)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept from documents d join (select a, min(b) as component_id from r group by 1) c on c.a = d.doc_id left join n on n.doc_id = d.doc_id
+    """,
+    "op8_line_dedup": r"""
+        with x as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents),
+        l as (select doc_id, i, trim(line, concat(chr(9), chr(10), chr(11), chr(12), chr(13), ' ')) as line from x where regexp_matches(line, '[^\x20\x09-\x0D]')),
+        u as (select line, length(line) as n, min({'d': doc_id, 'i': i}) as first from l group by all),
+        k as (select distinct line, n, first, h, side, case side when 0 then left(line, h) else substr(line, n - h + 1, h) end as half from u, unnest([n // 2, (n - 1) // 2]) a(h), range(2) b(side)),
+        p as (select distinct a.line, a.first as a_first, b.line as other, b.first as b_first from k a join k b on a.h = b.h and a.side = b.side and a.half = b.half and abs(a.n - b.n) <= 1 and a.line <> b.line),
+        e as (select *, greatest(length(line), length(other)) as m, length(line) as x, length(other) as y from p),
+        near as (select line, min(b_first) as near from e where len(list_filter(range(m), lambda i: left(line, i) = left(other, i) and right(line, x - i - cast(x = m as int)) = right(other, y - i - cast(y = m as int)))) > 0 group by 1),
+        v as (select u.line, least(u.first, coalesce(near.near, u.first)) as first from u left join near using (line)),
+        g as (select l.doc_id, l.i from l join v using (line) where v.first < {'d': l.doc_id, 'i': l.i})
+        select d.doc_id, coalesce(a.n, 0) as n_lines, coalesce(b.n, 0) as n_dropped, coalesce(b.dropped, '') as dropped from documents d left join (select doc_id, count(*) as n from l group by 1) a using (doc_id)
+        left join (select doc_id, count(*) as n, string_agg(i, ',' order by i) as dropped from g group by 1) b using (doc_id)
+    """,
 }
