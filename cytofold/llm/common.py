@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytofold.sources.storage import delete_now, materialise, new_path
 
-__all__ = ["KEY", "delete_now", "documents", "fill", "fold", "global_rank", "join_split", "key_columns", "keyed_rows", "materialise", "n_words", "new_path", "nth_row", "release_shuffles", "words"]
+__all__ = ["KEY", "Shelf", "documents", "fill", "fold", "global_rank", "join_split", "key_columns", "keyed_rows", "materialise", "n_words", "new_path", "nth_row", "release_shuffles", "words"]
 
 #: ASCII white space; a word is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,25 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+class Shelf:
+    """Tables in the shared folder that go once their readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, rows: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        rows.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete_now(self.spark, path)
+        self.paths = []
+        release_shuffles(self.spark)
+
+
 def fill(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

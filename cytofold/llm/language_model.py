@@ -35,11 +35,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import MIX, U64, blocks, mix, word_hashes
-from cytofold.llm.common import delete_now, fill, fold, materialise, new_path, release_shuffles
+from cytofold.llm.common import Shelf, fill, fold, materialise, release_shuffles
 
 START = U64(0xA0761D6478BD642F)  # the context of a text's first token
 END = U64(0x5BD1E9955BD1E995)
@@ -330,25 +330,6 @@ def sample_tables(count: np.ndarray, base: np.ndarray, others: np.ndarray, disco
 # Rounds
 
 
-class Shelf:
-    """Tables in the shared folder that go once their readers are done."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def put(self, rows: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        rows.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def clear(self) -> None:
-        for path in self.paths:
-            delete_now(self.spark, path)
-        self.paths = []
-        release_shuffles(self.spark)
-
-
 @dataclass(frozen=True)
 class Settings:
     discount: float

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import U64, mix
-from cytofold.llm.common import KEY, SPACE_CHARS, fill, join_split, key_columns, keyed_rows, materialise, nth_row, release_shuffles
+from cytofold.llm.common import KEY, SPACE_CHARS, Shelf, fill, join_split, key_columns, keyed_rows, materialise, nth_row, release_shuffles
 from cytofold.llm.quality_rules import let
 
 #: An odd number and its inverse modulo 2^64, the base of the position weights of line hashes.
@@ -96,17 +96,19 @@ def variants(lines: DataFrame) -> DataFrame:
 
 def likely_texts(lines: DataFrame) -> DataFrame:
     """(key, line) of the distinct lines that share a half with another line."""
-    spark = lines.sparkSession
+    brief = Shelf(lines.sparkSession)
     # Repeated lines become one before they meet others, so that a frequent line is no hot key of its halves.
-    halves = materialise(lines.select("key", F.explode(half_keys(F.col("line"))).alias("half")).distinct(), "halves")
+    halves = brief.put(lines.select("key", F.explode(half_keys(F.col("line"))).alias("half")).distinct(), "halves")
+    release_shuffles(lines.sparkSession)
     shared = halves.groupBy("half").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("half")
-    wanted = materialise(halves.join(shared, "half", "left_semi").select("key").distinct(), "wanted")
-    release_shuffles(spark)
+    wanted = brief.put(halves.join(shared, "half", "left_semi").select("key").distinct(), "wanted")
     # The texts of other lines are kept off the shuffle by the low bits of the keys, a table of FILTER rows at most.
     low = F.col("key").bitwiseAND(F.lit(FILTER - 1))
     passed = wanted.select(low.alias("low")).distinct()
     near = lines.select("key", "line", low.alias("low")).join(F.broadcast(passed), "low", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    return materialise(near.join(wanted, "key", "left_semi"), "lines")
+    texts = materialise(near.join(wanted, "key", "left_semi"), "lines")
+    brief.clear()
+    return texts
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -118,8 +120,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(key, near): the first place of the earliest other line within one edit, for lines that have one."""
-    texts = likely_texts(lines)
-    placed = materialise(variants(texts).join(firsts.select("key", "first"), "key"), "variants")
+    texts, brief = likely_texts(lines), Shelf(lines.sparkSession)
+    placed = brief.put(variants(texts).join(firsts.select("key", "first"), "key"), "variants")
     release_shuffles(lines.sparkSession)
     entry = F.struct("first", "key")
 
@@ -134,11 +136,18 @@ def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     grown = whole.join(longer, "variant").select(F.col("short").alias("key"), "low")
     shrunk = once.join(whole, "variant").select("key", F.struct(F.col("short_first").alias("first"), F.col("short").alias("key")).alias("low"))
 
-    found = materialise(swapped.unionByName(grown).unionByName(shrunk).groupBy("key").agg(F.min("low").alias("low")), "candidates")
+    # One after the other, so that their shuffles don't add up.
+    found = None
+    for kind in (swapped, grown, shrunk):
+        some = brief.put(kind.groupBy("key").agg(F.min("low").alias("low")), "candidates")
+        found = some if found is None else found.unionByName(some)
+        release_shuffles(lines.sparkSession)
+    found = found.groupBy("key").agg(F.min("low").alias("low"))
     pairs = found.select("key", F.col("low.key").alias("other"), F.col("low.first").alias("near"))
     near = materialise(confirmed(pairs, texts), "near")
     failed = pairs.join(near, "key", "left_anti").select("key")
     if failed.isEmpty():
+        brief.clear()
         return near
     # A candidate was none, since two variants' hashes agree by chance: all lines that such lines meet are looked at.
     mine = placed.join(failed, "key", "left_semi").select("variant", "position", "fresh", F.col("key").alias("mine"))
@@ -146,7 +155,9 @@ def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     up = mine.where("position = -1").select("variant", "mine").join(once, "variant").select("mine", "key", "first")
     down = mine.where("position >= 0 and fresh").select("variant", "mine").join(whole, "variant").select("mine", F.col("short").alias("key"), F.col("short_first").alias("first"))
     met = both.unionByName(up).unionByName(down).where("mine <> key").select(F.col("mine").alias("key"), F.col("key").alias("other"), F.col("first").alias("near")).distinct()
-    return materialise(near.unionByName(confirmed(met, texts)), "near")
+    near = materialise(near.unionByName(confirmed(met, texts)), "near")
+    brief.clear()
+    return near
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
