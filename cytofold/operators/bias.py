@@ -7,6 +7,11 @@ spans a chromosome's bases.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,23 +30,47 @@ def is_gc(base: Column) -> Column:
     return base.isin("G", "C", "g", "c").cast("int")
 
 
+KEY = ["chromosome", "chunk_start"]
+
+
+def with_margins(chunks: DataFrame, before: int, after: int, width: int = 1000) -> DataFrame:
+    """Chunks with ``head`` and ``tail``: the last bases of the chunk before and the first of the one after; chunks meet by their starts."""
+    if max(before, after) > width:
+        raise ValueError("margins reach beyond the next chunk; take wider chunks")
+    shifted = lambda by, text, name: chunks.select("chromosome", (F.col("chunk_start") + by).alias("chunk_start"), text.alias(name))
+    joined = chunks.join(shifted(width, F.right("seq", F.lit(before)), "head"), KEY, "left").join(shifted(-width, F.left("seq", F.lit(after)), "tail"), KEY, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("head", "tail")})
+
+
+def gc_flags(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ""), lambda x: x != ""), is_gc)
+
+
+def gc_count(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^GCgc]", ""))
+
+
 def gc_cumsum(chunks: DataFrame) -> DataFrame:
-    """(chromosome, pos, gc): how many G and C there are up to each position, itself included."""
-    size = F.length(F.regexp_replace("seq", "[^GCgc]", ""))
-    before = Window.partitionBy("chromosome").orderBy("chunk_start").rowsBetween(Window.unboundedPreceding, -1)
-    offset = chunks.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
-    letters = F.split(F.col("seq"), "")
-    flags = F.transform(F.filter(letters, lambda x: x != ""), is_gc)
-    bases = offset.select("chromosome", "chunk_start", "_before", F.posexplode(flags).alias("i", "gc"))
-    within = F.sum("gc").over(Window.partitionBy("chromosome", "chunk_start").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    """(chromosome, pos, gc): how many G and C there are up to each position, itself included.
+
+    Running sums are within chunks, which bases don't leave; chunks get the sum of
+    those before them.
+    """
+    upto = Window.partitionBy("chromosome").orderBy("chunk_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = chunks.select(*KEY, gc_count(F.col("seq")).alias("_n"))
+    offset = chunks.join(sizes.select(*KEY, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")), KEY).repartition(*KEY)
+    bases = offset.select(*KEY, "_before", F.posexplode(gc_flags(F.col("seq"))).alias("i", "gc"))
+    within = F.sum("gc").over(Window.partitionBy(*KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return bases.select("chromosome", (F.col("chunk_start") + F.col("i")).alias("pos"), (F.col("_before") + within).alias("gc"))
 
 
-def gc_window_counts(cumsum: DataFrame, fragment_length: int, offset: int) -> DataFrame:
-    """G and C in the window of fragment_length - 2 * offset bases that ends at each position."""
-    width = fragment_length - 2 * offset
-    earlier = cumsum.select("chromosome", (F.col("pos") + width).alias("pos"), F.col("gc").alias("_before"))
-    return cumsum.join(earlier, ["chromosome", "pos"], "left").select("chromosome", "pos", (F.col("gc") - F.coalesce("_before", F.lit(0))).alias("gc"))
+def gc_window_counts(chunks: DataFrame, fragment_length: int, offset: int, width: int = 1000) -> DataFrame:
+    """G and C in the window of fragment_length - 2 * offset bases that ends at each position, from chunks with a margin."""
+    size = fragment_length - 2 * offset
+    rows = with_margins(chunks, size, 0, width).repartition(*KEY).select(*KEY, F.length("head").alias("_h"), F.posexplode(gc_flags(F.concat("head", "seq"))).alias("i", "_gc"))
+    order = Window.partitionBy(*KEY).orderBy("i")
+    rows = rows.withColumn("_run", F.sum("_gc").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_gone", F.lag("_run", size).over(order))
+    return rows.where("i >= _h").select("chromosome", (F.col("chunk_start") + F.col("i") - F.col("_h")).alias("pos"), (F.col("_run") - F.coalesce("_gone", F.lit(0))).alias("gc"))
 
 
 def mappable(track: DataFrame, chromosomes: DataFrame, threshold: int) -> DataFrame:
@@ -58,25 +87,28 @@ def covered(points: DataFrame, intervals: DataFrame, column: str) -> DataFrame:
     return points.join(dealt, (F.col("chromosome") == F.col("_cover_c")) & (F.floor(at / width) == F.col("_cover_b")) & (at >= F.col("_cover_s")) & (at < F.col("_cover_e")), "left_semi")
 
 
-def gc_samples(cumsum: DataFrame, track: DataFrame, chromosomes: DataFrame, fragments: DataFrame, fragment_length: int, offset: int, n: int, threshold: int = 1, seed: int = 0) -> DataFrame:
+def gc_samples(chunks: DataFrame, track: DataFrame, chromosomes: DataFrame, fragments: DataFrame, fragment_length: int, offset: int, n: int, threshold: int = 1, seed: int = 0, width: int = 1000) -> DataFrame:
     """Hashed sample positions: GC share of their window and fragments that start there.
 
     The k-th position is (k * 7919 * 104729 + seed) modulo the genome's length, on
-    the concatenated genome; unmappable starts and windows beyond the end go.
+    the concatenated genome; unmappable starts and windows beyond the end go. A
+    sample meets the chunk that its window ends in, and reads its own bases only.
     """
+    size = fragment_length - 2 * offset
     total = F.sum("length").over(Window.orderBy("chromosome_idx"))
     spans = chromosomes.withColumns({"_to": total, "_from": total - F.col("length")})
     genome = chromosomes.agg(F.sum("length").alias("_genome"))
-    drawn = cumsum.sparkSession.range(n).join(F.broadcast(genome)).select(((F.col("id") * 829348951 + seed) % F.col("_genome")).alias("_p"))
+    drawn = chunks.sparkSession.range(n).join(F.broadcast(genome)).select(((F.col("id") * 829348951 + seed) % F.col("_genome")).alias("_p"))
     placed = drawn.join(F.broadcast(spans), (F.col("_p") >= F.col("_from")) & (F.col("_p") < F.col("_to"))).select("chromosome", (F.col("_p") - F.col("_from")).alias("position"), "length")
     placed = placed.where(F.col("position") + fragment_length - offset - 1 < F.col("length")).drop("length")
     placed = covered(placed, mappable(track, chromosomes, threshold), "position")
-    window = gc_window_counts(cumsum, fragment_length, offset).withColumnRenamed("gc", "_gc")
-    at = placed.withColumn("pos", F.col("position") + fragment_length - offset - 1).join(window, ["chromosome", "pos"])
+    last = F.col("position") + fragment_length - offset - 1
+    near = placed.withColumns({"_last": last, "chunk_start": F.floor(last / width) * width}).join(with_margins(chunks, size, 0, width), KEY)
+    end = F.length("head") + F.col("_last") - F.col("chunk_start") + 1  # of the window, in head and chunk
+    at = near.withColumn("_gc", gc_count(F.substring(F.concat("head", "seq"), F.greatest(end - size + 1, F.lit(1)), F.least(F.lit(size), end))))
     reads = fragments.groupBy("sample_id", "chromosome", F.col("start").alias("position")).agg(F.count("*").alias("read_count"))
-    samples = fragments.select("sample_id").distinct()
-    full = at.crossJoin(F.broadcast(samples)).join(reads, ["sample_id", "chromosome", "position"], "left")
-    return full.select("sample_id", "chromosome", "position", (F.col("_gc") / F.lit(float(fragment_length - 2 * offset))).alias("gc_percent"), F.coalesce("read_count", F.lit(0)).alias("read_count"))
+    full = at.select("chromosome", "position", "_gc").crossJoin(fragments.select("sample_id").distinct()).join(reads, ["sample_id", "chromosome", "position"], "left")
+    return full.select("sample_id", "chromosome", "position", (F.col("_gc") / F.lit(float(size))).alias("gc_percent"), F.coalesce("read_count", F.lit(0)).alias("read_count"))
 
 
 def gc_binned_counts(samples: DataFrame, resolution: int = 100) -> DataFrame:
@@ -120,37 +152,63 @@ def gc_lowess(binned: DataFrame, frac: float = 0.2, passes: int = 3, resolution:
     return fitted.join(top, "sample_id").select("sample_id", F.col("x").cast("int").alias("gc_bin"), F.try_divide("smoothed", "_top").alias("smoothed"))
 
 
-def segment_bias(segments: DataFrame, cumsum: DataFrame, track: DataFrame, chromosomes: DataFrame, curve: DataFrame, mean: float, stddev: float, offset: int, read_length: int, step: int = 10, threshold: int = 1, do_gc: bool = True, do_map: bool = True) -> DataFrame:
+def gc_probability(curve: DataFrame, lengths: DataFrame, resolution: int = 100) -> DataFrame:
+    """(length, gc_count, gc_weight): the curve's share at the GC percentage, rounded down, for all counts of windows of the ``lengths`` (length).
+
+    ``curve`` has gc_bin 0 to ``resolution`` and smoothed; it is scaled to sum 1,
+    and negative values give 0.
+    """
+    share = curve.crossJoin(F.broadcast(curve.agg(F.sum("smoothed").alias("_all")))).select("gc_bin", F.greatest(F.col("smoothed") / F.col("_all"), F.lit(0.0)).alias("gc_weight"))
+    counts = lengths.select("length", F.explode(F.sequence(F.lit(0), F.col("length").cast("int"))).alias("gc_count"))
+    bin_ = F.least(F.floor(F.col("gc_count") / F.col("length") * resolution), F.lit(resolution)).cast("int")
+    return counts.withColumn("gc_bin", bin_).join(share, "gc_bin").select("length", "gc_count", "gc_weight")
+
+
+def segment_bias(
+    segments: DataFrame, chunks: DataFrame, track: DataFrame, chromosomes: DataFrame, curve: DataFrame, mean: float, stddev: float, offset: int, read_length: int,
+    step: int = 10, threshold: int = 1, do_gc: bool = True, do_map: bool = True, width: int = 1000,
+) -> DataFrame:
     """Sum of length density, GC weight of the window and mappability of read and mate over all places of fragments.
 
-    ``curve`` has gc_bin 0 to 100 and smoothed; weights of a window length are
-    looked up by its GC percentage and normalised over its possible counts.
-    Positions of a segment meet each other by equi-joins on shifted positions.
+    Segments are dealt to the chunks that they touch. A chunk, with a margin as
+    long as the longest fragment and the mappable intervals that touch both, holds
+    all that fragments starting in it need, so that bases are never shuffled.
+    Fragments lie within their segment.
     """
     low, high = int(mean - 2.3263478740 * stddev - 1.0), int(mean + 2.3263478740 * stddev + 1.0)
     lengths = [x for x in range(low, high + 1, step) if x >= read_length]
-    spark = cumsum.sparkSession
-    grid = spark.createDataFrame([(x,) for x in lengths], "fragment_length int")
-    counts = grid.select("fragment_length", F.explode(F.sequence(F.lit(0), F.col("fragment_length") - 2 * offset)).alias("gc_count"))
-    looked = counts.withColumn("gc_bin", F.floor(100 * F.col("gc_count") / (F.col("fragment_length") - 2 * offset)).cast("int")).join(curve, "gc_bin").withColumn("_w", F.greatest("smoothed", F.lit(0.0)))
-    table = looked.withColumn("gc_weight", F.col("_w") / F.sum("_w").over(Window.partitionBy("fragment_length"))).select("fragment_length", "gc_count", "gc_weight")
-    width = 10_000
-    dealt = segments.select("segment_idx", F.col("chromosome"), F.col("start").alias("_s"), F.col("end").alias("_e"), bins(F.col("start"), F.col("end") - 1, width).alias("_b"))
-    inside = cumsum.withColumn("_b", F.floor(F.col("pos") / width)).join(dealt, ["chromosome", "_b"]).where((F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e"))).select("segment_idx", "chromosome", "pos", "_e", "gc")
-    good = covered(inside, mappable(track, chromosomes, threshold), "pos").select("segment_idx", "pos", F.lit(1).alias("m"))
-    marked = inside.join(good, ["segment_idx", "pos"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    starts = marked.select("segment_idx", "pos", "_e", F.col("m").alias("m_read")).crossJoin(F.broadcast(grid)).where(F.col("pos") + F.col("fragment_length") < F.col("_e"))
-    if do_map:
-        starts = starts.where("m_read = 1")
-    at = lambda shift, column, name: marked.select("segment_idx", F.col("pos").alias(shift), F.col(column).alias(name))
-    placed = starts.withColumns({"p1": F.col("pos") + F.col("fragment_length") - offset, "p0": F.col("pos") + offset, "pm": F.col("pos") + F.col("fragment_length") - read_length})
-    placed = placed.join(at("p1", "gc", "g1"), ["segment_idx", "p1"]).join(at("p0", "gc", "g0"), ["segment_idx", "p0"]).join(at("pm", "m", "m_mate"), ["segment_idx", "pm"])
-    if do_map:
-        placed = placed.where("m_mate = 1")
-    weighed = placed.withColumn("gc_count", (F.col("g1") - F.col("g0")).cast("int")).join(F.broadcast(table), ["fragment_length", "gc_count"])
-    z = (F.col("fragment_length") - mean) / stddev
-    density = F.exp(-0.5 * z * z) / (stddev * 2.5066282746310002)
-    found = weighed.groupBy("segment_idx").agg(F.sum(density * (F.col("gc_weight") if do_gc else F.lit(1.0))).alias("bias"))
+    spark, margin = chunks.sparkSession, max(lengths)
+    # A row for each length and count: their number depends on the fragments' lengths only.
+    table: dict[int, dict[int, float]] = {}
+    for r in gc_probability(curve, spark.createDataFrame([(x - 2 * offset,) for x in lengths], "length int")).collect():
+        table.setdefault(r["length"], {})[r["gc_count"]] = r["gc_weight"]
+    weights = {x: np.array([table[x - 2 * offset][c] for c in range(x - 2 * offset + 1)]) if do_gc else np.ones(x - 2 * offset + 1) for x in lengths}
+    density = {x: math.exp(-0.5 * ((x - mean) / stddev) ** 2) / (stddev * math.sqrt(2 * math.pi)) for x in lengths}
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                text = np.frombuffer(row.text.encode("ascii"), dtype=np.uint8)
+                gc = np.cumsum(np.isin(text, np.frombuffer(b"GCgc", dtype=np.uint8)))
+                ok = np.zeros(len(text), dtype=bool) if do_map else np.ones(len(text), dtype=bool)
+                for span in row.spans if row.spans is not None else ():
+                    ok[max(0, span["start"] - row.chunk_start) : max(0, span["end"] - row.chunk_start)] = True
+                total = 0.0
+                for x in lengths:
+                    at = np.arange(max(row.start, row.chunk_start), min(row.end - x, row.chunk_start + width)) - row.chunk_start
+                    at = at[ok[at]]
+                    at = at[ok[at + x - read_length]]
+                    total += density[x] * weights[x][gc[at + x - offset] - gc[at + offset]].sum()
+                found.append(total)
+            yield pd.DataFrame({"segment_idx": batch["segment_idx"], "bias": found})
+
+    texts = with_margins(chunks, 0, margin, width).select(*KEY, F.concat("seq", "tail").alias("text"))
+    deal = lambda rows, first: rows.where(F.col("end") > F.col("start")).withColumn("_bin", bins(first, F.col("end") - 1, width)).withColumn("chunk_start", F.col("_bin") * width).drop("_bin")
+    dealt = deal(segments.select("segment_idx", "chromosome", "start", "end"), F.col("start"))
+    near = deal(mappable(track, chromosomes, threshold), F.greatest(F.col("start") - margin, F.lit(0))).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    placed = dealt.join(texts.join(near, KEY, "left"), KEY).select("segment_idx", "chunk_start", "start", "end", "text", "spans")
+    found = placed.mapInPandas(weigh, "segment_idx long, bias double").groupBy("segment_idx").agg(F.sum("bias").alias("bias"))
     return segments.join(found, "segment_idx", "left").withColumn("bias", F.coalesce("bias", F.lit(0.0)))
 
 
@@ -167,10 +225,8 @@ def reverse_complement(column: Column) -> Column:
 
 def kmers(chunks: DataFrame, k: int, width: int = 1000) -> DataFrame:
     """All k-mers without N, upper case, from chunks that borrow the next chunk's first k - 1 bases."""
-    after = Window.partitionBy("chromosome").orderBy("chunk_start")
-    text = F.upper(F.concat("seq", F.coalesce(F.substring(F.lead("seq").over(after), 1, k - 1), F.lit(""))))
-    joined = chunks.select("chromosome", "chunk_start", text.alias("s")).where(F.length("s") >= k)
-    rows = joined.select("chromosome", "chunk_start", F.explode(F.sequence(F.lit(1), F.least(F.length("s") - (k - 1), F.lit(width)))).alias("i"), "s")
+    joined = with_margins(chunks, 0, k - 1, width).select(*KEY, F.upper(F.concat("seq", "tail")).alias("s")).where(F.length("s") >= k)
+    rows = joined.select(*KEY, F.explode(F.sequence(F.lit(1), F.least(F.length("s") - (k - 1), F.lit(width)))).alias("i"), "s")
     found = rows.select("chromosome", (F.col("chunk_start") + F.col("i") - 1).alias("start"), F.substring(F.col("s"), F.col("i"), F.lit(k)).alias("kmer"))
     return found.where(~F.contains("kmer", F.lit("N"))).withColumn("id", F.concat_ws(":", "chromosome", "start"))
 

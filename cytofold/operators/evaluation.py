@@ -44,11 +44,17 @@ def segment_copy_number(path: DataFrame) -> DataFrame:
     return path.groupBy("clone", "segment", "allele").agg(F.count("*").alias("copies"))
 
 
-def path_sequences(path: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Sequence of each path: the pieces (segment, seq) of its elements in order, reversed and complemented where orient < 0."""
-    joined = path.join(pieces, "segment").withColumn("_s", F.when(F.col("orient") < 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+def path_sequences(path: DataFrame, pieces: DataFrame, elements: int = 1000) -> DataFrame:
+    """(clone, chain, part, sequence): the pieces (segment, seq) of each path in order, reversed and complemented where orient < 0.
+
+    A part holds ``elements`` of them, so that no row holds a whole chromosome;
+    parts one after the other are the path's sequence.
+    """
+    rank = F.row_number().over(Window.partitionBy("clone", "chain").orderBy("ord")) - 1
+    numbered = path.select("clone", "chain", "ord", "segment", "orient", F.floor(rank / elements).alias("part"))
+    joined = numbered.join(pieces, "segment").withColumn("_s", F.when(F.col("orient") < 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "_s")))
-    return joined.groupBy("clone", "chain").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), "").alias("sequence"))
+    return joined.groupBy("clone", "chain", "part").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), "").alias("sequence"))
 
 
 def path_breakpoints(path: DataFrame, wild_type: DataFrame) -> DataFrame:

@@ -17,21 +17,24 @@ FIXTURES: dict[str, str] = {
     "gaps": """select chromosome, length // 2 as start, length // 2 + 1500 as "end" from chromosomes""",
     "snps": "select chromosome, 250 * k + 1 as position, 'A' as ref, 'G' as alt, cast(k % 3 as int) as gt from ROWS(400) cross join chromosomes where 250 * k + 1 < length",
     "haplotypes": "select chromosome, position, cast(a.k as int) as allele, position // 20000 as hap_label, cast(a.k as int) as allele_id from snps cross join ROWS(2) a where gt = 1",
-    "genome_bases": """select chromosome, p.k as pos, case when p.k >= length // 2 and p.k < length // 2 + 1500 then 'N'
-        when (p.k * 7919) % 101 < 35 + ((p.k // 5000) % 7) * 5 then case when p.k % 2 = 0 then 'G' else 'C' end
-        when p.k % 2 = 0 then 'A' else 'T' end as base from ROWS(100000) p cross join chromosomes where p.k < length""",
-    "mappability": """select chromosome, 1000 * k as start, least(1000 * k + 1000, length) as "end", cast((k * 37) % 61 as int) as quality from ROWS(100) cross join chromosomes where 1000 * k < length""",
-    "phasing_samples": """select cast(n as int) as sample_no, chromosome, position, cast(((position // 4000) % 2 + flip) % 2 as int) as allele1, cast(1 - ((position // 4000) % 2 + flip) % 2 as int) as allele2
-        from (select s.k as n, chromosome, position, case when (s.k * 13 + (position // 250) * 7) % 41 = 0 then 1 else 0 end as flip from snps cross join ROWS(20) s where gt = 1) q""",
     "fragments": """select sample_id, chromosome, fragment_id, start, start + 100 + qty * 8 as "end", mapping_quality, is_duplicate, hap, err from (
         select case l_returnflag when 'A' then 'normal' when 'N' then 'tumour_1' else 'tumour_2' end as sample_id, cast(1 + l_suppkey % 5 as string) as chromosome,
         ((((l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber) * 100 + cast(l_quantity as bigint)) as fragment_id,
         (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 15485863) % (100000 - 10000 * (l_suppkey % 5)) as start, cast(l_quantity as bigint) as qty,
         cast(round(l_discount * 100) as int) * 6 as mapping_quality, case when l_linenumber = 7 then 1 else 0 end as is_duplicate, cast(l_linenumber % 2 as int) as hap, l_orderkey % 101 as err from lineitem) q""",
+    "mutations": "select chromosome, start as pos, min((fragment_id // 10000000) % 4) as v from fragments group by chromosome, start",
+    "genome_bases": """select g.chromosome, g.pos, case when g.pos >= length // 2 and g.pos < length // 2 + 1500 then 'N' when v is not null then substr('ACGT', cast(1 + v as int), 1)
+        when (g.pos * 7919) % 101 < 35 + ((g.pos // 5000) % 7) * 5 then case when g.pos % 2 = 0 then 'G' else 'C' end
+        when g.pos % 2 = 0 then 'A' else 'T' end as base from (select chromosome, length, p.k as pos from ROWS(100000) p cross join chromosomes where p.k < length) g
+        left join mutations m on m.chromosome = g.chromosome and m.pos = g.pos""",
+    "mappability": """select chromosome, 1000 * k as start, least(1000 * k + 1000, length) as "end", cast((k * 37) % 61 as int) as quality from ROWS(100) cross join chromosomes where 1000 * k < length""",
     "alleles": """select sample_id, chromosome, fragment_id, position, cast(case when err = 0 then 1 - t else t end as int) as is_alt from (
         select f.sample_id, f.chromosome, f.fragment_id, p.position, f.err, case p.gt when 0 then 0 when 2 then 1 else f.hap end as t
         from (select *, start // 2000 as b from fragments union all select *, start // 2000 + 1 as b from fragments) f
         join (select *, position // 2000 as b from snps) p on f.chromosome = p.chromosome and f.b = p.b and p.position >= f.start and p.position < f."end") q""",
+    "phasing_samples": """select cast(n as int) as sample_no, chromosome, position, cast(((position // 4000) % 2 + flip) % 2 as int) as allele1, cast(1 - ((position // 4000) % 2 + flip) % 2 as int) as allele2
+        from (select s.k as n, chromosome, position, case when (s.k * 13 + alts * 7 + n) % 41 = 0 then 1 else 0 end as flip from (
+        select a.chromosome, a.position, count(*) as n, sum(is_alt) as alts from alleles a join snps p on p.chromosome = a.chromosome and p.position = a.position where gt = 1 group by a.chromosome, a.position) c cross join ROWS(20) s) q""",
     "alignments": """select sample_id, chromosome, concat('r', fragment_id) as name, cast(1 - m.k as int) as is_first, case when m.k = 0 then start else "end" - 100 end as pos,
         case when m.k = 0 then "end" - start else start - "end" end as insert_size, mapping_quality, case when fragment_id % 13 = 0 then '20S80M' when fragment_id % 7 = 0 then '5S95M' else '100M' end as cigar,
         1 as is_primary, 1 as is_proper_pair, 1 as is_mapped, 0 as is_failed_qc, is_duplicate, fragment_id, hap, err from fragments cross join ROWS(2) m""",

@@ -104,9 +104,9 @@ def bin_read_counts(t):
     return iv.contained_counts(sg.fixed_bins(t.chromosomes, 1000), good(t), ["sample_id"], width=1000)
 
 
-@query('select chromosome, 3000 * k as start, 3000 * k + 3000 as "end" from chromosomes cross join (select range as k from range(40)) where 3000 * k < length')
+@query('select chromosome, 3000 * k as start, 3000 * k + 3000 as "end" from (select chromosome, max("end") as length from fragments group by 1) cross join (select range as k from range(40)) where 3000 * k < length')
 def fixed_bins(t):
-    return sg.fixed_bins(t.chromosomes, 3000)
+    return sg.fixed_bins(t.fragments.groupBy("chromosome").agg(F.max("end").alias("length")), 3000)
 
 
 REINDEX = """cuts as (select distinct sample_id, chromosome, p from (select sample_id, chromosome, start as p from cn_profiles union all select sample_id, chromosome, "end" from cn_profiles
@@ -165,10 +165,10 @@ def segment_remap(t):
     return sg.segment_remap(t.segments, t.fragments.select("fragment_id", F.col("start").alias("position")), 5_000)
 
 
-@query("""with x as (select fragment_id, start // 250 as k, cast((start * 37) % 3 as int) as q from fragments where chromosome = '1'), y as (select distinct k as position, q as quality from (select k, min(q) as q from x group by k)),
-    z as (select *, position - row_number() over (partition by quality order by position) as g from y) select '1' as chromosome, quality, min(position) as start, max(position) + 1 as "end" from z group by quality, g""")
+@query("""with x as (select chromosome, start // 50 as k, cast((start * 37) % 3 as int) as q from fragments), y as (select chromosome, k as position, max(q) as quality from x group by all),
+    z as (select *, position - row_number() over (partition by chromosome, quality order by position) as g from y) select chromosome, quality, min(position) as start, max(position) + 1 as "end" from z group by chromosome, quality, g""")
 def mappability_runs(t):
-    rows = t.fragments.where("chromosome = '1'").groupBy("chromosome", F.expr("start div 250").alias("position")).agg(F.min((F.col("start") * 37 % 3).cast("int")).alias("quality"))
+    rows = t.fragments.groupBy("chromosome", F.expr("start div 50").alias("position")).agg(F.max((F.col("start") * 37 % 3).cast("int")).alias("quality"))
     return sg.position_runs(rows, "quality")
 
 

@@ -485,14 +485,13 @@ def state_distribution(t):
     return rounded(rows, ["proportion"])
 
 
-PATH = "path as (select c_custkey % 3 as clone, chromosome as chain, row_number() over (partition by c_custkey % 3, chromosome order by c_custkey, start) as ord, (k * 3 + c_custkey) % 12 as segment, case when (k + c_custkey) % 5 = 0 then -1 else 1 end as orient, major_1 % 2 as allele from cn_profiles where c_custkey <= 60)"
+PATH = "path as (select c_custkey as clone, chromosome as chain, k as ord, (k * 3 + c_custkey) % 12 as segment, case when (k + c_custkey) % 5 = 0 then -1 else 1 end as orient, major_1 % 2 as allele from cn_profiles)"
 
 
 def path_of(t: Tables) -> DataFrame:
-    w = Window.partitionBy(F.col("c_custkey") % 3, "chromosome").orderBy("c_custkey", "start")
-    return t.cn_profiles.where("c_custkey <= 60").select(
-        (F.col("c_custkey") % 3).alias("clone"), F.col("chromosome").alias("chain"), F.row_number().over(w).alias("ord"), ((F.col("k") * 3 + F.col("c_custkey")) % 12).alias("segment"), F.when((F.col("k") + F.col("c_custkey")) % 5 == 0, -1).otherwise(1).alias("orient"), (F.col("major_1") % 2).alias("allele")
-    )
+    """The chromosomes of each customer's clone as paths of segments."""
+    segment, orient = (F.col("k") * 3 + F.col("c_custkey")) % 12, F.when((F.col("k") + F.col("c_custkey")) % 5 == 0, -1).otherwise(1)
+    return t.cn_profiles.select(F.col("c_custkey").alias("clone"), F.col("chromosome").alias("chain"), F.col("k").alias("ord"), segment.alias("segment"), orient.alias("orient"), (F.col("major_1") % 2).alias("allele"))
 
 
 @query(f"with {PATH} select clone, segment, allele, count(*) as copies from path group by all")
@@ -505,11 +504,17 @@ PATHB = f"""{PATH}, e as (select clone, segment as n1, case when orient > 0 then
     pb as (select clone, n_1, side_1, n_2, side_2, count(*) as copies from cn where not (side_1 = 1 and side_2 = 0 and n_2 = n_1 + 1) group by all)"""
 
 
-@query(f"""with {PATH}, pc as (select pos // 50 as segment, string_agg(base, '' order by pos) as seq from genome_bases where chromosome = '1' and pos < 600 group by 1)
-    select clone, chain, string_agg(case when orient < 0 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end, '' order by ord) as sequence from path join pc using (segment) group by all""")
+PIECES = "pc as (select chromosome, pos // 500 as segment, string_agg(base, '' order by pos) as seq from genome_bases group by all), steps as (select c_custkey as clone, p.chromosome as chain, k as ord, (k * 17 + c_custkey) % (c.length // 500) as segment, case when (k + c_custkey) % 5 = 0 then -1 else 1 end as orient from cn_profiles p join chromosomes c on c.chromosome = p.chromosome)"
+
+
+@query(f"""with {PIECES}, n as (select *, (row_number() over (partition by clone, chain order by ord) - 1) // 4 as part from steps)
+    select clone, chain, part, string_agg(case when orient < 0 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end, '' order by ord) as sequence from n join pc on pc.chromosome = n.chain and pc.segment = n.segment group by all""")
 def path_sequences(t):
-    pieces = bs.genome_chunks(t.genome_bases.where("chromosome = '1' and pos < 600"), 50).select(F.expr("chunk_start div 50").alias("segment"), "seq")
-    return ev.path_sequences(path_of(t), pieces)
+    pieces = bs.genome_chunks(t.genome_bases, 500).select("chromosome", F.expr("chunk_start div 500").alias("segment"), "seq")
+    lengths = t.chromosomes.select(F.col("chromosome").alias("chain"), "length")
+    steps = path_of(t).join(F.broadcast(lengths), "chain").withColumn("segment", F.expr("(ord * 17 + clone) % (length div 500)"))
+    named = lambda c: F.concat_ws(":", c, "segment").alias("segment")
+    return ev.path_sequences(steps.withColumn("segment", named("chain")), pieces.select(named("chromosome"), "seq"), 4).withColumn("part", F.col("part").cast("long"))
 
 
 def path_edges(t: Tables) -> DataFrame:
@@ -527,13 +532,13 @@ def collapse_allele_breakpoints(t):
     return path_edges(t).groupBy("n_1", "side_1", "n_2", "side_2").agg(F.sum("copies").alias("copies"))
 
 
-BAL = f"""{PATHB}, tot as (select (k * 3 + c_custkey) % 12 as segment_idx, count(*) % 2 as total from cn_profiles where c_custkey <= 3 group by 1), nd as (select distinct n_1 * 1000 + n_2 * 10 + side_1 * 2 + side_2 as prediction_id, n_1, side_1, n_2, side_2 from pb),
+BAL = f"""{PATHB}, tot as (select (k * 3 + c_custkey) % 12 as segment_idx, count(*) % 2 as total from cn_profiles group by 1), nd as (select distinct n_1 * 1000 + n_2 * 10 + side_1 * 2 + side_2 as prediction_id, n_1, side_1, n_2, side_2 from pb),
     en as (select prediction_id, n_1 as n, side_1 as side from nd union all select prediction_id, n_2, side_2 from nd), ch as (select prediction_id, abs(h.total - o.total) as d from en join tot h on h.segment_idx = en.n join tot o on o.segment_idx = (case when side = 1 then n + 1 else n + 11 end) % 12)"""
 
 
 @query(f"with {BAL} select prediction_id from ch group by 1 having sum(d) = 0")
 def balanced_breakpoints(t):
-    totals = t.cn_profiles.where("c_custkey <= 3").groupBy(((F.col("k") * 3 + F.col("c_custkey")) % 12).alias("segment_idx")).agg((F.count("*") % 2).alias("total"))
+    totals = t.cn_profiles.groupBy(((F.col("k") * 3 + F.col("c_custkey")) % 12).alias("segment_idx")).agg((F.count("*") % 2).alias("total"))
     ident = F.col("n_1") * 1000 + F.col("n_2") * 10 + F.col("side_1") * 2 + F.col("side_2")
     return ev.balanced_breakpoints(path_edges(t).select(ident.alias("prediction_id"), "n_1", "side_1", "n_2", "side_2").distinct(), totals, 12)
 
@@ -615,18 +620,14 @@ def clone_depths(t):
 # Bias
 
 
-@query("select chromosome, pos, sum(case when base in ('G', 'C') then 1 else 0 end) over (partition by chromosome order by pos) as gc from genome_bases where pos < (select max(o_orderkey) from orders)")
+@query("select chromosome, pos, sum(case when base in ('G', 'C') then 1 else 0 end) over (partition by chromosome order by pos) as gc from genome_bases")
 def gc_cumsum(t):
-    top = t.orders.agg(F.max("o_orderkey").alias("top"))
-    bases = t.genome_bases.join(F.broadcast(top), F.col("pos") < F.col("top")).drop("top")
-    return bs.gc_cumsum(bs.genome_chunks(bases)).withColumn("gc", F.col("gc").cast("long"))
+    return bs.gc_cumsum(bs.genome_chunks(t.genome_bases)).withColumn("gc", F.col("gc").cast("long"))
 
 
-@query("select chromosome, pos, sum(case when base in ('G', 'C') then 1 else 0 end) over (partition by chromosome order by pos rows between 91 preceding and current row) as gc from genome_bases where pos < (select max(o_orderkey) from orders)")
+@query("select chromosome, pos, sum(case when base in ('G', 'C') then 1 else 0 end) over (partition by chromosome order by pos rows between 91 preceding and current row) as gc from genome_bases")
 def gc_window_counts(t):
-    top = t.orders.agg(F.max("o_orderkey").alias("top"))
-    bases = t.genome_bases.join(F.broadcast(top), F.col("pos") < F.col("top")).drop("top")
-    return bs.gc_window_counts(bs.gc_cumsum(bs.genome_chunks(bases)), 100, 4).withColumn("gc", F.col("gc").cast("long"))
+    return bs.gc_window_counts(bs.genome_chunks(t.genome_bases), 100, 4).withColumn("gc", F.col("gc").cast("long"))
 
 
 @query('select m.chromosome, m.start, count(*) as n from mappability m join fragments f on f.chromosome = m.chromosome and f.start >= m.start and f.start < m."end" where quality >= 30 group by all')
@@ -642,7 +643,7 @@ SAMPLES = """cs as (select chromosome, length, sum(length) over (order by chromo
 
 
 def samples_of(t: Tables) -> DataFrame:
-    return bs.gc_samples(bs.gc_cumsum(bs.genome_chunks(t.genome_bases)), t.mappability, t.chromosomes, t.fragments, 100, 4, 20_000)
+    return bs.gc_samples(bs.genome_chunks(t.genome_bases), t.mappability, t.chromosomes, t.fragments, 100, 4, 20_000)
 
 
 @query(f"with {SAMPLES} select sample_id, chromosome, position, round(gc_percent, 6) as gc_percent, read_count from gsam")
@@ -686,7 +687,7 @@ def biased_length(t):
 
 
 BIAS = """cum as (select chromosome, pos, sum(case when base in ('G', 'C') then 1 else 0 end) over (partition by chromosome order by pos) as gc from genome_bases), pm as (select cum.*, m.quality >= 1 as ok from cum join mappability m on m.chromosome = cum.chromosome and pos >= m.start and pos < m."end"),
-    ls as (select 168 + 10 * range as ln from range(7)), ws as (select ln, c, s / sum(s) over (partition by ln) as w from (select ln, c.range as c, greatest(1 - abs(floor(100 * c.range / (ln - 8)) - 45) / 100, 0) as s from ls, range(221) c where c.range <= ln - 8) q),
+    ls as (select 168 + 10 * range as ln from range(7)), ws as (select ln, c.range as c, (1 - abs(least(floor(c.range / (ln - 8) * 100), 100) - 45) / 100) / (select sum(1 - abs(range - 45) / 100) from range(101)) as w from ls, range(221) c where c.range <= ln - 8),
     pl as (select s.segment_idx, ln, g1.gc - g0.gc as c from segments s join pm p on p.chromosome = s.chromosome and p.pos >= s.start and p.pos < s."end" join ls on p.pos + ln < s."end" join pm m on m.chromosome = p.chromosome and m.pos = p.pos + ln - 50 join cum g1 on g1.chromosome = p.chromosome and g1.pos = p.pos + ln - 4
     join cum g0 on g0.chromosome = p.chromosome and g0.pos = p.pos + 4 where p.ok and m.ok), bb as (select segment_idx, sum(w * exp(-0.5 * pow((ln - 200) / 13, 2)) / (13 * sqrt(2 * pi()))) as b from pl join ws using (ln, c) group by 1)"""
 
@@ -694,23 +695,23 @@ BIAS = """cum as (select chromosome, pos, sum(case when base in ('G', 'C') then
 @query(f"with {BIAS} select s.segment_idx, round(coalesce(b, 0), 6) as bias from segments s left join bb on bb.segment_idx = s.segment_idx")
 def segment_bias(t):
     curve = t.spark.range(101).select(F.col("id").cast("int").alias("gc_bin"), (1 - F.abs(F.col("id") - 45) / 100).alias("smoothed"))
-    rows = bs.segment_bias(t.segments, bs.gc_cumsum(bs.genome_chunks(t.genome_bases)), t.mappability, t.chromosomes, curve, 200.0, 13.0, 4, 50)
+    rows = bs.segment_bias(t.segments, bs.genome_chunks(t.genome_bases), t.mappability, t.chromosomes, curve, 200.0, 13.0, 4, 50)
     return rounded(rows.select("segment_idx", "bias"), ["bias"])
 
 
-@query("select f.fragment_id, round(w, 8) as weight from (select *, fragment_id % 93 as c from fragments) f join (select c, s / sum(s) over () as w from (select range as c, 1 - abs(floor(100 * range / 92) - 45) / 100.0 as s from range(93)) x) t on t.c = f.c")
+@query("""with x as (select fragment_id, "end" - start as l, fragment_id % ("end" - start + 1) as c from fragments), s as (select range as b, (1 - abs(range - 45) / 100) / sum(1 - abs(range - 45) / 100) over () as w from range(101))
+    select fragment_id, round(w, 8) as weight from x join s on b = least(floor(c / l * 100), 100)""")
 def gc_probability(t):
-    bins_ = t.spark.range(93).select(F.col("id").alias("c"), (1 - F.abs(F.floor(100 * F.col("id") / 92) - 45) / 100).alias("s"))
-    table = bins_.withColumn("w", F.col("s") / F.sum("s").over(Window.partitionBy(F.lit(1))))
-    return t.fragments.withColumn("c", F.col("fragment_id") % 93).join(F.broadcast(table), "c").select("fragment_id", r("w", 8).alias("weight"))
+    curve = t.spark.range(101).select(F.col("id").cast("int").alias("gc_bin"), (1 - F.abs(F.col("id") - 45) / 100).alias("smoothed"))
+    rows = t.fragments.select("fragment_id", (F.col("end") - F.col("start")).alias("length"), (F.col("fragment_id") % (F.col("end") - F.col("start") + 1)).cast("int").alias("gc_count"))
+    return rows.join(bs.gc_probability(curve, rows.select("length").distinct()), ["length", "gc_count"]).select("fragment_id", r("gc_weight", 8).alias("weight"))
 
 
-TEXT = "txt as (select chromosome, pos, base from genome_bases where pos < (select count(*) // 20 from lineitem)), km as (select chromosome, pos as start, string_agg(base, '') over (partition by chromosome order by pos rows between current row and 11 following) as kmer from txt), kk as (select * from km where length(kmer) = 12 and kmer not like '%N%')"
+TEXT = "km as (select chromosome, pos as start, string_agg(base, '') over (partition by chromosome order by pos rows between current row and 11 following) as kmer from genome_bases), kk as (select * from km where length(kmer) = 12 and kmer not like '%N%')"
 
 
 def kmers_of(t: Tables) -> DataFrame:
-    top = t.lineitem.agg(F.expr("count(*) div 20").alias("top"))
-    return bs.kmers(bs.genome_chunks(t.genome_bases.join(F.broadcast(top), F.col("pos") < F.col("top")).drop("top")), 12)
+    return bs.kmers(bs.genome_chunks(t.genome_bases), 12)
 
 
 @query(f"with {TEXT} select chromosome, start, kmer, concat(chromosome, ':', start) as id from kk")
