@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.sources.storage import materialise
+
 EPSILON = 1e-16
 
 
@@ -87,17 +89,29 @@ def weighted_percentile(rows: DataFrame, by: list[str], value: str, weight: str,
     return reached.groupBy(*by).agg(F.min(value).alias("value"))
 
 
-def minor_modes(depths: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:
-    """Centres of k-means on length-weighted minor depths of one sample; the top 5 % and clusters under 1 % of the weight go."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def minor_modes(depths: DataFrame, k: int = 5, by: str = "sample_id", passes: int = 50) -> DataFrame:
+    """(by, centre): centres of k-means on length-weighted minor depths of each sample; the top 5 % and clusters under 1 % of the weight go.
 
-    cut = depths.select(F.percentile("minor", 0.95).alias("_cut"))
-    low = depths.join(F.broadcast(cut)).where((F.col("minor") < F.col("_cut")) & (F.col("length") > 0))
-    points = VectorAssembler(inputCols=["minor"], outputCol="point").transform(low)
-    placed = KMeans(k=k, seed=seed, featuresCol="point", predictionCol="mode", weightCol="length").fit(points).transform(points)
-    sums = placed.groupBy("mode").agg(F.sum("length").alias("w"), (F.sum(F.col("minor") * F.col("length")) / F.sum("length")).alias("centre"))
-    return sums.withColumn("_all", F.sum("w").over(Window.partitionBy(F.lit(1)))).where(F.col("w") >= 0.01 * F.col("_all")).select("centre")
+    All samples take their steps together, from weighted quantiles of their
+    depths, until no centre moves or ``passes`` are over.
+    """
+    cut = depths.groupBy(by).agg(F.percentile("minor", 0.95).alias("_cut"))
+    low = depths.join(cut, by).where((F.col("minor") < F.col("_cut")) & (F.col("length") > 0))
+    # Equal depths are one point with their lengths added up.
+    points = materialise(low.groupBy(by, F.col("minor").alias("x")).agg(F.sum("length").alias("w")), "mode-points")
+    upto = Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    parts = points.withColumn("_part", F.least(F.floor((F.sum("w").over(upto) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy(by)) * k), F.lit(k - 1)))
+    mean = (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("centre")
+    centres = materialise(parts.groupBy(by, F.col("_part").alias("mode")).agg(mean, F.sum("w").alias("w")), "modes")
+    for _ in range(passes):
+        listed = centres.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("centre", "mode"))).alias("_c"))
+        nearest = F.array_min(F.transform("_c", lambda c: F.struct(F.abs(F.col("x") - c["centre"]).alias("d"), c["mode"].alias("mode"))))["mode"]
+        moved = materialise(points.join(listed, by).withColumn("mode", nearest).groupBy(by, "mode").agg(mean, F.sum("w").alias("w")), "modes")
+        still = moved.join(centres.select(by, "mode", F.col("centre").alias("_was")), [by, "mode"], "left").where(~(F.abs(F.col("centre") - F.col("_was")) <= 1e-12)).isEmpty()
+        centres = moved
+        if still:
+            break
+    return centres.withColumn("_all", F.sum("w").over(Window.partitionBy(by))).where(F.col("w") >= 0.01 * F.col("_all")).select(by, "centre")
 
 
 def concat_position(rows: DataFrame, offsets: DataFrame, columns: list[str]) -> DataFrame:

@@ -111,16 +111,48 @@ def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float,
     return scored.drop(*(c for c in scored.columns if c.startswith("_")))
 
 
+def segment_state_likelihoods(segments: DataFrame, states: DataFrame, h: tuple[float, float, float], r: tuple[float, float] = (500.0, 10.0), m: tuple[float, float] = (500.0, 10.0)) -> DataFrame:
+    """Log-likelihoods of every segment and state by indicator: total_u for the outlier u, allele_vw for the outlier v and the swap w.
+
+    Segments without allele reads have allele terms of 0.
+    """
+    double = lambda c: F.col(c).cast("double")
+    counts = segments.withColumns({"_x": double("readcount"), "_k": double("minor_readcount"), "_j": double("major_readcount"), "_n": double("major_readcount") + double("minor_readcount")})
+    x, n, k, j = (F.col(c) for c in ("_x", "_n", "_k", "_j"))
+    counts = counts.withColumns({f"_total_{u}": lk.negbin_counts(x, F.lit(r[u])) for u in (0, 1)} | {f"_allele_{v}": lk.betabin_counts(k, n, F.lit(m[v])) for v in (0, 1)})
+    depth, ratio = expected(h)
+    table = states.withColumns({"_depth": depth, "_p": ratio}).withColumns({f"_ratio_{v}": lk.betabin_ratio(F.col("_p"), F.lit(m[v])) for v in (0, 1)})
+    rows = counts.crossJoin(F.broadcast(table))  # the table's size depends on the largest copy number only
+    mu = F.col("_depth") * F.col("length")
+    out = {f"total_{u}": F.col(f"_total_{u}") + lk.negbin_mean(x, mu, F.lit(r[u])) for u in (0, 1)}
+    for v in (0, 1):
+        for w, (a, b) in enumerate(((k, j), (j, k))):
+            both = F.col(f"_allele_{v}") - F.col(f"_ratio_{v}") + lk.betabin_both(a, b, F.col("_p"), F.lit(m[v]))
+            out[f"allele_{v}{w}"] = F.when(n > 0, both).otherwise(F.lit(0.0))
+    scored = rows.withColumns(out)
+    return scored.drop(*(c for c in scored.columns if c.startswith("_")))
+
+
 def segment_map_state(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Best state of each segment, neighbours ignored; ties go to the first state."""
     return scores.groupBy(*keys).agg(F.max_by("state", F.struct(F.col("score"), -F.col("state"))).alias("state"))
 
 
-def outlier_responsibilities(posteriors: DataFrame, keys: list[str], prior: float = 0.01) -> DataFrame:
-    """P(outlier) of segments: softmax of prior and expected log-likelihood (posterior, ll_0, ll_1 by state)."""
-    sums = posteriors.groupBy(*keys).agg(F.sum(F.col("posterior") * F.col("ll_0")).alias("e0"), F.sum(F.col("posterior") * F.col("ll_1")).alias("e1"))
-    a, b = F.log(F.lit(1 - prior)) + F.col("e0"), F.log(F.lit(prior)) + F.col("e1")
-    return sums.withColumn("p_outlier", 1 / (1 + F.exp(a - b))).drop("e0", "e1")
+def outlier_responsibilities(posteriors: DataFrame, keys: list[str], prior_total: float = 0.01, prior_allele: float = 0.01, swap: float = 0.5) -> DataFrame:
+    """p_outlier_total, p_outlier_allele and p_allele_swap of segments from posterior and likelihoods by state (see ``segment_state_likelihoods``).
+
+    Each is the softmax of its prior and its expected log-likelihood, one update
+    in this order: alleles see the probability ``swap`` of a swap held so far, the
+    swap sees the allele outliers just found, and has no prior.
+    """
+    names = ("total_0", "total_1", "allele_00", "allele_01", "allele_10", "allele_11")
+    rows = posteriors.groupBy(*keys).agg(*(F.sum(F.col("posterior") * F.col(c)).alias(f"_{c}") for c in names))
+    share = lambda no, yes: 1 / (1 + F.exp(no - yes))
+    prior = lambda p: math.log(1 - p) - math.log(p)
+    swapped = lambda v: (1 - swap) * F.col(f"_allele_{v}0") + swap * F.col(f"_allele_{v}1")
+    rows = rows.withColumns({"p_outlier_total": share(prior(prior_total) + F.col("_total_0"), F.col("_total_1")), "p_outlier_allele": share(prior(prior_allele) + swapped(0), swapped(1))})
+    kept = lambda w: (1 - F.col("p_outlier_allele")) * F.col(f"_allele_0{w}") + F.col("p_outlier_allele") * F.col(f"_allele_1{w}")
+    return rows.withColumn("p_allele_swap", share(kept(0), kept(1))).drop(*(f"_{c}" for c in names))
 
 
 def state_arrays(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,9 +247,11 @@ def decode_breakpoints_by_transition(changes: DataFrame, states: DataFrame, pena
     return scored.groupBy("prediction_id").agg(F.min_by(F.struct("cn_1", "cn_2"), F.struct("cost", "brk_state")).alias("b")).select("prediction_id", "b.cn_1", "b.cn_2")
 
 
-def state_class_weights(posteriors: DataFrame, flagged: DataFrame, keys: list[str]) -> DataFrame:
-    """Weight of segments by posterior of flagged states, normalised by sample; null where all are 0."""
+def state_class_weights(posteriors: DataFrame, flagged: DataFrame, keys: list[str], outliers: DataFrame | None = None) -> DataFrame:
+    """Weight of segments by posterior of flagged states, times ``factor`` of ``outliers`` (keys, segment_idx), normalised by sample; null where all are 0."""
     sums = posteriors.join(F.broadcast(flagged), "state", "left_semi").groupBy(*keys, "segment_idx").agg(F.sum("posterior").alias("_w"))
+    if outliers is not None:
+        sums = sums.join(outliers.select(*keys, "segment_idx", "factor"), [*keys, "segment_idx"]).withColumn("_w", F.col("_w") * F.col("factor"))
     total = sums.groupBy(*keys).agg(F.sum("_w").alias("_t"))
     return sums.join(total, keys).select(*keys, "segment_idx", F.when(F.col("_t") > 0, F.col("_w") / F.col("_t")).alias("weight"))
 
@@ -228,12 +262,23 @@ def normal_copies(segments: DataFrame, male: bool) -> DataFrame:
     return segments.withColumns({"normal_major": F.lit(1), "normal_minor": F.when(on_x, 0).otherwise(1)})
 
 
-def depth_gradient(rows: DataFrame, by: list[str], r: float = 500.0, family: str = "negbin") -> DataFrame:
-    """Sum over segments of the derivative of the total log-likelihood with respect to each haploid depth."""
+def depth_gradient(rows: DataFrame, by: list[str], r: float = 500.0, family: str = "negbin", r_noise: float = 10.0, z: float = lk.NOISE) -> DataFrame:
+    """Sum over segments of the derivative of the total log-likelihood with respect to each haploid depth.
+
+    Families: ``poisson``, ``negbin`` and ``mixture``, whose components weigh in by
+    their shares of the likelihood.
+    """
     mu = sum((F.col(f"h_{m}") * F.col(f"total_{m}") for m in range(3)), F.lit(0.0)) * F.col("length") + 1e-16
-    x = F.col("readcount")
-    slope = x / mu - 1 if family == "poisson" else x / mu - (x + r) / (r + mu)
-    return rows.groupBy(*by).agg(*(F.sum(slope * F.col(f"total_{m}") * F.col("length")).alias(f"grad_{m}") for m in range(3)))
+    rows = rows.withColumns({"_mu": mu, "_x": F.col("readcount").cast("double")})
+    x, mu = F.col("_x"), F.col("_mu")
+    negbin = lambda size: x / mu - (x + size) / (size + mu)
+    if family == "mixture":
+        rows = rows.withColumns({"_a": math.log(1 - z) + lk.negbin(x, mu, F.lit(r)), "_b": math.log(z) + lk.negbin(x, mu, F.lit(r_noise))})
+        share = 1 / (1 + F.exp(F.col("_b") - F.col("_a")))
+        slope = share * negbin(r) + (1 - share) * negbin(r_noise)
+    else:
+        slope = x / mu - 1 if family == "poisson" else negbin(r)
+    return rows.withColumn("_slope", slope).groupBy(*by).agg(*(F.sum(F.col("_slope") * F.col(f"total_{m}") * F.col("length")).alias(f"grad_{m}") for m in range(3)))
 
 
 def argmax_column(rows: DataFrame, columns: list[str]) -> DataFrame:

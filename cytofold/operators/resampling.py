@@ -1,39 +1,57 @@
-"""Resampling of fragments with replacement."""
+"""Resampling of fragments with replacement, to the depths of a mixture of genomes."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.functions.likelihood import log_gamma
+from cytofold.operators.intervals import find_contained_segments
+
 BIN = 10_000
+#: Uniforms drawn here are (k + 1) / 1000004 for k below 1000003.
+DRAWS = 1_000_003
+SEGMENT = ["chromosome", "start", "end"]
+
+
+def resample_depth_targets(copies: DataFrame, depths: DataFrame) -> DataFrame:
+    """(chromosome, start, end, allele, read_depth): copies of a segment's allele in each genome times the genome's haploid depth, over all genomes.
+
+    ``copies`` has a row for each copy (chromosome, start, end, allele, genome),
+    ``depths`` one for each genome (genome, haploid_depth).
+    """
+    counted = copies.groupBy(*SEGMENT, "allele", "genome").agg(F.count("*").alias("_copies"))
+    return counted.join(depths, "genome").groupBy(*SEGMENT, "allele").agg(F.sum(F.col("_copies") * F.col("haploid_depth")).alias("read_depth"))
 
 
-def poisson_levels(rate: float, least: int = 12) -> list[float]:
-    """P(n <= k) for k from 0, ``least`` of them and up to the first that no uniform drawn here exceeds: the largest is 1000003 / 1000004."""
-    mass, total, out = math.exp(-rate), 0.0, []
-    while len(out) < least or total < 1_000_003 / 1_000_004:
-        n = len(out)
-        if rate > 700:  # where the first masses are too small for a double
-            mass = math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
-        total += mass
-        out.append(total)
-        mass *= rate / (n + 1)
-    return out
+def poisson_masses(rate: Column) -> Column:
+    """P(n = k) for k from 0, as an array whose length follows the rate: fourteen deviations and thirty beyond the mean leave a tail far below 1e-12."""
+    most = F.ceil(rate + 14 * F.sqrt(rate) + 30).cast("int")
+    return F.transform(F.sequence(F.lit(0), most), lambda k: F.when(rate > 0, F.exp(k * F.log(rate) - rate - log_gamma(k + F.lit(1.0)))).otherwise((k == 0).cast("double")))
 
 
-def poisson_resample(fragments: DataFrame, rate: float, seed: int = 17) -> DataFrame:
-    """Copies of each fragment by an inverse Poisson of a hashed uniform, with new dense ids in order of start.
+def poisson_resample(fragments: DataFrame, targets: DataFrame, scale: float = 1.0, seed: int = 17) -> DataFrame:
+    """Copies of fragments by the target depth of the segment that holds them, with new dense ids in order of start.
 
-    Ids are ranks within bins of the chromosome plus the copies of the bins
-    before, so that no task sorts a whole chromosome.
+    ``targets`` has (chromosome, start, end, allele, rate) on disjoint segments; a
+    fragment is drawn once for each allele, Poisson(rate * scale) times, by the
+    inverse of the distribution at a hashed uniform. Fragments that no segment
+    holds go. Levels of the distribution are summed up once for each rate; ids are
+    ranks within bins of the chromosome plus the copies of the bins before, so that
+    no task sorts a whole chromosome.
     """
-    u = (((F.col("fragment_id") % 1_000_003) * 7919 + seed) % 1_000_003 + 1) / F.lit(1_000_004.0)
-    copies = sum(((u > level).cast("int") for level in poisson_levels(rate)), F.lit(0))
-    drawn = fragments.select("chromosome", "start", "end", "fragment_id", F.floor(F.col("start") / BIN).alias("_bin"), copies.alias("_copies")).where("_copies > 0")
+    rates = targets.select("rate").distinct().withColumn("_rate", F.col("rate") * scale)
+    masses = rates.select("rate", F.posexplode(poisson_masses(F.col("_rate"))).alias("_k", "_p"))
+    upto = F.sum("_p").over(Window.partitionBy("rate").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    levels = masses.withColumn("_upto", upto).groupBy("rate").agg(F.array_sort(F.collect_list("_upto")).alias("_levels"))
+    segments = targets.select(*SEGMENT).distinct().withColumn("segment_idx", F.monotonically_increasing_id())
+    placed = find_contained_segments(segments.select("segment_idx", *SEGMENT), fragments.select(*SEGMENT, "fragment_id")).where("segment_idx >= 0")
+    rated = targets.join(levels, "rate").join(segments, SEGMENT).select("segment_idx", "allele", "_levels")
+    u = (((F.col("fragment_id") % DRAWS) * 7919 + seed + F.col("allele") * 104_729) % DRAWS + 1) / F.lit(DRAWS + 1.0)
+    drawn = placed.join(rated, "segment_idx").withColumn("_u", u)
+    drawn = drawn.select(*SEGMENT, "fragment_id", "allele", F.floor(F.col("start") / BIN).alias("_bin"), F.size(F.filter("_levels", lambda x: F.col("_u") > x)).alias("_copies")).where("_copies > 0")
     sizes = drawn.groupBy("chromosome", "_bin").agg(F.sum("_copies").alias("_size"))
     before = sizes.select("chromosome", "_bin", (F.sum("_size").over(Window.partitionBy("chromosome").orderBy("_bin")) - F.col("_size")).alias("_before"))
-    order = Window.partitionBy("chromosome", "_bin").orderBy("start", "fragment_id", "_copy")
+    order = Window.partitionBy("chromosome", "_bin").orderBy("start", "fragment_id", "allele", "_copy")
     ranked = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).withColumn("_rank", F.row_number().over(order) - 1)
-    return ranked.join(before, ["chromosome", "_bin"]).select("chromosome", "start", "end", (F.col("_before") + F.col("_rank")).alias("fragment_id"))
+    return ranked.join(before, ["chromosome", "_bin"]).select(*SEGMENT, "allele", (F.col("_before") + F.col("_rank")).alias("fragment_id"))

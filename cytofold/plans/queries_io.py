@@ -102,15 +102,24 @@ def merge_tables(t):
     return md.union_all([t.breakpoints.select("prediction_id", "position_1"), t.breakpoints_b.select("prediction_id", "position_1", F.lit(1).alias("extra"))])
 
 
-@query("select sample_id, init_id, elbo, round(h_0 + h_1 + h_2, 6) as total from (select *, row_number() over (partition by sample_id order by elbo desc, init_id) as k from solutions) x where k = 1")
+@query("""with b as (select *, row_number() over (partition by sample_id order by elbo desc, init_id) as k from solutions), c as (select sample_id, count(*) as n_cn, sum((major_1 + minor_1) * length) as copies from (select cast(c_custkey % 3 as int) as sample_id, major_1, minor_1, length from cn_profiles) group by 1),
+    q as (select cast((prediction_id // 50) % 3 as int) as sample_id, count(*) as n_brk, sum((prediction_id // 100) % 2) as brk_copies from breakpoints group by 1)
+    select b.sample_id, init_id, elbo, ploidy, round(h_0 + h_1 + h_2, 6) as total, round(h_1 / (h_0 + h_1 + h_2), 6) as mix_1, n_cn, copies, n_brk, brk_copies from b join c using (sample_id) join q using (sample_id) where k = 1""")
 def write_results(t):
     from cytofold.operators.solutions import export_best_solution
 
     best = export_best_solution(t.solutions, max_divergent=2.0)
+    every = t.solutions.select("sample_id", "init_id")
+    cn = t.cn_profiles.select((F.col("c_custkey") % 3).cast("int").alias("sample_id"), "chromosome", "start", "end", "length", "major_1", "minor_1").join(every, "sample_id")
+    brk = t.breakpoints.select(F.expr("cast((prediction_id div 50) % 3 as int)").alias("sample_id"), "prediction_id", F.expr("(prediction_id div 100) % 2").alias("cn_1")).join(every, "sample_id")
     path = new_path(t.spark, "results")
-    best.select(F.to_json(F.struct("sample_id", "init_id", "elbo", F.array("h_0", "h_1", "h_2").alias("h"))).alias("value")).write.text(path)
-    back = t.spark.read.schema("sample_id int, init_id long, elbo double, h array<double>").json(path)
-    return back.select("sample_id", "init_id", "elbo", r(F.aggregate("h", F.lit(0.0), lambda a, b: a + b)).alias("total"))
+    seqio.write_results(best, cn, brk, path)
+    meta = t.spark.read.schema("sample_id int, init_id long, elbo double, ploidy double, h array<double>, mix array<double>").json(f"{path}/meta")
+    sums = seqio.read_tsv(t.spark, f"{path}/cn", "sample_id int, init_id long, chromosome string, start long, `end` long, length long, major_1 long, minor_1 long").groupBy("sample_id", "init_id")
+    sums = sums.agg(F.count("*").alias("n_cn"), F.sum((F.col("major_1") + F.col("minor_1")) * F.col("length")).alias("copies"))
+    ends = seqio.read_tsv(t.spark, f"{path}/brk_cn", "sample_id int, init_id long, prediction_id long, cn_1 long").groupBy("sample_id", "init_id").agg(F.count("*").alias("n_brk"), F.sum("cn_1").alias("brk_copies"))
+    total, mix = r(F.aggregate("h", F.lit(0.0), lambda a, b: a + b)).alias("total"), r(F.get("mix", F.lit(1))).alias("mix_1")
+    return meta.join(sums, ["sample_id", "init_id"]).join(ends, ["sample_id", "init_id"]).select("sample_id", "init_id", "elbo", "ploidy", total, mix, "n_cn", "copies", "n_brk", "brk_copies")
 
 
 @query("select distinct h.chromosome, h.position, concat_ws('_', h.chromosome, h.position, 'A', 'G') as id, '0/1' as gt from haplotypes h join alleles a on a.chromosome = h.chromosome and a.position = h.position")
@@ -241,19 +250,30 @@ def allele_calls(t):
     return calls.select("sample_id", "fragment_id", "position", F.when(F.col("err") == 0, 1 - true).otherwise(true).alias("is_alt")).distinct()
 
 
-@query("select chromosome, start // 5000 as bin, sum(c) as copies from (select chromosome, start, (fragment_id % 4) * 2 + 1 as c from fragments) x group by all")
-def resample_depth_targets(t):
-    rows = t.fragments.select("chromosome", F.expr("start div 5000").alias("bin"), ((F.col("fragment_id") % 4) * 2 + 1).alias("c"))
-    return rows.groupBy("chromosome", "bin").agg(F.sum("c").alias("copies"))
+TARGETS = """cps as (select chromosome, start, "end", c_custkey % 3 as genome, major_1 as a, minor_1 as b from cn_profiles), cpa as (select chromosome, start, "end", 0 as allele, genome, sum(a) as n from cps group by all union all select chromosome, start, "end", 1, genome, sum(b) from cps group by all),
+    tgt as (select chromosome, start, "end", cast(allele as int) as allele, sum(n * (0.0001e0 * (1 + genome))) as read_depth from cpa where n > 0 group by all)"""
+
 
+def depth_targets(t: Tables) -> DataFrame:
+    """Depths of the segments of the copy-number profiles, each customer's being a genome of one of three kinds."""
+    rows = t.cn_profiles.select("chromosome", "start", "end", (F.col("c_custkey") % 3).alias("genome"), F.explode(F.array(F.struct(F.lit(0).alias("allele"), F.col("major_1").alias("n")), F.struct(F.lit(1).alias("allele"), F.col("minor_1").alias("n")))).alias("a"))
+    copies = rows.where("a.n > 0").select("chromosome", "start", "end", "a.allele", "genome", F.explode(F.sequence(F.lit(1).cast("long"), "a.n")))
+    return rs.resample_depth_targets(copies, copies.select("genome").distinct().withColumn("haploid_depth", 0.0001 * (1 + F.col("genome"))))
 
-DRAWS = " + ".join(f"cast(u > {total!r}e0 as int)" for total in rs.poisson_levels(1.5))
+
+@query(f'with {TARGETS} select chromosome, start, "end", allele, round(read_depth, 6) as read_depth from tgt')
+def resample_depth_targets(t):
+    return depth_targets(t).withColumn("read_depth", r("read_depth"))
 
 
-@query(f"""with cp as (select *, ((fragment_id % 1000003) * 7919 + 17) % 1000003 + 1 as h from fragments), un as (select *, h / 1000004e0 as u from cp), dr as (select *, {DRAWS} as n from un)
-    select chromosome, start, "end", row_number() over (partition by chromosome order by start, fragment_id, c.range) - 1 as fragment_id from dr join range(12) c on c.range < n""")
+@query("""with sg as (select segment_idx, chromosome, start, "end", allele, case allele when 0 then 0.75e0 * (segment_idx % 5) else 0.5e0 * (segment_idx % 3) end as rate, lag("end") over (partition by chromosome, allele order by start) as prev_end, lead(start) over (partition by chromosome, allele order by start) as next_start from segments cross join (select 0 as allele union all select 1) a),
+    rt as (select rate, k, case when rate > 0 then exp(k * ln(rate) - rate - lgamma(k + 1)) else cast(k = 0 as int) end as p from (select distinct rate from sg), (select range as k from range(70)) g), lv as (select rate, k, sum(p) over (partition by rate order by k) as upto from rt),
+    f as (select f.chromosome, f.start, f."end", f.fragment_id, sg.allele, sg.rate, (((f.fragment_id % 1000003) * 7919 + 17 + sg.allele * 104729) % 1000003 + 1) / 1000004e0 as u from fragments f join sg on sg.chromosome = f.chromosome and f.start >= sg.start and (sg.next_start is null or f.start < sg.next_start) and f."end" <= sg."end" and (sg.prev_end is null or f."end" > sg.prev_end)),
+    dr as (select f.*, k as copy from f join lv on lv.rate = f.rate and f.u > lv.upto)
+    select chromosome, start, "end", cast(allele as int) as allele, row_number() over (partition by chromosome order by start, fragment_id, allele, copy) - 1 as fragment_id from dr""")
 def poisson_resample(t):
-    return rs.poisson_resample(t.fragments, 1.5)
+    targets = t.segments.withColumn("allele", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rate", F.when(F.col("allele") == 0, 0.75 * (F.col("segment_idx") % 5)).otherwise(0.5 * (F.col("segment_idx") % 3)))
+    return rs.poisson_resample(t.fragments, targets.drop("segment_idx"))
 
 
 @query("""with rw as (select sample_id, major_raw * 0.03e0 + 0.02e0 as v, cast(length as bigint) as w from cn_profiles where length > 0), st as (select sample_id, sum(w) as tw, sum(w * w) as w2, sum(w * v) / sum(w) as mv, sum(w * v * v) as s2 from rw group by 1),

@@ -164,7 +164,7 @@ def scatter_limits(t):
 
 @query()
 def minor_modes(t):
-    return rounded(dp.minor_modes(dp.read_depth(counted(t)).where("sample_id = 'tumour_1'")), ["centre"])
+    return rounded(dp.minor_modes(dp.read_depth(counted(t))), ["centre"])
 
 
 # Likelihoods. The SQL uses DuckDB's own lgamma.
@@ -237,22 +237,24 @@ def segment_loglik(t):
     return rounded(md.segment_loglik(rows, H).select(*KEYS, "loglik"), ["loglik"], 4)
 
 
-@query(f"""with {MU}, g as (select *, case family when 0 then x / total_mu - 1 else x / total_mu - (x + 500) / (500 + total_mu) end as s from mu cross join (select 0 as family union all select 1) f)
+@query(f"""with {MU}, w as (select *, ln(0.99) + {nb('x', 'total_mu', '500.0')} as a, ln(0.01) + {nb('x', 'total_mu', '10.0')} as b from mu), g as (select *, case family when 0 then x / total_mu - 1 when 1 then x / total_mu - (x + 500) / (500 + total_mu)
+    else (x / total_mu - (x + 500) / (500 + total_mu)) / (1 + exp(b - a)) + (x / total_mu - (x + 10) / (10 + total_mu)) * (1 - 1 / (1 + exp(b - a))) end as s from w cross join (select 0 as family union all select 1 union all select 2) f)
     select sample_id, family, round(sum(s * 2 * length), 2) as grad_0, round(sum(s * (major_1 + minor_1) * length), 2) as grad_1, round(sum(s * (major_2 + minor_2) * length), 2) as grad_2 from g group by all""")
 def depth_gradient(t):
     rows = with_mu(t).withColumns({"readcount": F.col("x"), "total_0": F.lit(2), "total_1": F.col("major_1") + F.col("minor_1"), "total_2": F.col("major_2") + F.col("minor_2")})
-    parts = [md.depth_gradient(rows, ["sample_id"], family=f).withColumn("family", F.lit(n)) for n, f in enumerate(("poisson", "negbin"))]
+    parts = [md.depth_gradient(rows, ["sample_id"], family=f).withColumn("family", F.lit(n)) for n, f in enumerate(("poisson", "negbin", "mixture"))]
     return rounded(md.union_all(parts), ["grad_0", "grad_1", "grad_2"], 2)
 
 
-STATES = """states as (select row_number() over (order by a, b, c, d) - 1 as state, a as major_1, b as minor_1, c as major_2, d as minor_2 from (select a.range as a, b.range as b, c.range as c, d.range as d from range(4) a, range(4) b, range(4) c, range(4) d)
-    where a + b <= 3 and c + d <= 3 and abs(a - c) <= 1 and abs(b - d) <= 1 and (a > b or (a = b and c >= d)))"""
+CN_MAX = 12
+STATES = f"""states as (select row_number() over (order by a, b, c, d) - 1 as state, a as major_1, b as minor_1, c as major_2, d as minor_2 from (select a.range as a, b.range as b, c.range as c, d.range as d from range({CN_MAX + 1}) a, range({CN_MAX + 1}) b, range({CN_MAX + 1}) c, range({CN_MAX + 1}) d)
+    where a + b <= {CN_MAX} and c + d <= {CN_MAX} and abs(a - c) <= 1 and abs(b - d) <= 1 and (a > b or (a = b and c >= d)))"""
 
 
 def states_of(t: Tables) -> DataFrame:
-    """States up to three copies, restricted to copy numbers that the profiles hold."""
+    """States up to twelve copies, restricted to copy numbers that the profiles hold."""
     top = t.cn_profiles.agg(F.max("major_1").alias("top"))
-    return md.copy_states(t.spark, 3, 1).join(F.broadcast(top), F.greatest("major_1", "major_2") <= F.col("top")).drop("top")
+    return md.copy_states(t.spark, CN_MAX, 1).join(F.broadcast(top), F.greatest("major_1", "major_2") <= F.col("top")).drop("top")
 
 
 @query(f"with {STATES} select * from states where greatest(major_1, major_2) <= (select max(major_1) from cn_profiles)")
@@ -290,12 +292,15 @@ def sql_score() -> str:
 
 
 SCORES = f"""{CT}, {STATES}, scores as (select ct.sample_id, ct.chromosome, s.segment_idx, st.state, {sql_score()} as score from ct join segments s on s.chromosome = ct.chromosome and s.start = ct.start and s."end" = ct."end"
-    cross join states st where ct.sample_id = 'tumour_1' and greatest(st.major_1, st.major_2) <= 3)"""
+    cross join states st where ct.sample_id <> 'normal')"""
+
+
+def scored_segments(t: Tables) -> DataFrame:
+    return counted(t).where("sample_id <> 'normal'").join(t.segments.select("segment_idx", "chromosome", "start", "end"), ["chromosome", "start", "end"])
 
 
 def scores_of(t: Tables) -> DataFrame:
-    rows = counted(t).where("sample_id = 'tumour_1'").join(t.segments.select("segment_idx", "chromosome", "start", "end"), ["chromosome", "start", "end"])
-    return md.segment_state_scores(rows, md.copy_states(t.spark, 3, 1), H, divergence_weight=1e-4)
+    return md.segment_state_scores(scored_segments(t), md.copy_states(t.spark, CN_MAX, 1), H, divergence_weight=1e-4)
 
 
 @query(f"with {SCORES} select sample_id, segment_idx, state, round(score, 4) as score from scores")
@@ -309,25 +314,52 @@ def segment_map_state(t):
     return rows.withColumn("state", F.col("state").cast("long"))
 
 
-POST = f"""{SCORES}, top as (select *, max(score) over (partition by segment_idx) as best from scores), pst as (select sample_id, chromosome, segment_idx, state, exp(score - best) / sum(exp(score - best)) over (partition by segment_idx) as posterior, score as ll_0, 0.5 * score - 1 as ll_1 from top)"""
+def sql_parts() -> str:
+    """total_u and allele_vw of a segment and a state."""
+    depth = "(0.04 + 0.01 * (major_1 + minor_1) + 0.02 * (major_2 + minor_2))"
+    p, n, mu = f"((0.02 + 0.01 * minor_1 + 0.02 * minor_2) / {depth})", "(major_readcount + minor_readcount)", f"({depth} * length)"
+    totals = [f"{nb('readcount', mu, size)} as total_{u}" for u, size in enumerate(("500.0", "10.0"))]
+    return ", ".join(totals + [f"case when {n} > 0 then {bb(k, n, p, size)} else 0 end as allele_{v}{w}" for v, size in enumerate(("500.0", "10.0")) for w, k in enumerate(("minor_readcount", "major_readcount"))])
+
+
+POST = f"""{SCORES}, top as (select *, max(score) over (partition by sample_id, segment_idx) as best from scores), pst as (select sample_id, chromosome, segment_idx, state, exp(score - best) / sum(exp(score - best)) over (partition by sample_id, segment_idx) as posterior from top)"""
+PARTS = ("total_0", "total_1", "allele_00", "allele_01", "allele_10", "allele_11")
+RESP = f"""{POST}, ll as (select ct.sample_id, s.segment_idx, st.state, {sql_parts()} from ct join segments s on s.chromosome = ct.chromosome and s.start = ct.start and s."end" = ct."end" cross join states st where ct.sample_id <> 'normal'),
+    ex as (select sample_id, segment_idx, {', '.join(f'sum(posterior * {c}) as {c}' for c in PARTS)} from pst join ll using (sample_id, segment_idx, state) group by all),
+    r1 as (select *, 1 / (1 + exp(ln(0.99) + total_0 - ln(0.01) - total_1)) as p_outlier_total, 1 / (1 + exp(ln(0.99) + 0.5 * allele_00 + 0.5 * allele_01 - ln(0.01) - 0.5 * allele_10 - 0.5 * allele_11)) as p_outlier_allele from ex),
+    resp as (select *, 1 / (1 + exp((1 - p_outlier_allele) * (allele_00 - allele_01) + p_outlier_allele * (allele_10 - allele_11))) as p_allele_swap from r1)"""
+RESPONSES = ["p_outlier_total", "p_outlier_allele", "p_allele_swap"]
 
 
 def posteriors_of(t: Tables) -> DataFrame:
     w = Window.partitionBy("sample_id", "segment_idx")
     rows = scores_of(t).withColumn("_e", F.exp(F.col("score") - F.max("score").over(w)))
-    return rows.select("sample_id", "segment_idx", "state", (F.col("_e") / F.sum("_e").over(w)).alias("posterior"), F.col("score").alias("ll_0"), (0.5 * F.col("score") - 1).alias("ll_1"))
+    return rows.select("sample_id", "segment_idx", "state", (F.col("_e") / F.sum("_e").over(w)).alias("posterior"))
+
+
+def responsibilities_of(t: Tables) -> DataFrame:
+    """From one product of segments and states, which the likelihoods and the scores share."""
+    rows = md.segment_state_likelihoods(scored_segments(t), md.copy_states(t.spark, CN_MAX, 1), H)
+    subclonal = (F.col("major_1") != F.col("major_2")).cast("int") + (F.col("minor_1") != F.col("minor_2")).cast("int")
+    mean = lambda a, b: 0.99 * a + 0.01 * b
+    allele = lambda v: 0.5 * (F.col(f"allele_{v}0") + F.col(f"allele_{v}1"))
+    score = mean(F.col("total_0"), F.col("total_1")) + mean(allele(0), allele(1)) - subclonal * F.col("length") * 1e-4
+    w = Window.partitionBy("sample_id", "segment_idx")
+    rows = rows.withColumn("_score", score).withColumn("_e", F.exp(F.col("_score") - F.max("_score").over(w))).withColumn("posterior", F.col("_e") / F.sum("_e").over(w))
+    return md.outlier_responsibilities(rows, ["sample_id", "segment_idx"])
 
 
-@query(f"with {POST}, e as (select sample_id, segment_idx, sum(posterior * ll_0) as a, sum(posterior * ll_1) as b from pst group by all) select sample_id, segment_idx, round(1 / (1 + exp(ln(0.99) + a - ln(0.01) - b)), 6) as p_outlier from e")
+@query(f"with {RESP} select sample_id, segment_idx, {', '.join(f'round({c}, 6) as {c}' for c in RESPONSES)} from resp")
 def outlier_responsibilities(t):
-    return rounded(md.outlier_responsibilities(posteriors_of(t), ["sample_id", "segment_idx"]), ["p_outlier"])
+    return rounded(responsibilities_of(t), RESPONSES)
 
 
-@query(f"""with {POST}, f as (select state from states where {LOH}), e as (select sample_id, segment_idx, sum(posterior) as w from pst where state in (select state from f) group by all)
-    select sample_id, segment_idx, round(w / sum(w) over (partition by sample_id), 8) as weight from e""")
+@query(f"""with {RESP}, f as (select state from states where {LOH}), e as (select sample_id, segment_idx, sum(posterior) as w from pst where state in (select state from f) group by all), o as (select sample_id, segment_idx, w * (1 - p_outlier_allele) as w from e join resp using (sample_id, segment_idx))
+    select sample_id, segment_idx, round(w / sum(w) over (partition by sample_id), 8) as weight from o""")
 def state_class_weights(t):
-    flagged = md.copy_states(t.spark, 3, 1).where(md.is_loh()).select("state")
-    return rounded(md.state_class_weights(posteriors_of(t), flagged, ["sample_id"]), ["weight"], 8)
+    flagged = md.copy_states(t.spark, CN_MAX, 1).where(md.is_loh()).select("state")
+    regular = responsibilities_of(t).withColumn("factor", 1 - F.col("p_outlier_allele"))
+    return rounded(md.state_class_weights(posteriors_of(t), flagged, ["sample_id"], regular), ["weight"], 8)
 
 
 def chained(t: Tables) -> DataFrame:
@@ -337,18 +369,19 @@ def chained(t: Tables) -> DataFrame:
 
 @query()
 def decode_chain(t):
-    return md.decode_chain(chained(t), ["sample_id", "chain"], md.cost_matrix(md.state_transition_costs(md.copy_states(t.spark, 3, 1))), penalty=2.0)
+    return md.decode_chain(chained(t), ["sample_id", "chain"], md.cost_matrix(md.state_transition_costs(md.copy_states(t.spark, CN_MAX, 1))), penalty=2.0)
 
 
 @query()
 def chain_posteriors(t):
-    rows = md.chain_posteriors(chained(t), ["sample_id", "chain"], md.cost_matrix(md.state_transition_costs(md.copy_states(t.spark, 3, 1))), penalty=2.0)
+    rows = md.chain_posteriors(chained(t), ["sample_id", "chain"], md.cost_matrix(md.state_transition_costs(md.copy_states(t.spark, CN_MAX, 1))), penalty=2.0)
     return rounded(rows, ["posterior"])
 
 
-@query("select segment_idx, chromosome, 1 as normal_major, case when chromosome = 'X' then 0 else 1 end as normal_minor from segments")
+@query("select segment_idx, case chromosome when '5' then 'X' else chromosome end as chromosome, 1 as normal_major, case when chromosome = '5' then 0 else 1 end as normal_minor from segments")
 def normal_copies(t):
-    return md.normal_copies(t.segments, male=True).select("segment_idx", "chromosome", "normal_major", "normal_minor")
+    named = t.segments.withColumn("chromosome", F.when(F.col("chromosome") == "5", "X").otherwise(F.col("chromosome")))
+    return md.normal_copies(named, male=True).select("segment_idx", "chromosome", "normal_major", "normal_minor")
 
 
 @query("select sample_id, chromosome, start, case when major_1 >= minor_1 and major_1 >= minor_2 then 0 when minor_1 >= minor_2 then 1 else 2 end as argmax from cn_profiles")

@@ -53,15 +53,39 @@ def test_split_terms_equal_whole_likelihoods(spark):
 
 def test_minor_modes_are_weighted_means_of_clusters(spark):
     rng = np.random.default_rng(8)
-    centres, rows = [0.1, 0.3, 0.5, 0.7, 0.9], []
-    for c in centres:
-        rows += [(float(c + rng.normal(0, 0.005)), int(rng.integers(100, 900))) for _ in range(40)]
-    rows += [(5.0 + k, 50) for k in range(11)]  # above the 95th percentile
-    rows += [(0.2, 0)]  # without length
-    got = sorted(r["centre"] for r in dp.minor_modes(spark.createDataFrame(rows, "minor double, length long")).collect())
-    cut = np.percentile([v for v, _ in rows], 95)
-    expected = [np.average([v for v, _ in g], weights=[w for _, w in g]) for c in centres if (g := [x for x in rows if abs(x[0] - c) < 0.05 and x[0] < cut and x[1]])]
-    assert got == pytest.approx(expected)
+    samples = {"a": [0.1, 0.3, 0.5, 0.7, 0.9], "b": [1.0, 2.0, 4.0, 5.0, 7.0]}
+    rows = []
+    for name, centres in samples.items():
+        for c in centres:
+            rows += [(name, float(c + rng.normal(0, 0.005)), int(rng.integers(100, 900))) for _ in range(40)]
+        rows += [(name, 50.0 + k, 50) for k in range(11)]  # above the 95th percentile
+        rows += [(name, 0.2, 0)]  # without length
+    found = dp.minor_modes(spark.createDataFrame(rows, "sample_id string, minor double, length long")).collect()
+    for name, centres in samples.items():
+        mine = [(v, w) for n, v, w in rows if n == name]
+        cut = np.percentile([v for v, _ in mine], 95)
+        expected = [np.average([v for v, _ in g], weights=[w for _, w in g]) for c in centres if (g := [x for x in mine if abs(x[0] - c) < 0.05 and x[0] < cut and x[1]])]
+        assert sorted(r["centre"] for r in found if r["sample_id"] == name) == pytest.approx(expected)
+
+
+def test_gradient_of_the_mixture_is_a_derivative(spark):
+    rows = [("s", 0.02, 0.01, 0.02, 2, 3, 1, 5000.0, 300), ("s", 0.02, 0.01, 0.02, 2, 1, 1, 9000.0, 900)]
+    names = ["sample_id", "h_0", "h_1", "h_2", "total_0", "total_1", "total_2", "length", "readcount"]
+    got = md.depth_gradient(spark.createDataFrame(rows, names), ["sample_id"], family="mixture").first()
+
+    def value(h):
+        out = 0.0
+        for _, *_, t0, t1, t2, length, x in rows:
+            mu = (h[0] * t0 + h[1] * t1 + h[2] * t2) * length
+            nb = lambda r: math.lgamma(x + r) - math.lgamma(x + 1) - math.lgamma(r) + x * math.log(mu / (r + mu)) + r * math.log(r / (r + mu))
+            out += np.logaddexp(math.log(0.99) + nb(500.0), math.log(0.01) + nb(10.0))
+        return out
+
+    h = np.array([0.02, 0.01, 0.02])
+    for m in range(3):
+        step = np.zeros(3)
+        step[m] = 1e-7
+        assert got[f"grad_{m}"] == pytest.approx((value(h + step) - value(h - step)) / 2e-7, rel=1e-4)
 
 
 def test_chain_of_segments_equals_ranges(spark):

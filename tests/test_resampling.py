@@ -3,18 +3,33 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from cytofold.operators.resampling import poisson_levels, poisson_resample
+from cytofold.operators.resampling import poisson_masses, poisson_resample, resample_depth_targets
 
 
 @pytest.mark.parametrize("rate", [0.0, 1.0, 20.0, 900.0])
-def test_levels_reach_the_largest_uniform(rate):
-    levels = poisson_levels(rate)
-    assert levels[-1] >= 1_000_003 / 1_000_004 and all(a <= b for a, b in zip(levels, levels[1:]))
-    assert levels[0] == pytest.approx(math.exp(-rate))
+def test_masses_are_whole(spark, rate):
+    masses = spark.createDataFrame([(rate,)], "rate double").select(poisson_masses(F.col("rate"))).first()[0]
+    assert sum(masses) == pytest.approx(1, abs=1e-9) and masses[0] == pytest.approx(math.exp(-rate))
+    assert sum(k * p for k, p in enumerate(masses)) == pytest.approx(rate)
 
 
-def test_high_rates_are_not_cut(spark):
-    rows = [("1", 10 * k, 10 * k + 100, k * 37) for k in range(2000)]
-    n = poisson_resample(spark.createDataFrame(rows, 'chromosome string, start long, end long, fragment_id long'), 20.0).count()
-    assert n / len(rows) == pytest.approx(20, abs=0.5)
+def test_segments_have_their_rates(spark):
+    rows = [("1", 10 * k, 10 * k + 5, k * 37) for k in range(4000)]
+    fragments = spark.createDataFrame(rows, "chromosome string, start long, end long, fragment_id long")
+    targets = spark.createDataFrame([("1", 0, 20_000, 0, 20.0), ("1", 0, 20_000, 1, 0.0), ("1", 20_000, 30_000, 0, 1.5), ("1", 30_000, 39_000, 1, 300.0)], "chromosome string, start long, end long, allele int, rate double")
+    got = poisson_resample(fragments, targets).groupBy((F.col("start") >= 20_000).cast("int") + (F.col("start") >= 30_000).cast("int"), "allele").count().collect()
+    found = {(r[0], r["allele"]): r["count"] for r in got}
+    assert set(found) == {(0, 0), (1, 0), (2, 1)}
+    for key, n, rate in (((0, 0), 2000, 20.0), ((1, 0), 1000, 1.5), ((2, 1), 900, 300.0)):
+        assert found[key] / n == pytest.approx(rate, abs=5 * (rate / n) ** 0.5)
+    ids = [r["fragment_id"] for r in poisson_resample(fragments, targets, scale=0.1).collect()]
+    assert sorted(ids) == list(range(len(ids)))
+
+
+def test_depths_add_up_over_genomes(spark):
+    copies = spark.createDataFrame([("1", 0, 9, 0, 0)] * 2 + [("1", 0, 9, 1, 0), ("1", 0, 9, 0, 1), ("2", 0, 5, 1, 1)], "chromosome string, start long, end long, allele int, genome int")
+    depths = spark.createDataFrame([(0, 0.1), (1, 0.25)], "genome int, haploid_depth double")
+    got = {(r["chromosome"], r["allele"]): r["read_depth"] for r in resample_depth_targets(copies, depths).collect()}
+    assert got == pytest.approx({("1", 0): 0.45, ("1", 1): 0.1, ("2", 1): 0.25})
