@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.operators.intervals import contained_counts, find_contained_segments
+from cytofold.sources.storage import materialise
 
 
 def read_quality_filter(fragments: DataFrame, filter_duplicates: bool = False, map_qual_threshold: int = 1) -> DataFrame:
@@ -58,8 +59,11 @@ def phase_segments(allele_counts: DataFrame) -> DataFrame:
 
     In each segment the sample with the largest relative allele difference (ties:
     first sample) decides: its larger allele of a block (ties: allele 0) is a.
-    Blocks that the deciding sample has no reads of are dropped.
+    Blocks that the deciding sample has no reads of are dropped. The counts, a row
+    for each sample, segment, block and allele, are written once for all that
+    reads them here.
     """
+    allele_counts = materialise(allele_counts, "allele-counts")
     segment = ["chromosome", "start", "end"]
     of = lambda a: F.sum(F.when(F.col("allele_id") == a, F.col("readcount")).otherwise(0))
     blocks = allele_counts.groupBy("sample_id", *segment, "hap_label").agg(of(0).alias("r0"), of(1).alias("r1"))

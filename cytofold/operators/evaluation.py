@@ -85,11 +85,8 @@ def evaluate_cn(truth: DataFrame, pred: DataFrame, by: list[str], swap: bool) ->
 
     Clonal and subclonal agreement are the same number by definition.
     """
-    columns = ("major_1", "minor_1", "major_2", "minor_2")
-    atoms = reindex_segments(truth.withColumnRenamed("k", "idx"), pred.withColumnRenamed("k", "idx"), [*by, "chromosome"])
-    side = lambda t, n, s: t.select(*by, "chromosome", F.col("k").alias(f"idx_{n}"), *(F.array_sort(F.array(F.col(f"major_{m}"), F.col(f"minor_{m}"))).alias(f"{s}{m}") for m in (1, 2)))
-    rows = atoms.join(side(truth.select(*by, "chromosome", "k", *columns), 1, "t"), [*by, "chromosome", "idx_1"]).join(side(pred.select(*by, "chromosome", "k", *columns), 2, "p"), [*by, "chromosome", "idx_2"])
-    rows = rows.withColumn("length", F.col("end") - F.col("start"))
+    side = lambda t, s: t.select(*by, "chromosome", "start", "end", F.col("k").alias("idx"), *(F.array_sort(F.array(F.col(f"major_{m}"), F.col(f"minor_{m}"))).alias(f"{s}{m}") for m in (1, 2)))
+    rows = reindex_segments(side(truth, "t"), side(pred, "p"), [*by, "chromosome"], (["t1", "t2"], ["p1", "p2"])).withColumn("length", F.col("end") - F.col("start"))
     same = (F.col("t1") == F.col("p1")) & (F.col("t2") == F.col("p2"))
     if swap:
         same = same | ((F.col("t1") == F.col("p2")) & (F.col("t2") == F.col("p1")))
@@ -128,8 +125,7 @@ def evaluate_mixture(truth: DataFrame, pred: DataFrame, swap_ratio: float = 0.75
 
 def evaluate_outliers(truth: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
     """Length-weighted agreement of outlier flags with outlier probabilities above one half."""
-    atoms = reindex_segments(truth.withColumnRenamed("k", "idx"), pred.withColumnRenamed("k", "idx"), [*by, "chromosome"])
-    t = truth.select(*by, "chromosome", F.col("k").alias("idx_1"), "is_outlier")
-    p = pred.select(*by, "chromosome", F.col("k").alias("idx_2"), (F.col("p_outlier") > 0.5).alias("predicted"))
-    rows = atoms.join(t, [*by, "chromosome", "idx_1"]).join(p, [*by, "chromosome", "idx_2"]).withColumn("length", F.col("end") - F.col("start"))
+    side = lambda t, c: t.select(*by, "chromosome", "start", "end", F.col("k").alias("idx"), c)
+    both = reindex_segments(side(truth, F.col("is_outlier")), side(pred, (F.col("p_outlier") > 0.5).alias("predicted")), [*by, "chromosome"], (["is_outlier"], ["predicted"]))
+    rows = both.withColumn("length", F.col("end") - F.col("start"))
     return rows.groupBy(*by).agg(share(F.col("is_outlier") == F.col("predicted")).alias("correct_outlier_proportion"))

@@ -33,7 +33,7 @@ def contained_counts(segments: DataFrame, intervals: DataFrame, by: list[str], w
     """
     found = contained_pairs(segments, intervals, width).groupBy(*by, "chromosome", F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg(F.count("*").alias("readcount"))
     # Zeros make the result segments x groups; the segments, which may be many, stay where they are.
-    frame = segments if not by else segments.crossJoin(F.broadcast(intervals.select(*by).distinct())).select(*by, *segments.columns)
+    frame = segments if not by else segments.crossJoin(intervals.select(*by).distinct()).select(*by, *segments.columns)
     keys = [*by, "chromosome", "start", "end"]
     return frame.join(found, keys, "left").withColumn("readcount", F.coalesce("readcount", F.lit(0)))
 
@@ -77,10 +77,20 @@ def find_contained_segments(segments: DataFrame, intervals: DataFrame, width: in
     return at.join(seg, met, "left").select(*(at[c] for c in intervals.columns), F.coalesce(seg["segment_idx"], F.lit(-1)).cast("long").alias("segment_idx"))
 
 
-def interval_position_overlap(intervals: DataFrame, positions: DataFrame, width: int = BIN) -> DataFrame:
-    """All pairs of an interval and a position in [start, end); intervals may overlap each other."""
-    dealt = intervals.where(F.col("end") > F.col("start")).select("*", bins(F.col("start"), F.col("end") - 1, width).alias("_bin"))
-    at = positions.withColumn("_bin", F.floor(F.col("position") / width))
+def interval_position_overlap(intervals: DataFrame, positions: DataFrame, width: int = BIN, longest: int | None = None) -> DataFrame:
+    """All pairs of an interval and a position in [start, end); intervals may overlap each other.
+
+    Intervals are dealt to the bins they touch. Where none is longer than
+    ``longest``, as with reads, the positions are dealt to the bins that intervals
+    over them start in instead, and each interval is looked up once.
+    """
+    full = intervals.where(F.col("end") > F.col("start"))
+    if longest is None:
+        dealt = full.select("*", bins(F.col("start"), F.col("end") - 1, width).alias("_bin"))
+        at = positions.withColumn("_bin", F.floor(F.col("position") / width))
+    else:
+        dealt = full.withColumn("_bin", F.floor(F.col("start") / width))
+        at = positions.select("*", bins(F.col("position") - longest + 1, F.col("position"), width).alias("_bin"))
     return dealt.join(at, ["chromosome", "_bin"]).where((F.col("start") <= F.col("position")) & (F.col("position") < F.col("end"))).drop("_bin")
 
 

@@ -49,14 +49,14 @@ def fixed_bins(chromosomes: DataFrame, width: int = 1000) -> DataFrame:
     return chromosomes.where("length > 0").select("chromosome", starts.alias("start")).withColumn("end", F.col("start") + width)
 
 
-def reindex_segments(one: DataFrame, two: DataFrame, by: list[str]) -> DataFrame:
-    """Common refinement of two segmentations: by, start, end, idx_1, idx_2 of the atoms that both cover."""
+def reindex_segments(one: DataFrame, two: DataFrame, by: list[str], keep: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """Common refinement of two segmentations: by, start, end, idx_1, idx_2 of the atoms that both cover, with the columns to ``keep`` of each."""
     width = 100_000
     parts = [t.select(*by, F.col(c).alias("p")) for t in (one, two) for c in ("start", "end")]
     cuts = reduce(DataFrame.union, parts).distinct()
     atoms = cuts.select(*by, F.col("p").alias("start"), F.lead("p").over(Window.partitionBy(*by).orderBy("p")).alias("end")).where("end is not null").withColumn("_bin", F.floor(F.col("start") / width))
-    for n, side in ((1, one), (2, two)):
-        covers = side.where(F.col("end") > F.col("start")).select(*by, F.col("idx").alias(f"idx_{n}"), F.col("start").alias("_s"), F.col("end").alias("_e"), bins(F.col("start"), F.col("end") - 1, width).alias("_bin"))
+    for n, side, more in ((1, one, keep[0]), (2, two, keep[1])):
+        covers = side.where(F.col("end") > F.col("start")).select(*by, F.col("idx").alias(f"idx_{n}"), *more, F.col("start").alias("_s"), F.col("end").alias("_e"), bins(F.col("start"), F.col("end") - 1, width).alias("_bin"))
         atoms = atoms.join(covers, [*by, "_bin"]).where((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e"))).drop("_s", "_e")
     return atoms.drop("_bin")
 

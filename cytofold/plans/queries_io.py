@@ -246,7 +246,7 @@ def allele_calls(t):
     clip = F.coalesce(F.regexp_extract("cigar", r"^(\d+)S", 1).try_cast("int"), F.lit(0))
     reads = ct.concordant_alignments(t.alignments).select("sample_id", "chromosome", "fragment_id", "hap", "err", (F.col("pos") + clip + 1).alias("start"), (F.col("pos") + 101).alias("end"))
     true = F.when(F.col("gt") == 0, 0).when(F.col("gt") == 2, 1).otherwise(F.col("hap"))
-    calls = iv.interval_position_overlap(reads, t.snps, width=250)
+    calls = iv.interval_position_overlap(reads, t.snps, width=500, longest=101)
     return calls.select("sample_id", "fragment_id", "position", F.when(F.col("err") == 0, 1 - true).otherwise(true).alias("is_alt")).distinct()
 
 

@@ -630,11 +630,9 @@ def merge_evaluations(t):
     join cn_profiles x on x.sample_id = a.sample_id and x.chromosome = a.chromosome and x.start <= a.start and a."end" <= x."end" join cn_profiles_pred y on y.sample_id = a.sample_id and y.chromosome = a.chromosome and y.start <= a.start and a."end" <= y."end" """)
 def combine_clone_segmentations(t):
     """Clone 1 from one segmentation, clone 2 from another, on their common refinement."""
-    atoms = sg.reindex_segments(t.cn_profiles.withColumnRenamed("k", "idx"), t.cn_profiles_pred.withColumnRenamed("k", "idx"), ["sample_id", "chromosome"])
-    for n, table in ((1, t.cn_profiles), (2, t.cn_profiles_pred)):
-        clone = table.select("sample_id", "chromosome", F.col("k").alias(f"idx_{n}"), (F.col(f"major_{n}") + F.col(f"minor_{n}")).alias(f"total_{n}"), f"major_{n}", f"minor_{n}")
-        atoms = atoms.join(clone, ["sample_id", "chromosome", f"idx_{n}"])
-    return atoms.drop("idx_1", "idx_2")
+    clone = lambda rows, n: rows.select("sample_id", "chromosome", "start", "end", F.col("k").alias("idx"), (F.col(f"major_{n}") + F.col(f"minor_{n}")).alias(f"total_{n}"), f"major_{n}", f"minor_{n}")
+    names = lambda n: [f"total_{n}", f"major_{n}", f"minor_{n}"]
+    return sg.reindex_segments(clone(t.cn_profiles, 1), clone(t.cn_profiles_pred, 2), ["sample_id", "chromosome"], (names(1), names(2))).drop("idx_1", "idx_2")
 
 
 @query("""select sample_id, chromosome, start, "end", round((major_1 * 0.01 + major_2 * 0.03) / 0.04, 6) as major_expected, round((minor_1 * 0.01 + minor_2 * 0.03) / 0.04, 6) as minor_expected, abs(major_1 - major_2) as major_diff, abs(minor_1 - minor_2) as minor_diff from cn_profiles""")

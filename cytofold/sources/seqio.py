@@ -69,7 +69,7 @@ def merge_overlapping(parts: DataFrame) -> DataFrame:
     tops = parts.groupBy("file_no", "chromosome").agg((F.max("fragment_id") + 1).alias("_top"))
     before = Window.partitionBy("chromosome").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     shifts = tops.select("file_no", "chromosome", F.coalesce(F.sum("_top").over(before), F.lit(0)).alias("_shift"))
-    return parts.join(F.broadcast(shifts), ["file_no", "chromosome"]).withColumn("fragment_id", F.col("fragment_id") + F.col("_shift")).drop("_shift")
+    return parts.join(shifts, ["file_no", "chromosome"]).withColumn("fragment_id", F.col("fragment_id") + F.col("_shift")).drop("_shift")
 
 
 def split_table(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:

@@ -63,3 +63,14 @@ def test_empty_inputs(spark):
 def test_ranges(spark):
     rows = spark.createDataFrame([(1, 0), (3, 2), (4, 3), (6, 0)], "start long, length long")
     assert sorted(r["value"] for r in iv.vrange(rows).collect()) == [3, 4, 4, 5, 6]
+
+
+def test_short_intervals_are_looked_up_once(spark):
+    rng = random.Random(3)
+    spans = [(k, "1", s, s + rng.randint(0, 40)) for k, s in enumerate(rng.randint(0, 500) for _ in range(200))]
+    points = [("1", p) for p in sorted(rng.sample(range(560), 60))]
+    intervals = spark.createDataFrame(spans, "k long, chromosome string, start long, `end` long")
+    positions = spark.createDataFrame(points, "chromosome string, position long")
+    expected = sorted((k, p) for k, _, a, b in spans for _, p in points if a <= p < b)
+    for options in ({"width": 30}, {"width": 30, "longest": 40}, {"width": 7, "longest": 40}):
+        assert sorted((r["k"], r["position"]) for r in iv.interval_position_overlap(intervals, positions, **options).collect()) == expected
