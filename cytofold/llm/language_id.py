@@ -1,6 +1,6 @@
 """Language identification of mixed-language texts.
 
-Words are runs of letters. A word's script narrows the candidate languages to
+Words are runs of letters and the marks on them. A word's script narrows the candidate languages to
 those seen with it in training; hashed letter trigrams and the word itself score
 it for each; Viterbi with a penalty for each switch labels the words, so that
 spans of one language come out.
@@ -30,6 +30,7 @@ SCRIPTS = (
 NAMES = sorted({name for _, name in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])[np.maximum(0, np.searchsorted([first for first, _ in SCRIPTS], np.arange(0x10000), side="right") - 1)]
 IS_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+IS_MARK = np.array([unicodedata.category(chr(c)).startswith("M") for c in range(0x10000)])
 FOLD = np.array([ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x10000)], dtype=np.uint32)
 BUCKETS = 1 << 15
 #: Cost of a switch, in natural-log units.
@@ -38,7 +39,7 @@ SMOOTH = 0.3
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of a block (lower case), whether each is a letter, and the offsets of the rows in them."""
+    """Code points of a block (lower case), whether each is a letter or a mark behind one, and the offsets of the rows in them."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     low = points < 0x10000
@@ -47,6 +48,13 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for c in np.unique(points[~low]):
         if unicodedata.category(chr(int(c))).startswith("L"):
             letter |= points == c
+    marks = np.zeros(len(points), dtype=bool)
+    marks[low] = IS_MARK[points[low]]
+    if marks.any():  # a mark belongs to the letter before it and the marks between, in the same row
+        n = np.arange(len(points))
+        base = np.maximum.accumulate(np.where(marks, -1, n))
+        row_start = np.repeat(bounds[:-1], np.diff(bounds))
+        letter |= marks & (base >= row_start) & letter[np.maximum(base, 0)]
     folded = points.copy()
     folded[low] = FOLD[points[low]]
     return folded, letter, bounds

@@ -11,6 +11,7 @@ sequences, offset), which executors look up by a piece's rank among its length.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -77,16 +78,16 @@ def configurations(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return columns
 
 
-def fewest(columns: np.ndarray, demand: np.ndarray) -> dict[int, float]:
+def fewest(columns: np.ndarray, demand: np.ndarray, steps: int = 20_000) -> dict[int, float]:
     """Least total of configurations that meets the demand exactly (fractions allowed), by the simplex method.
 
-    The first columns are the single sizes, a first basis. Steps that bring no
-    progress are bounded; any basis reached is a valid answer.
+    The first columns are the single sizes, a first basis. Any basis reached is a
+    valid answer; a warning tells if the best isn't reached in ``steps``.
     """
     k = len(demand)
     basis, inverse = list(range(k)), np.eye(k)
     level = demand.astype(float)
-    for _ in range(60 * k + 200):
+    for _ in range(steps):
         gain = inverse.sum(axis=0) @ columns - 1
         enter = int(np.argmax(gain))
         if gain[enter] < 1e-9:
@@ -102,6 +103,8 @@ def fewest(columns: np.ndarray, demand: np.ndarray) -> dict[int, float]:
         other = np.arange(k) != leave
         inverse[other] -= np.outer(move[other], inverse[leave])
         basis[leave] = enter
+    else:
+        warnings.warn(f"configurations not at their best after {steps} steps", stacklevel=2)
     return {c: x for c, x in zip(basis, level, strict=True) if x > 0}
 
 

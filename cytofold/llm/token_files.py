@@ -29,7 +29,7 @@ def write_token_files(
     end_id: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
-    stripe_bytes: int = 64 << 20,
+    stripe_bytes: int = 16 << 20,
     row_index_stride: int = 1000,
     bloom_fpp: float = 0.01,
 ) -> None:
