@@ -27,7 +27,7 @@ OTHER[ord("'")] = False
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 SEPARATOR = "<|endoftext|>"
 #: Pieces kept from block to block; beyond them, those that the block at hand doesn't use go.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 1_000_000
 
 
 def default_path() -> str:
