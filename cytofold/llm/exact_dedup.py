@@ -3,7 +3,8 @@
 Frequent digests are found by mergeable Misra-Gries summaries, verified by an
 exact count, and their winners broadcast (at most ``k`` rows), so rows of a large
 group are settled where they lie. All other digests have at most ``n / (k + 1)``
-rows each and meet in an ordinary shuffle.
+rows each and meet in ordinary shuffles: their counts are summed up before the
+shuffle and joined back row by row, so that no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytofold.llm.common import KEY, SPACE_RUN, fill, key_columns, keyed_rows, materialise, nth_row
@@ -85,10 +86,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     winners = materialise(winners, "winners")
     tagged = rows.join(F.broadcast(winners), "text_sha256", "left")
-    same = Window.partitionBy("text_sha256")
-    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "*", F.min(order).over(same).alias("first"), F.count("*").over(same).alias("group_size")
-    )
+    light = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    rest = light.join(light.groupBy("text_sha256").agg(*counted), "text_sha256")
     return tagged.where(F.col("first").isNotNull()).unionByName(rest).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
