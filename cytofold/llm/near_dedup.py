@@ -13,7 +13,7 @@ A few rounds link the nodes of a bucket with one of them. Then nodes that share
 buckets are dealt to blocks, and blocks that meet in a bucket and aren't yet in
 one class are held against each other whole, so that no bucket, however large,
 loses a link that the classes depend on. A pair of different classes goes to the
-full sets unless its sketches put it over four standard deviations below the bound.
+full sets unless its sketches put it over ``DEVIATIONS`` standard deviations below the bound.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ ROUNDS = 2
 BLOCK = 256
 #: Pairs of one node that are confirmed in one chunk; more are dealt to further chunks.
 CHUNK = 256
+#: Pairs whose sketches lie this many standard deviations below the bound are taken for different.
+DEVIATIONS = 6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -83,9 +85,9 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def most_differing(percent: int) -> int:
-    """The largest number of differing coordinates that a pair at the bound has, but for four standard deviations."""
+    """The largest number of differing coordinates that a pair at the bound has, but for ``DEVIATIONS`` standard deviations."""
     p = 1 - percent / 100
-    return int(COORDINATES * p + 4 * (COORDINATES * p * (1 - p)) ** 0.5) + 1
+    return int(COORDINATES * p + DEVIATIONS * (COORDINATES * p * (1 - p)) ** 0.5) + 1
 
 
 def signatures(docs: DataFrame) -> DataFrame:
