@@ -25,7 +25,6 @@ OTHER[33:127] = True
 OTHER &= ~LETTER
 OTHER[ord("'")] = False
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
-SEPARATOR = "<|endoftext|>"
 #: Pieces kept from block to block; beyond them, those that the block at hand doesn't use go.
 KEPT_PIECES = 1_000_000
 
@@ -45,28 +44,27 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
-        self.separator = self.library.token_to_id(SEPARATOR)
-        words = self.library.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)
-        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self._set(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def _set(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         """The known pieces: sorted hashes, and where each one's ids lie in ``ids``."""
         self.keys, self.starts, self.lengths, self.ids = keys, starts, lengths, ids
 
-    def _ids(self, pieces: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and how many each has. Words are one pre-token each, whose last id is marked by its </w>."""
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has.
+
+        Pieces go to the library many at a time, a space apart; each id belongs to
+        the piece that holds its first character. Normalisation may take letters
+        apart or together, which the library's offsets see through.
+        """
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(pieces), 10_000):
-            text = (" " if words else SEPARATOR).join(pieces[at : at + 10_000])
-            got = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            if words:
-                counts.append(np.diff(np.flatnonzero(self.last[got]), prepend=-1))
-            else:
-                counts.append(np.diff(np.flatnonzero(got == self.separator), prepend=-1, append=len(got)) - 1)
-                got = got[got != self.separator]
-            ids.append(got)
+            some = pieces[at : at + 10_000]
+            got = self.library.encode(" ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(p) + 1 for p in some])
+            first = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            ids.append(np.array(got.ids, dtype=np.uint32))
+            counts.append(np.bincount(np.searchsorted(starts, first, side="right") - 1, minlength=len(some)))
         return np.concatenate(ids), np.concatenate(counts)
 
     def _learn(self, keys: np.ndarray, pieces: list[str], used: np.ndarray) -> None:
@@ -75,16 +73,12 @@ class Encoder:
             rows = np.flatnonzero(used)
             lengths = self.lengths[rows]
             self._set(self.keys[rows], np.cumsum(lengths) - lengths, lengths, self.ids[ranges(self.starts[rows], lengths)])
-        word = np.array([p.isalpha() and p == p.lower() for p in pieces], dtype=bool)
-        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
-        some, counts = self._ids([p for p, w in zip(pieces, word, strict=True) if w], True)
-        rest, more = self._ids([p for p, w in zip(pieces, word, strict=True) if not w], False)
-        lengths = np.concatenate([counts, more])
+        some, lengths = self._ids(pieces)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        by_key = np.argsort(keys[order])
-        keys, starts, lengths = keys[order][by_key], starts[by_key], lengths[by_key]
+        by_key = np.argsort(keys)
+        keys, starts, lengths = keys[by_key], starts[by_key], lengths[by_key]
         at = np.searchsorted(self.keys, keys)
-        self._set(np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths), np.concatenate([self.ids, some, rest]))
+        self._set(np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths), np.concatenate([self.ids, some]))
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, hashes)
