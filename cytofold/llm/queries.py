@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cytofold.llm.common import documents
 from cytofold.llm.exact_dedup import exact_dedup
+from cytofold.llm.fingerprints import document_fingerprints
 from cytofold.llm.language_id import identify
 from cytofold.llm.language_model import lm_scores
 from cytofold.llm.line_dedup import line_dedup
@@ -61,6 +62,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 STOPS = ", ".join(f"'{w}'" for w in sorted({w for s in STOP_WORDS for w in (s, s.capitalize())}))
