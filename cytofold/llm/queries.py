@@ -19,6 +19,8 @@ from cytofold.llm.packing import pack
 from cytofold.llm.quality_classifier import quality_scores
 from cytofold.llm.quality_rules import STOP_WORDS, THRESHOLDS, quality_rules
 from cytofold.llm.token_files import round_trip
+from cytofold.llm.vector_codes import vector_codes
+from cytofold.llm.whitening import whitened_components
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,18 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(embeddings(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -78,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_fingerprints": op11_fingerprints,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
 STOPS = ", ".join(f"'{w}'" for w in sorted({w for s in STOP_WORDS for w in (s, s.capitalize())}))
@@ -85,6 +101,12 @@ BROKEN = " or ".join(
     f"(n_words >= {least} and ({' or '.join([f'{metric} < {low}'] * (low is not None) + [f'{metric} > {high}'] * (high is not None))}))" for _, metric, low, high, least in THRESHOLDS
 )
 
+#: Nearest entries of the parts ``p`` in the codebooks ``b{k}``, and the codebooks of the next round.
+APART = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+ASSIGN = f"a{{k}} as materialized (select rid, part, any_value(v) as v, min({{{{'d': {APART}, 'e': entry}}}}) as best from p join b{{k}} using (part) group by rid, part)"
+REFINE = """m{k} as (select part, entry, i, cast(floor(sum(x) / count(*)) as bigint) as x from (select part, best.e as entry, unnest(v) as x, unnest(range(len(v))) as i from a{k}) group by all),
+    b{n} as materialized (select b{k}.part, b{k}.entry, coalesce(m.c, b{k}.c) as c from b{k} left join (select part, entry, list(x order by i) as c from m{k} group by all) m using (part, entry))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
         with w as (select doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
@@ -140,4 +162,14 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, coalesce(a.n, 0) as n_lines, coalesce(b.n, 0) as n_dropped, coalesce(b.dropped, '') as dropped from documents d left join (select doc_id, count(*) as n from l group by 1) a using (doc_id)
         left join (select doc_id, count(*) as n, string_agg(i, ',' order by i) as dropped from g group by 1) b using (doc_id)
     """,
+    "op12_vector_codes": f"""
+        with k as materialized (select row_number() over (order by vec_id, embedding) as rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as materialized (select rid, t.range as part, x[t.range * (len(x) // 16) + 1 : (t.range + 1) * (len(x) // 16)] as v from k, range(16) t),
+        b0 as (select part, rid - 1 as entry, v as c from p where rid <= 64),
+        {ASSIGN.format(k=0)}, {REFINE.format(k=0, n=1)}, {ASSIGN.format(k=1)}, {REFINE.format(k=1, n=2)}, {ASSIGN.format(k=2)},
+        books as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from b2),
+        coded as (select rid, string_agg(printf('%02x', best.e), '' order by part) as code, cast(sum(best.d) as bigint) as error from a2 group by 1)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded join k using (rid), books
+    """,
 }
