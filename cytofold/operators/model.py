@@ -1,4 +1,4 @@
-"""Copy-number states: enumeration, scoring, decoding along chains, breakpoint states.
+"""Copy-number states: enumeration, scoring, breakpoint states.
 
 Two tumour clones; the normal clone is (1, 1). State tables depend on the largest
 copy number only, so they are broadcast.
@@ -10,7 +10,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,59 +169,6 @@ def cost_matrix(costs: DataFrame) -> np.ndarray:
     return out
 
 
-def best_path(scores: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """States with the largest sum of scores and transitions (max-product); ties go to the first state."""
-    value, back = scores[0], []
-    for row in scores[1:]:
-        options = value[:, None] + transition
-        back.append(options.argmax(axis=0))
-        value = options.max(axis=0) + row
-    path = [int(value.argmax())]
-    for step in reversed(back):
-        path.append(int(step[path[-1]]))
-    return np.array(path[::-1])
-
-
-def marginals(scores: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Posterior of each state along a chain (forward-backward, in logarithms)."""
-    lse = lambda x, axis: np.log(np.exp(x - x.max(axis=axis, keepdims=True)).sum(axis=axis)) + x.max(axis=axis)
-    forward, backward = [scores[0]], [np.zeros(scores.shape[1])]
-    for row in scores[1:]:
-        forward.append(lse(forward[-1][:, None] + transition, 0) + row)
-    for row in scores[:0:-1]:
-        backward.append(lse(transition + (row + backward[-1])[None, :], 1))
-    joint = np.array(forward) + np.array(backward[::-1])
-    joint -= joint.max(axis=1, keepdims=True)
-    p = np.exp(joint)
-    return p / p.sum(axis=1, keepdims=True)
-
-
-def decode_chain(arrays: DataFrame, keys: list[str], costs: np.ndarray, penalty: float = 10.0) -> DataFrame:
-    """Most probable state path of every chain (keys name sample, candidate and chain); chains are independent."""
-    transition = -penalty * costs
-    types = dict(arrays.dtypes)
-
-    def decode(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("segment_idx")
-        return group[[*keys, "segment_idx"]].assign(state=best_path(np.stack(group["scores"].to_numpy()), transition))
-
-    return arrays.groupBy(*keys).applyInPandas(decode, ", ".join(f"{k} {types[k]}" for k in [*keys, "segment_idx"]) + ", state int")
-
-
-def chain_posteriors(arrays: DataFrame, keys: list[str], costs: np.ndarray, penalty: float = 10.0) -> DataFrame:
-    """Posterior state probabilities of every segment, along its chain."""
-    transition = -penalty * costs
-    types = dict(arrays.dtypes)
-
-    def spread(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("segment_idx")
-        p = marginals(np.stack(group["scores"].to_numpy()), transition)
-        n, k = p.shape
-        return group[[*keys, "segment_idx"]].iloc[np.repeat(np.arange(n), k)].assign(state=np.tile(np.arange(k), n), posterior=p.ravel())
-
-    return arrays.groupBy(*keys).applyInPandas(spread, ", ".join(f"{k} {types[k]}" for k in [*keys, "segment_idx"]) + ", state int, posterior double")
-
-
 def decode_breakpoints_naive(cn: DataFrame, adjacencies: DataFrame, breakpoints: DataFrame, clones: tuple[str, ...] = ("total_1", "total_2")) -> DataFrame:
     """Copies of a breakpoint: the lesser over its ends of the drop across the end against the wild-type neighbour, at least 0.
 

@@ -83,10 +83,12 @@ def duck(text: str) -> str:
     """A DuckDB query over fixtures, with their CTEs before it."""
     text = text.strip()
     own = text[5:] if text.lower().startswith("with ") else None
+    recursive = "recursive " if own and own.startswith("recursive ") else ""
+    own = own and own.removeprefix(recursive)
     ctes = ",\n".join(f"{n} as ({FIXTURES[n]})" for n in needed(text))
     if not ctes:
         return rows_for(text, "range")
-    return rows_for(f"with {ctes}, {own}" if own else f"with {ctes}\n{text}", "range")
+    return rows_for(f"with {recursive}{ctes}, {own}" if own else f"with {ctes}\n{text}", "range")
 
 
 def to_spark(text: str) -> str:

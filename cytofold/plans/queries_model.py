@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.functions import likelihood as lk
 from cytofold.operators import bias as bs
+from cytofold.operators import decoding as dc
 from cytofold.operators import depth as dp
 from cytofold.operators import evaluation as ev
 from cytofold.operators import model as md
 from cytofold.operators import segments as sg
 from cytofold.operators import solutions as sl
 from cytofold.plans.fixtures import Tables
-from cytofold.plans.queries import COUNTS, REINDEX, count_table, query, r
+from cytofold.plans.queries import COUNTS, ENDS, REINDEX, count_table, query, r
 
 KEYS = ["sample_id", "chromosome", "start", "end"]
 CT = f'{COUNTS}, ct as (select *, "end" - start as length from ctab)'
@@ -362,20 +364,54 @@ def state_class_weights(t):
     return rounded(md.state_class_weights(posteriors_of(t), flagged, ["sample_id"], regular), ["weight"], 8)
 
 
+#: Units of a score and penalties in them, of boundaries without and with a breakpoint; whole numbers, so that both engines add up the same.
+UNIT, PENALTIES = 10_000, (20_000, 5_000)
+EVERY_COST = COSTS.replace("\n    from states x, states y where greatest(x.major_1, x.major_2, y.major_1, y.major_2) <= (select max(major_1) from cn_profiles))", "\n    from states x, states y)")
+LINKED = f"""{SCORES}, {EVERY_COST.split(STATES)[1].lstrip(", ")}, {ENDS}, ch as (select segment_idx, min(segment_idx) over (partition by chromosome, run) as chain from (select *, sum(new) over (partition by chromosome order by segment_idx) as run from (
+    select segment_idx, chromosome, case when start - lag("end") over w <= 1000 then 0 else 1 end as new from segments window w as (partition by chromosome order by segment_idx)) x) y),
+    cut as (select distinct chromosome, position from brk), kinds as (select s.segment_idx, chain, case when cut.position is null then {PENALTIES[0]} else {PENALTIES[1]} end as penalty from segments s join ch using (segment_idx) left join cut on cut.chromosome = s.chromosome and cut.position = s.start),
+    sc as materialized (select sample_id, chain, segment_idx, penalty, dense_rank() over (partition by sample_id, chain order by segment_idx) as n, state, cast(round(score * {UNIT}) as bigint) as score from scores join kinds using (segment_idx)),
+    moves as materialized (select state_a, state_b, tot + least(kept - tot, flip - tot) as cost from costs)"""
+
+
 def chained(t: Tables) -> DataFrame:
-    arrays = md.state_arrays(scores_of(t), ["sample_id"])
-    return arrays.join(sg.chain_of_segments(t.segments, 1000), "segment_idx")
+    """Scores by chain, and which transitions lead into a segment: 1 where a breakpoint lies at its start."""
+    scores = scores_of(t).withColumn("score", F.round(F.col("score") * UNIT))
+    ends = t.breakpoints.select(F.expr("stack(2, chromosome_1, position_1, chromosome_2, position_2) as (chromosome, start)")).distinct()
+    steps = t.segments.join(ends.withColumn("_cut", F.lit(1)), ["chromosome", "start"], "left").select("segment_idx", F.coalesce("_cut", F.lit(0)).alias("step"))
+    return md.state_arrays(scores, ["sample_id"]).join(sg.chain_of_segments(t.segments, 1000), "segment_idx").join(steps, "segment_idx")
 
 
-@query()
+def transitions(t: Tables) -> np.ndarray:
+    costs = md.cost_matrix(md.state_transition_costs(md.copy_states(t.spark, CN_MAX, 1)))
+    return np.stack([-p * costs for p in PENALTIES])
+
+
+@query(f"""with recursive {LINKED}, v as (select sample_id, chain, n, state, score as value, cast(-1 as bigint) as back from sc where n = 1 union all
+    select sample_id, chain, n, state, sc.score - best.m as value, best.s as back from (select v.sample_id, v.chain, v.n + 1 as n, m.state_b as state, min({{'m': k.penalty * m.cost - v.value, 's': v.state}}) as best
+        from v join (select distinct sample_id, chain, n, penalty from sc) k on k.sample_id = v.sample_id and k.chain = v.chain and k.n = v.n + 1 join moves m on m.state_a = v.state group by all) b join sc using (sample_id, chain, n, state)),
+    l as (select sample_id, chain, n, min({{'m': -value, 's': state}}) as best from v group by all), f as (select sample_id, chain, max(n) as n from v group by all),
+    path as (select sample_id, chain, n, best.s as state from l join f using (sample_id, chain, n) union all select p.sample_id, p.chain, p.n - 1, v.back from path p join v on v.sample_id = p.sample_id and v.chain = p.chain and v.n = p.n and v.state = p.state where p.n > 1)
+    select sample_id, chain, segment_idx, path.state from path join (select distinct sample_id, chain, n, segment_idx from sc) using (sample_id, chain, n)""")
 def decode_chain(t):
-    return md.decode_chain(chained(t), ["sample_id", "chain"], md.cost_matrix(md.state_transition_costs(md.copy_states(t.spark, CN_MAX, 1))), penalty=2.0)
+    rows = dc.decode_chain(chained(t), ["sample_id", "chain"], transitions(t))
+    return rows.withColumn("state", F.col("state").cast("long"))
 
 
-@query()
+@query(f"""with recursive {LINKED}, kd as materialized (select distinct sample_id, chain, n, penalty from sc), z as (select sample_id, chain, max(n) as last from kd group by all),
+    al as (select sample_id, chain, n, state, score / {UNIT} as value from sc where n = 1 union all
+    select sample_id, chain, n, state, sc.score / {UNIT} + b.top + ln(b.total) from (select v.sample_id, v.chain, v.n + 1 as n, m.state_b as state, any_value(v.top) as top, sum(exp(v.value - v.top - k.penalty * m.cost / {UNIT})) as total
+        from (select *, max(value) over (partition by sample_id, chain) as top from al) v join kd k on k.sample_id = v.sample_id and k.chain = v.chain and k.n = v.n + 1 join moves m on m.state_a = v.state group by all) b join sc using (sample_id, chain, n, state)),
+    bw as (select sample_id, chain, n, state, cast(0 as double) as value from sc join z using (sample_id, chain) where n = last union all
+    select sample_id, chain, n, state, top + ln(total) from (select v.sample_id, v.chain, v.n - 1 as n, m.state_a as state, any_value(v.top) as top, sum(exp(v.value - v.top - k.penalty * m.cost / {UNIT})) as total
+        from (select *, max(value) over (partition by sample_id, chain) as top from (select bw.sample_id, bw.chain, bw.n, bw.state, bw.value + sc.score / {UNIT} as value from bw join sc using (sample_id, chain, n, state))) v
+        join kd k on k.sample_id = v.sample_id and k.chain = v.chain and k.n = v.n and v.n > 1 join moves m on m.state_b = v.state group by all) b),
+    both_ways as (select sample_id, chain, n, state, al.value + bw.value as value from al join bw using (sample_id, chain, n, state)), weights as (select *, exp(value - max(value) over (partition by sample_id, chain, n)) as p from both_ways)
+    select sample_id, chain, segment_idx, weights.state, round(p / sum(p) over (partition by sample_id, chain, n), 6) as posterior from weights join (select distinct sample_id, chain, n, segment_idx from sc) using (sample_id, chain, n)""")
 def chain_posteriors(t):
-    rows = md.chain_posteriors(chained(t), ["sample_id", "chain"], md.cost_matrix(md.state_transition_costs(md.copy_states(t.spark, CN_MAX, 1))), penalty=2.0)
-    return rounded(rows, ["posterior"])
+    arrays = chained(t).withColumn("scores", F.transform("scores", lambda s: s / UNIT))
+    rows = dc.chain_posteriors(arrays, ["sample_id", "chain"], transitions(t) / UNIT)
+    return rounded(rows.withColumn("state", F.col("state").cast("long")), ["posterior"])
 
 
 @query("select segment_idx, case chromosome when '5' then 'X' else chromosome end as chromosome, 1 as normal_major, case when chromosome = '5' then 0 else 1 end as normal_minor from segments")

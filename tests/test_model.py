@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytofold.functions import likelihood as lk
 from cytofold.functions.likelihood import log_gamma
+from cytofold.operators import decoding as dc
 from cytofold.operators import depth as dp
 from cytofold.operators import haplotypes as hp
 from cytofold.operators import model as md
@@ -19,27 +20,69 @@ def test_log_gamma(spark):
     assert got == pytest.approx([math.lgamma(x) for x in xs], abs=1e-8, rel=1e-10)
 
 
+def enumerated(scores, steps):
+    """The best path (ties to the first states from the end backwards) and the posteriors, from all paths."""
+    n, k = scores.shape
+    paths = list(itertools.product(range(k), repeat=n))
+    value = np.array([sum(scores[i, s] for i, s in enumerate(p)) + sum(steps[i][p[i - 1], p[i]] for i in range(1, n)) for p in paths])
+    best = min((p for p, v in zip(paths, value, strict=True) if v >= value.max() - 1e-9), key=lambda p: p[::-1])
+    weight = np.exp(value - value.max()) / np.exp(value - value.max()).sum()
+    return best, np.array([[weight[[p[i] == s for p in paths]].sum() for s in range(k)] for i in range(n)])
+
+
 def test_path_and_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     scores, transition = rng.normal(size=(4, 5)), -rng.random((5, 5))
-    paths = list(itertools.product(range(5), repeat=4))
-    value = np.array([sum(scores[i, s] for i, s in enumerate(p)) + sum(transition[a, b] for a, b in zip(p, p[1:])) for p in paths])
-    assert tuple(md.best_path(scores, transition)) == paths[int(value.argmax())]
-    weight = np.exp(value) / np.exp(value).sum()
-    expected = np.array([[weight[[p[i] == s for p in paths]].sum() for s in range(5)] for i in range(4)])
-    assert md.marginals(scores, transition) == pytest.approx(expected)
-
-
-def test_decode_along_chains(spark):
-    states = md.copy_states(spark, 2, 1)
-    costs = md.cost_matrix(md.state_transition_costs(states))
+    best, expected = enumerated(scores, [transition] * 4)
+    assert tuple(dc.best_path(scores, transition)) == best
+    assert dc.marginals(scores, [transition] * 4) == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("algebra", [dc.BEST, dc.SUM])
+def test_chunk_products_equal_steps(algebra):
+    rng = np.random.default_rng(4)
+    for spread, high in ((1.0, 1.0), (50.0, 3.0), (3000.0, 40.0), (1.0, 2000.0)):
+        scores, steps = rng.normal(size=(30, 6)) * spread, [-high * rng.random((6, 6)) for _ in range(30)]
+        for n in (1, 2, 7, 30):
+            got = dc.chunk_product(scores[:n], steps[:n], algebra)
+            whole = got[0][:, None] + got[1] if isinstance(got, tuple) else got
+            for start in range(6):
+                message = np.where(np.arange(6) == start, 0.0, -1e300)
+                assert whole[start] == pytest.approx(dc.forward(scores[:n], steps[:n], message, algebra)[-1], rel=1e-9, abs=1e-9)
+    assert isinstance(dc.chunk_product(rng.normal(size=(200, 6)) * 5, [-rng.random((6, 6))] * 200, algebra), tuple)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 100])
+def test_chains_in_chunks_equal_enumeration(spark, chunk):
     rng = np.random.default_rng(5)
-    scores = rng.normal(size=(6, len(costs))) * 3
-    arrays = spark.createDataFrame([("s", k // 3, k, scores[k].tolist()) for k in range(6)], "sample_id string, chain long, segment_idx long, scores array<double>")
-    got = {r["segment_idx"]: r["state"] for r in md.decode_chain(arrays, ["sample_id", "chain"], costs, 1.0).collect()}
-    assert [got[k] for k in range(6)] == [*md.best_path(scores[:3], -costs), *md.best_path(scores[3:], -costs)]
-    total = md.chain_posteriors(arrays, ["sample_id", "chain"], costs, 1.0).groupBy("segment_idx").agg(F.sum("posterior").alias("p")).collect()
-    assert [r["p"] for r in total] == pytest.approx([1.0] * 6)
+    matrices = np.stack([-np.round(4 * rng.random((3, 3))), -np.round(9 * rng.random((3, 3)))])  # whole numbers, so ties occur
+    schema = "sample_id string, chain long, segment_idx long, step int, scores array<double>"
+    rows, best, posterior = [], {}, {}
+    for sample, first, n in (("a", 0, 9), ("a", 9, 1), ("a", 10, 8), ("b", 0, 2), ("b", 30, 9)):
+        scores, step = np.round(rng.normal(size=(n, 3)) * 3), rng.integers(0, 2, n)
+        rows += [(sample, first, first + k, int(step[k]), scores[k].tolist()) for k in range(n)]
+        path, p = enumerated(scores, [matrices[s] for s in step])
+        best |= {(sample, first + k): path[k] for k in range(n)}
+        posterior |= {(sample, first + k, s): p[k, s] for k in range(n) for s in range(3)}
+    arrays = spark.createDataFrame(rows, schema).repartition(5)
+    got = dc.decode_chain(arrays, ["sample_id", "chain"], matrices, chunk).collect()
+    assert {(r["sample_id"], r["segment_idx"]): r["state"] for r in got} == best
+    got = dc.chain_posteriors(arrays, ["sample_id", "chain"], matrices, chunk).collect()
+    assert {(r["sample_id"], r["segment_idx"], r["state"]): r["posterior"] for r in got} == pytest.approx(posterior)
+    assert dc.Chains(arrays, ["sample_id", "chain"], matrices, chunk).chunks.where(F.size("items") > chunk).isEmpty()
+    assert dc.decode_chain(arrays.where("false"), ["sample_id", "chain"], matrices, chunk).isEmpty()
+
+
+def test_long_chain_in_chunks_equals_one_pass(spark):
+    rng = np.random.default_rng(6)
+    scores, matrix = rng.normal(size=(700, 12)) * 4, -3 * rng.random((12, 12))
+    arrays = spark.createDataFrame([("s", 0, k, scores[k].tolist()) for k in range(700)], "sample_id string, chain long, segment_idx long, scores array<double>")
+    got = {r["segment_idx"]: r["state"] for r in dc.decode_chain(arrays, ["sample_id", "chain"], matrix, 64).collect()}
+    assert [got[k] for k in range(700)] == dc.best_path(scores, matrix).tolist()
+    p = np.zeros((700, 12))
+    for r in dc.chain_posteriors(arrays, ["sample_id", "chain"], matrix, 64).collect():
+        p[r["segment_idx"], r["state"]] = r["posterior"]
+    assert np.abs(p - dc.marginals(scores, [matrix] * 700)).max() < 1e-10
 
 
 def test_split_terms_equal_whole_likelihoods(spark):
