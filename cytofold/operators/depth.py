@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytofold.sources.storage import materialise
+from cytofold.operators.selection import exact_percentiles, weighted_clusters
 
 EPSILON = 1e-16
 
@@ -22,9 +22,10 @@ def segment_depths(counts: DataFrame) -> DataFrame:
 def quality_flags(rows: DataFrame) -> DataFrame:
     """high_quality: length, allele reads and length ratio each above their 10th percentile in the sample."""
     rows = rows.withColumns({"allele_readcount": F.col("major_readcount") + F.col("minor_readcount"), "length_ratio": F.col("length") / (F.col("end") - F.col("start") + 1)})
-    cuts = rows.groupBy("sample_id").agg(*(F.percentile(c, 0.1).alias(f"_{c}") for c in ("length", "allele_readcount", "length_ratio")))
-    above = [F.col(c) > F.col(f"_{c}") for c in ("length", "allele_readcount", "length_ratio")]
-    return rows.join(cuts, "sample_id").withColumn("high_quality", above[0] & above[1] & above[2]).drop("_length", "_allele_readcount", "_length_ratio")
+    judged = ["length", "allele_readcount", "length_ratio"]
+    cuts = exact_percentiles(rows, ["sample_id"], judged, 0.1).withColumnsRenamed({c: f"_{c}" for c in judged})
+    above = [F.col(c) > F.col(f"_{c}") for c in judged]
+    return rows.join(cuts, "sample_id").withColumn("high_quality", above[0] & above[1] & above[2]).drop(*(f"_{c}" for c in judged))
 
 
 def read_depth(counts: DataFrame) -> DataFrame:
@@ -89,29 +90,16 @@ def weighted_percentile(rows: DataFrame, by: list[str], value: str, weight: str,
     return reached.groupBy(*by).agg(F.min(value).alias("value"))
 
 
-def minor_modes(depths: DataFrame, k: int = 5, by: str = "sample_id", passes: int = 50) -> DataFrame:
-    """(by, centre): centres of k-means on length-weighted minor depths of each sample; the top 5 % and clusters under 1 % of the weight go.
+def minor_modes(depths: DataFrame, k: int = 5, by: str = "sample_id", cells: int = 1024) -> DataFrame:
+    """(by, centre): centres of the best ``k`` clusters of length-weighted minor depths of each sample; the top 5 % and clusters under 1 % of the weight go.
 
-    All samples take their steps together, from weighted quantiles of their
-    depths, until no centre moves or ``passes`` are over.
+    Clusters are the best whose limits are those of ``cells`` equal cells, see
+    ``weighted_clusters``; nothing is iterated.
     """
-    cut = depths.groupBy(by).agg(F.percentile("minor", 0.95).alias("_cut"))
-    low = depths.join(cut, by).where((F.col("minor") < F.col("_cut")) & (F.col("length") > 0))
-    # Equal depths are one point with their lengths added up.
-    points = materialise(low.groupBy(by, F.col("minor").alias("x")).agg(F.sum("length").alias("w")), "mode-points")
-    upto = Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    parts = points.withColumn("_part", F.least(F.floor((F.sum("w").over(upto) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy(by)) * k), F.lit(k - 1)))
-    mean = (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("centre")
-    centres = materialise(parts.groupBy(by, F.col("_part").alias("mode")).agg(mean, F.sum("w").alias("w")), "modes")
-    for _ in range(passes):
-        listed = centres.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("centre", "mode"))).alias("_c"))
-        nearest = F.array_min(F.transform("_c", lambda c: F.struct(F.abs(F.col("x") - c["centre"]).alias("d"), c["mode"].alias("mode"))))["mode"]
-        moved = materialise(points.join(listed, by).withColumn("mode", nearest).groupBy(by, "mode").agg(mean, F.sum("w").alias("w")), "modes")
-        still = moved.join(centres.select(by, "mode", F.col("centre").alias("_was")), [by, "mode"], "left").where(~(F.abs(F.col("centre") - F.col("_was")) <= 1e-12)).isEmpty()
-        centres = moved
-        if still:
-            break
-    return centres.withColumn("_all", F.sum("w").over(Window.partitionBy(by))).where(F.col("w") >= 0.01 * F.col("_all")).select(by, "centre")
+    cut = exact_percentiles(depths, [by], ["minor"], 0.95).withColumnRenamed("minor", "_cut")
+    found = weighted_clusters(depths.join(cut, by).where(F.col("minor") < F.col("_cut")), [by], "minor", "length", k, cells)
+    total = F.sum("weight").over(Window.partitionBy(by))
+    return found.withColumn("_all", total).where(F.col("weight") >= 0.01 * F.col("_all")).select(by, "centre")
 
 
 def concat_position(rows: DataFrame, offsets: DataFrame, columns: list[str]) -> DataFrame:

@@ -164,7 +164,20 @@ def scatter_limits(t):
     return of(0.01, "lo").join(of(0.99, "hi"), "sample_id").select("sample_id", r(F.col("lo") - margin).alias("lower"), r(F.col("hi") + margin).alias("upper"))
 
 
-@query()
+CLUSTERS = 5
+BEST = "\n".join(
+    f"d{k} as materialized (select c.sample_id, c.b, min({{'v': d.best.v + c.c, 'a': c.a}}) as best from d{k - 1} d join cost c on c.sample_id = d.sample_id and c.a = d.b group by all)," for k in range(2, CLUSTERS + 1)
+)
+CUTS = "e5 as (select sample_id, max(i) as e5 from pre group by 1),\n" + "\n".join(f"e{k - 1} as (select e{k}.*, d{k}.best.a as e{k - 1} from e{k} join d{k} on d{k}.sample_id = e{k}.sample_id and d{k}.b = e{k}.e{k})," for k in range(CLUSTERS, 1, -1))
+
+
+@query(f"""with {FLAGS}, rd as (select sample_id, length, minor_depth as x from flagged where length > 0 and ar > 0), low as (select rd.* from rd join (select sample_id, quantile_cont(x, 0.95) as top from rd group by 1) using (sample_id) where x < top),
+    span as (select sample_id, min(x) as lo, max(x) as hi from low group by 1), cells as (select sample_id, lo, least(floor((x - lo) / (hi - lo) * 1024), 1023) as cell, sum(length) as w, sum(length * (x - lo)) as m, sum(length * (x - lo) * (x - lo)) as q from low join span using (sample_id) group by all),
+    pre as (select sample_id, lo, row_number() over o as i, sum(w) over o as cw, sum(m) over o as cm, sum(q) over o as cq from cells window o as (partition by sample_id order by cell rows unbounded preceding) union all select sample_id, lo, 0, 0, 0, 0 from span),
+    cost as materialized (select x.sample_id, x.i as a, y.i as b, (y.cq - x.cq) - (y.cm - x.cm) * (y.cm - x.cm) / (y.cw - x.cw) as c from pre x join pre y on x.sample_id = y.sample_id and x.i < y.i),
+    d1 as (select sample_id, b, {{'v': c, 'a': a}} as best from cost where a = 0), {BEST} {CUTS}
+    found as (select e1.sample_id, x.lo + (y.cm - x.cm) / (y.cw - x.cw) as centre, y.cw - x.cw as w from e1 cross join range(5) k join pre x on x.sample_id = e1.sample_id and x.i = [0, e1, e2, e3, e4][k.range + 1] join pre y on y.sample_id = e1.sample_id and y.i = [e1, e2, e3, e4, e5][k.range + 1])
+    select sample_id, round(centre, 6) as centre from (select *, sum(w) over (partition by sample_id) as total from found) where w >= 0.01 * total""")
 def minor_modes(t):
     return rounded(dp.minor_modes(dp.read_depth(counted(t))), ["centre"])
 
