@@ -1,13 +1,18 @@
 """Interval and position joins within a chromosome.
 
-Spark has no range join, so intervals are dealt to the fixed-width bins they
-touch and the other side is looked up by the bin of one coordinate: an ordinary
-equi-join on (chromosome, bin), which Catalyst broadcasts when the interval side
-is small at run time and shuffles otherwise, with the exact predicate on top.
+Spark has no range join, so intervals are dealt to the bins they touch and the
+other side is looked up by the bin of one coordinate: an ordinary equi-join on
+(chromosome, level, bin), which Catalyst broadcasts when the interval side is small
+at run time and shuffles otherwise, with the exact predicate on top. Bins are
+nested, each level's eight times as wide as those below; an interval goes to the
+lowest level whose bins are as long as itself, so it touches two of them at most,
+and the other side is looked up at the levels that occur.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +24,43 @@ def bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
 
 
+#: Powers of two between the widths of a level and the next.
+STEP = 3
+
+
+def deal(intervals: DataFrame, start: Column, last: Column, width: int) -> DataFrame:
+    """Add ``_level`` and ``_bin``: a row for each of the bins, two at most, that a closed interval touches."""
+    length = F.greatest(last - start, F.lit(0)) + 1
+    level = F.greatest(F.ceil((F.log2(length / F.lit(width)) - 1e-9) / STEP), F.lit(0)).cast("int")
+    wide = intervals.withColumn("_level", level)
+    size = F.expr(f"shiftleft({width}L, {STEP} * _level)")
+    return wide.withColumn("_bin", F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(start, last) / size))))
+
+
+def look_up(points: DataFrame, at: Column, dealt: DataFrame, width: int) -> DataFrame:
+    """Add ``_level`` and ``_bin``: the bin of a coordinate at each level that ``dealt`` has, a handful."""
+    levels = dealt.agg(F.collect_set("_level")).scalar()
+    return points.withColumn("_at", at).withColumn("_levels", levels).withColumn("_level", F.explode("_levels")).withColumn("_bin", F.expr(f"floor(_at / shiftleft({width}L, {STEP} * _level))")).drop("_levels", "_at")
+
+
+def matched_or_none(points: DataFrame, at: Column, dealt: DataFrame, condition: Column, width: int) -> DataFrame:
+    """Left join of ``points`` and ``dealt`` (both may hold ``chromosome``), at all levels of the latter; its other columns start with s_ and are null without a match."""
+    levels = sorted(r["_level"] for r in dealt.select("_level").distinct().collect())  # a handful
+    named = [c for c in dealt.columns if c.startswith("s_")]
+
+    def met(level: int, rows: DataFrame, how: str) -> DataFrame:
+        mine = dealt.where(F.col("_level") == level).select(F.col("chromosome").alias("_c"), F.col("_bin").alias("_b"), *named)
+        return rows.join(mine, (F.col("chromosome") == F.col("_c")) & (F.floor(at / (width << STEP * level)) == F.col("_b")) & condition, how).drop("_c", "_b")
+
+    if len(levels) == 1:
+        return met(levels[0], points, "left")
+    rest = points
+    for level in levels:
+        rest = met(level, rest, "left_anti")
+    none = rest.withColumns({c: F.lit(None).cast(dict(dealt.dtypes)[c]) for c in named})
+    return reduce(DataFrame.unionByName, [met(level, points, "inner") for level in levels], none)
+
+
 def with_neighbours(segments: DataFrame) -> DataFrame:
     """Add ``prev_end`` and ``next_start`` in the order of start and end within the chromosome."""
     order = Window.partitionBy("chromosome").orderBy("start", "end")
@@ -40,15 +82,17 @@ def contained_counts(segments: DataFrame, intervals: DataFrame, by: list[str], w
 
 def contained_pairs(segments: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
     """Intervals with the segment they are counted in (s_start, s_end)."""
-    seg = with_neighbours(segments.select("chromosome", "start", "end")).select("chromosome", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "prev_end", bins(F.col("start"), F.col("end"), width).alias("bin"))
+    seg = with_neighbours(segments.select("chromosome", "start", "end")).select("chromosome", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "prev_end")
+    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width)
     inside = (F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end")) & (F.col("prev_end").isNull() | (F.col("start") > F.col("prev_end")))
-    return intervals.withColumn("bin", F.floor(F.col("start") / width)).join(seg, ["chromosome", "bin"]).where(inside).drop("bin", "prev_end")
+    return look_up(intervals, F.col("start"), dealt, width).join(dealt, ["chromosome", "_level", "_bin"]).where(inside).drop("_level", "_bin", "prev_end")
 
 
 def overlapping_counts(segments: DataFrame, positions: DataFrame, width: int = BIN) -> DataFrame:
     """Positions strictly inside each segment, zeros included."""
-    seg = segments.select("chromosome", F.col("start").alias("s_start"), F.col("end").alias("s_end"), bins(F.col("start"), F.col("end"), width).alias("bin"))
-    met = positions.withColumn("bin", F.floor(F.col("position") / width)).join(seg, ["chromosome", "bin"])
+    seg = segments.select("chromosome", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width)
+    met = look_up(positions, F.col("position"), dealt, width).join(dealt, ["chromosome", "_level", "_bin"])
     met = met.where((F.col("s_start") < F.col("position")) & (F.col("position") < F.col("s_end")))
     found = met.groupBy("chromosome", F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg(F.count("*").alias("n"))
     return segments.join(found, ["chromosome", "start", "end"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -56,10 +100,10 @@ def overlapping_counts(segments: DataFrame, positions: DataFrame, width: int = B
 
 def find_contained_positions(segments: DataFrame, positions: DataFrame, width: int = BIN) -> DataFrame:
     """Positions with the index of the segment [start, end) they lie in, -1 if none."""
-    seg = segments.select("chromosome", "segment_idx", F.col("start").alias("s_start"), F.col("end").alias("s_end"), bins(F.col("start"), F.col("end") - 1, width).alias("_bin"))
-    at = positions.withColumn("_bin", F.floor(F.col("position") / width))
-    met = (at["chromosome"] == seg["chromosome"]) & (at["_bin"] == seg["_bin"]) & (seg["s_start"] <= at["position"]) & (at["position"] < seg["s_end"])
-    return at.join(seg, met, "left").select(*(at[c] for c in positions.columns), F.coalesce(seg["segment_idx"], F.lit(-1)).cast("long").alias("segment_idx"))
+    seg = segments.select("chromosome", F.col("segment_idx").alias("s_idx"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    dealt = deal(seg, F.col("s_start"), F.col("s_end") - 1, width)
+    met = matched_or_none(positions, F.col("position"), dealt, (F.col("s_start") <= F.col("position")) & (F.col("position") < F.col("s_end")), width)
+    return met.select(*positions.columns, F.coalesce("s_idx", F.lit(-1)).cast("long").alias("segment_idx"))
 
 
 def find_contained_segments(segments: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
@@ -68,30 +112,32 @@ def find_contained_segments(segments: DataFrame, intervals: DataFrame, width: in
     An interval that starts on a shared bound belongs to the right segment, an
     empty one on it to none.
     """
-    seg = with_neighbours(segments.select("chromosome", "start", "end", "segment_idx")).select("chromosome", "segment_idx", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "prev_end", "next_start", bins(F.col("start"), F.col("end"), width).alias("_bin"))
-    at = intervals.withColumn("_bin", F.floor(F.col("start") / width))
-    met = (
-        (at["chromosome"] == seg["chromosome"]) & (at["_bin"] == seg["_bin"]) & (at["start"] >= seg["s_start"]) & (seg["next_start"].isNull() | (at["start"] < seg["next_start"]))
-        & (at["end"] <= seg["s_end"]) & (seg["prev_end"].isNull() | (at["end"] > seg["prev_end"]))
-    )
-    return at.join(seg, met, "left").select(*(at[c] for c in intervals.columns), F.coalesce(seg["segment_idx"], F.lit(-1)).cast("long").alias("segment_idx"))
+    seg = with_neighbours(segments.select("chromosome", "start", "end", "segment_idx"))
+    seg = seg.select("chromosome", *(F.col(c).alias(f"s_{c}") for c in ("segment_idx", "start", "end", "prev_end", "next_start")))
+    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width)
+    start, end = F.col("start"), F.col("end")
+    inside = (start >= F.col("s_start")) & (F.col("s_next_start").isNull() | (start < F.col("s_next_start"))) & (end <= F.col("s_end")) & (F.col("s_prev_end").isNull() | (end > F.col("s_prev_end")))
+    met = matched_or_none(intervals, start, dealt, inside, width)
+    return met.select(*intervals.columns, F.coalesce("s_segment_idx", F.lit(-1)).cast("long").alias("segment_idx"))
 
 
 def interval_position_overlap(intervals: DataFrame, positions: DataFrame, width: int = BIN, longest: int | None = None) -> DataFrame:
     """All pairs of an interval and a position in [start, end); intervals may overlap each other.
 
-    Intervals are dealt to the bins they touch. Where none is longer than
-    ``longest``, as with reads, the positions are dealt to the bins that intervals
-    over them start in instead, and each interval is looked up once.
+    Intervals are dealt to bins, see above. Where none is longer than ``longest``,
+    as with reads, the positions are dealt to the bins that intervals over them
+    start in instead, and each interval is looked up once.
     """
     full = intervals.where(F.col("end") > F.col("start"))
     if longest is None:
-        dealt = full.select("*", bins(F.col("start"), F.col("end") - 1, width).alias("_bin"))
-        at = positions.withColumn("_bin", F.floor(F.col("position") / width))
+        keys = ["chromosome", "_level", "_bin"]
+        dealt = deal(full, F.col("start"), F.col("end") - 1, width)
+        at = look_up(positions, F.col("position"), dealt, width)
     else:
+        keys = ["chromosome", "_bin"]
         dealt = full.withColumn("_bin", F.floor(F.col("start") / width))
         at = positions.select("*", bins(F.col("position") - longest + 1, F.col("position"), width).alias("_bin"))
-    return dealt.join(at, ["chromosome", "_bin"]).where((F.col("start") <= F.col("position")) & (F.col("position") < F.col("end"))).drop("_bin")
+    return dealt.join(at, keys).where((F.col("start") <= F.col("position")) & (F.col("position") < F.col("end"))).drop("_level", "_bin")
 
 
 def vrange(ranges: DataFrame) -> DataFrame:

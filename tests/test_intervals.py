@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cytofold.operators import intervals as iv
 from cytofold.operators import segments as sg
@@ -74,3 +75,34 @@ def test_short_intervals_are_looked_up_once(spark):
     expected = sorted((k, p) for k, _, a, b in spans for _, p in points if a <= p < b)
     for options in ({"width": 30}, {"width": 30, "longest": 40}, {"width": 7, "longest": 40}):
         assert sorted((r["k"], r["position"]) for r in iv.interval_position_overlap(intervals, positions, **options).collect()) == expected
+
+
+def test_long_intervals_are_dealt_to_few_bins(spark):
+    rng = random.Random(7)
+    size = 3_000_000
+    intervals = [("1", 0, 0, size), ("1", 1, 17, size - 5), ("2", 2, 5, 6)] + [("1", 10 + k, s, s + rng.choice([1, 3, 40, 700, 9_000, 100_000])) for k, s in enumerate(rng.randrange(size) for _ in range(300))]
+    points = [("1", k, rng.randrange(-5, size + 5)) for k in range(400)] + [("2", 900, 5), ("3", 901, 5), ("1", 902, size), ("1", 903, 0)]
+    s, p = spark.createDataFrame(intervals, SEG), spark.createDataFrame(points, "chromosome string, i long, position long")
+    width = 10
+    dealt = iv.deal(s, F.col("start"), F.col("end") - 1, width)
+    assert dealt.groupBy("segment_idx").count().agg(F.max("count")).first()[0] <= 2 and dealt.select("_level").distinct().count() > 4
+    pairs = sorted((k, i) for c, k, a, b in intervals for d, i, x in points if c == d and a <= x < b)
+    assert sorted((r["segment_idx"], r["i"]) for r in iv.interval_position_overlap(s, p, width).collect()) == pairs
+    held = {i for _, i in pairs}
+    rows = sorted((r["i"], r["segment_idx"]) for r in iv.find_contained_positions(s, p, width).collect())
+    assert rows == sorted([(i, k) for k, i in pairs] + [(i, -1) for _, i, _ in points if i not in held])
+    assert iv.find_contained_positions(s.where("false"), p, width).where("segment_idx = -1").count() == len(points)
+
+
+def test_segments_of_many_lengths_equal_loops(spark):
+    rng = random.Random(9)
+    cuts = sorted({0, 1, 3, 10, 500, 501, 9_000, 9_001, 250_000, 250_007, 900_000})
+    segments = [("1", k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    fragments = [("1", i, s, s + rng.randrange(0, 6)) for i, s in enumerate(rng.choice(cuts) + rng.randrange(-4, 5) for _ in range(500))]
+    s, f = spark.createDataFrame(segments, SEG), spark.createDataFrame(fragments, FRAG)
+    bounds = [(k, a, b, segments[k - 1][3] if k else None, segments[k + 1][2] if k + 1 < len(segments) else None) for _, k, a, b in segments]
+    counted = {k: sum(1 for _, _, x, y in fragments if x >= a and y <= b and (before is None or x > before)) for k, a, b, before, _ in bounds}
+    inside = {i: next((k for k, a, b, before, after in bounds if a <= x and (after is None or x < after) and y <= b and (before is None or y > before)), -1) for _, i, x, y in fragments}
+    for width in (2, 50, 10_000):
+        assert {r["segment_idx"]: r["readcount"] for r in iv.contained_counts(s, f, [], width).collect()} == counted
+        assert {r["i"]: r["segment_idx"] for r in iv.find_contained_segments(s, f, width).collect()} == inside
