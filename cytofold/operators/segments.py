@@ -88,21 +88,52 @@ def perfect_segments(genome: DataFrame, by: list[str], states: list[str]) -> Dat
     return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def position_runs(positions: DataFrame, value: str) -> DataFrame:
-    """Runs of consecutive positions of one value: chromosome, start, end, value."""
-    w = Window.partitionBy("chromosome", value).orderBy("position")
-    islands = positions.withColumn("_island", F.col("position") - F.row_number().over(w))
-    return islands.groupBy("chromosome", value, "_island").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end")).drop("_island")
+#: Positions of a chunk in which runs are looked for first.
+CHUNK = 100_000
 
 
-def state_runs(positions: DataFrame) -> DataFrame:
+def position_runs(positions: DataFrame, value: str, chunk: int = CHUNK) -> DataFrame:
+    """Runs of consecutive positions of one value: chromosome, start, end, value.
+
+    Runs are found within chunks; those that touch a chunk's bounds, two for each
+    chunk and value at most, are then joined along the chromosome.
+    """
+    keys = ["chromosome", value, "_chunk"]
+    at = positions.withColumn("_chunk", F.floor(F.col("position") / chunk))
+    islands = at.withColumn("_island", F.col("position") - F.row_number().over(Window.partitionBy(*keys).orderBy("position")))
+    runs = islands.groupBy(*keys, "_island").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end"))
+    touches = (F.col("start") == F.col("_chunk") * chunk) | (F.col("end") == (F.col("_chunk") + 1) * chunk)
+    runs = runs.withColumn("_part", F.when(~touches, F.col("_chunk")))  # null: the edges of the chromosome's chunks
+    part = ["chromosome", value, "_part"]
+    w = Window.partitionBy(*part).orderBy("start")
+    joined = run_ids(runs, part, ["start"], F.lag("end").over(w) != F.col("start"))
+    return joined.groupBy(*part, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_part", "run")
+
+
+def value_runs(positions: DataFrame, values: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Runs of rows, in the order of positions, that agree in ``values``: chromosome, values, start, end (the last position).
+
+    Runs are found within chunks; the first and the last of each chunk are then
+    joined along the chromosome.
+    """
+    keys = ["chromosome", "_chunk"]
+    at = positions.withColumn("_chunk", F.floor(F.col("position") / chunk))
+    within = run_ids(at, keys, ["position"], differs(values, keys, ["position"]))
+    runs = within.groupBy(*keys, "run", *values).agg(F.min("position").alias("start"), F.max("position").alias("end")).withColumn("_last", F.max("run").over(Window.partitionBy(*keys)))
+    runs = runs.withColumn("_part", F.when((F.col("run") > 1) & (F.col("run") < F.col("_last")), F.col("_chunk"))).drop("run", "_last")
+    part = ["chromosome", "_part"]
+    w = Window.partitionBy(*part).orderBy("start")
+    # Two runs of one chunk are apart, also where others between them were set aside.
+    joined = run_ids(runs, part, ["start"], differs(values, part, ["start"]) | (F.lag("_chunk").over(w) == F.col("_chunk")))
+    return joined.groupBy(*part, "run", *values).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_part", "run")
+
+
+def state_runs(positions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Position-level caller states to segments with dominant and alternative states.
 
     Null prevalence is 1. The state is dominant if its prevalence is 0.5 or more, else 1/1 is.
     """
-    rows = positions.withColumn("prevalence", F.coalesce("prevalence", F.lit(1.0)))
-    runs = run_ids(rows, ["chromosome"], ["position"], differs(["minor", "major", "prevalence"], ["chromosome"], ["position"]))
-    ends = runs.groupBy("chromosome", "run", "minor", "major", "prevalence").agg(F.min("position").alias("start"), F.max("position").alias("end")).drop("run")
+    ends = value_runs(positions.withColumn("prevalence", F.coalesce("prevalence", F.lit(1.0))), ["minor", "major", "prevalence"], chunk)
     dominant = F.col("prevalence") >= 0.5
     one = F.lit(1).cast("long")
     pick = lambda c, when: F.when(when, F.col(c)).otherwise(one)

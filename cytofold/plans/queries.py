@@ -151,7 +151,7 @@ def state_runs(t):
     rows = t.alleles.select("chromosome", "position").distinct()
     third = F.floor(F.col("position") / 2000) % 3
     pos = rows.select("chromosome", "position", (F.floor(F.col("position") / 50) % 2).alias("minor"), (1 + F.floor(F.col("position") / 1500) % 2).alias("major"), F.when(third != 0, third * 0.4).alias("prevalence"))
-    return sg.state_runs(pos).withColumn("alt_prevalence", r("alt_prevalence"))
+    return sg.state_runs(pos, 5_000).withColumn("alt_prevalence", r("alt_prevalence"))
 
 
 @query("with s as (select distinct major_1 + minor_1 as total from cn_profiles) select total, m.range as minor, total - m.range as major, row_number() over (order by total, m.range) - 1 as state from s join range(20) m on m.range <= total // 2")
@@ -169,7 +169,7 @@ def segment_remap(t):
     z as (select *, position - row_number() over (partition by chromosome, quality order by position) as g from y) select chromosome, quality, min(position) as start, max(position) + 1 as "end" from z group by chromosome, quality, g""")
 def mappability_runs(t):
     rows = t.fragments.groupBy("chromosome", F.expr("start div 50").alias("position")).agg(F.max((F.col("start") * 37 % 3).cast("int")).alias("quality"))
-    return sg.position_runs(rows, "quality")
+    return sg.position_runs(rows, "quality", 100)
 
 
 # Interval joins

@@ -106,3 +106,23 @@ def test_segments_of_many_lengths_equal_loops(spark):
     for width in (2, 50, 10_000):
         assert {r["segment_idx"]: r["readcount"] for r in iv.contained_counts(s, f, [], width).collect()} == counted
         assert {r["i"]: r["segment_idx"] for r in iv.find_contained_segments(s, f, width).collect()} == inside
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
+def test_runs_whatever_the_chunk(spark, chunk):
+    rng = random.Random(11)
+    rows = [(c, p, rng.choice("aab"), rng.randrange(2)) for c in "12" for p in range(120) if rng.random() < 0.9] + [("3", 6, "a", 0)]
+    table = spark.createDataFrame(rows, "chromosome string, position long, v string, u int")
+    places = sorted((c, v, p) for c, p, v, _ in rows)
+    islands = [(c, v, p) for c, v, p in places if (c, v, p - 1) not in set(places)]
+    ends = [(c, v, p + 1) for c, v, p in places if (c, v, p + 1) not in set(places)]
+    expected = [(c, v, a, b) for (c, v, a), (_, _, b) in zip(islands, ends, strict=True)]
+    assert sorted((r["chromosome"], r["v"], r["start"], r["end"]) for r in sg.position_runs(table, "v", chunk).collect()) == expected
+    runs = []
+    for c, p, v, u in sorted(rows):
+        if runs and runs[-1][:3] == [c, v, u]:
+            runs[-1][4] = p
+        else:
+            runs.append([c, v, u, p, p])
+    got = [[r["chromosome"], r["v"], r["u"], r["start"], r["end"]] for r in sg.value_runs(table, ["v", "u"], chunk).collect()]
+    assert sorted(got) == sorted(runs)
