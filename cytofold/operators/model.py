@@ -1,7 +1,8 @@
 """Copy-number states: enumeration, scoring, breakpoint states.
 
-Two tumour clones; the normal clone is (1, 1). State tables depend on the largest
-copy number only, so they are broadcast.
+Any number of tumour clones, whose columns are major_1, minor_1, major_2 and so on;
+the normal clone is (1, 1). State tables depend on the number of clones and the
+largest copy number only, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -15,77 +16,134 @@ from pyspark.sql import functions as F
 
 from cytofold.functions import likelihood as lk
 
-CN = ("major_1", "minor_1", "major_2", "minor_2")
+ALLELES = ("major", "minor")
 
 
-def copy_states(spark: SparkSession, cn_max: int, cn_diff_max: int) -> DataFrame:
-    """States (state, major_1, minor_1, major_2, minor_2), one for each class under swapping alleles: the last enumerated."""
-    values = F.explode(F.sequence(F.lit(0), F.lit(cn_max)))
-    rows = spark.range(1)
-    for c in CN:
-        rows = rows.withColumn(c, values)
-    close = [F.abs(F.col(f"{a}_1") - F.col(f"{a}_2")) <= cn_diff_max for a in ("major", "minor")]
-    kept = rows.where((F.col("major_1") + F.col("minor_1") <= cn_max) & (F.col("major_2") + F.col("minor_2") <= cn_max) & close[0] & close[1])
-    kept = kept.where("major_1 > minor_1 or (major_1 = minor_1 and major_2 >= minor_2)")  # the later of a state and its swap
-    return kept.withColumn("state", F.row_number().over(Window.orderBy(*CN)) - 1).select("state", *CN)
+def cn_columns(clones: int) -> list[str]:
+    """Columns of the copies of alleles in tumour clones."""
+    return [f"{a}_{m}" for m in range(1, clones + 1) for a in ALLELES]
 
 
-def breakpoint_states(spark: SparkSession, cn_max: int, cn_diff_max: int) -> DataFrame:
-    values = F.explode(F.sequence(F.lit(0), F.lit(cn_max)))
-    rows = spark.range(1).withColumn("cn_1", values).withColumn("cn_2", values).where(F.abs(F.col("cn_1") - F.col("cn_2")) <= cn_diff_max)
-    return rows.withColumn("brk_state", F.row_number().over(Window.orderBy("cn_1", "cn_2")) - 1).select("brk_state", "cn_1", "cn_2")
+CN = tuple(cn_columns(2))
 
 
-def state_transition_costs(states: DataFrame) -> DataFrame:
-    """Cost of moving between states: changes of totals, plus the lesser of allele changes kept or flipped beyond them."""
-    one, two = (states.select(*(F.col(c).alias(f"{c}_{s}") for c in ("state", *CN))) for s in "ab")
-    both = one.crossJoin(F.broadcast(two))
+def clones_of(rows: DataFrame, name: str = "major") -> int:
+    """How many tumour clones a table has columns for."""
+    return next(m for m in range(len(rows.columns) + 1) if f"{name}_{m + 1}" not in rows.columns)
+
+
+def over(function, columns: list[Column]) -> Column:
+    """``greatest`` or ``least`` of any number of columns."""
+    return function(*columns) if len(columns) > 1 else columns[0]
+
+
+def spread(columns: list[Column]) -> Column:
+    return over(F.greatest, columns) - over(F.least, columns)
+
+
+def canonical(clones: int) -> tuple[Column, Column]:
+    """Copies of alleles as an array, and those with the alleles swapped; of a state and its swap the larger array stands for both."""
+    return tuple(F.array(*(F.col(f"{a}_{m}").cast("int") for m in range(1, clones + 1) for a in order)) for order in (ALLELES, ALLELES[::-1]))
+
+
+def copy_states(spark: SparkSession, cn_max: int, cn_diff_max: int, clones: int = 2) -> DataFrame:
+    """States (state, major_1, minor_1, ...) of ``clones`` tumour clones, one for each class under swapping alleles.
+
+    No clone has more than ``cn_max`` copies and no allele differs by more than
+    ``cn_diff_max`` between clones. States are numbered in the order of their
+    copies. Clones are added one after the other, so states that break a limit
+    are not carried on.
+    """
+    rows = spark.range(1).select()
+    for m in range(1, clones + 1):
+        values = F.explode(F.sequence(F.lit(0), F.lit(cn_max)))
+        rows = rows.withColumn(f"major_{m}", values).withColumn(f"minor_{m}", values).where(F.col(f"major_{m}") + F.col(f"minor_{m}") <= cn_max)
+        for a in ALLELES:
+            rows = rows.where(spread([F.col(f"{a}_{k}") for k in range(1, m + 1)]) <= cn_diff_max)
+    own, swapped = canonical(clones)
+    columns = cn_columns(clones)
+    return rows.where(own >= swapped).withColumn("state", F.row_number().over(Window.orderBy(*columns)) - 1).select("state", *columns)
+
+
+def number_states(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Add ``state`` to rows with copies of alleles, whichever of them is called the major; null where ``states`` lacks it."""
+    clones = clones_of(states)
+    own, swapped = canonical(clones)
+    table = states.select("state", own.alias("_cn"))
+    return rows.withColumn("_cn", F.when(own >= swapped, own).otherwise(swapped)).join(F.broadcast(table), "_cn", "left").drop("_cn")
+
+
+def breakpoint_states(spark: SparkSession, cn_max: int, cn_diff_max: int, clones: int = 2) -> DataFrame:
+    """States (brk_state, cn_1, ...) of a breakpoint's copies in ``clones`` tumour clones."""
+    rows, columns = spark.range(1).select(), [f"cn_{m}" for m in range(1, clones + 1)]
+    for m, c in enumerate(columns):
+        rows = rows.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(cn_max)))).where(spread([F.col(x) for x in columns[: m + 1]]) <= cn_diff_max)
+    return rows.withColumn("brk_state", F.row_number().over(Window.orderBy(*columns)) - 1).select("brk_state", *columns)
+
+
+def transition_cost(clones: int) -> Column:
+    """Cost of moving from the state with columns <c>_a to that with columns <c>_b: changes of totals, plus the lesser of allele changes kept or flipped beyond them."""
     d = lambda a, b: F.abs(F.col(f"{a}_a") - F.col(f"{b}_b"))
-    totals = [F.abs(F.col(f"major_{m}_a") + F.col(f"minor_{m}_a") - F.col(f"major_{m}_b") - F.col(f"minor_{m}_b")) for m in (1, 2)]
-    total = totals[0] + totals[1]
-    kept = sum((d(f"{a}_{m}", f"{a}_{m}") for a in ("major", "minor") for m in (1, 2)), F.lit(0))
-    flipped = sum((d(f"major_{m}", f"minor_{m}") + d(f"minor_{m}", f"major_{m}") for m in (1, 2)), F.lit(0))
-    return both.select("state_a", "state_b", (total + F.least(kept - total, flipped - total)).cast("long").alias("cost"))
+    number = range(1, clones + 1)
+    total = sum((F.abs(F.col(f"major_{m}_a") + F.col(f"minor_{m}_a") - F.col(f"major_{m}_b") - F.col(f"minor_{m}_b")) for m in number), F.lit(0))
+    kept = sum((d(f"{a}_{m}", f"{a}_{m}") for a in ALLELES for m in number), F.lit(0))
+    flipped = sum((d(f"major_{m}", f"minor_{m}") + d(f"minor_{m}", f"major_{m}") for m in number), F.lit(0))
+    return (total + F.least(kept - total, flipped - total)).cast("long")
+
+
+def state_transition_costs(states: DataFrame) -> DataFrame:
+    """(state_a, state_b, cost) of all pairs of states, see ``transition_cost``."""
+    clones = clones_of(states)
+    one, two = (states.select(*(F.col(c).alias(f"{c}_{s}") for c in ("state", *cn_columns(clones)))) for s in "ab")
+    both = one.crossJoin(F.broadcast(two))  # the table's size depends on clones and the largest copy number only
+    return both.select("state_a", "state_b", transition_cost(clones).alias("cost"))
 
 
-def is_loh(any_clone: bool = False) -> Column:
-    """Every clone has a zero allele; with ``any_clone`` one allele is zero in both clones."""
+def is_loh(any_clone: bool = False, clones: int = 2) -> Column:
+    """Every clone has a zero allele; with ``any_clone`` one allele is zero in all clones."""
+    none = {c: F.col(c) == 0 for c in cn_columns(clones)}
     if any_clone:
-        return ((F.col("major_1") == 0) & (F.col("major_2") == 0)) | ((F.col("minor_1") == 0) & (F.col("minor_2") == 0))
-    return (F.least("major_1", "minor_1") == 0) & (F.least("major_2", "minor_2") == 0)
+        return reduce(Column.__or__, [reduce(Column.__and__, [none[f"{a}_{m}"] for m in range(1, clones + 1)]) for a in ALLELES])
+    return reduce(Column.__and__, [none[f"major_{m}"] | none[f"minor_{m}"] for m in range(1, clones + 1)])
 
 
-def is_hdel() -> Column:
-    return F.greatest(*(F.col(c) for c in CN)) == 0
+def is_hdel(clones: int = 2) -> Column:
+    return F.greatest(*(F.col(c) for c in cn_columns(clones))) == 0
 
 
-def expected(h: tuple[float, float, float]) -> tuple[Column, Column]:
-    """Depth of the state, and share of the minor allele in it."""
-    weigh = lambda a: h[0] + h[1] * F.col(f"{a}_1") + h[2] * F.col(f"{a}_2")
+def expected(h: tuple[float, ...]) -> tuple[Column, Column]:
+    """Depth of the state, and share of the minor allele in it; ``h`` holds the haploid depths of the normal and each tumour clone."""
+    weigh = lambda a: sum((h[m] * F.col(f"{a}_{m}") for m in range(1, len(h))), F.lit(float(h[0])))
     total = weigh("major") + weigh("minor")
     return total, weigh("minor") / total
 
 
-def segment_loglik(rows: DataFrame, h: tuple[float, float, float], r: float = 500.0, r_noise: float = 10.0, m: float = 500.0, hdel_mu: float = 1e-5, loh_p: float = 0.01) -> DataFrame:
+def subclonal(clones: int) -> Column:
+    """How many alleles differ between clones."""
+    return sum(((spread([F.col(f"{a}_{m}") for m in range(1, clones + 1)]) > 0).cast("int") for a in ALLELES), F.lit(0))
+
+
+def segment_loglik(rows: DataFrame, h: tuple[float, ...], r: float = 500.0, r_noise: float = 10.0, m: float = 500.0, hdel_mu: float = 1e-5, loh_p: float = 0.01) -> DataFrame:
     """Log-likelihood of counts under states: mixture of negative binomials for the total, beta-binomial or uniform for alleles.
 
     Masked rows give 0; homozygous deletions have mean hdel_mu * length, states
     without one allele in every clone the ratio loh_p; negative copies give -inf.
     """
     depth, ratio = expected(h)
+    clones = len(h) - 1
     x, n, k, p_, mu_ = (F.col(c) for c in ("_x", "_n", "_k", "_p", "_mu"))
-    mu = F.when(is_hdel(), F.lit(hdel_mu) * F.col("length")).otherwise(depth * F.col("length") + 1e-16)
-    p = F.greatest(F.lit(1e-16), F.least(F.lit(1 - 1e-16), F.when(is_loh(), F.lit(loh_p)).otherwise(ratio)))
+    mu = F.when(is_hdel(clones), F.lit(hdel_mu) * F.col("length")).otherwise(depth * F.col("length") + 1e-16)
+    p = F.greatest(F.lit(1e-16), F.least(F.lit(1 - 1e-16), F.when(is_loh(clones=clones), F.lit(loh_p)).otherwise(ratio)))
     rows = rows.withColumns({"_x": F.col("readcount").cast("double"), "_n": (F.col("major_readcount") + F.col("minor_readcount")).cast("double"), "_k": F.col("minor_readcount").cast("double"), "_p": p, "_mu": mu})
     terms = {"_t": lk.negbin(x, mu_, F.lit(r)), "_tn": lk.negbin(x, mu_, F.lit(r_noise)), "_a": lk.betabin(k, n, p_, F.lit(m))}
     rows = rows.withColumns(terms).withColumns({"_t1": math.log(1 - lk.NOISE) + F.col("_t"), "_t2": math.log(lk.NOISE) + F.col("_tn"), "_a1": math.log(1 - lk.NOISE) + F.col("_a"), "_a2": math.log(lk.NOISE) - F.log(n + 1)})
     total, allele = lk.log_sum(F.col("_t1"), F.col("_t2")), lk.log_sum(F.col("_a1"), F.col("_a2"))
     either = F.when(F.col("total_mask"), total).otherwise(F.lit(0.0)) + F.when(F.col("allele_mask"), allele).otherwise(F.lit(0.0))
     scratch = [c for c in rows.columns if c.startswith("_")]
-    return rows.withColumn("loglik", F.when(F.least(*(F.col(c) for c in CN)) < 0, F.lit(float("-inf"))).otherwise(either)).drop(*scratch)
+    return rows.withColumn("loglik", F.when(F.least(*(F.col(c) for c in cn_columns(clones))) < 0, F.lit(float("-inf"))).otherwise(either)).drop(*scratch)
 
 
-def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float, float, float], divergence_weight: float = 1e-7, outlier: float = 0.01, r: tuple[float, float] = (500.0, 10.0), m: tuple[float, float] = (500.0, 10.0)) -> DataFrame:
+def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float, ...], divergence_weight: float = 1e-7, outlier: float = 0.01, r: tuple[float, float] = (500.0, 10.0), m: tuple[float, float] = (500.0, 10.0)) -> DataFrame:
     """Score of every segment and state: outlier-weighted log-likelihoods and a penalty for subclonal alleles.
 
     What counts or states enter alone is worked out once for each segment or
@@ -98,9 +156,8 @@ def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float,
     x, n, k, j = (F.col(c) for c in ("_x", "_n", "_k", "_j"))
     counts = counts.withColumns({"_total": mean(lk.negbin_counts(x, r0), lk.negbin_counts(x, r1)), "_allele": mean(lk.betabin_counts(k, n, m0), lk.betabin_counts(k, n, m1))})
     depth, ratio = expected(h)
-    subclonal = sum(((F.col(f"{a}_1") != F.col(f"{a}_2")).cast("int") for a in ("major", "minor")), F.lit(0))
     p = F.col("_p")
-    table = states.withColumns({"_depth": depth, "_p": ratio, "_sub": subclonal}).withColumn("_ratio", mean(lk.betabin_ratio(p, m0), lk.betabin_ratio(p, m1)))
+    table = states.withColumns({"_depth": depth, "_p": ratio, "_sub": subclonal(len(h) - 1)}).withColumn("_ratio", mean(lk.betabin_ratio(p, m0), lk.betabin_ratio(p, m1)))
     mu = F.col("_depth") * F.col("length")
     either = lambda size: 0.5 * (lk.betabin_both(k, j, p, size) + lk.betabin_both(j, k, p, size))
     total = F.col("_total") + mean(lk.negbin_mean(x, mu, r0), lk.negbin_mean(x, mu, r1))
@@ -110,7 +167,7 @@ def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float,
     return scored.drop(*(c for c in scored.columns if c.startswith("_")))
 
 
-def segment_state_likelihoods(segments: DataFrame, states: DataFrame, h: tuple[float, float, float], r: tuple[float, float] = (500.0, 10.0), m: tuple[float, float] = (500.0, 10.0)) -> DataFrame:
+def segment_state_likelihoods(segments: DataFrame, states: DataFrame, h: tuple[float, ...], r: tuple[float, float] = (500.0, 10.0), m: tuple[float, float] = (500.0, 10.0)) -> DataFrame:
     """Log-likelihoods of every segment and state by indicator: total_u for the outlier u, allele_vw for the outlier v and the swap w.
 
     Segments without allele reads have allele terms of 0.
@@ -184,13 +241,14 @@ def decode_breakpoints_naive(cn: DataFrame, adjacencies: DataFrame, breakpoints:
 
 
 def decode_breakpoints_by_transition(changes: DataFrame, states: DataFrame, penalty: float = 10.0) -> DataFrame:
-    """Best breakpoint state: least penalty of total changes not explained, over both boundaries and clones.
+    """Best breakpoint state: least penalty of total changes not explained, over both boundaries and all clones.
 
-    ``changes`` has prediction_id, orient, d_1, d_2 (totals left minus right of a boundary).
+    ``changes`` has prediction_id, orient, d_1, d_2, ... (totals left minus right of a boundary).
     """
-    cost = penalty * sum((F.abs(F.col(f"d_{m}") - F.col("orient") * F.col(f"cn_{m}")) for m in (1, 2)), F.lit(0))
-    scored = changes.crossJoin(F.broadcast(states)).groupBy("prediction_id", "brk_state", "cn_1", "cn_2").agg(F.sum(cost).alias("cost"))
-    return scored.groupBy("prediction_id").agg(F.min_by(F.struct("cn_1", "cn_2"), F.struct("cost", "brk_state")).alias("b")).select("prediction_id", "b.cn_1", "b.cn_2")
+    columns = [f"cn_{m}" for m in range(1, clones_of(states, "cn") + 1)]
+    cost = penalty * sum((F.abs(F.col(c.replace("cn", "d")) - F.col("orient") * F.col(c)) for c in columns), F.lit(0))
+    scored = changes.crossJoin(F.broadcast(states)).groupBy("prediction_id", "brk_state", *columns).agg(F.sum(cost).alias("cost"))
+    return scored.groupBy("prediction_id").agg(F.min_by(F.struct(*columns), F.struct("cost", "brk_state")).alias("b")).select("prediction_id", "b.*")
 
 
 def state_class_weights(posteriors: DataFrame, flagged: DataFrame, keys: list[str], outliers: DataFrame | None = None) -> DataFrame:
@@ -214,7 +272,8 @@ def depth_gradient(rows: DataFrame, by: list[str], r: float = 500.0, family: str
     Families: ``poisson``, ``negbin`` and ``mixture``, whose components weigh in by
     their shares of the likelihood.
     """
-    mu = sum((F.col(f"h_{m}") * F.col(f"total_{m}") for m in range(3)), F.lit(0.0)) * F.col("length") + 1e-16
+    clones = next(m for m in range(len(rows.columns) + 1) if f"h_{m}" not in rows.columns)
+    mu = sum((F.col(f"h_{m}") * F.col(f"total_{m}") for m in range(clones)), F.lit(0.0)) * F.col("length") + 1e-16
     rows = rows.withColumns({"_mu": mu, "_x": F.col("readcount").cast("double")})
     x, mu = F.col("_x"), F.col("_mu")
     negbin = lambda size: x / mu - (x + size) / (size + mu)
@@ -224,7 +283,7 @@ def depth_gradient(rows: DataFrame, by: list[str], r: float = 500.0, family: str
         slope = share * negbin(r) + (1 - share) * negbin(r_noise)
     else:
         slope = x / mu - 1 if family == "poisson" else negbin(r)
-    return rows.withColumn("_slope", slope).groupBy(*by).agg(*(F.sum(F.col("_slope") * F.col(f"total_{m}") * F.col("length")).alias(f"grad_{m}") for m in range(3)))
+    return rows.withColumn("_slope", slope).groupBy(*by).agg(*(F.sum(F.col("_slope") * F.col(f"total_{m}") * F.col("length")).alias(f"grad_{m}") for m in range(clones)))
 
 
 def argmax_column(rows: DataFrame, columns: list[str]) -> DataFrame:

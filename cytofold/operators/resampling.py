@@ -9,8 +9,6 @@ from cytofold.functions.likelihood import log_gamma
 from cytofold.operators.intervals import find_contained_segments
 
 BIN = 10_000
-#: Uniforms drawn here are (k + 1) / 1000004 for k below 1000003.
-DRAWS = 1_000_003
 SEGMENT = ["chromosome", "start", "end"]
 
 
@@ -30,12 +28,20 @@ def poisson_masses(rate: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), most), lambda k: F.when(rate > 0, F.exp(k * F.log(rate) - rate - log_gamma(k + F.lit(1.0)))).otherwise((k == 0).cast("double")))
 
 
+def uniform(seed: int, *counters: Column) -> Column:
+    """A multiple of 2 ** -53 below 1: the first 53 bits of the MD5 digest of the seed and the counters, which alone decide it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in counters))
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 14), 16, 10).cast("long")
+    return F.shiftright(bits, 3) / F.lit(float(1 << 53))
+
+
 def poisson_resample(fragments: DataFrame, targets: DataFrame, scale: float = 1.0, seed: int = 17) -> DataFrame:
     """Copies of fragments by the target depth of the segment that holds them, with new dense ids in order of start.
 
     ``targets`` has (chromosome, start, end, allele, rate) on disjoint segments; a
     fragment is drawn once for each allele, Poisson(rate * scale) times, by the
-    inverse of the distribution at a hashed uniform. Fragments that no segment
+    inverse of the distribution at a uniform that seed, fragment and allele decide,
+    see ``uniform``. Fragments that no segment
     holds go. Levels of the distribution are summed up once for each rate; ids are
     ranks within bins of the chromosome plus the copies of the bins before, so that
     no task sorts a whole chromosome.
@@ -47,8 +53,7 @@ def poisson_resample(fragments: DataFrame, targets: DataFrame, scale: float = 1.
     segments = targets.select(*SEGMENT).distinct().withColumn("segment_idx", F.monotonically_increasing_id())
     placed = find_contained_segments(segments.select("segment_idx", *SEGMENT), fragments.select(*SEGMENT, "fragment_id")).where("segment_idx >= 0")
     rated = targets.join(levels, "rate").join(segments, SEGMENT).select("segment_idx", "allele", "_levels")
-    u = (((F.col("fragment_id") % DRAWS) * 7919 + seed + F.col("allele") * 104_729) % DRAWS + 1) / F.lit(DRAWS + 1.0)
-    drawn = placed.join(rated, "segment_idx").withColumn("_u", u)
+    drawn = placed.join(rated, "segment_idx").withColumn("_u", uniform(seed, F.col("fragment_id"), F.col("allele")))
     drawn = drawn.select(*SEGMENT, "fragment_id", "allele", F.floor(F.col("start") / BIN).alias("_bin"), F.size(F.filter("_levels", lambda x: F.col("_u") > x)).alias("_copies")).where("_copies > 0")
     sizes = drawn.groupBy("chromosome", "_bin").agg(F.sum("_copies").alias("_size"))
     before = sizes.select("chromosome", "_bin", (F.sum("_size").over(Window.partitionBy("chromosome").orderBy("_bin")) - F.col("_size")).alias("_before"))

@@ -268,7 +268,7 @@ def resample_depth_targets(t):
 
 @query("""with sg as (select segment_idx, chromosome, start, "end", allele, case allele when 0 then 0.75e0 * (segment_idx % 5) else 0.5e0 * (segment_idx % 3) end as rate, lag("end") over (partition by chromosome, allele order by start) as prev_end, lead(start) over (partition by chromosome, allele order by start) as next_start from segments cross join (select 0 as allele union all select 1) a),
     rt as (select rate, k, case when rate > 0 then exp(k * ln(rate) - rate - lgamma(k + 1)) else cast(k = 0 as int) end as p from (select distinct rate from sg), (select range as k from range(70)) g), lv as (select rate, k, sum(p) over (partition by rate order by k) as upto from rt),
-    f as (select f.chromosome, f.start, f."end", f.fragment_id, sg.allele, sg.rate, (((f.fragment_id % 1000003) * 7919 + 17 + sg.allele * 104729) % 1000003 + 1) / 1000004e0 as u from fragments f join sg on sg.chromosome = f.chromosome and f.start >= sg.start and (sg.next_start is null or f.start < sg.next_start) and f."end" <= sg."end" and (sg.prev_end is null or f."end" > sg.prev_end)),
+    f as (select f.chromosome, f.start, f."end", f.fragment_id, sg.allele, sg.rate, (cast(concat('0x', substr(md5(concat_ws('|', '17', f.fragment_id, sg.allele)), 1, 14)) as bigint) >> 3) / 9007199254740992e0 as u from fragments f join sg on sg.chromosome = f.chromosome and f.start >= sg.start and (sg.next_start is null or f.start < sg.next_start) and f."end" <= sg."end" and (sg.prev_end is null or f."end" > sg.prev_end)),
     dr as (select f.*, k as copy from f join lv on lv.rate = f.rate and f.u > lv.upto)
     select chromosome, start, "end", cast(allele as int) as allele, row_number() over (partition by chromosome order by start, fragment_id, allele, copy) - 1 as fragment_id from dr""")
 def poisson_resample(t):

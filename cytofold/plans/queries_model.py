@@ -266,35 +266,108 @@ STATES = f"""states as (select row_number() over (order by a, b, c, d) - 1 as st
     where a + b <= {CN_MAX} and c + d <= {CN_MAX} and abs(a - c) <= 1 and abs(b - d) <= 1 and (a > b or (a = b and c >= d)))"""
 
 
-def states_of(t: Tables) -> DataFrame:
-    """States up to twelve copies, restricted to copy numbers that the profiles hold."""
-    top = t.cn_profiles.agg(F.max("major_1").alias("top"))
-    return md.copy_states(t.spark, CN_MAX, 1).join(F.broadcast(top), F.greatest("major_1", "major_2") <= F.col("top")).drop("top")
+def many_clones(clones: int) -> str:
+    """States of any number of clones: states<clones>, with their copies as a list ``cn``."""
+    number = range(1, clones + 1)
+    near = " and ".join(f"greatest({', '.join(f'x{m}.{a}' for m in number)}) - least({', '.join(f'x{m}.{a}' for m in number)}) <= 1" for a in ("ma", "mi"))
+    own, swapped = (f"[{', '.join(f'x{m}.{a}' for m in number for a in order)}]" for order in (("ma", "mi"), ("mi", "ma")))
+    return f"states{clones} as materialized (select row_number() over (order by cn) - 1 as state, cn from (select {own} as cn from {', '.join(f'pair x{m}' for m in number)} where {near} and {own} >= {swapped}))"
 
 
-@query(f"with {STATES} select * from states where greatest(major_1, major_2) <= (select max(major_1) from cn_profiles)")
+PAIR = f"pair as (select a.range as ma, b.range as mi from range({CN_MAX + 1}) a, range({CN_MAX + 1}) b where a.range + b.range <= {CN_MAX})"
+EVERY = ", ".join([PAIR, *(many_clones(m) for m in (1, 2, 3))])
+#: A third clone for the profiles, which hold two: it has the alleles of the first, swapped.
+COPIES = ["major_1", "minor_1", "major_2", "minor_2", "minor_1", "major_1"]
+
+
+def in_sql(clones: int) -> str:
+    """The copies of a profile's row as a list, the larger of it and its swap."""
+    own, swapped = (f"[{', '.join(COPIES[2 * m + k] for m in range(clones) for k in order)}]" for order in ((0, 1), (1, 0)))
+    return f"greatest({own}, {swapped})"
+
+
+NUMBERED = ", ".join(f"""num{m} as (select sample_id, chromosome, start, length, state from (select *, {in_sql(m)} as cn from cn_profiles) join states{m} using (cn))""" for m in (1, 2, 3))
+
+
+def numbered(t: Tables, clones: int) -> tuple[DataFrame, DataFrame]:
+    """All states of so many clones up to twelve copies, and the profiles with the number of their state."""
+    states = md.copy_states(t.spark, CN_MAX, 1, clones)
+    rows = t.cn_profiles.withColumns({"major_3": F.col("minor_1"), "minor_3": F.col("major_1")})
+    return states, md.number_states(rows, states).where("state is not null").select("sample_id", "chromosome", "start", "length", "state")
+
+
+@query(f"with {EVERY}, {NUMBERED} " + " union all ".join(f"select {m} as clones, state, array_to_string(cn, ',') as copies, count(n.length) as n, cast(coalesce(sum(n.length), 0) as bigint) as length from states{m} left join num{m} n using (state) group by state, cn" for m in (1, 2, 3)))
 def copy_states(t):
-    return states_of(t).withColumns({c: F.col(c).cast("long") for c in ("state", *md.CN)})
+    """All states of one, two and three clones, with the profiles' segments and lengths in each."""
+    parts = []
+    for m in (1, 2, 3):
+        states, rows = numbered(t, m)
+        held = rows.groupBy("state").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+        copies = F.concat_ws(",", *(F.col(c).cast("string") for c in md.cn_columns(m)))
+        listed = states.join(held, "state", "left").select(F.lit(m).cast("long").alias("clones"), F.col("state").cast("long").alias("state"), copies.alias("copies"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+        parts.append(listed)
+    return md.union_all(parts)
+
 
+def brk_in_sql(clones: int) -> str:
+    number = range(1, clones + 1)
+    cn = f"[{', '.join(f'x{m}.range' for m in number)}]"
+    near = f"greatest({', '.join(f'x{m}.range' for m in number)}) - least({', '.join(f'x{m}.range' for m in number)}) <= 1"
+    return f"(select {clones} as clones, row_number() over (order by cn) - 1 as brk_state, cn from (select {cn} as cn from {', '.join(f'range({CN_MAX + 1}) x{m}' for m in number)} where {near}))"
 
-BRK_STATES = "bst as (select row_number() over (order by a.range, b.range) - 1 as brk_state, a.range as cn_1, b.range as cn_2 from range(4) a, range(4) b where abs(a.range - b.range) <= 1)"
 
+STEPS = "steps as (select abs(major_1 + minor_1 - lag(major_1 + minor_1) over w) as d1, abs(major_2 + minor_2 - lag(major_2 + minor_2) over w) as d2 from cn_profiles window w as (partition by sample_id, chromosome order by start))"
 
-@query(f"with {BRK_STATES} select * from bst where cn_1 <= (select max(major_1) from cn_profiles)")
+
+@query(f"""with {STEPS}, st as ({' union all '.join(f'select * from {brk_in_sql(m)}' for m in (1, 2, 3))}), seen as (select cn, count(*) as n from (select unnest([[d1], [d1, d2], [d1, d2, d1]]) as cn from steps where d1 is not null) group by 1)
+    select clones, brk_state, array_to_string(cn, ',') as copies, coalesce(n, 0) as n from st left join seen using (cn)""")
 def breakpoint_states(t):
-    top = t.cn_profiles.agg(F.max("major_1").alias("top"))
-    rows = md.breakpoint_states(t.spark, 3, 1).join(F.broadcast(top), F.col("cn_1") <= F.col("top")).drop("top")
-    return rows.withColumns({c: F.col(c).cast("long") for c in rows.columns})
+    """All breakpoint states of one, two and three clones, with the boundaries of the profiles whose totals change so."""
+    w = Window.partitionBy("sample_id", "chromosome").orderBy("start")
+    total = lambda m: F.col(f"major_{m}") + F.col(f"minor_{m}")
+    steps = t.cn_profiles.select(*(F.abs(total(m) - F.lag(total(m)).over(w)).alias(f"cn_{m}") for m in (1, 2))).where("cn_1 is not null").withColumn("cn_3", F.col("cn_1"))
+    parts = []
+    for m in (1, 2, 3):
+        states = md.breakpoint_states(t.spark, CN_MAX, 1, m)
+        columns = [f"cn_{k}" for k in range(1, m + 1)]
+        seen = steps.groupBy(*columns).agg(F.count("*").alias("n"))
+        listed = states.join(seen, columns, "left").select(F.lit(m).cast("long").alias("clones"), F.col("brk_state").cast("long").alias("brk_state"), F.concat_ws(",", *(F.col(c).cast("string") for c in columns)).alias("copies"), F.coalesce("n", F.lit(0)).alias("n"))
+        parts.append(listed)
+    return md.union_all(parts)
 
 
 COSTS = f"""{STATES}, costs as (select x.state as state_a, y.state as state_b, abs(x.major_1 + x.minor_1 - y.major_1 - y.minor_1) + abs(x.major_2 + x.minor_2 - y.major_2 - y.minor_2) as tot,
     abs(x.major_1 - y.major_1) + abs(x.minor_1 - y.minor_1) + abs(x.major_2 - y.major_2) + abs(x.minor_2 - y.minor_2) as kept, abs(x.major_1 - y.minor_1) + abs(x.minor_1 - y.major_1) + abs(x.major_2 - y.minor_2) + abs(x.minor_2 - y.major_2) as flip
-    from states x, states y where greatest(x.major_1, x.major_2, y.major_1, y.major_2) <= (select max(major_1) from cn_profiles))"""
+    from states x, states y)"""
+
+
+def cost_in_sql(clones: int) -> str:
+    """(state_a, state_b, cost) of all pairs of states of so many clones."""
+    number = range(clones)
+    total = " + ".join(f"abs(x.cn[{2 * m + 1}] + x.cn[{2 * m + 2}] - y.cn[{2 * m + 1}] - y.cn[{2 * m + 2}])" for m in number)
+    kept = " + ".join(f"abs(x.cn[{k}] - y.cn[{k}])" for k in range(1, 2 * clones + 1))
+    flip = " + ".join(f"abs(x.cn[{2 * m + 1 + k}] - y.cn[{2 * m + 2 - k}])" for m in number for k in (0, 1))
+    return f"cost{clones} as (select x.state as state_a, y.state as state_b, {total} + least({kept} - ({total}), {flip} - ({total})) as cost from states{clones} x, states{clones} y)"
+
+
+MOVES = ", ".join(f"mv{m} as (select state as state_b, lag(state) over (partition by sample_id, chromosome order by start) as state_a from num{m}), seen{m} as (select state_a, state_b, count(*) as n from mv{m} where state_a is not null group by all)" for m in (1, 2, 3))
 
 
-@query(f"with {COSTS} select state_a, state_b, tot + least(kept - tot, flip - tot) as cost from costs")
+@query(f"""with {EVERY}, {NUMBERED}, {MOVES}, {', '.join(cost_in_sql(m) for m in (1, 2, 3))}
+    {' union all '.join(f'select {m} as clones, state_a, state_b, cost, coalesce(n, 0) as n from cost{m} left join seen{m} using (state_a, state_b)' for m in (1, 2))}
+    union all select 3, state_a, null, sum(cost), coalesce(sum(n), 0) from cost3 left join seen3 using (state_a, state_b) group by state_a""")
 def state_transition_costs(t):
-    return md.state_transition_costs(states_of(t)).withColumns({c: F.col(c).cast("long") for c in ("state_a", "state_b", "cost")})
+    """Costs between all states of one and two clones, of three their sums by the first state (3.2 million pairs); and how often profiles move so."""
+    parts = []
+    for m in (1, 2, 3):
+        states, rows = numbered(t, m)
+        w = Window.partitionBy("sample_id", "chromosome").orderBy("start")
+        seen = rows.select(F.lag("state").over(w).alias("state_a"), F.col("state").alias("state_b")).where("state_a is not null").groupBy("state_a", "state_b").agg(F.count("*").alias("n"))
+        pairs = md.state_transition_costs(states).join(seen, ["state_a", "state_b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        if m == 3:
+            pairs = pairs.groupBy("state_a").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n")).withColumn("state_b", F.lit(None))
+        parts.append(pairs.select(F.lit(m).cast("long").alias("clones"), *(F.col(c).cast("long").alias(c) for c in ("state_a", "state_b", "cost", "n"))))
+    return md.union_all(parts)
 
 
 def sql_score() -> str:
@@ -379,8 +452,7 @@ def state_class_weights(t):
 
 #: Units of a score and penalties in them, of boundaries without and with a breakpoint; whole numbers, so that both engines add up the same.
 UNIT, PENALTIES = 10_000, (20_000, 5_000)
-EVERY_COST = COSTS.replace("\n    from states x, states y where greatest(x.major_1, x.major_2, y.major_1, y.major_2) <= (select max(major_1) from cn_profiles))", "\n    from states x, states y)")
-LINKED = f"""{SCORES}, {EVERY_COST.split(STATES)[1].lstrip(", ")}, {ENDS}, ch as (select segment_idx, min(segment_idx) over (partition by chromosome, run) as chain from (select *, sum(new) over (partition by chromosome order by segment_idx) as run from (
+LINKED = f"""{SCORES}, {COSTS.removeprefix(STATES + ', ')}, {ENDS}, ch as (select segment_idx, min(segment_idx) over (partition by chromosome, run) as chain from (select *, sum(new) over (partition by chromosome order by segment_idx) as run from (
     select segment_idx, chromosome, case when start - lag("end") over w <= 1000 then 0 else 1 end as new from segments window w as (partition by chromosome order by segment_idx)) x) y),
     cut as (select distinct chromosome, position from brk), kinds as (select s.segment_idx, chain, case when cut.position is null then {PENALTIES[0]} else {PENALTIES[1]} end as penalty from segments s join ch using (segment_idx) left join cut on cut.chromosome = s.chromosome and cut.position = s.start),
     sc as materialized (select sample_id, chain, segment_idx, penalty, dense_rank() over (partition by sample_id, chain order by segment_idx) as n, state, cast(round(score * {UNIT}) as bigint) as score from scores join kinds using (segment_idx)),

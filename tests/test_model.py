@@ -150,3 +150,53 @@ def test_haplotype_blocks_golden(spark, threshold, labels):
         assert [h for _, h, _ in got] == labels
     else:
         assert [h for _, h, _ in got][:5] == [0, 0, 1, 2, 2]
+
+
+@pytest.mark.parametrize(("clones", "top", "apart"), [(1, 4, 1), (2, 3, 1), (2, 3, 2), (3, 2, 1)])
+def test_states_of_any_clones_equal_enumeration(spark, clones, top, apart):
+    classes = {}
+    for cn in itertools.product(range(top + 1), repeat=2 * clones):
+        pairs = [cn[2 * m : 2 * m + 2] for m in range(clones)]
+        if all(sum(p) <= top for p in pairs) and all(max(p[a] for p in pairs) - min(p[a] for p in pairs) <= apart for a in (0, 1)):
+            classes[frozenset([cn, tuple(x for p in pairs for x in p[::-1])])] = cn
+    states = md.copy_states(spark, top, apart, clones)
+    got = [tuple(r)[1:] for r in states.orderBy("state").collect()]
+    assert got == sorted(classes.values())
+    rows = spark.createDataFrame([(k, *cn) for k, c in enumerate(classes) for cn in c] + [(-1, *[top + 1] * (2 * clones))], ["k", *md.cn_columns(clones)])
+    numbers = {}
+    for r in md.number_states(rows, states).collect():
+        numbers.setdefault(r["k"], set()).add(r["state"])
+    assert numbers.pop(-1) == {None} and sorted(s for v in numbers.values() for s in v) == list(range(len(classes)))
+    brk = [tuple(r)[1:] for r in md.breakpoint_states(spark, top, apart, clones).orderBy("brk_state").collect()]
+    assert brk == [c for c in itertools.product(range(top + 1), repeat=clones) if max(c) - min(c) <= apart]
+    cost = {(r["state_a"], r["state_b"]): r["cost"] for r in md.state_transition_costs(states).collect()}
+    for (a, x), (b, y) in itertools.product(enumerate(got), repeat=2):
+        total = sum(abs(x[2 * m] + x[2 * m + 1] - y[2 * m] - y[2 * m + 1]) for m in range(clones))
+        ways = [sum(abs(x[2 * m + k] - y[2 * m + (k ^ flip)]) for m in range(clones) for k in (0, 1)) for flip in (0, 1)]
+        assert cost[a, b] == total + min(ways) - total
+
+
+@pytest.mark.parametrize("clones", [1, 2, 3])
+def test_scores_and_paths_of_any_clones(spark, clones):
+    h = (0.02, 0.02, 0.015, 0.005)[: clones + 1]
+    states = md.copy_states(spark, 3, 1, clones)
+    table = {r["state"]: tuple(r)[1:] for r in states.collect()}
+    rng = np.random.default_rng(clones)
+    true = [int(s) for s in rng.choice([s for s, cn in table.items() if sum(cn)], 6)]
+    rows = []
+    for k, s in enumerate(true):
+        major, minor = (h[0] + sum(h[m + 1] * table[s][2 * m + a] for m in range(clones)) for a in (0, 1))
+        rows.append(("s", 0, k, 1e6, round(1e6 * (major + minor)), round(3e5 * major), round(3e5 * minor)))
+    segments = spark.createDataFrame(rows, ["sample_id", "chain", "segment_idx", "length", "readcount", "major_readcount", "minor_readcount"])
+    scores = md.segment_state_scores(segments, states, h)
+    one = {(r["segment_idx"], r["state"]): r["score"] for r in scores.collect()}
+    assert len(one) == 6 * len(table)
+    # A clone split in two equal ones of half the depth scores as before.
+    twice = states.withColumns({f"{a}_{clones + 1}": F.col(f"{a}_{clones}") for a in ("major", "minor")})
+    split = (*h[:-1], h[-1] / 2, h[-1] / 2)
+    assert {(r["segment_idx"], r["state"]): r["score"] for r in md.segment_state_scores(segments, twice, split).collect()} == pytest.approx(one)
+    arrays = md.state_arrays(scores, ["sample_id", "chain"])
+    got = dc.decode_chain(arrays, ["sample_id", "chain"], -0.01 * md.cost_matrix(md.state_transition_costs(states)), 4).collect()
+    assert len(got) == 6 and all(0 <= r["state"] < len(table) for r in got)
+    rows = states.withColumns({"total_mask": F.lit(True), "allele_mask": F.lit(True), "length": F.lit(1e6), "readcount": F.lit(40_000), "major_readcount": F.lit(5_000), "minor_readcount": F.lit(5_000)})
+    assert md.segment_loglik(rows, h).where("loglik is null or isnan(loglik)").isEmpty()

@@ -1,11 +1,12 @@
 """Resampling against the Poisson distribution."""
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from cytofold.operators.resampling import poisson_masses, poisson_resample, resample_depth_targets
+from cytofold.operators.resampling import poisson_masses, poisson_resample, resample_depth_targets, uniform
 
 
 @pytest.mark.parametrize("rate", [0.0, 1.0, 20.0, 900.0])
@@ -33,3 +34,15 @@ def test_depths_add_up_over_genomes(spark):
     depths = spark.createDataFrame([(0, 0.1), (1, 0.25)], "genome int, haploid_depth double")
     got = {(r["chromosome"], r["allele"]): r["read_depth"] for r in resample_depth_targets(copies, depths).collect()}
     assert got == pytest.approx({("1", 0): 0.45, ("1", 1): 0.1, ("2", 1): 0.25})
+
+
+def test_uniforms_have_53_bits_and_their_tail(spark):
+    few = spark.range(2000).select((F.col("id") * 1_000_003).alias("id"), F.lit(1).alias("allele"))
+    got = {r["id"]: r["u"] for r in few.withColumn("u", uniform(17, F.col("id"), F.col("allele"))).collect()}
+    assert len(set(got.values())) == 2000  # ids that agree modulo a million and three draw apart
+    assert all(u == (int(hashlib.md5(f"17|{k}|1".encode()).hexdigest()[:14], 16) >> 3) / 2**53 for k, u in got.items())
+    assert any((u * 2**53) % 2 for u in got.values())
+    many = spark.range(4_000_000).withColumn("u", uniform(5, F.col("id")))
+    row = many.agg(F.avg("u"), F.var_pop("u"), F.count_if(F.col("u") > 1 - 4e-6), F.count_if(F.col("u") < 4e-6), F.min("u"), F.max("u")).first()
+    assert row[0] == pytest.approx(0.5, abs=1e-3) and row[1] == pytest.approx(1 / 12, abs=1e-3)
+    assert 4 <= row[2] <= 34 and 4 <= row[3] <= 34 and 0 <= row[4] and row[5] < 1
