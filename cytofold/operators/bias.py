@@ -30,6 +30,9 @@ def is_gc(base: Column) -> Column:
     return base.isin("G", "C", "g", "c").cast("int")
 
 
+#: The complements of bases, other letters as they are; by byte.
+COMPLEMENT = np.arange(256, dtype=np.uint8)
+COMPLEMENT[np.frombuffer(b"ACTGactg", dtype=np.uint8)] = np.frombuffer(b"TGACtgac", dtype=np.uint8)
 KEY = ["chromosome", "chunk_start"]
 
 
@@ -231,8 +234,62 @@ def kmers(chunks: DataFrame, k: int, width: int = 1000) -> DataFrame:
     return found.where(~F.contains("kmer", F.lit("N"))).withColumn("id", F.concat_ws(":", "chromosome", "start"))
 
 
-def unique_kmers(found: DataFrame) -> DataFrame:
-    """Positions whose k-mer occurs once in the genome, on either strand."""
+def cut_super_kmers(text: bytes, k: int, m: int, most: int) -> Iterator[tuple[int, int, bytes]]:
+    """(minimiser, start, bases) of the runs of k-mers without N, of the first ``most`` ones, that share their minimiser.
+
+    The minimiser of a k-mer is the least hash of its m-mers, each taken with its
+    reverse complement, so both strands of a k-mer have the same one.
+    """
+    bases = np.frombuffer(text, dtype=np.uint8)
+    n = min(len(bases) - k + 1, most)
+    if n <= 0:
+        return
+    fore, back = np.zeros(n + k - m, np.uint64), np.zeros(n + k - m, np.uint64)
+    for j in range(m):
+        at = bases[j : j + len(fore)]
+        fore |= at.astype(np.uint64) << np.uint64(8 * (m - 1 - j))
+        back |= COMPLEMENT[at].astype(np.uint64) << np.uint64(8 * j)
+    hashes = np.minimum(fore, back) * np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, k - m + 1).min(axis=1)
+    unknown = np.concatenate([[0], np.cumsum(bases == ord("N"))])
+    good = unknown[k : k + n] == unknown[:n]
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = ~good[:-1] | (least[1:] != least[:-1])
+    starts = np.flatnonzero(good & fresh)
+    stops = np.flatnonzero(good & np.append(fresh[1:] | ~good[1:], True)) + 1
+    for a, b, minimiser in zip(starts.tolist(), stops.tolist(), least[starts].view(np.int64).tolist(), strict=True):
+        yield minimiser, a, text[a : b + k - 1]
+
+
+def super_kmers(chunks: DataFrame, k: int, width: int = 1000, m: int | None = None) -> DataFrame:
+    """(minimiser, chromosome, start, bases): all k-mers without N, runs of neighbours that share their minimiser in a row; upper case.
+
+    ``m`` is 8 at most, by default half of k.
+    """
+    m = min(8, max(1, k // 2)) if m is None else m
+    if not 0 < m <= min(k, 8):
+        raise ValueError("minimisers have one base at least, and eight or the k-mer's length at most")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(x, c, at + a, s.decode("latin-1")) for c, at, text in zip(batch["chromosome"], batch["chunk_start"], batch["s"], strict=True) for x, a, s in cut_super_kmers(text.encode("latin-1"), k, m, width)]
+            yield pd.DataFrame(out, columns=["minimiser", "chromosome", "start", "bases"])
+
+    texts = with_margins(chunks, 0, k - 1, width).select(*KEY, F.upper(F.concat("seq", "tail")).alias("s")).where(F.length("s") >= k)
+    return texts.mapInPandas(cut, "minimiser long, chromosome string, start long, bases string")
+
+
+def unique_kmers(chunks: DataFrame, k: int, width: int = 1000, m: int | None = None) -> DataFrame:
+    """(chromosome, position) of the k-mers that occur once in the genome, on either strand.
+
+    Super-k-mers are shuffled, not k-mers: both strands of a k-mer have one
+    minimiser, so its partition counts them all.
+    """
+    met = super_kmers(chunks, k, width, m).repartition("minimiser")
+    rows = met.select("minimiser", "chromosome", "start", "bases", F.explode(F.sequence(F.lit(1), F.length("bases") - (k - 1))).alias("_i"))
+    rows = rows.select("minimiser", "chromosome", (F.col("start") + F.col("_i") - 1).alias("start"), F.substring(F.col("bases"), F.col("_i"), F.lit(k)).alias("kmer"))
     canonical = F.least("kmer", reverse_complement(F.col("kmer")))
-    once = found.groupBy(canonical.alias("c")).agg(F.count("*").alias("n"), F.first("chromosome").alias("chromosome"), F.first("start").alias("position"))
+    once = rows.groupBy("minimiser", canonical.alias("c")).agg(F.count("*").alias("n"), F.min("chromosome").alias("chromosome"), F.min("start").alias("position"))
     return once.where("n = 1").select("chromosome", "position")

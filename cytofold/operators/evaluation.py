@@ -44,25 +44,55 @@ def segment_copy_number(path: DataFrame) -> DataFrame:
     return path.groupBy("clone", "segment", "allele").agg(F.count("*").alias("copies"))
 
 
-def path_sequences(path: DataFrame, pieces: DataFrame, elements: int = 1000) -> DataFrame:
+#: Elements of a path that a window orders at most, given dense positions.
+BLOCK = 10_000
+PATH = ["clone", "chain"]
+
+
+def in_blocks(path: DataFrame, size: int) -> DataFrame:
+    """Add ``_block``: ranges of ``ord``, in which paths are put in order piece by piece."""
+    return path.withColumn("_block", F.floor(F.col("ord") / size))
+
+
+def path_sequences(path: DataFrame, pieces: DataFrame, elements: int = 1000, block: int = BLOCK) -> DataFrame:
     """(clone, chain, part, sequence): the pieces (segment, seq) of each path in order, reversed and complemented where orient < 0.
 
     A part holds ``elements`` of them, so that no row holds a whole chromosome;
-    parts one after the other are the path's sequence.
+    parts one after the other are the path's sequence. Elements are counted within
+    blocks of a path and over its blocks.
     """
-    rank = F.row_number().over(Window.partitionBy("clone", "chain").orderBy("ord")) - 1
-    numbered = path.select("clone", "chain", "ord", "segment", "orient", F.floor(rank / elements).alias("part"))
+    keys = [*PATH, "_block"]
+    rows = in_blocks(path, block)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = sizes.select(*keys, (F.sum("_n").over(Window.partitionBy(*PATH).orderBy("_block")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1
+    numbered = rows.withColumn("_rank", rank).join(before, keys).select(*PATH, "ord", "segment", "orient", F.floor((F.col("_before") + F.col("_rank")) / elements).alias("part"))
     joined = numbered.join(pieces, "segment").withColumn("_s", F.when(F.col("orient") < 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "_s")))
-    return joined.groupBy("clone", "chain", "part").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), "").alias("sequence"))
+    return joined.groupBy(*PATH, "part").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), "").alias("sequence"))
+
 
+def with_next(path: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Add next_<column>: the values of the element that follows in the cyclic path.
 
-def path_breakpoints(path: DataFrame, wild_type: DataFrame) -> DataFrame:
+    Blocks of a path are ordered by themselves; each hands on its first element only.
+    """
+    keys = [*PATH, "_block"]
+    rows = in_blocks(path, block)
+    w = Window.partitionBy(*keys).orderBy("ord")
+    heads = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), "ord").alias("_head"))
+    blocks = Window.partitionBy(*PATH).orderBy("_block")
+    first = F.first("_head").over(blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select(*keys, F.coalesce(F.lead("_head").over(blocks), first).alias("_head"))
+    led = rows.withColumns({"_more": F.lead(F.lit(True)).over(w)} | {f"_{c}": F.lead(c).over(w) for c in columns}).join(heads, keys)
+    return led.withColumns({f"next_{c}": F.when(F.col("_more"), F.col(f"_{c}")).otherwise(F.col(f"_head.{c}")) for c in columns}).drop("_block", "_more", "_head", *(f"_{c}" for c in columns))
+
+
+def path_breakpoints(path: DataFrame, wild_type: DataFrame, block: int = BLOCK) -> DataFrame:
     """Copies of the oriented adjacencies of cyclic paths that aren't wild type, by canonical pair of ends."""
-    w = Window.partitionBy("clone", "chain").orderBy("ord")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
-    ends = path.select("clone", F.col("segment").alias("n1"), F.when(F.col("orient") > 0, 1).otherwise(0).alias("s1"), after("segment").alias("n2"), F.when(after("orient") > 0, 0).otherwise(1).alias("s2"))
+    ends = with_next(path, ["segment", "orient"], block).select(
+        "clone", F.col("segment").alias("n1"), F.when(F.col("orient") > 0, 1).otherwise(0).alias("s1"), F.col("next_segment").alias("n2"), F.when(F.col("next_orient") > 0, 0).otherwise(1).alias("s2")
+    )
     a, b = F.struct(F.col("n1").alias("n"), F.col("s1").alias("s")), F.struct(F.col("n2").alias("n"), F.col("s2").alias("s"))
     canonical = ends.select("clone", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).select("clone", F.col("a.n").alias("n_1"), F.col("a.s").alias("side_1"), F.col("b.n").alias("n_2"), F.col("b.s").alias("side_2"))
     usual = wild_type.select(F.col("left").alias("n_1"), F.lit(1).alias("side_1"), F.col("right").alias("n_2"), F.lit(0).alias("side_2"))

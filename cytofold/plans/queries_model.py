@@ -668,12 +668,12 @@ def path_sequences(t):
     lengths = t.chromosomes.select(F.col("chromosome").alias("chain"), "length")
     steps = path_of(t).join(F.broadcast(lengths), "chain").withColumn("segment", F.expr("(ord * 17 + clone) % (length div 500)"))
     named = lambda c: F.concat_ws(":", c, "segment").alias("segment")
-    return ev.path_sequences(steps.withColumn("segment", named("chain")), pieces.select(named("chromosome"), "seq"), 4).withColumn("part", F.col("part").cast("long"))
+    return ev.path_sequences(steps.withColumn("segment", named("chain")), pieces.select(named("chromosome"), "seq"), 4, block=5).withColumn("part", F.col("part").cast("long"))
 
 
 def path_edges(t: Tables) -> DataFrame:
     n = path_of(t).select(F.col("segment").alias("left")).distinct()
-    return ev.path_breakpoints(path_of(t), n.withColumn("right", F.col("left") + 1))
+    return ev.path_breakpoints(path_of(t), n.withColumn("right", F.col("left") + 1), block=5)
 
 
 @query(f"with {PATHB} select * from pb")
@@ -873,7 +873,7 @@ def kmers(t):
 
 @query(f"with {TEXT}, c as (select *, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as c from kk) select chromosome, start as position from c qualify count(*) over (partition by c) = 1")
 def unique_kmer_hits(t):
-    return bs.unique_kmers(kmers_of(t))
+    return bs.unique_kmers(bs.genome_chunks(t.genome_bases), 12)
 
 
 @query(f"with {TEXT} select id, rc from (select concat(chromosome, ':', start) as id, reverse(translate(kmer, 'ACGT', 'TGCA')) as rc from kk) x")
