@@ -7,13 +7,17 @@ Two lines one substitution apart agree after deleting the same position; two
 lines one insertion apart agree after deleting a position of the longer. So the
 variants of a line are itself and all its one-letter deletions, as hashed keys.
 Lines that meet in a key (variant, position) are all within the bound of each
-other, as are a line and those that have it as a deletion: least positions by
-key, pre-aggregated before the shuffle, replace the pairs, and each line's
-earliest neighbour is confirmed by edit distance on the texts. A line whose
-earliest neighbour proves to be none is held against all lines that it meets.
+other, as are a line and those that have it as a deletion. Lines are numbered in
+the order of their first places, so the least number by key, pre-aggregated before
+the shuffle, replaces the pairs, and each line's earliest neighbour is confirmed
+on the texts, in time linear in their length. A line whose earliest neighbour
+proves to be none is held against all earlier lines that it meets.
 
 Only lines that could have a neighbour emit variants: a single edit leaves the
 first or the last half alone, so halves found in one line only rule it out.
+
+The bound is 0 or 1 edits: the variants of two edits are the square of a line's
+length in number. Lines are told apart by 128 bits of their hash.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import U64, mix
-from cytofold.llm.common import KEY, SPACE_CHARS, Shelf, fill, join_split, key_columns, keyed_rows, materialise, nth_row, release_shuffles
+from cytofold.llm.common import KEY, SPACE_CHARS, Shelf, fill, global_rank, join_split, key_columns, keyed_rows, materialise, nth_row, release_shuffles
 from cytofold.llm.quality_rules import let
 
 #: An odd number and its inverse modulo 2^64, the base of the position weights of line hashes.
@@ -39,12 +43,20 @@ BATCH = 1 << 16
 WORDED = r"[^\x20\x09-\x0D]"
 
 
+#: The two halves of a line's hash.
+LINE = ["key", "check"]
+
+
+def line_hash(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line), F.xxhash64(F.lit(BASE & 0xFFFF), line)
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, at, line, key, check): trimmed lines that have a word, with a 128-bit hash in two halves."""
     text = F.col(f"`{text_col}`")
     parts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(fill(text)).alias("text_key"), F.posexplode(F.split(fill(text), "\n")).alias("at", "line"))
     trimmed = parts.select("doc_id", "text_key", "at", F.btrim("line", F.lit(SPACE_CHARS)).alias("line")).where("line <> ''")
-    return trimmed.withColumns({"key": F.xxhash64("line"), "check": F.xxhash64(F.lit(BASE & 0xFFFF), "line")})
+    return trimmed.withColumns(dict(zip(LINE, line_hash(F.col("line")), strict=True)))
 
 
 def place() -> Column:
@@ -60,14 +72,14 @@ def half_keys(line: Column) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, variant, position, fresh) of the lines (key, line): position -1 is the line itself.
+    """(id, variant, position, fresh) of the lines (id, line): position -1 is the line itself.
 
     Deleting any letter of a run of equal ones gives the same variant; all but
     the first of them are not ``fresh``. Substitutions need each position.
     """
-    names = ["key", "variant", "position", "fresh"]
+    names = ["id", "variant", "position", "fresh"]
 
-    def of(key: int, line: str) -> tuple[np.ndarray, ...]:
+    def of(ident: int, line: str) -> tuple[np.ndarray, ...]:
         points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         n = len(points)
         steps = np.full(n + 1, BASE, dtype=np.uint64)
@@ -77,13 +89,13 @@ def variants(lines: DataFrame) -> DataFrame:
         fresh = np.ones(n + 1, dtype=bool)
         fresh[2:] = points[1:] != points[:-1]
         sizes = np.concatenate([[n], np.full(n, n - 1)]).astype(np.uint64)
-        return np.full(n + 1, key), mix(np.concatenate([sums[n:], cut]) ^ mix(sizes)).astype(np.int64), np.arange(-1, n, dtype=np.int32), fresh
+        return np.full(n + 1, ident), mix(np.concatenate([sums[n:], cut]) ^ mix(sizes)).astype(np.int64), np.arange(-1, n, dtype=np.int32), fresh
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(of(key, line))
+            for ident, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(of(ident, line))
                 size += len(held[-1][0])
                 if size >= BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
@@ -91,73 +103,92 @@ def variants(lines: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
 
-    return lines.select("key", "line").mapInArrow(emit, "key long, variant long, position int, fresh boolean")
+    return lines.select("id", "line").mapInArrow(emit, "id long, variant long, position int, fresh boolean")
 
 
-def likely_texts(lines: DataFrame) -> DataFrame:
-    """(key, line) of the distinct lines that share a half with another line."""
+def likely_texts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, key, check, line, first) of the distinct lines that share a half with another line, numbered in the order of their first places."""
     brief = Shelf(lines.sparkSession)
     # Repeated lines become one before they meet others, so that a frequent line is no hot key of its halves.
-    halves = brief.put(lines.select("key", F.explode(half_keys(F.col("line"))).alias("half")).distinct(), "halves")
+    halves = brief.put(lines.select(*LINE, F.explode(half_keys(F.col("line"))).alias("half")).distinct(), "halves")
     release_shuffles(lines.sparkSession)
-    shared = halves.groupBy("half").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("half")
-    wanted = brief.put(halves.join(shared, "half", "left_semi").select("key").distinct(), "wanted")
+    ends = [f(c).alias(f"{c}_{n}") for c in LINE for n, f in enumerate((F.min, F.max))]
+    shared = halves.groupBy("half").agg(*ends).where("key_0 <> key_1 or check_0 <> check_1").select("half")
+    wanted = brief.put(halves.join(shared, "half", "left_semi").select(*LINE).distinct(), "wanted")
     # The texts of other lines are kept off the shuffle by the low bits of the keys, a table of FILTER rows at most.
     low = F.col("key").bitwiseAND(F.lit(FILTER - 1))
     passed = wanted.select(low.alias("low")).distinct()
-    near = lines.select("key", "line", low.alias("low")).join(F.broadcast(passed), "low", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    texts = materialise(near.join(wanted, "key", "left_semi"), "lines")
+    near = lines.select(*LINE, "line", low.alias("low")).join(F.broadcast(passed), "low", "left_semi").groupBy(*LINE).agg(F.first("line").alias("line"))
+    texts = near.join(wanted, LINE, "left_semi").join(firsts.select(*LINE, "first"), LINE)
+    order = {f"by_{k}": F.col("first").getField(k) for k in ("last", "doc_id", "text_key", "at")}
+    ranked = materialise(global_rank(texts.withColumns(order), *order).select(F.col("rank").alias("id"), *LINE, "line", "first"), "lines")
     brief.clear()
-    return texts
+    return ranked
+
+
+def within_one(a: str, b: str) -> bool:
+    """Whether two texts are equal or one insertion, deletion or substitution apart, in linear time."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    low, high = 0, len(a)  # how much they agree in from the start, by halves of what is left
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return a[low + (len(a) == len(b)) :] == b[low + 1 :]
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, near): the least first place of the lines ``other`` of the pairs (key, other, near) that are within one edit indeed."""
-    checked = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("line").alias("other_line")), "other")
-    close = (F.abs(F.length("line") - F.length("other_line")) <= 1) & (F.levenshtein("line", "other_line", 1) >= 0)
-    return checked.where(close).groupBy("key").agg(F.min("near").alias("near"))
+    """(id, near): the earliest line of the pairs (id, other) that is within one edit indeed."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([within_one(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["id", "other"])
+
+    of = texts.select("id", "line")
+    met = pairs.join(of, "id").join(of.select(F.col("id").alias("other"), F.col("line").alias("other_line")), "other").select("id", "other", "line", "other_line")
+    return met.mapInArrow(check, "id long, other long").groupBy("id").agg(F.min("other").alias("near"))
 
 
 def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(key, near): the first place of the earliest other line within one edit, for lines that have one."""
-    texts, brief = likely_texts(lines), Shelf(lines.sparkSession)
-    placed = brief.put(variants(texts).join(firsts.select("key", "first"), "key"), "variants")
+    """(key, check, near): the first place of the earliest line within one edit, for lines that have one before them."""
+    texts, brief = likely_texts(lines, firsts), Shelf(lines.sparkSession)
+    placed = brief.put(variants(texts), "variants")
     release_shuffles(lines.sparkSession)
-    entry = F.struct("first", "key")
 
     # Substitutions: lines that agree after deleting the same position.
     deleted = placed.where("position >= 0")
-    groups = deleted.groupBy("variant", "position").agg(F.min(entry).alias("low"), F.count("*").alias("n")).where("n > 1").select("variant", "position", "low")
-    swapped = deleted.join(groups, ["variant", "position"]).where(F.col("low.key") != F.col("key")).select("key", "low")
+    groups = deleted.groupBy("variant", "position").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("variant", "position", "low")
+    swapped = deleted.join(groups, ["variant", "position"]).select("id", "low")
     # Insertions: a line and those of which it is a deletion, once for each run of equal letters.
     once = deleted.where("fresh")
-    whole = placed.where("position = -1").select("variant", F.col("key").alias("short"), F.col("first").alias("short_first"))
-    longer = once.groupBy("variant").agg(F.min(entry).alias("low"))
-    grown = whole.join(longer, "variant").select(F.col("short").alias("key"), "low")
-    shrunk = once.join(whole, "variant").select("key", F.struct(F.col("short_first").alias("first"), F.col("short").alias("key")).alias("low"))
+    whole = placed.where("position = -1").select("variant", F.col("id").alias("short"))
+    longer = once.groupBy("variant").agg(F.min("id").alias("low"))
+    grown = whole.join(longer, "variant").select(F.col("short").alias("id"), "low")
+    shrunk = once.join(whole, "variant").select("id", F.col("short").alias("low"))
 
     # One after the other, so that their shuffles don't add up.
     found = None
     for kind in (swapped, grown, shrunk):
-        some = brief.put(kind.groupBy("key").agg(F.min("low").alias("low")), "candidates")
+        some = brief.put(kind.where("low < id").groupBy("id").agg(F.min("low").alias("low")), "candidates")
         found = some if found is None else found.unionByName(some)
         release_shuffles(lines.sparkSession)
-    found = found.groupBy("key").agg(F.min("low").alias("low"))
-    pairs = found.select("key", F.col("low.key").alias("other"), F.col("low.first").alias("near"))
+    pairs = found.groupBy("id").agg(F.min("low").alias("other"))
     near = materialise(confirmed(pairs, texts), "near")
-    failed = pairs.join(near, "key", "left_anti").select("key")
-    if failed.isEmpty():
-        brief.clear()
-        return near
-    # A candidate was none, since two variants' hashes agree by chance: all lines that such lines meet are looked at.
-    mine = placed.join(failed, "key", "left_semi").select("variant", "position", "fresh", F.col("key").alias("mine"))
-    both = mine.join(deleted, ["variant", "position"]).select("mine", "key", "first")
-    up = mine.where("position = -1").select("variant", "mine").join(once, "variant").select("mine", "key", "first")
-    down = mine.where("position >= 0 and fresh").select("variant", "mine").join(whole, "variant").select("mine", F.col("short").alias("key"), F.col("short_first").alias("first"))
-    met = both.unionByName(up).unionByName(down).where("mine <> key").select(F.col("mine").alias("key"), F.col("key").alias("other"), F.col("first").alias("near")).distinct()
-    near = materialise(near.unionByName(confirmed(met, texts)), "near")
+    failed = pairs.join(near, "id", "left_anti").select("id")
+    if not failed.isEmpty():
+        # A candidate was none, since two variants' hashes agree by chance: all earlier lines that such lines meet are looked at.
+        mine = placed.join(failed, "id", "left_semi").select("variant", "position", "fresh", F.col("id").alias("mine"))
+        both = mine.join(deleted, ["variant", "position"]).select("mine", "id")
+        up = mine.where("position = -1").select("variant", "mine").join(once, "variant").select("mine", "id")
+        down = mine.where("position >= 0 and fresh").select("variant", "mine").join(whole, "variant").select("mine", F.col("short").alias("id"))
+        met = both.unionByName(up).unionByName(down).where("id < mine").select(F.col("mine").alias("id"), F.col("id").alias("other")).distinct()
+        near = materialise(near.unionByName(confirmed(met, texts)), "near")
     brief.clear()
-    return near
+    place_of = texts.select(F.col("id").alias("near"), F.col("first").alias("near_first"))
+    return near.join(place_of, "near").join(texts.select("id", *LINE), "id").select(*LINE, F.col("near_first").alias("near"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
@@ -169,7 +200,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     verdict = firsts
     if edits:
         near = earliest_neighbours(lines, firsts)
-        verdict = firsts.join(near, "key", "left").select("key", "check", F.least("first", F.coalesce("near", "first")).alias("first"), "n")
+        verdict = firsts.join(near, LINE, "left").select(*LINE, F.least("first", F.coalesce("near", "first")).alias("first"), "n")
     here = lines.select("key", "check", "doc_id", "text_key", "at", place().alias("here"))
     gone = join_split(here, materialise(verdict, "verdict"), ["key", "check"]).where("first < here")
     return gone.select("doc_id", "text_key", "at")

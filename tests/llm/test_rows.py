@@ -105,3 +105,38 @@ def test_line_dedup_equals_sql(spark, letters, longest, seed):
         select a.doc_id, list(distinct a.i order by a.i) from l a join l b on (b.doc_id, b.i) < (a.doc_id, a.i) and abs(length(a.line) - length(b.line)) <= 1 and levenshtein(a.line, b.line) <= 1 group by 1""").fetchall()
     got = {r["doc_id"]: r["dropped"] for r in line_dedup(table(spark, rows)).collect() if r["dropped"]}
     assert got == dict(expected)
+
+
+def test_lines_with_equal_keys_are_told_apart(spark, monkeypatch):
+    import cytofold.llm.line_dedup as ld
+
+    rng = np.random.default_rng(9)
+    rows = [(k, "\n".join("".join(rng.choice(list("abcd "), rng.integers(1, 6))) for _ in range(5))) for k in range(30)]
+    expected = sorted(map(str, line_dedup(table(spark, rows)).collect()))
+    real = ld.line_hash
+    monkeypatch.setattr(ld, "line_hash", lambda line: (F.lit(7).cast("long"), real(line)[1]))
+    assert sorted(map(str, line_dedup(table(spark, rows)).collect())) == expected
+
+
+def test_long_lines_are_confirmed_in_linear_time(spark):
+    import time
+
+    a = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 1_000_000))
+    rows = [(1, a), (2, a[:700_000] + "#" + a[700_001:]), (3, a[:5] + a[6:]), (4, a[:10] + "##" + a[12:]), (5, a + "z")]
+    began = time.time()
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup(table(spark, rows)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+    assert time.time() - began < 120
+
+
+def test_within_one_edit():
+    from itertools import product
+
+    from cytofold.llm.line_dedup import within_one
+
+    texts = ["".join(p) for n in range(5) for p in product("ab", repeat=n)]
+
+    def near(x, y):
+        grown = {x[:i] + c + x[i:] for i in range(len(x) + 1) for c in "ab"}
+        return y == x or y in grown or x in {y[:i] + c + y[i:] for i in range(len(y) + 1) for c in "ab"} or len(x) == len(y) and sum(a != b for a, b in zip(x, y, strict=True)) == 1
+
+    assert all(within_one(x, y) == near(x, y) for x in texts for y in texts)
