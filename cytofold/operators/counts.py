@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.operators.intervals import contained_counts, find_contained_segments
@@ -17,10 +17,16 @@ def read_quality_filter(fragments: DataFrame, filter_duplicates: bool = False, m
 def concordant_alignments(alignments: DataFrame, max_fragment: int = 1000, max_soft_clipped: int = 8, check_proper_pair: bool = True) -> DataFrame:
     """Primary, mapped, not QC-failed, properly paired alignments with a usable insert size and few clipped bases."""
     clipped = F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+)S"), F.lit(1)), lambda x: x.cast("int")), F.lit(0), lambda a, b: a + b)
+    clipped = F.when(F.contains("cigar", F.lit("S")), clipped).otherwise(F.lit(0))
     kept = alignments.where("is_primary = 1 and is_mapped = 1 and is_failed_qc = 0 and insert_size <> 0").where((F.abs("insert_size") <= max_fragment) & (clipped <= max_soft_clipped))
     return kept.where("is_proper_pair = 1") if check_proper_pair else kept
 
 
+def leading_clip(cigar: str) -> Column:
+    """Clipped bases at the start of an alignment; most have none, and aren't searched for them."""
+    return F.when(F.contains(cigar, F.lit("S")), F.coalesce(F.regexp_extract(cigar, r"^(\d+)S", 1).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
+
+
 def pair_reads(alignments: DataFrame) -> DataFrame:
     """Fragments from first and second mates that are both valid; both mates are in one group, so one shuffle."""
     mates = alignments.groupBy("sample_id", "chromosome", "name").agg(

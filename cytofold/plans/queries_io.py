@@ -243,7 +243,7 @@ def fragment_snp_calls(t):
 @query("""with a as (select *, case when cigar = '5S95M' then pos + 5 when cigar = '20S80M' then pos + 20 else pos end as s, pos + 100 as e from alignments where cigar <> '20S80M')
     select distinct a.sample_id, a.fragment_id, p.position, case when err = 0 then 1 - (case p.gt when 0 then 0 when 2 then 1 else hap end) else (case p.gt when 0 then 0 when 2 then 1 else hap end) end as is_alt from a join snps p on p.chromosome = a.chromosome and p.position > a.s and p.position <= a.e""")
 def allele_calls(t):
-    clip = F.coalesce(F.regexp_extract("cigar", r"^(\d+)S", 1).try_cast("int"), F.lit(0))
+    clip = ct.leading_clip("cigar")
     reads = ct.concordant_alignments(t.alignments).select("sample_id", "chromosome", "fragment_id", "hap", "err", (F.col("pos") + clip + 1).alias("start"), (F.col("pos") + 101).alias("end"))
     true = F.when(F.col("gt") == 0, 0).when(F.col("gt") == 2, 1).otherwise(F.col("hap"))
     calls = iv.interval_position_overlap(reads, t.snps, width=500, longest=101)
