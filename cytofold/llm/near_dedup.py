@@ -36,6 +36,8 @@ COORDINATES = BANDS * ROWS
 ROUNDS = 2
 #: Nodes of a block, about.
 BLOCK = 256
+#: Bytes of full sets in a block, on average.
+BLOCK_BYTES = 8 << 20
 #: Pairs of one node that are confirmed in one chunk; more are dealt to further chunks.
 CHUNK = 256
 #: Pairs whose sketches lie this many standard deviations below the bound are taken for different.
@@ -165,11 +167,12 @@ def blocks_of(placed: DataFrame, reps: DataFrame, sets: DataFrame) -> tuple[Data
     """Nodes (block, node, comp, sketch, shingles) in blocks, and the pairs of blocks (one, two) to compare.
 
     A node goes to its least neighbour's group and by hash to one of the group's
-    blocks. Blocks are compared if they share a bucket and hold two classes.
+    blocks, which are as many as keep their nodes to ``BLOCK`` and the bytes of
+    their sets to ``BLOCK_BYTES`` on average. Blocks are compared if they share a bucket and hold two classes.
     """
     low = placed.groupBy("band").agg(F.min("node").alias("low"))
-    nodes = placed.join(low, "band").groupBy("node").agg(F.min("low").alias("low"), F.first("comp").alias("comp"))
-    slots = nodes.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
+    nodes = placed.join(low, "band").groupBy("node").agg(F.min("low").alias("low"), F.first("comp").alias("comp"), F.first("n_shingles").alias("n"))
+    slots = nodes.groupBy("low").agg(F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).alias("slots"))
     nodes = materialise(nodes.join(slots, "low").select("node", "comp", F.xxhash64("low", F.pmod(F.xxhash64("node"), F.col("slots"))).alias("block")), "blocks")
     present = placed.select("band", "node").join(nodes, "node").groupBy("band", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     mixed = present.groupBy("band").agg(F.min("c0").alias("m0"), F.max("c1").alias("m1")).where("m0 <> m1").select("band")

@@ -140,3 +140,28 @@ def test_within_one_edit():
         return y == x or y in grown or x in {y[:i] + c + y[i:] for i in range(len(y) + 1) for c in "ab"} or len(x) == len(y) and sum(a != b for a, b in zip(x, y, strict=True)) == 1
 
     assert all(within_one(x, y) == near(x, y) for x in texts for y in texts)
+
+
+def test_blocks_of_near_copies_keep_to_bytes(spark, monkeypatch):
+    import cytofold.llm.near_dedup as nd
+
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    rows = []
+    for k in range(40):
+        mine = list(base)
+        for at in rng.choice(400, int(rng.integers(0, 25)), replace=False):
+            mine[at] = f"x{rng.integers(0, 10**9)}"
+        rows.append((k, " ".join(mine)))
+    sizes, real = [], nd.compare_blocks
+
+    def watched(nodes, pairs, percent):
+        sizes.append(nodes.groupBy("block").agg(F.sum(F.length("shingles")).alias("b")).agg(F.max("b")).first()[0])
+        return real(nodes, pairs, percent)
+
+    monkeypatch.setattr(nd, "compare_blocks", watched)
+    found = []
+    for most in (8 << 20, 4 * 3200):
+        monkeypatch.setattr(nd, "BLOCK_BYTES", most)
+        found.append(sorted(map(str, nd.near_dedup(table(spark, rows)).collect())))
+    assert found[0] == found[1] and sizes[1] < sizes[0] / 2
