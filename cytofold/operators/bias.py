@@ -78,7 +78,7 @@ def gc_window_counts(chunks: DataFrame, fragment_length: int, offset: int, width
 
 def mappable(track: DataFrame, chromosomes: DataFrame, threshold: int) -> DataFrame:
     """Intervals of sufficient quality, clipped at the chromosome's end."""
-    joined = track.where(F.col("quality") >= threshold).join(F.broadcast(chromosomes.select("chromosome", "length")), "chromosome")
+    joined = track.where(F.col("quality") >= threshold).join(chromosomes.select("chromosome", "length"), "chromosome")
     return joined.where("start < length").select("chromosome", "start", F.least("end", "length").alias("end"))
 
 

@@ -104,7 +104,7 @@ def minor_modes(depths: DataFrame, k: int = 5, by: str = "sample_id", cells: int
 
 def concat_position(rows: DataFrame, offsets: DataFrame, columns: list[str]) -> DataFrame:
     """Add plot_<column>: positions on the concatenated genome."""
-    shifted = rows.join(F.broadcast(offsets.select("chromosome", F.col("start").alias("_shift"))), "chromosome")
+    shifted = rows.join(offsets.select("chromosome", F.col("start").alias("_shift")), "chromosome")
     return shifted.withColumns({f"plot_{c}": F.col(c) + F.col("_shift") for c in columns}).drop("_shift")
 
 

@@ -47,7 +47,7 @@ def haplotype_blocks(samples: DataFrame, threshold: float = 0.95) -> DataFrame:
     labelled = labelled.withColumns({"_label": F.sum("_new").over(upto), "allele1": (F.sum("is_changepoint").over(upto) % 2).cast("int")})
     blocks = labelled.groupBy("chromosome").agg(F.max("_label").alias("_n"))  # one row per chromosome
     before = blocks.select("chromosome", (F.sum("_n").over(Window.orderBy("chromosome")) - F.col("_n")).alias("_before"))
-    return labelled.join(F.broadcast(before), "chromosome").select("chromosome", "position", (F.col("_before") + F.col("_label") - 1).alias("hap_label"), "allele1", (1 - F.col("allele1")).alias("allele2"), "confidence")
+    return labelled.join(before, "chromosome").select("chromosome", "position", (F.col("_before") + F.col("_label") - 1).alias("hap_label"), "allele1", (1 - F.col("allele1")).alias("allele2"), "confidence")
 
 
 def haplotype_blocks_last_draw(samples: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -70,7 +70,7 @@ def number_states(rows: DataFrame, states: DataFrame) -> DataFrame:
     clones = clones_of(states)
     own, swapped = canonical(clones)
     table = states.select("state", own.alias("_cn"))
-    return rows.withColumn("_cn", F.when(own >= swapped, own).otherwise(swapped)).join(F.broadcast(table), "_cn", "left").drop("_cn")
+    return rows.withColumn("_cn", F.when(own >= swapped, own).otherwise(swapped)).join(table, "_cn", "left").drop("_cn")
 
 
 def breakpoint_states(spark: SparkSession, cn_max: int, cn_diff_max: int, clones: int = 2) -> DataFrame:
@@ -253,7 +253,7 @@ def decode_breakpoints_by_transition(changes: DataFrame, states: DataFrame, pena
 
 def state_class_weights(posteriors: DataFrame, flagged: DataFrame, keys: list[str], outliers: DataFrame | None = None) -> DataFrame:
     """Weight of segments by posterior of flagged states, times ``factor`` of ``outliers`` (keys, segment_idx), normalised by sample; null where all are 0."""
-    sums = posteriors.join(F.broadcast(flagged), "state", "left_semi").groupBy(*keys, "segment_idx").agg(F.sum("posterior").alias("_w"))
+    sums = posteriors.join(flagged, "state", "left_semi").groupBy(*keys, "segment_idx").agg(F.sum("posterior").alias("_w"))
     if outliers is not None:
         sums = sums.join(outliers.select(*keys, "segment_idx", "factor"), [*keys, "segment_idx"]).withColumn("_w", F.col("_w") * F.col("factor"))
     total = sums.groupBy(*keys).agg(F.sum("_w").alias("_t"))

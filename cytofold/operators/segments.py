@@ -35,12 +35,12 @@ def number_rows(segments: DataFrame, name: str = "segment_idx") -> DataFrame:
     sizes = segments.groupBy("chromosome_idx").agg(F.count("*").alias("_n"))
     before = sizes.select("chromosome_idx", (F.sum("_n").over(Window.orderBy("chromosome_idx")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("chromosome_idx").orderBy("start", "end"))
-    return segments.withColumn("_rank", rank).join(F.broadcast(before), "chromosome_idx").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_rank", "_before")
+    return segments.withColumn("_rank", rank).join(before, "chromosome_idx").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_rank", "_before")
 
 
 def segment_order(segments: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """Segments in the configured chromosome order, then by start."""
-    return segments.join(F.broadcast(chromosomes.select("chromosome", "chromosome_idx")), "chromosome").orderBy("chromosome_idx", "start")
+    return segments.join(chromosomes.select("chromosome", "chromosome_idx"), "chromosome").orderBy("chromosome_idx", "start")
 
 
 def fixed_bins(chromosomes: DataFrame, width: int = 1000) -> DataFrame:
@@ -155,7 +155,7 @@ def segment_remap(segments: DataFrame, positions: DataFrame, width: int = 100_00
     by_chromosome = segments.groupBy("chromosome").agg(F.sum(length).alias("_len"), F.min("segment_idx").alias("_first"))
     offsets = by_chromosome.select("chromosome", (F.sum("_len").over(Window.orderBy("_first")) - F.col("_len")).alias("_before"))
     within = F.sum(length).over(Window.partitionBy("chromosome").orderBy("segment_idx").rowsBetween(Window.unboundedPreceding, 0))
-    placed = segments.withColumn("_stop", within).join(F.broadcast(offsets), "chromosome").withColumn("_to", F.col("_before") + F.col("_stop")).withColumn("_from", F.col("_to") - length)
+    placed = segments.withColumn("_stop", within).join(offsets, "chromosome").withColumn("_to", F.col("_before") + F.col("_stop")).withColumn("_from", F.col("_to") - length)
     dealt = placed.where("_to > _from").withColumn("_bin", bins(F.col("_from"), F.col("_to") - 1, width))
     at = positions.withColumn("_bin", F.floor(F.col("position") / width))
     met = at.join(dealt.select("segment_idx", "chromosome", "start", "_from", "_to", "_bin"), "_bin").where((F.col("_from") <= F.col("position")) & (F.col("position") < F.col("_to")))

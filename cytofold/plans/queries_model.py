@@ -666,7 +666,7 @@ PIECES = "pc as (select chromosome, pos // 500 as segment, string_agg(base, '' o
 def path_sequences(t):
     pieces = bs.genome_chunks(t.genome_bases, 500).select("chromosome", F.expr("chunk_start div 500").alias("segment"), "seq")
     lengths = t.chromosomes.select(F.col("chromosome").alias("chain"), "length")
-    steps = path_of(t).join(F.broadcast(lengths), "chain").withColumn("segment", F.expr("(ord * 17 + clone) % (length div 500)"))
+    steps = path_of(t).join(lengths, "chain").withColumn("segment", F.expr("(ord * 17 + clone) % (length div 500)"))
     named = lambda c: F.concat_ws(":", c, "segment").alias("segment")
     return ev.path_sequences(steps.withColumn("segment", named("chain")), pieces.select(named("chromosome"), "seq"), 4, block=5).withColumn("part", F.col("part").cast("long"))
 

@@ -30,7 +30,7 @@ def read_gap_table(spark: SparkSession, path: str) -> DataFrame:
 def read_chromosome_lengths(spark: SparkSession, path: str, configured: DataFrame) -> DataFrame:
     """Name and length of the configured chromosomes (chromosome, chromosome_idx), from a headerless index."""
     rows = read_tsv(spark, path, "chromosome string, length long, offset long", header=False)
-    return rows.join(F.broadcast(configured.select("chromosome", "chromosome_idx")), "chromosome").select("chromosome", "chromosome_idx", "length")
+    return rows.join(configured.select("chromosome", "chromosome_idx"), "chromosome").select("chromosome", "chromosome_idx", "length")
 
 
 def normalise_names(rows: DataFrame, prefix: bool = False) -> DataFrame:
@@ -48,7 +48,7 @@ def snp_panel(rows: DataFrame) -> DataFrame:
 def check_chromosome_names(rows: DataFrame, reference: DataFrame, prefix: bool = False) -> DataFrame:
     """How many rows break the prefix convention, and how many name a chromosome that the reference lacks."""
     known = reference.select(F.col("chromosome").alias("_k")).distinct()
-    joined = rows.join(F.broadcast(known), F.col("chromosome") == F.col("_k"), "left")
+    joined = rows.join(known, F.col("chromosome") == F.col("_k"), "left")
     return joined.agg(F.count_if(F.col("chromosome").startswith("chr") != F.lit(prefix)).alias("bad_prefix"), F.count_if(F.col("_k").isNull()).alias("unknown"))
 
 
