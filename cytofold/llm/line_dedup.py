@@ -67,8 +67,8 @@ def place() -> Column:
 def half_keys(line: Column) -> Column:
     """Hashes of the first and last h letters for h = half of this length or of one less."""
     n = F.length(line)
-    halves = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")))
-    return F.flatten(F.transform(halves, lambda h: F.array(F.xxhash64(F.lit("first"), h, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit("last"), h, F.substring(line, n - h + 1, h)))))
+    halves = (F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int"))  # the same for odd lengths
+    return F.array_distinct(F.array(*(x for h in halves for x in (F.xxhash64(F.lit("first"), h, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit("last"), h, F.substring(line, n - h + 1, h))))))
 
 
 def variants(lines: DataFrame) -> DataFrame:
