@@ -106,11 +106,11 @@ def variants(lines: DataFrame) -> DataFrame:
     return lines.select("id", "line").mapInArrow(emit, "id long, variant long, position int, fresh boolean")
 
 
-def likely_texts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def likely_texts(lines: DataFrame, marks: DataFrame, firsts: DataFrame) -> DataFrame:
     """(id, key, check, line, first) of the distinct lines that share a half with another line, numbered in the order of their first places."""
     brief = Shelf(lines.sparkSession)
     # Repeated lines become one before they meet others, so that a frequent line is no hot key of its halves.
-    halves = brief.put(lines.select(*LINE, F.explode(half_keys(F.col("line"))).alias("half")).distinct(), "halves")
+    halves = brief.put(marks.select(*LINE, F.explode("halves").alias("half")).distinct(), "halves")
     release_shuffles(lines.sparkSession)
     ends = [f(c).alias(f"{c}_{n}") for c in LINE for n, f in enumerate((F.min, F.max))]
     shared = halves.groupBy("half").agg(*ends).where("key_0 <> key_1 or check_0 <> check_1").select("half")
@@ -152,9 +152,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.mapInArrow(check, "id long, other long").groupBy("id").agg(F.min("other").alias("near"))
 
 
-def earliest_neighbours(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def earliest_neighbours(lines: DataFrame, marks: DataFrame, firsts: DataFrame) -> DataFrame:
     """(key, check, near): the first place of the earliest line within one edit, for lines that have one before them."""
-    texts, brief = likely_texts(lines, firsts), Shelf(lines.sparkSession)
+    texts, brief = likely_texts(lines, marks, firsts), Shelf(lines.sparkSession)
     placed = brief.put(variants(texts), "variants")
     release_shuffles(lines.sparkSession)
 
@@ -196,13 +196,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     lines = lines_of(docs, id_col, text_col)
-    firsts = materialise(lines.groupBy("key", "check").agg(F.min(place()).alias("first"), F.count("*").alias("n")), "firsts")
+    # Lines are cut and hashed once; their texts stay where they are.
+    columns = ["doc_id", "text_key", "at", *LINE] + ([half_keys(F.col("line")).alias("halves")] if edits else [])
+    marks = materialise(lines.select(*columns), "line-marks")
+    firsts = materialise(marks.groupBy(*LINE).agg(F.min(place()).alias("first"), F.count("*").alias("n")), "firsts")
     verdict = firsts
     if edits:
-        near = earliest_neighbours(lines, firsts)
+        near = earliest_neighbours(lines, marks, firsts)
         verdict = firsts.join(near, LINE, "left").select(*LINE, F.least("first", F.coalesce("near", "first")).alias("first"), "n")
-    here = lines.select("key", "check", "doc_id", "text_key", "at", place().alias("here"))
-    gone = join_split(here, materialise(verdict, "verdict"), ["key", "check"]).where("first < here")
+    here = marks.select(*LINE, "doc_id", "text_key", "at", place().alias("here"))
+    gone = join_split(here, materialise(verdict, "verdict"), LINE).where("first < here")
     return gone.select("doc_id", "text_key", "at")
 
 
