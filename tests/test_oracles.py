@@ -14,6 +14,7 @@ NAMES = [
     "segment_allele_counts", "create_segments", "closest_segment_end", "breakpoint_segments", "match_breakpoints", "reindex_segments", "aggregate_adjacent", "snp_genotypes",
     "haplotype_blocks", "phase_segments", "betabin_uniform_loglik", "segment_state_scores", "select_best_solution", "init_grid", "evaluate_cn", "path_breakpoints",
     "log_gamma", "segment_map_state", "density_curves", "poisson_resample", "gc_lowess", "segment_bias",
+    "minor_modes", "read_depth", "state_runs", "mappability_runs", "unique_kmer_hits", "breakpoint_states", "path_sequences", "interval_position_overlap", "decode_chain",
 ]
 
 
