@@ -109,8 +109,13 @@ def gc_samples(chunks: DataFrame, track: DataFrame, chromosomes: DataFrame, frag
     near = placed.withColumns({"_last": last, "chunk_start": F.floor(last / width) * width}).join(with_margins(chunks, size, 0, width), KEY)
     end = F.length("head") + F.col("_last") - F.col("chunk_start") + 1  # of the window, in head and chunk
     at = near.withColumn("_gc", gc_count(F.substring(F.concat("head", "seq"), F.greatest(end - size + 1, F.lit(1)), F.least(F.lit(size), end))))
-    reads = fragments.groupBy("sample_id", "chromosome", F.col("start").alias("position")).agg(F.count("*").alias("read_count"))
-    full = at.select("chromosome", "position", "_gc").crossJoin(fragments.select("sample_id").distinct()).join(reads, ["sample_id", "chromosome", "position"], "left")
+    at = materialise(at.select("chromosome", "position", "_gc"), "gc-positions")  # ``n`` rows at most
+    asked = at.select("chromosome", F.col("position").alias("start")).distinct().withColumn("position", F.col("start"))
+    # Fragments elsewhere keep one row of their sample, without a position; so samples are known and fragments are read once.
+    reads = fragments.select("sample_id", "chromosome", "start").join(asked, ["chromosome", "start"], "left")
+    reads = materialise(reads.groupBy("sample_id", F.when(F.col("position").isNotNull(), F.col("chromosome")).alias("chromosome"), "position").agg(F.count("*").alias("read_count")), "gc-reads")
+    samples = reads.agg(F.collect_set("sample_id")).scalar()  # a handful
+    full = at.withColumn("sample_id", F.explode(samples)).join(reads.where("position is not null"), ["sample_id", "chromosome", "position"], "left")
     return full.select("sample_id", "chromosome", "position", (F.col("_gc") / F.lit(float(size))).alias("gc_percent"), F.coalesce("read_count", F.lit(0)).alias("read_count"))
 
 

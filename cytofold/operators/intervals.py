@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.sources.storage import materialise
+
 BIN = 10_000
 
 
@@ -73,19 +75,31 @@ def contained_counts(segments: DataFrame, intervals: DataFrame, by: list[str], w
     An interval that starts exactly on the end of the segment before is dropped.
     Columns: by, chromosome, start, end, readcount, and what else ``segments`` has.
     """
-    found = contained_pairs(segments, intervals, width).groupBy(*by, "chromosome", F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg(F.count("*").alias("readcount"))
-    # Zeros make the result segments x groups; the segments, which may be many, stay where they are.
-    frame = segments if not by else segments.crossJoin(intervals.select(*by).distinct()).select(*by, *segments.columns)
-    keys = [*by, "chromosome", "start", "end"]
-    return frame.join(found, keys, "left").withColumn("readcount", F.coalesce("readcount", F.lit(0)))
+    met = with_segments(segments, intervals, width, "left").groupBy(*by, F.col("s_chromosome").alias("chromosome"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
+    counts = met.agg(F.count("s_start").alias("readcount"))
+    frame = segments
+    if by:
+        # Intervals outside all segments keep a row of their group, so groups come from the counts and nothing is read twice.
+        counts = materialise(counts, "contained-counts")
+        groups = counts.agg(F.collect_set(F.struct(*by))).scalar()  # samples, a handful
+        frame = segments.withColumn("_group", F.explode(groups)).select("_group.*", *segments.columns)
+    found = counts.where("start is not null")
+    return frame.join(found, [*by, "chromosome", "start", "end"], "left").withColumn("readcount", F.coalesce("readcount", F.lit(0)))
 
 
 def contained_pairs(segments: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
     """Intervals with the segment they are counted in (s_start, s_end)."""
-    seg = with_neighbours(segments.select("chromosome", "start", "end")).select("chromosome", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "prev_end")
-    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width)
+    return with_segments(segments, intervals, width, "inner").drop("s_chromosome")
+
+
+def with_segments(segments: DataFrame, intervals: DataFrame, width: int, how: str) -> DataFrame:
+    """Intervals joined with the segment they are counted in (s_chromosome, s_start, s_end), at each level that segments have."""
+    seg = with_neighbours(segments.select("chromosome", "start", "end")).select(F.col("chromosome").alias("s_chromosome"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "prev_end")
+    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width).withColumnsRenamed({"_level": "_s_level", "_bin": "_s_bin"})
     inside = (F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end")) & (F.col("prev_end").isNull() | (F.col("start") > F.col("prev_end")))
-    return look_up(intervals, F.col("start"), dealt, width).join(dealt, ["chromosome", "_level", "_bin"]).where(inside).drop("_level", "_bin", "prev_end")
+    place = (F.col("chromosome") == F.col("s_chromosome")) & (F.col("_level") == F.col("_s_level")) & (F.col("_bin") == F.col("_s_bin"))
+    seen = look_up(intervals, F.col("start"), dealt.withColumnRenamed("_s_level", "_level"), width)
+    return seen.join(dealt, place & inside, how).drop("_level", "_bin", "_s_level", "_s_bin", "prev_end")
 
 
 def overlapping_counts(segments: DataFrame, positions: DataFrame, width: int = BIN) -> DataFrame:

@@ -47,6 +47,14 @@ def test_range_joins_equal_loops(spark, data, width):
     assert {r["segment_idx"]: r["n"] for r in iv.overlapping_counts(s, points, width).collect()} == inner
 
 
+def test_groups_outside_all_segments_count_zero(spark):
+    segments = spark.createDataFrame([("1", 0, 0, 10), ("1", 1, 10, 20), ("2", 2, 0, 90_000)], SEG)
+    intervals = spark.createDataFrame([("a", "1", 2, 5), ("a", "1", 3, 5), ("a", "2", 9, 80_000), ("b", "1", 50, 60), ("b", "3", 0, 4)], "sample_id string, chromosome string, start long, `end` long")
+    got = {(r["sample_id"], r["segment_idx"]): r["readcount"] for r in iv.contained_counts(segments, intervals, ["sample_id"]).collect()}
+    assert got == {("a", 0): 2, ("a", 1): 0, ("a", 2): 1, ("b", 0): 0, ("b", 1): 0, ("b", 2): 0}
+    assert iv.contained_counts(segments, intervals.limit(0), ["sample_id"]).count() == 0
+
+
 def test_reindex_golden(spark):
     schema = "chromosome string, idx long, start long, `end` long"
     a = spark.createDataFrame([("1", 0, 10, 20), ("1", 1, 20, 30), ("1", 2, 30, 40)], schema)
