@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytofold.sources.storage import delete_now, materialise, new_path
 
-__all__ = ["KEY", "Shelf", "documents", "fill", "fold", "global_rank", "join_split", "key_columns", "keyed_rows", "materialise", "n_words", "new_path", "nth_row", "release_shuffles", "words"]
+__all__ = ["KEY", "Shelf", "documents", "fill", "fold", "global_rank", "heavy_keys", "join_split", "key_columns", "keyed_rows", "materialise", "n_words", "named", "new_path", "nth_row", "release_shuffles", "words"]
 
 #: ASCII white space; a word is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -53,6 +53,11 @@ class Shelf:
         release_shuffles(self.spark)
 
 
+def named(column: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fill(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -81,7 +86,7 @@ def key_columns(ident: Column, text_key: Column) -> list[Column]:
 
 def keyed_rows(docs: DataFrame, ident: Column, text_key: Column) -> DataFrame:
     """``_row``, which holds all columns so that none can clash, and the columns of ``KEY``."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *key_columns(ident, text_key))
+    return docs.select(F.struct(*(named(c) for c in docs.columns)).alias("_row"), *key_columns(ident, text_key))
 
 
 def nth_row(keyed: DataFrame, *more: str) -> Column:
@@ -94,14 +99,20 @@ def nth_row(keyed: DataFrame, *more: str) -> Column:
 HEAVY = 1024
 
 
+def heavy_keys(spark: SparkSession) -> int:
+    """``HEAVY``, or the number of shuffle partitions if that is more: a key that isn't heavy has no more rows than a partition has on average."""
+    return max(HEAVY, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def join_split(rows: DataFrame, table: DataFrame, on: list[str], count: str = "n") -> DataFrame:
     """``rows`` joined with ``table``, which has a row for each key and in ``count`` how many of ``rows`` have it.
 
-    Heavy keys, ``HEAVY`` at most, are broadcast; the others meet in a shuffle.
+    Heavy keys, ``heavy_keys`` at most, are broadcast; the others meet in a shuffle.
     """
+    most = heavy_keys(rows.sparkSession)
     total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    heavy = table.where(F.col(count) * HEAVY > total)
-    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(table.where(F.col(count) * HEAVY <= total), on)
+    heavy = table.where(F.col(count) * most > total)
+    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(table.where(F.col(count) * most <= total), on)
     return rows.join(F.broadcast(heavy), on).unionByName(light)
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytofold.llm.common import KEY, SPACE_RUN, fill, key_columns, keyed_rows, materialise, nth_row
+from cytofold.llm.common import KEY, SPACE_RUN, fill, heavy_keys, key_columns, keyed_rows, materialise, named, nth_row
 
 FAN_IN = 32
 
@@ -63,16 +63,18 @@ def digest(text):
     return F.sha2(F.regexp_replace(fill(text), SPACE_RUN, " ").cast("binary"), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty; the empty text is a text like any other. Of equal
     texts the row with the smallest id stays, null ids last; of rows that agree
     in id and text one stays. Columns beside id and text are ignored, so clashing
-    names do no harm. An empty table gives an empty result.
+    names do no harm. An empty table gives an empty result. ``k`` counters find
+    the frequent digests: as many as ``heavy_keys`` says if not given.
     """
+    k = k or heavy_keys(docs.sparkSession)
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")),
+        docs.select(named(id_col).alias("doc_id"), digest(named(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")),
         "digests",
     )
     total = rows.count()
@@ -97,8 +99,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; of rows that agree in id and text the one whose columns hash least."""
     kept = exact_dedup(docs, id_col, text_col, k).where("kept").select(*key_columns(F.col("doc_id"), F.col("text_sha256")))
-    keyed = keyed_rows(docs, F.col(f"`{id_col}`"), digest(F.col(f"`{text_col}`")))
+    keyed = keyed_rows(docs, named(id_col), digest(named(text_col)))
     return keyed.join(kept, KEY, "left_semi").withColumn("_nth", nth_row(keyed)).where("_nth = 1").select("_row.*")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import MIX, U64, blocks, mix
-from cytofold.llm.common import fold
+from cytofold.llm.common import fold, named
 
 #: First code points of Unicode blocks by script.
 SCRIPTS = (
@@ -133,6 +133,19 @@ def train(texts: DataFrame, lang_col: str) -> tuple[list[str], np.ndarray, np.nd
     return [r["lang"] for r in rows], np.concatenate(log), scripts >= np.maximum(1, 0.001 * scripts.sum(axis=0))
 
 
+def word_scores(words: Words, log: np.ndarray, barred: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Score of each word (rows) for each language, from some ``most`` letters at a time and one word at least, however long the text is."""
+    out = np.empty((len(words.starts), log.shape[1]), dtype=log.dtype)
+    ends = words.first + words.lengths
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, words.first[a] + most, side="right")))
+        grams = np.add.reduceat(log[words.grams[words.first[a] : ends[b - 1]]], words.first[a:b] - words.first[a])
+        out[a:b] = grams + log[BUCKETS + words.words[a:b]] + barred[words.scripts[a:b]]
+        a = b
+    return out
+
+
 def viterbi(scores: np.ndarray, rows: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of each word; ``rows`` (ascending) says which text a word belongs to. All texts step together."""
     n, k = scores.shape
@@ -177,7 +190,7 @@ def identify(
     Null texts, texts without a letter, and all texts if nothing could be learned
     get ``und``, score 0 and no spans. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
     fold_of = fold(F.col("doc_id"), folds)
     langs, log, seen = train(texts.where((fold_of != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang")
     log = log.astype(np.float32)
@@ -192,7 +205,7 @@ def identify(
                 share = np.zeros((n, len(langs)))
                 runs = np.zeros(0, np.int64)
                 if len(langs) and len(words.starts):
-                    scores = np.add.reduceat(log[words.grams], words.first) + log[BUCKETS + words.words] + barred[words.scripts]
+                    scores = word_scores(words, log, barred)
                     found = viterbi(scores, words.rows, penalty)
                     np.add.at(share, (words.rows, found), words.lengths)
                     new = np.ones(len(found), dtype=bool)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import MIX, U64, blocks, mix, word_hashes
-from cytofold.llm.common import Shelf, fill, fold, materialise, release_shuffles
+from cytofold.llm.common import Shelf, fill, fold, materialise, named, release_shuffles
 
 START = U64(0xA0761D6478BD642F)  # the context of a text's first token
 END = U64(0x5BD1E9955BD1E995)
@@ -524,7 +524,7 @@ def lm_scores(
     ``chunk_bytes`` of text or the pairs of about ``shard_chars`` of it; larger
     ones make fewer messages between chunks and shards.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold(F.col(id_col), folds) == held_out).alias("held_out"))
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), (fold(named(id_col), folds) == held_out).alias("held_out"))
     chars = texts.agg(F.sum(F.length(fill(F.col("text"))))).first()[0] or 0
     shards = max(12, -(-chars // shard_chars))
     side = math.isqrt(shards - 1) + 1

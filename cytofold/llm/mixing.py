@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytofold.llm.common import KEY, fill, global_rank, key_columns, keyed_rows, materialise, n_words, nth_row
+from cytofold.llm.common import KEY, fill, global_rank, join_split, key_columns, keyed_rows, materialise, n_words, named, nth_row
 
 #: A source's words are summed up in buckets of about this many rows, or a quarter of the root of all rows if that is more.
 BUCKET_ROWS = 64
@@ -64,16 +64,16 @@ def mix_sources(
     text are told apart by row, and which of them is taken first doesn't change
     the result. The order depends on ids, texts and ``seed`` only.
     """
-    source = F.col(source_col).cast("string")
-    key = F.xxhash64(fill(F.col(text_col)))
+    source = named(source_col).cast("string")
+    key = F.xxhash64(fill(named(text_col)))
     rows = materialise(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            named(id_col).alias("doc_id"),
             source.alias("source"),
             F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"),
-            n_words(F.col(text_col)).alias("size"),
+            n_words(named(text_col)).alias("size"),
             key.alias("text_key"),
-            F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))), 1, 15), 16, 10).cast("long").alias("shuffled"),
+            F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), named(id_col).cast("string"), named(text_col))), 1, 15), 16, 10).cast("long").alias("shuffled"),
         ).withColumn("row", F.monotonically_increasing_id()),
         "sizes",
     )
@@ -84,7 +84,7 @@ def mix_sources(
     budget, total = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bucket_rows = max(BUCKET_ROWS, int(total**0.5 / 4))
 
-    placed = rows.join(sources.select("skey", "source_size", "target", "n"), "skey")
+    placed = join_split(rows, sources.select("skey", "source_size", "target", "n"), ["skey"])
     placed = placed.withColumn("bucket", F.floor(F.col("shuffled") / F.lit(2.0**60) * F.ceil(F.col("n") / bucket_rows)))
     within = Window.partitionBy("skey", "bucket").orderBy("shuffled", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,11 +125,11 @@ def draw_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Of rows that agree in id, text and source, those whose columns hash least are
     taken most, so that reruns agree.
     """
-    named = lambda source: F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1")).alias("_source")
+    as_text = lambda source: F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1")).alias("_source")
     mixed = mix_sources(docs, id_col, text_col, source_col, epochs=epochs, **options).where("copies > 0")
-    mixed = mixed.select(*key_columns(F.col("doc_id"), F.col("text_key")), named(F.col("source")), "copies")
+    mixed = mixed.select(*key_columns(F.col("doc_id"), F.col("text_key")), as_text(F.col("source")), "copies")
     most = mixed.groupBy(*KEY, "_source").agg(*(F.count_if(F.col("copies") >= e).alias(f"_at_least_{e}") for e in range(1, epochs + 1)))
-    keyed = keyed_rows(docs, F.col(f"`{id_col}`"), F.xxhash64(fill(F.col(f"`{text_col}`")))).withColumn("_source", named(F.col("_row").getField(source_col)))
+    keyed = keyed_rows(docs, named(id_col), F.xxhash64(fill(named(text_col)))).withColumn("_source", as_text(F.col("_row").getField(source_col)))
     taken = keyed.join(most, [*KEY, "_source"]).withColumn("_nth", nth_row(keyed, "_source"))
     copies = sum(((F.col("_nth") <= F.col(f"_at_least_{e}")).cast("int") for e in range(1, epochs + 1)), F.lit(0))
     return taken.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")

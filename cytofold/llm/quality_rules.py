@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytofold.llm.common import fill, words
+from cytofold.llm.common import fill, named, words
 
 SYMBOLS = "#*$%&|<>"  # as a character class
 
@@ -71,7 +71,8 @@ def repeat_cover(words: Column, width: int = 5) -> Column:
 
     def count(ws: Column) -> Column:
         found = let(codes(ws), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(ws, h)))
-        return F.when(F.size(ws) <= width, F.lit(0)).otherwise(found)
+        too_long = F.raise_error(F.lit(f"a text of {at_mask + 1} words or more has no room for its positions")).cast("int")
+        return F.when(F.size(ws) <= width, F.lit(0)).when(F.size(ws) > at_mask, too_long).otherwise(found)
 
     return let(words, count)
 
@@ -120,7 +121,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ignored. An empty table gives an empty result.
     """
     # A generator, since a projection would be merged with those below and its work repeated.
-    return judge(docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(measures(F.col(text_col))))), thresholds)
+    return judge(docs.select(named(id_col).alias("doc_id"), F.inline(F.array(measures(named(text_col))))), thresholds)
 
 
 def judge(counted: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
@@ -143,6 +144,6 @@ def judge(counted: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 def keep_good(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were, in one pass without a shuffle."""
-    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    counted = docs.select(held, F.inline(F.array(measures(F.col(text_col)))))
+    held = F.struct(*(named(c) for c in docs.columns)).alias("_row")
+    counted = docs.select(held, F.inline(F.array(measures(named(text_col)))))
     return judge(counted, thresholds).where("kept").select("_row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cytofold.llm.arrays import MIX, blocks, mix, word_hashes
 from cytofold.llm.exact_dedup import drop_copies, exact_dedup
-from cytofold.llm.language_id import identify, viterbi
+from cytofold.llm.language_id import BUCKETS, NAMES, Words, identify, viterbi, word_scores
 from cytofold.llm.language_model import lm_scores
 from cytofold.llm.line_dedup import drop_lines, line_dedup
 from cytofold.llm.mixing import draw_mix, mix_sources
@@ -231,6 +231,19 @@ def test_language_spans(spark):
     assert [s["lang"] for s in got[102]["spans"]] == ["en", "fr"]
 
 
+def test_scores_by_slices_equal_scores_at_once():
+    rng = np.random.default_rng(3)
+    texts = ["", "a bc " * 40, "x" * 50 + " y", "..."]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    words = Words(data, np.cumsum([0, *map(len, texts)]))
+    log, barred = rng.normal(size=(2 * BUCKETS, 3)).astype(np.float32), np.zeros((len(NAMES), 3), np.float32)
+    once = word_scores(words, log, barred)
+    assert len(once) == 82
+    assert np.allclose(once[0], log[words.grams[:1]].sum(axis=0) + log[BUCKETS + words.words[0]])
+    for most in (1, 2, 3, 7, 49, 60):
+        assert np.array_equal(word_scores(words, log, barred, most), once)
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 

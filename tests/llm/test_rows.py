@@ -9,11 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytofold.llm.components import components
-from cytofold.llm.exact_dedup import drop_copies
+from cytofold.llm.exact_dedup import drop_copies, exact_dedup
+from cytofold.llm.language_id import identify
+from cytofold.llm.language_model import lm_scores
 from cytofold.llm.line_dedup import drop_lines, line_dedup
-from cytofold.llm.mixing import draw_mix
+from cytofold.llm.mixing import draw_mix, mix_sources
 from cytofold.llm.near_dedup import drop_near_copies
-from cytofold.llm.quality_rules import keep_good
+from cytofold.llm import quality_rules as rules
+from cytofold.llm.quality_rules import keep_good, quality_rules
 
 WORDED = re.compile(r"[^\x20\x09-\x0D]")
 BASE = " ".join(f"word{k}" for k in range(60))
@@ -38,6 +41,24 @@ def test_underscored_columns_do_not_clash(spark, operator):
     assert all(r[c] == c for r in got.collect() for c in names)
 
 
+def test_names_with_dots_and_backticks(spark):
+    docs = table(spark, [(k, f"{BASE} number{k} text", "en", "s") for k in range(4)] + [(None, None, None, None)], "`doc.id` long, `te``xt` string, `la.ng` string, `so.urce` string")
+    names = {"id_col": "doc.id", "text_col": "te`xt"}
+    mixed = names | {"source_col": "so.urce"}
+    for result in (quality_rules(docs, **names), exact_dedup(docs, **names), mix_sources(docs, **mixed), lm_scores(docs, **names), identify(docs, lang_col="la.ng", **names)):
+        assert result.count() == 5
+    kept = (keep_good(docs, text_col="te`xt"), drop_copies(docs, **names), draw_mix(docs, **mixed))
+    assert all(rows.columns == docs.columns for rows in kept)
+    assert [rows.count() for rows in kept] == [0, 5, 6]  # no stop words; all differ; half of four texts again
+
+
+def test_texts_without_room_for_positions_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(rules, "AT_BITS", 4)
+    assert quality_rules(table(spark, [(1, "a b c d e " * 3)])).first()["n_repeat_words"] == 15
+    with pytest.raises(Exception, match="16 words or more"):
+        quality_rules(table(spark, [(1, "a b c d e " * 4)])).collect()
+
+
 def test_lines_of_rows_that_share_an_id_are_their_own(spark):
     docs = table(spark, [(None, "only once kept\nyet other"), (None, "said before\nunlike it"), (1, "said before"), (5, "a line of its own"), (5, "said before\nanother line"), (5, "said before\nanother line")])
     kept = [r["text"] for r in drop_lines(docs).collect()]
