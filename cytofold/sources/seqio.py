@@ -103,11 +103,14 @@ def caller_allele_rows(counts: DataFrame, layout: str) -> DataFrame:
 def write_results(solutions: DataFrame, cn: DataFrame, brk_cn: DataFrame, path: str, h: tuple[str, ...] = ("h_0", "h_1", "h_2")) -> None:
     """Chosen solutions as ``meta`` (JSON lines: their statistics, h and mix), with their ``cn`` and ``brk_cn`` rows as tab-separated tables.
 
-    Rows of other solutions (sample_id, init_id) are left out.
+    Rows of other solutions (sample_id, init_id) are left out; rows without
+    ``init_id``, which all solutions of a sample share, are written for the chosen
+    ones. Both tables begin with sample_id and init_id.
     """
     keys = ["sample_id", "init_id"]
     total = sum((F.col(c) for c in h[1:]), F.col(h[0]))
     stats = [c for c in solutions.columns if c not in h]
     solutions.select(F.to_json(F.struct(*stats, F.array(*h).alias("h"), F.transform(F.array(*h), lambda x: x / total).alias("mix"))).alias("value")).write.text(f"{path}/meta")
     for name, table in (("cn", cn), ("brk_cn", brk_cn)):
-        write_tsv(table.join(solutions.select(*keys), keys, "left_semi"), f"{path}/{name}")
+        met = table.join(solutions.select(*keys).distinct(), [k for k in keys if k in table.columns])
+        write_tsv(met.select(*keys, *(c for c in table.columns if c not in keys)), f"{path}/{name}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytofold import plans
 from cytofold.plans.fixtures import STAR, Tables
+from cytofold.sources import seqio
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
@@ -42,3 +43,20 @@ def test_ids_of_fragments_beyond_63_bits(spark, shifted):
 @pytest.mark.parametrize("name", ["allele_calls", "allele_read_counts", "gc_probability", "gc_window_counts", "vrange", "merge_overlapping_seqdata", "weighted_sample", "find_contained_segments"])
 def test_queries_on_ids_beyond_63_bits(spark, shifted, name):
     assert plans.all_queries()[name](spark, shifted).count() > 0
+
+
+def test_customers_are_spread_by_their_number(spark, tmp_path):
+    spark.range(12_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    profiles = Tables(spark, str(tmp_path)).cn_profiles
+    assert profiles.rdd.getNumPartitions() == 3
+    assert profiles.select("c_custkey").distinct().count() == 12_000
+
+
+def test_results_of_tables_that_solutions_share(spark, tmp_path):
+    solutions = spark.createDataFrame([(1, 7, 0.1, 0.2, 0.3), (2, 9, 0.1, 0.2, 0.3)], "sample_id int, init_id long, h_0 double, h_1 double, h_2 double")
+    cn = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13)], "sample_id int, start long")
+    brk = spark.createDataFrame([(1, 7, 5), (1, 8, 6)], "sample_id int, init_id long, cn_1 int")
+    seqio.write_results(solutions, cn, brk, str(tmp_path))
+    shared = seqio.read_tsv(spark, f"{tmp_path}/cn", "sample_id int, init_id long, start long").collect()
+    assert sorted(map(tuple, shared)) == [(1, 7, 10), (1, 7, 11), (2, 9, 12)]
+    assert [tuple(r) for r in seqio.read_tsv(spark, f"{tmp_path}/brk_cn", "sample_id int, init_id long, cn_1 int").collect()] == [(1, 7, 5)]
