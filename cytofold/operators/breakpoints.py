@@ -25,20 +25,68 @@ def nearby_breakends(one: DataFrame, two: DataFrame, reach: int) -> DataFrame:
     return a.join(b, ["chromosome", "strand", "_bin"]).where((F.col("p_2") >= F.col("p_1") - reach) & (F.col("p_2") < F.col("p_1") + reach))
 
 
+def paired_breakends(one: DataFrame, two: DataFrame, reach: int) -> DataFrame:
+    """Pairs of breakpoints (id_1, id_2) both sides of which are near in the sense of ``nearby_breakends``, straight or crosswise.
+
+    They are looked up by both ends at once, so breakends that only have one side
+    in common never meet. Has ``p_1_<side>`` and chromosome and strand of the first
+    table, ``q_<side>`` of the second, and ``turned``: sides 0 and 1 of the first
+    are sides 1 and 0 of the second.
+    """
+    size = 2 * reach
+    named = lambda rows, names: rows.select("prediction_id", *(F.col(f"{c}_{s}").alias(f"_{c}_{k}") for k, s in enumerate(names) for c in ("chromosome", "strand", "position")))
+    cell = lambda k: F.floor(F.col(f"_position_{k}") / size)
+    a = named(one, "12").withColumnsRenamed({"prediction_id": "id_1", "_position_0": "p_0", "_position_1": "p_1"})
+    a = a.withColumn("_cell_0", F.explode(F.array(*(F.floor(F.col("p_0") / size) + n for n in (-1, 0, 1))))).withColumn("_cell_1", F.explode(F.array(*(F.floor(F.col("p_1") / size) + n for n in (-1, 0, 1)))))
+    both = named(two, "12").withColumn("turned", F.lit(False)).unionByName(named(two, "21").withColumn("turned", F.lit(True)))
+    b = both.withColumns({f"_cell_{k}": cell(k) for k in (0, 1)}).withColumnsRenamed({"prediction_id": "id_2", "_position_0": "q_0", "_position_1": "q_1"})
+    met = a.join(b, [f"_{c}_{k}" for k in (0, 1) for c in ("chromosome", "strand", "cell")])
+    for k in (0, 1):
+        met = met.where((F.col(f"q_{k}") >= F.col(f"p_{k}") - reach) & (F.col(f"q_{k}") < F.col(f"p_{k}") + reach))
+    return met
+
+
+def by_repeats(one: DataFrame, two: DataFrame, unique, general) -> DataFrame:
+    """``unique`` of the rows whose prediction_id occurs once in its table, and ``general`` of pairs with other rows."""
+
+    def split(rows: DataFrame) -> list[DataFrame]:
+        again = rows.groupBy(F.col("prediction_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+        return [rows.join(again, F.col("prediction_id").eqNullSafe(F.col("_id")), how) for how in ("left_anti", "left_semi")]
+
+    (once_1, more_1), (once_2, more_2) = split(one), split(two)
+    return unique(once_1, once_2).unionByName(general(more_1, two)).unionByName(general(once_1, more_2))
+
+
 def match_breakpoints(one: DataFrame, two: DataFrame, search_range: int = 400) -> DataFrame:
-    """Pairs (prediction_id_1, prediction_id_2) with exactly two breakend matches, of two sides on either side."""
+    """Pairs (prediction_id_1, prediction_id_2) with exactly two breakend matches, of two sides on either side.
+
+    Such a pair matches straight or crosswise, and not both ways.
+    """
+    named = [F.col("id_1").alias("prediction_id_1"), F.col("id_2").alias("prediction_id_2")]
+    reaches = lambda p, q: (F.col(q) >= F.col(p) - search_range) & (F.col(q) < F.col(p) + search_range)
+    same = (F.col("_chromosome_0") == F.col("_chromosome_1")) & (F.col("_strand_0") == F.col("_strand_1"))
+    across = same & (reaches("p_0", "q_1") | reaches("p_1", "q_0"))  # a third match
     sides = [F.count("*").alias("n"), F.count_distinct("side_1").alias("s1"), F.count_distinct("side_2").alias("s2")]
-    found = nearby_breakends(one, two, search_range).groupBy(F.col("id_1").alias("prediction_id_1"), F.col("id_2").alias("prediction_id_2")).agg(*sides)
-    return found.where("n = 2 and s1 = 2 and s2 = 2").select("prediction_id_1", "prediction_id_2")
+    unique = lambda a, b: paired_breakends(a, b, search_range).where(~across).select(*named)
+    general = lambda a, b: nearby_breakends(a, b, search_range).groupBy(*named).agg(*sides).where("n = 2 and s1 = 2 and s2 = 2").select("prediction_id_1", "prediction_id_2")
+    return by_repeats(one, two, unique, general)
 
 
 def query_breakpoint_db(queries: DataFrame, database: DataFrame, extend: int = 200) -> DataFrame:
     """The nearest database breakpoint that matches both sides within ``extend``, opposite sides to opposite sides; null if none."""
-    near = nearby_breakends(queries, database, extend + 1).where(F.abs(F.col("p_1") - F.col("p_2")) <= extend).withColumn("dist", F.abs(F.col("p_1") - F.col("p_2")))
-    first = near.where("side_1 = 0").select("id_1", "id_2", F.col("side_2").alias("t1"), F.col("dist").alias("d1"))
-    second = near.where("side_1 = 1").select("id_1", "id_2", F.col("side_2").alias("t2"), F.col("dist").alias("d2"))
-    both = first.join(second, ["id_1", "id_2"]).where("t1 <> t2")
-    best = both.groupBy("id_1").agg(F.min_by("id_2", F.struct(F.col("d1") + F.col("d2"), F.col("id_2"))).alias("db_id"))
+
+    def unique(a: DataFrame, b: DataFrame) -> DataFrame:
+        dist = [F.abs(F.col(f"p_{k}") - F.col(f"q_{k}")) for k in (0, 1)]
+        return paired_breakends(a, b, extend + 1).where((dist[0] <= extend) & (dist[1] <= extend)).select("id_1", "id_2", (dist[0] + dist[1]).alias("dist"))
+
+    def general(a: DataFrame, b: DataFrame) -> DataFrame:
+        near = nearby_breakends(a, b, extend + 1).where(F.abs(F.col("p_1") - F.col("p_2")) <= extend).withColumn("dist", F.abs(F.col("p_1") - F.col("p_2")))
+        first = near.where("side_1 = 0").select("id_1", "id_2", F.col("side_2").alias("t1"), F.col("dist").alias("d1"))
+        second = near.where("side_1 = 1").select("id_1", "id_2", F.col("side_2").alias("t2"), F.col("dist").alias("d2"))
+        return first.join(second, ["id_1", "id_2"]).where("t1 <> t2").select("id_1", "id_2", (F.col("d1") + F.col("d2")).alias("dist"))
+
+    both = by_repeats(queries, database, unique, general)
+    best = both.groupBy("id_1").agg(F.min_by("id_2", F.struct("dist", "id_2")).alias("db_id"))
     return queries.join(best.withColumnRenamed("id_1", "prediction_id"), "prediction_id", "left").select("prediction_id", "db_id")
 
 
