@@ -6,7 +6,8 @@ other side is looked up by the bin of one coordinate: an ordinary equi-join on
 at run time and shuffles otherwise, with the exact predicate on top. Bins are
 nested, each level's eight times as wide as those below; an interval goes to the
 lowest level whose bins are as long as itself, so it touches two of them at most,
-and the other side is looked up at the levels that occur.
+and the other side is looked up at the levels that occur. Joins with segments,
+whose number makes them shorter, take bins of the segments' mean length instead.
 """
 
 from __future__ import annotations
@@ -39,6 +40,21 @@ def deal(intervals: DataFrame, start: Column, last: Column, width: int) -> DataF
     return wide.withColumn("_bin", F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(start, last) / size))))
 
 
+def deal_cells(intervals: DataFrame, start: Column, last: Column, width: int | None) -> tuple[DataFrame, int]:
+    """``deal`` with bins of ``width`` and wider, and that width; without one, bins of one level, as wide as the intervals are on average.
+
+    The latter makes three rows for each interval on average at most, and segments
+    that don't overlap share a bin with few others however many there are. Each
+    point is looked up once.
+    """
+    if width is not None:
+        return deal(intervals, start, last, width), width
+    lengths = intervals.agg(F.ceil(F.avg(F.greatest(last - start, F.lit(0)))).alias("mean")).first()
+    mean = max(int(lengths["mean"] or 1), 1)
+    every = F.sequence(F.floor(start / mean), F.floor(F.greatest(start, last) / mean))
+    return intervals.withColumn("_level", F.lit(0)).withColumn("_bin", F.explode(every)), mean
+
+
 def look_up(points: DataFrame, at: Column, dealt: DataFrame, width: int) -> DataFrame:
     """Add ``_level`` and ``_bin``: the bin of a coordinate at each level that ``dealt`` has, a handful."""
     levels = dealt.agg(F.collect_set("_level")).scalar()
@@ -69,7 +85,7 @@ def with_neighbours(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"prev_end": F.lag("end").over(order), "next_start": F.lead("start").over(order)})
 
 
-def contained_counts(segments: DataFrame, intervals: DataFrame, by: list[str], width: int = BIN) -> DataFrame:
+def contained_counts(segments: DataFrame, intervals: DataFrame, by: list[str], width: int | None = None) -> DataFrame:
     """Intervals inside each segment, counted by ``by`` and segment, zeros included.
 
     An interval that starts exactly on the end of the segment before is dropped.
@@ -87,40 +103,41 @@ def contained_counts(segments: DataFrame, intervals: DataFrame, by: list[str], w
     return frame.join(found, [*by, "chromosome", "start", "end"], "left").withColumn("readcount", F.coalesce("readcount", F.lit(0)))
 
 
-def contained_pairs(segments: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
+def contained_pairs(segments: DataFrame, intervals: DataFrame, width: int | None = None) -> DataFrame:
     """Intervals with the segment they are counted in (s_start, s_end)."""
     return with_segments(segments, intervals, width, "inner").drop("s_chromosome")
 
 
-def with_segments(segments: DataFrame, intervals: DataFrame, width: int, how: str) -> DataFrame:
+def with_segments(segments: DataFrame, intervals: DataFrame, width: int | None, how: str) -> DataFrame:
     """Intervals joined with the segment they are counted in (s_chromosome, s_start, s_end), at each level that segments have."""
     seg = with_neighbours(segments.select("chromosome", "start", "end")).select(F.col("chromosome").alias("s_chromosome"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "prev_end")
-    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width).withColumnsRenamed({"_level": "_s_level", "_bin": "_s_bin"})
+    dealt, width = deal_cells(seg, F.col("s_start"), F.col("s_end"), width)
+    dealt = dealt.withColumnsRenamed({"_level": "_s_level", "_bin": "_s_bin"})
     inside = (F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end")) & (F.col("prev_end").isNull() | (F.col("start") > F.col("prev_end")))
     place = (F.col("chromosome") == F.col("s_chromosome")) & (F.col("_level") == F.col("_s_level")) & (F.col("_bin") == F.col("_s_bin"))
     seen = look_up(intervals, F.col("start"), dealt.withColumnRenamed("_s_level", "_level"), width)
     return seen.join(dealt, place & inside, how).drop("_level", "_bin", "_s_level", "_s_bin", "prev_end")
 
 
-def overlapping_counts(segments: DataFrame, positions: DataFrame, width: int = BIN) -> DataFrame:
+def overlapping_counts(segments: DataFrame, positions: DataFrame, width: int | None = None) -> DataFrame:
     """Positions strictly inside each segment, zeros included."""
     seg = segments.select("chromosome", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width)
+    dealt, width = deal_cells(seg, F.col("s_start"), F.col("s_end"), width)
     met = look_up(positions, F.col("position"), dealt, width).join(dealt, ["chromosome", "_level", "_bin"])
     met = met.where((F.col("s_start") < F.col("position")) & (F.col("position") < F.col("s_end")))
     found = met.groupBy("chromosome", F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg(F.count("*").alias("n"))
     return segments.join(found, ["chromosome", "start", "end"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def find_contained_positions(segments: DataFrame, positions: DataFrame, width: int = BIN) -> DataFrame:
+def find_contained_positions(segments: DataFrame, positions: DataFrame, width: int | None = None) -> DataFrame:
     """Positions with the index of the segment [start, end) they lie in, -1 if none."""
     seg = segments.select("chromosome", F.col("segment_idx").alias("s_idx"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    dealt = deal(seg, F.col("s_start"), F.col("s_end") - 1, width)
+    dealt, width = deal_cells(seg, F.col("s_start"), F.col("s_end") - 1, width)
     met = matched_or_none(positions, F.col("position"), dealt, (F.col("s_start") <= F.col("position")) & (F.col("position") < F.col("s_end")), width)
     return met.select(*positions.columns, F.coalesce("s_idx", F.lit(-1)).cast("long").alias("segment_idx"))
 
 
-def find_contained_segments(segments: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFrame:
+def find_contained_segments(segments: DataFrame, intervals: DataFrame, width: int | None = None) -> DataFrame:
     """Intervals with the index of the segment that holds them, -1 if none.
 
     An interval that starts on a shared bound belongs to the right segment, an
@@ -128,7 +145,7 @@ def find_contained_segments(segments: DataFrame, intervals: DataFrame, width: in
     """
     seg = with_neighbours(segments.select("chromosome", "start", "end", "segment_idx"))
     seg = seg.select("chromosome", *(F.col(c).alias(f"s_{c}") for c in ("segment_idx", "start", "end", "prev_end", "next_start")))
-    dealt = deal(seg, F.col("s_start"), F.col("s_end"), width)
+    dealt, width = deal_cells(seg, F.col("s_start"), F.col("s_end"), width)
     start, end = F.col("start"), F.col("end")
     inside = (start >= F.col("s_start")) & (F.col("s_next_start").isNull() | (start < F.col("s_next_start"))) & (end <= F.col("s_end")) & (F.col("s_prev_end").isNull() | (end > F.col("s_prev_end")))
     met = matched_or_none(intervals, start, dealt, inside, width)

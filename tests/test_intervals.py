@@ -134,3 +134,19 @@ def test_runs_whatever_the_chunk(spark, chunk):
             runs.append([c, v, u, p, p])
     got = [[r["chromosome"], r["v"], r["u"], r["start"], r["end"]] for r in sg.value_runs(table, ["v", "u"], chunk).collect()]
     assert sorted(got) == sorted(runs)
+
+
+def test_many_short_segments_share_no_bin(spark):
+    bounds = [*range(0, 3000), 3000, 9000]
+    segments = [("1", k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    s = spark.createDataFrame(segments, "chromosome string, segment_idx long, start long, end long")
+    dealt, width = iv.deal_cells(s, F.col("start"), F.col("end"), None)
+    assert dealt.groupBy("_bin").count().agg(F.max("count")).first()[0] <= width + 2 and dealt.count() <= 3 * len(segments)
+    f = spark.createDataFrame([("1", i, p, p + 1 + i % 2 * 40) for i, p in enumerate(range(0, 9100, 7))], "chromosome string, i long, start long, end long")
+    at = lambda p: next((k for _, k, a, b in segments if a <= p < b), -1)
+    rows = {r["i"]: (r["start"], r["end"]) for r in f.collect()}
+    points = f.select("chromosome", "i", F.col("start").alias("position"))
+    assert {r["i"]: r["segment_idx"] for r in iv.find_contained_positions(s, points).collect()} == {i: at(p) for i, (p, _) in rows.items()}
+    inside = {i: at(p) if at(p) >= 0 and q <= segments[at(p)][3] else -1 for i, (p, q) in rows.items()}
+    assert {r["i"]: r["segment_idx"] for r in iv.find_contained_segments(s, f).collect()} == inside
+    assert sum(r["n"] for r in iv.overlapping_counts(s, points).collect()) == sum(any(a < p < b for _, _, a, b in segments) for p, _ in rows.values())
