@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.operators.intervals import bins, in_gaps
+from cytofold.sources.storage import materialise
 
 EPSILON = 1e-16
 
@@ -50,11 +51,37 @@ def fixed_bins(chromosomes: DataFrame, width: int = 1000) -> DataFrame:
 
 
 def reindex_segments(one: DataFrame, two: DataFrame, by: list[str], keep: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
-    """Common refinement of two segmentations: by, start, end, idx_1, idx_2 of the atoms that both cover, with the columns to ``keep`` of each."""
+    """Common refinement of two segmentations: by, start, end, idx_1, idx_2 of the atoms that both cover, with the columns to ``keep`` of each.
+
+    One pass over the bounds of both in order: an atom is covered by the segment that
+    started last where only one of its side is open. Atoms on which segments of one
+    side overlap, if there are any, are joined with their segments.
+    """
+    events = []
+    for n, side, more in ((1, one, keep[0]), (2, two, keep[1])):
+        full = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+        cover = F.struct(F.col("end").alias("_e"), F.col("idx").alias(f"idx_{n}"), *more)
+        start = F.struct(F.col("start").alias("p"), full.cast("int").alias(f"_open_{n}"), F.when(full, cover).alias(f"_cover_{n}"))
+        end = F.struct(F.col("end").alias("p"), (-full.cast("int")).alias(f"_open_{n}"), F.when(F.lit(False), cover).alias(f"_cover_{n}"))
+        events.append(side.select(*by, F.explode(F.array(start, end)).alias("_at")).select(*by, "_at.*"))
+    order = Window.partitionBy(*by).orderBy("p")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    # Of rows at one position the last one has seen them all, and is the one followed by a larger position.
+    seen = events[0].unionByName(events[1], allowMissingColumns=True).select(
+        *by, F.col("p").alias("start"), F.lead("p").over(order).alias("end"), *(F.sum(f"_open_{n}").over(upto).alias(f"_open_{n}") for n in (1, 2)), *(F.last(f"_cover_{n}", ignorenulls=True).over(upto).alias(f"_cover_{n}") for n in (1, 2))
+    )
+    single = reduce(Column.__and__, [(F.col(f"_open_{n}") == 1) & (F.col(f"_cover_{n}._e") >= F.col("end")) for n in (1, 2)])
+    both = seen.where("end > start and _open_1 > 0 and _open_2 > 0").withColumn("_single", single).dropna(subset=by)
+    atoms = materialise(both.select(*by, "start", "end", *(F.when(F.col("_single"), F.col(f"_cover_{n}")).alias(f"_cover_{n}") for n in (1, 2)), "_single"), "atoms")
+    found = atoms.where("_single").select(*by, "start", "end", "_cover_1.*", "_cover_2.*").drop("_e")
+    rest = atoms.where("not _single").select(*by, "start", "end")
+    return found if rest.isEmpty() else found.unionByName(with_covers(rest, one, two, by, keep))
+
+
+def with_covers(atoms: DataFrame, one: DataFrame, two: DataFrame, by: list[str], keep: tuple[list[str], list[str]]) -> DataFrame:
+    """Atoms with all pairs of segments that cover them; both are looked up by the bin that the atom starts in."""
     width = 100_000
-    parts = [t.select(*by, F.col(c).alias("p")) for t in (one, two) for c in ("start", "end")]
-    cuts = reduce(DataFrame.union, parts).distinct()
-    atoms = cuts.select(*by, F.col("p").alias("start"), F.lead("p").over(Window.partitionBy(*by).orderBy("p")).alias("end")).where("end is not null").withColumn("_bin", F.floor(F.col("start") / width))
+    atoms = atoms.withColumn("_bin", F.floor(F.col("start") / width))
     for n, side, more in ((1, one, keep[0]), (2, two, keep[1])):
         covers = side.where(F.col("end") > F.col("start")).select(*by, F.col("idx").alias(f"idx_{n}"), *more, F.col("start").alias("_s"), F.col("end").alias("_e"), bins(F.col("start"), F.col("end") - 1, width).alias("_bin"))
         atoms = atoms.join(covers, [*by, "_bin"]).where((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e"))).drop("_s", "_e")

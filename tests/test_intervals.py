@@ -63,6 +63,18 @@ def test_reindex_golden(spark):
     assert rows == [(10, 20, 0, 1), (20, 25, 1, 1), (25, 27, 1, 2), (27, 28, 1, 3), (28, 30, 1, 4), (30, 40, 2, 4)]
 
 
+def test_reindex_meets_bounds_once(spark):
+    schema = "chromosome string, idx long, start long, `end` long, v string"
+    a = spark.createDataFrame([("1", 0, 0, 10, "x"), ("1", 1, 10, 30, "y"), (None, 2, 0, 10, "z"), ("2", 3, 5, 5, "w")], schema)
+    b = spark.createDataFrame([("1", 7, 5, 20, "p"), ("2", 8, 0, 9, "q")], schema).withColumnRenamed("v", "u")
+    got = sg.reindex_segments(a, b, ["chromosome"], (["v"], ["u"]))
+    assert sorted(map(tuple, got.collect())) == [("1", 5, 10, 0, "x", 7, "p"), ("1", 10, 20, 1, "y", 7, "p")]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    over = a.union(spark.createDataFrame([("1", 4, 8, 12, "o")], schema))
+    rows = sorted((r["start"], r["end"], r["idx_1"], r["idx_2"]) for r in sg.reindex_segments(over, b, ["chromosome"]).collect())
+    assert rows == [(5, 8, 0, 7), (8, 10, 0, 7), (8, 10, 4, 7), (10, 12, 1, 7), (10, 12, 4, 7), (12, 20, 1, 7)]
+
+
 def test_empty_inputs(spark):
     s, f = spark.createDataFrame([], SEG), spark.createDataFrame([], FRAG)
     assert iv.contained_counts(s, f, []).count() == 0
