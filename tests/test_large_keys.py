@@ -60,3 +60,17 @@ def test_results_of_tables_that_solutions_share(spark, tmp_path):
     shared = seqio.read_tsv(spark, f"{tmp_path}/cn", "sample_id int, init_id long, start long").collect()
     assert sorted(map(tuple, shared)) == [(1, 7, 10), (1, 7, 11), (2, 9, 12)]
     assert [tuple(r) for r in seqio.read_tsv(spark, f"{tmp_path}/brk_cn", "sample_id int, init_id long, cn_1 int").collect()] == [(1, 7, 5)]
+
+
+@pytest.mark.parametrize("name", ["concordant_alignment_filter", "drop_nonfinite", "find_contained_positions", "fragment_snp_calls", "gap_anti_join", "gc_binned_counts"])
+def test_rows_on_ids_beyond_63_bits(spark, shifted, name):
+    """The rows of the SQL, whose ids are taken as 128-bit numbers here."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in STAR:
+        con.execute(f"create view {t} as select * from '{shifted}/{t}.parquet/*.parquet'")
+    text = lambda rows: sorted(tuple(f"{v:.4f}" if isinstance(v, float) else str(v) for v in row) for row in rows)
+    found = plans.all_queries()[name](spark, shifted)
+    expected = con.execute(plans.all_oracles()[name].replace("l_orderkey * 1000000 ", "l_orderkey::hugeint * 1000000 "))
+    columns = [d[0] for d in expected.description]
+    assert text(found.select(*columns).collect()) == text(expected.fetchall())
