@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cytofold.operators.intervals import contained_counts, find_contained_segments
 from cytofold.sources.storage import materialise
 
+FRAGMENT = ["fragment_id", "sample_id", "chromosome"]
+
 
 def read_quality_filter(fragments: DataFrame, filter_duplicates: bool = False, map_qual_threshold: int = 1) -> DataFrame:
     kept = fragments.where(F.col("mapping_quality") >= map_qual_threshold)
@@ -45,16 +47,20 @@ def segment_read_counts(segments: DataFrame, fragments: DataFrame, **quality) ->
 
 
 def haplotype_allele_join(alleles: DataFrame, haplotypes: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Allele rows on haplotype blocks, with their fragment; filtered fragments take their rows along."""
+    """Allele rows on haplotype blocks, with their fragment; filtered fragments take their rows along.
+
+    The id leads the keys: rows are sorted by the first bytes of the first key, and
+    there are few samples.
+    """
     marks = haplotypes.withColumnRenamed("allele", "is_alt")
-    return alleles.join(marks, ["chromosome", "position", "is_alt"]).join(fragments.select("sample_id", "chromosome", "fragment_id", "start", "end"), ["sample_id", "chromosome", "fragment_id"])
+    return alleles.join(marks, ["chromosome", "position", "is_alt"]).join(fragments.select("sample_id", "chromosome", "fragment_id", "start", "end"), FRAGMENT)
 
 
 def allele_read_counts(segments: DataFrame, alleles: DataFrame, haplotypes: DataFrame, fragments: DataFrame) -> DataFrame:
     """Fragments by segment, block and allele; a fragment counts once, for its first (position, block, allele)."""
     joined = haplotype_allele_join(alleles, haplotypes, fragments)
-    pick = F.min(F.struct("position", "hap_label", "allele_id")).alias("p")
-    single = joined.groupBy("sample_id", "chromosome", "fragment_id", "start", "end").agg(pick).select("sample_id", "chromosome", "fragment_id", "start", "end", "p.hap_label", "p.allele_id")
+    pick = F.min(F.struct("position", "hap_label", "allele_id", "start", "end")).alias("p")
+    single = joined.groupBy(*FRAGMENT).agg(pick).select(*FRAGMENT, "p.start", "p.end", "p.hap_label", "p.allele_id")  # in the order of the join, not sorted again
     placed = find_contained_segments(segments, single).where("segment_idx >= 0")
     counted = placed.groupBy("sample_id", "segment_idx", "hap_label", "allele_id").agg(F.count("*").alias("readcount"))
     return counted.join(segments.select("segment_idx", "chromosome", "start", "end"), "segment_idx").drop("segment_idx")
