@@ -143,6 +143,12 @@ def segment_loglik(rows: DataFrame, h: tuple[float, ...], r: float = 500.0, r_no
     return rows.withColumn("loglik", F.when(F.least(*(F.col(c) for c in cn_columns(clones))) < 0, F.lit(float("-inf"))).otherwise(either)).drop(*scratch)
 
 
+def product(segments: DataFrame, table: DataFrame) -> DataFrame:
+    """Every segment with every state. Segments are spread over all shuffle partitions first, since few bytes of them make many rows."""
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.repartition(parts).crossJoin(F.broadcast(table))  # the table's size depends on the largest copy number only
+
+
 def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float, ...], divergence_weight: float = 1e-7, outlier: float = 0.01, r: tuple[float, float] = (500.0, 10.0), m: tuple[float, float] = (500.0, 10.0)) -> DataFrame:
     """Score of every segment and state: outlier-weighted log-likelihoods and a penalty for subclonal alleles.
 
@@ -162,7 +168,7 @@ def segment_state_scores(segments: DataFrame, states: DataFrame, h: tuple[float,
     either = lambda size: 0.5 * (lk.betabin_both(k, j, p, size) + lk.betabin_both(j, k, p, size))
     total = F.col("_total") + mean(lk.negbin_mean(x, mu, r0), lk.negbin_mean(x, mu, r1))
     alleles = F.when(n > 0, F.col("_allele") - F.col("_ratio") + mean(either(m0), either(m1))).otherwise(F.lit(0.0))
-    rows = counts.crossJoin(F.broadcast(table))  # the table's size depends on the largest copy number only
+    rows = product(counts, table)
     scored = rows.withColumn("score", total + alleles - F.col("_sub") * F.col("length") * divergence_weight)
     return scored.drop(*(c for c in scored.columns if c.startswith("_")))
 
@@ -178,7 +184,7 @@ def segment_state_likelihoods(segments: DataFrame, states: DataFrame, h: tuple[f
     counts = counts.withColumns({f"_total_{u}": lk.negbin_counts(x, F.lit(r[u])) for u in (0, 1)} | {f"_allele_{v}": lk.betabin_counts(k, n, F.lit(m[v])) for v in (0, 1)})
     depth, ratio = expected(h)
     table = states.withColumns({"_depth": depth, "_p": ratio}).withColumns({f"_ratio_{v}": lk.betabin_ratio(F.col("_p"), F.lit(m[v])) for v in (0, 1)})
-    rows = counts.crossJoin(F.broadcast(table))  # the table's size depends on the largest copy number only
+    rows = product(counts, table)
     mu = F.col("_depth") * F.col("length")
     out = {f"total_{u}": F.col(f"_total_{u}") + lk.negbin_mean(x, mu, F.lit(r[u])) for u in (0, 1)}
     for v in (0, 1):

@@ -200,3 +200,12 @@ def test_scores_and_paths_of_any_clones(spark, clones):
     assert len(got) == 6 and all(0 <= r["state"] < len(table) for r in got)
     rows = states.withColumns({"total_mask": F.lit(True), "allele_mask": F.lit(True), "length": F.lit(1e6), "readcount": F.lit(40_000), "major_readcount": F.lit(5_000), "minor_readcount": F.lit(5_000)})
     assert md.segment_loglik(rows, h).where("loglik is null or isnan(loglik)").isEmpty()
+
+
+def test_segments_are_spread_before_their_product_with_states(spark):
+    segments = spark.createDataFrame([(k, 100 + k, 3, 5, 1000) for k in range(40)], "segment_idx long, readcount long, minor_readcount long, major_readcount long, length long").coalesce(1)
+    states = md.copy_states(spark, 3, 1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (md.segment_state_scores(segments, states, (0.02, 0.01, 0.02)), md.segment_state_likelihoods(segments, states, (0.02, 0.01, 0.02))):
+        assert rows.rdd.getNumPartitions() == parts > 1
+        assert rows.count() == 40 * states.count()
