@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.operators.bias import reverse_complement
-from cytofold.operators.segments import reindex_segments
+from cytofold.operators.segments import refined_sums
 
 
 def share(flag: Column, weight: str = "length") -> Column:
@@ -116,17 +116,20 @@ def evaluate_cn(truth: DataFrame, pred: DataFrame, by: list[str], swap: bool) ->
     Clonal and subclonal agreement are the same number by definition.
     """
     side = lambda t, s: t.select(*by, "chromosome", "start", "end", F.col("k").alias("idx"), *(F.array_sort(F.array(F.col(f"major_{m}"), F.col(f"minor_{m}"))).alias(f"{s}{m}") for m in (1, 2)))
-    rows = reindex_segments(side(truth, "t"), side(pred, "p"), [*by, "chromosome"], (["t1", "t2"], ["p1", "p2"])).withColumn("length", F.col("end") - F.col("start"))
     same = (F.col("t1") == F.col("p1")) & (F.col("t2") == F.col("p2"))
     if swap:
         same = same | ((F.col("t1") == F.col("p2")) & (F.col("t2") == F.col("p1")))
     total = lambda s: F.get(F.col(s), F.lit(0)) + F.get(F.col(s), F.lit(1))
-    mean = lambda x: F.sum(x * F.col("length")) / F.sum("length")
     apart = lambda s: sum(((F.get(F.col(f"{s}1"), F.lit(k)) != F.get(F.col(f"{s}2"), F.lit(k))).cast("int") for k in (0, 1)), F.lit(0))
-    clonal = share((F.col("t1") == F.col("t2")) == (F.col("p1") == F.col("p2")))
+    flags = {"cn": same, "dom_cn": F.col("t1") == F.col("p1"), "clonal": (F.col("t1") == F.col("t2")) == (F.col("p1") == F.col("p2"))}
+    means = {"pred_ploidy": (total("p1") + total("p2")) / 2, "true_ploidy": (total("t1") + total("t2")) / 2, "pred_proportion_divergent": apart("p") / 2, "true_proportion_divergent": apart("t") / 2}
+    length = F.col("end") - F.col("start")
+    sums = {"length": length} | {n: F.when(x, length).otherwise(0) for n, x in flags.items()} | {n: x * length for n, x in means.items()}
+    rows = refined_sums(side(truth, "t"), side(pred, "p"), [*by, "chromosome"], (["t1", "t2"], ["p1", "p2"]), sums)
+    part = lambda n: F.sum(n) / F.sum("length")
     return rows.groupBy(*by).agg(
-        share(same).alias("proportion_cn_correct"), share(F.col("t1") == F.col("p1")).alias("proportion_dom_cn_correct"), clonal.alias("proportion_clonal_correct"), clonal.alias("proportion_subclonal_correct"),
-        mean((total("p1") + total("p2")) / 2).alias("pred_ploidy"), mean((total("t1") + total("t2")) / 2).alias("true_ploidy"), mean(apart("p") / 2).alias("pred_proportion_divergent"), mean(apart("t") / 2).alias("true_proportion_divergent"),
+        part("cn").alias("proportion_cn_correct"), part("dom_cn").alias("proportion_dom_cn_correct"), part("clonal").alias("proportion_clonal_correct"), part("clonal").alias("proportion_subclonal_correct"),
+        *(part(n).alias(n) for n in means),
     )
 
 
@@ -156,6 +159,7 @@ def evaluate_mixture(truth: DataFrame, pred: DataFrame, swap_ratio: float = 0.75
 def evaluate_outliers(truth: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
     """Length-weighted agreement of outlier flags with outlier probabilities above one half."""
     side = lambda t, c: t.select(*by, "chromosome", "start", "end", F.col("k").alias("idx"), c)
-    both = reindex_segments(side(truth, F.col("is_outlier")), side(pred, (F.col("p_outlier") > 0.5).alias("predicted")), [*by, "chromosome"], (["is_outlier"], ["predicted"]))
-    rows = both.withColumn("length", F.col("end") - F.col("start"))
-    return rows.groupBy(*by).agg(share(F.col("is_outlier") == F.col("predicted")).alias("correct_outlier_proportion"))
+    length = F.col("end") - F.col("start")
+    sums = {"length": length, "correct": F.when(F.col("is_outlier") == F.col("predicted"), length).otherwise(0)}
+    rows = refined_sums(side(truth, F.col("is_outlier")), side(pred, (F.col("p_outlier") > 0.5).alias("predicted")), [*by, "chromosome"], (["is_outlier"], ["predicted"]), sums)
+    return rows.groupBy(*by).agg((F.sum("correct") / F.sum("length")).alias("correct_outlier_proportion"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,8 +51,67 @@ def fixed_bins(chromosomes: DataFrame, width: int = 1000) -> DataFrame:
     return chromosomes.where("length > 0").select("chromosome", starts.alias("start")).withColumn("end", F.col("start") + width)
 
 
+#: Segments of both sides to a partition, where two segmentations meet.
+SEGMENTS = 500_000
+
+
+def meetings(one: DataFrame, two: DataFrame, by: list[str], keep: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """Atoms that both segmentations cover, from one pass over their segments by start, with ``_plain``: whether the row fits such a pass.
+
+    Of two segments that meet, the one that starts later finds the other as the last
+    one started on the other side. That holds in groups whose rows are all plain: in
+    the others segments of one side overlap, or a row without length cuts an atom.
+    Rows that aren't plain are returned with or without an atom. Partitions are as
+    many as the number of segments asks for, so what a task sorts is bounded.
+    """
+    sides = []
+    for n, side, more in ((1, one, keep[0]), (2, two, keep[1])):
+        # A row of no length is of kind 0, one with swapped bounds or half of them -1.
+        kind = F.when(F.col("end") > F.col("start"), n).when(F.col("end") == F.col("start"), 0).otherwise(-1)
+        cover = F.struct(F.col("end").alias("_e"), F.col("idx").alias(f"idx_{n}"), *more)
+        rows = side.where("start is not null or `end` is not null").dropna(subset=by).withColumn("_kind", kind)
+        sides.append(rows.select(*by, "start", "_kind", F.when(F.col("_kind") > 0, cover).alias(f"_cover_{n}")))
+    rows = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    parts = math.ceil((one.count() + two.count()) / SEGMENTS)
+    rows = rows.repartition(parts, *by) if parts > 1 else rows
+    before = Window.partitionBy(*by).orderBy("start", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumns({f"_last_{n}": F.last(f"_cover_{n}", ignorenulls=True).over(before) for n in (1, 2)})
+    first, kind = F.col("_kind") == 1, F.col("_kind")
+    own, other = F.when(first, F.col("_last_1._e")).otherwise(F.col("_last_2._e")), F.when(first, F.col("_last_2._e")).otherwise(F.col("_last_1._e"))
+    apart = F.coalesce(own <= F.col("start"), F.lit(True))
+    inside = F.coalesce(F.least("_last_1._e", "_last_2._e") > F.col("start"), F.lit(False)) & F.col("_last_1").isNotNull() & F.col("_last_2").isNotNull()
+    plain = F.when(kind > 0, apart).when(kind == 0, ~inside).otherwise(False)
+    end = F.when((kind > 0) & (other > F.col("start")), F.least(F.coalesce("_cover_1._e", "_cover_2._e"), other))
+    both = (F.coalesce(f"_cover_{n}", f"_last_{n}").alias(f"_cover_{n}") for n in (1, 2))
+    return seen.select(*by, "start", end.alias("end"), *both, plain.alias("_plain")).where("`end` is not null or not _plain")
+
+
 def reindex_segments(one: DataFrame, two: DataFrame, by: list[str], keep: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
-    """Common refinement of two segmentations: by, start, end, idx_1, idx_2 of the atoms that both cover, with the columns to ``keep`` of each.
+    """Common refinement of two segmentations: by, start, end, idx_1, idx_2 of the atoms that both cover, with the columns to ``keep`` of each."""
+    met = materialise(meetings(one, two, by, keep), "atoms")
+    found = met.select(*by, "start", "end", "_cover_1.*", "_cover_2.*").drop("_e")
+    rest = met.where("not _plain").select(*by).distinct()
+    if rest.isEmpty():
+        return found
+    parts = (side.join(rest, by, "left_semi") for side in (one, two))
+    return found.join(rest, by, "left_anti").unionByName(cut_segments(*parts, by, keep))
+
+
+def refined_sums(one: DataFrame, two: DataFrame, by: list[str], keep: tuple[list[str], list[str]], sums: dict[str, Column]) -> DataFrame:
+    """Sums over the atoms of ``reindex_segments`` for each of ``by``, taken where the atoms are made."""
+    add = [F.sum(x).alias(c) for c, x in sums.items()]
+    met = meetings(one, two, by, keep).select(*by, "start", "end", "_cover_1.*", "_cover_2.*", "_plain").drop("_e")
+    found = materialise(met.groupBy(*by).agg(F.bool_and("_plain").alias("_plain"), *add), "sums")
+    rest = found.where("not _plain").select(*by)
+    plain = found.where("_plain").drop("_plain")
+    if rest.isEmpty():
+        return plain
+    parts = (side.join(rest, by, "left_semi") for side in (one, two))
+    return plain.unionByName(cut_segments(*parts, by, keep).groupBy(*by).agg(*add))
+
+
+def cut_segments(one: DataFrame, two: DataFrame, by: list[str], keep: tuple[list[str], list[str]]) -> DataFrame:
+    """Common refinement where segments of one side may overlap and any row's bounds cut.
 
     One pass over the bounds of both in order: an atom is covered by the segment that
     started last where only one of its side is open. Atoms on which segments of one

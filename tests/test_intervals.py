@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cytofold.operators import evaluation as ev
 from cytofold.operators import intervals as iv
 from cytofold.operators import segments as sg
 
@@ -75,6 +76,58 @@ def test_reindex_meets_bounds_once(spark):
     assert rows == [(5, 8, 0, 7), (8, 10, 0, 7), (8, 10, 4, 7), (10, 12, 1, 7), (10, 12, 4, 7), (12, 20, 1, 7)]
 
 
+def test_segmentations_meet_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(sg, "SEGMENTS", 1000, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        one = spark.range(3000).selectExpr("cast(id div 3 as string) as chromosome", "id as idx", "id % 3 * 7 as start", "id % 3 * 7 + 7 as `end`")
+        two = one.selectExpr("chromosome", "idx", "start + 2 as start", "`end` + 2 as `end`")
+        got = sg.reindex_segments(one, two, ["chromosome"])
+        assert len(got.inputFiles()) == 6  # one for each partition that met
+        assert got.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def odd_segments(rng, kind, group):
+    """Segments with gaps between them; ``kind`` adds one that overlaps, has no length, swapped bounds or half of them, or a null key."""
+    cuts = sorted(rng.sample(range(60), rng.choice((2, 4, 7))))
+    rows = [(a, b) for a, b in zip(cuts, cuts[1:]) if rng.random() < 0.8]
+    a, b = sorted(rng.sample(range(60), 2))
+    rows += {"overlap": [(a, b)], "point": [(a, a)], "swapped": [(b, a)], "half": [(None, b) if a % 2 else (a, None)], "none": [(None, None)]}.get(kind, [])
+    return [(None if kind == "key" else group, i, x, y, rng.random() < 0.5) for i, (x, y) in enumerate(rows)]
+
+
+def test_odd_segmentations_meet_as_by_enumeration(spark):
+    rng = random.Random(8)
+    kinds = ("", "", "overlap", "point", "swapped", "half", "none", "key")
+    sides = [[r for g in range(120) for r in odd_segments(rng, rng.choice(kinds), f"c{g}")] for _ in range(2)]
+    groups = [{}, {}]
+    for side, group in zip(sides, groups):
+        for c, *row in side:
+            group.setdefault(c, []).append(row)
+    expected, flags = [], {}
+    for c in groups[0].keys() & groups[1].keys() - {None}:
+        x, y = groups[0][c], groups[1][c]
+        cuts = sorted({p for _, *ab, _ in x + y for p in ab if p is not None})
+        for a, b in zip(cuts, cuts[1:]):
+            over = [[r for r in s if None not in r[1:3] and r[1] <= a and b <= r[2]] for s in (x, y)]
+            for i, *_, u in over[0]:
+                for j, *_, v in over[1]:
+                    expected.append((c, a, b, i, u, j, v))
+                    n = flags.setdefault(c, [0, 0])
+                    n[0] += (b - a) * (u == v)
+                    n[1] += b - a
+    schema = "chromosome string, idx long, start long, `end` long, {} boolean"
+    one, two = (spark.createDataFrame(r, schema.format(n)) for r, n in zip(sides, "uv"))
+    assert sorted(map(tuple, sg.reindex_segments(one, two, ["chromosome"], (["u"], ["v"])).collect())) == sorted(expected)
+    truth = one.withColumn("sample_id", F.col("chromosome")).withColumnsRenamed({"idx": "k", "u": "is_outlier"})
+    pred = two.withColumn("sample_id", F.col("chromosome")).withColumn("p_outlier", F.col("v").cast("double")).withColumnRenamed("idx", "k")
+    got = {r["sample_id"]: r["correct_outlier_proportion"] for r in ev.evaluate_outliers(truth, pred, ["sample_id"]).collect()}
+    assert got == {c: n / total for c, (n, total) in flags.items()}
+
+
 def test_empty_inputs(spark):
     s, f = spark.createDataFrame([], SEG), spark.createDataFrame([], FRAG)
     assert iv.contained_counts(s, f, []).count() == 0
