@@ -143,13 +143,26 @@ def find_contained_segments(segments: DataFrame, intervals: DataFrame, width: in
     An interval that starts on a shared bound belongs to the right segment, an
     empty one on it to none.
     """
-    seg = with_neighbours(segments.select("chromosome", "start", "end", "segment_idx"))
-    seg = seg.select("chromosome", *(F.col(c).alias(f"s_{c}") for c in ("segment_idx", "start", "end", "prev_end", "next_start")))
+    dealt, width, inside = dealt_holders(segments, ["segment_idx"], width)
+    met = matched_or_none(intervals, F.col("start"), dealt, inside, width)
+    return met.select(*intervals.columns, F.coalesce("s_segment_idx", F.lit(-1)).cast("long").alias("segment_idx"))
+
+
+def dealt_holders(segments: DataFrame, columns: list[str], width: int | None) -> tuple[DataFrame, int, Column]:
+    """Segments with neighbours and ``columns`` (s_ before each name) in bins of a width, and whether one holds an interval, see ``find_contained_segments``."""
+    seg = with_neighbours(segments.select("chromosome", "start", "end", *columns))
+    seg = seg.select("chromosome", *(F.col(c).alias(f"s_{c}") for c in (*columns, "start", "end", "prev_end", "next_start")))
     dealt, width = deal_cells(seg, F.col("s_start"), F.col("s_end"), width)
     start, end = F.col("start"), F.col("end")
     inside = (start >= F.col("s_start")) & (F.col("s_next_start").isNull() | (start < F.col("s_next_start"))) & (end <= F.col("s_end")) & (F.col("s_prev_end").isNull() | (end > F.col("s_prev_end")))
-    met = matched_or_none(intervals, start, dealt, inside, width)
-    return met.select(*intervals.columns, F.coalesce("s_segment_idx", F.lit(-1)).cast("long").alias("segment_idx"))
+    return dealt, width, inside
+
+
+def with_holding_segment(segments: DataFrame, intervals: DataFrame, columns: list[str], width: int | None = None) -> DataFrame:
+    """Intervals that a segment holds, see ``find_contained_segments``, with the segment's ``columns``, s_ before each name."""
+    dealt, width, inside = dealt_holders(segments, columns, width)
+    met = look_up(intervals, F.col("start"), dealt, width).join(dealt, ["chromosome", "_level", "_bin"])
+    return met.where(inside).select(*(F.col(c) for c in intervals.columns), *(f"s_{c}" for c in columns))
 
 
 def interval_position_overlap(intervals: DataFrame, positions: DataFrame, width: int = BIN, longest: int | None = None) -> DataFrame:
